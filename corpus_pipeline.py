@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from palimpsest.llm import language, mixing, packing, toxicity
+from palimpsest.llm import jaccard, language, mixing, packing, toxicity
 from palimpsest.llm.common import cut, table
 
 #: SQL cannot express a trained classifier; the stages are tested against brute force.
@@ -28,6 +29,20 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of similarity 0.8 or more over five-word shingles join, the one with the
+    least id stays; of rows that share that id, the first by text. Documents without words stay."""
+    found = jaccard.jaccard_components(docs, width=5, num=80, den=100)
+    gone = found.where((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    # An id that stands more than once is rare; only its rows are looked at again.
+    twice = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    again = kept.where(jaccard.has_words("text")).join(twice, "doc_id", "left_semi").withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_at")
+    rest = kept.where(~jaccard.has_words("text")).unionByName(kept.where(jaccard.has_words("text")).join(twice, "doc_id", "left_anti"))
+    return rest.unionByName(again).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it."""
     return mixing.mixed(docs)
@@ -41,6 +56,7 @@ def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("language", drop_unknown_language),
+    ("jaccard", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_pieces),
 ]

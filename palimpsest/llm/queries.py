@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, fingerprints, language, mixing, packing, toxicity, url_filter
+from palimpsest.llm import chat, fingerprints, jaccard, language, mixing, packing, toxicity, url_filter
 from palimpsest.llm.common import table
 
 RULES = (
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation against itself with its neighbour's last reply."""
     pairs = chat.format_preferences(chat.reply_swaps(chat.conversations(table(spark, sf_dir, "conversations"))))
@@ -109,5 +113,5 @@ SELECT conv_id, n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen,
 FROM prompt LEFT JOIN prompts USING (conv_id) LEFT JOIN completions USING (conv_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_chat_preferences, op4_url_filter, op5_mixing, op6_toxicity, op7_language, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_chat_preferences, op4_url_filter, op5_mixing, op6_toxicity, op7_language, op9_fingerprints)}
 ORACLES = {"op3_chat_preferences": _PREFERENCES, "op4_url_filter": _JUDGED}

@@ -1,7 +1,8 @@
 """Words of many texts as numpy arrays: spans in the UTF-8 bytes and hashes of any span.
 
-Texts are lower-cased. A word is a run of ASCII letters and of bytes beyond ASCII; all else
-parts words, so `idiot,` and `IDIOT%%%` hold the same word.
+By default texts are lower-cased and a word is a run of ASCII letters and of bytes beyond ASCII;
+all else parts words, so `idiot,` and `IDIOT%%%` hold the same word. With plain=True only A-Z are
+lower-cased and only the white space 0x20, 0x09-0x0D parts words.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ import numpy as np
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = _LETTER[128:] = True
+_NOT_SPACE = np.ones(256, dtype=bool)
+_NOT_SPACE[9:14] = _NOT_SPACE[32] = False
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2^64
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -27,10 +31,11 @@ def _power(k: int, n: int) -> np.ndarray:
 class Words:
     """data: all bytes; starts, ends: of each word; first: of each text, its first word (one more at the end)."""
 
-    def __init__(self, texts: list[str]) -> None:
-        raw = [x.lower().encode("utf-8", "surrogatepass") for x in texts]
-        self.data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-        letter = _LETTER[self.data]
+    def __init__(self, texts: list[str], plain: bool = False) -> None:
+        raw = [(x if plain else x.lower()).encode("utf-8", "surrogatepass") for x in texts]
+        joined = b"\n".join(raw) + b"\n"
+        self.data = np.frombuffer(joined.translate(_LOWER) if plain else joined, dtype=np.uint8)
+        letter = (_NOT_SPACE if plain else _LETTER)[self.data]
         edge = np.flatnonzero(np.diff(letter, prepend=False))
         self.starts, self.ends = edge[::2], edge[1::2]
         self.text_at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in raw]))).astype(np.int64)
