@@ -33,14 +33,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of documents that links of similarity 0.8 or more over five-word shingles join, the one with the
     least id stays; of rows that share that id, the first by text. Documents without words stay."""
     found = jaccard.jaccard_components(docs, width=5, num=80, den=100)
-    gone = found.where((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # An id that stands more than once is rare; only its rows are looked at again.
-    twice = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    again = kept.where(jaccard.has_words("text")).join(twice, "doc_id", "left_semi").withColumn("_at", F.row_number().over(first)).where("_at = 1").drop("_at")
-    rest = kept.where(~jaccard.has_words("text")).unionByName(kept.where(jaccard.has_words("text")).join(twice, "doc_id", "left_anti"))
-    return rest.unionByName(again).select(*docs.columns)
+    info = found.groupBy("doc_id").agg(F.max((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).alias("_gone"))
+    met = docs.withColumn("_words", jaccard.has_words("text")).join(info.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    first = Window.partitionBy("doc_id").orderBy(F.col("_words").desc(), F.xxhash64("text"), "text")
+    alone = F.col("doc_id").isNull() | ~F.col("_words") | (F.row_number().over(first) == 1)
+    kept = met.withColumn("_alone", alone).where("_alone AND (NOT _words OR NOT coalesce(_gone, false))")
+    return kept.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

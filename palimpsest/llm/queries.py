@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, fingerprints, jaccard, language, mixing, packing, toxicity, url_filter
+from palimpsest.llm import chat, fingerprints, html_text, jaccard, language, mixing, packing, toxicity, url_filter
 from palimpsest.llm.common import table
 
 RULES = (
@@ -60,6 +60,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 #: Null and no `://`: empty host and path. All hosts and paths as the contract of the operator defines them.
 _JUDGED = r"""
 WITH parts AS (
@@ -113,5 +117,5 @@ SELECT conv_id, n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen,
 FROM prompt LEFT JOIN prompts USING (conv_id) LEFT JOIN completions USING (conv_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_chat_preferences, op4_url_filter, op5_mixing, op6_toxicity, op7_language, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_chat_preferences, op4_url_filter, op5_mixing, op6_toxicity, op7_language, op9_fingerprints, op10_html_text)}
 ORACLES = {"op3_chat_preferences": _PREFERENCES, "op4_url_filter": _JUDGED}
