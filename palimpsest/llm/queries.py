@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, fingerprints, html_text, jaccard, language, mixing, packing, toxicity, url_filter
+from palimpsest.llm import chat, fingerprints, html_text, jaccard, language, mixing, near_vectors, packing, toxicity, url_filter
 from palimpsest.llm.common import table
 
 RULES = (
@@ -56,6 +56,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -117,5 +121,5 @@ SELECT conv_id, n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen,
 FROM prompt LEFT JOIN prompts USING (conv_id) LEFT JOIN completions USING (conv_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_chat_preferences, op4_url_filter, op5_mixing, op6_toxicity, op7_language, op9_fingerprints, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_chat_preferences, op4_url_filter, op5_mixing, op6_toxicity, op7_language, op8_near_vectors, op9_fingerprints, op10_html_text)}
 ORACLES = {"op3_chat_preferences": _PREFERENCES, "op4_url_filter": _JUDGED}
