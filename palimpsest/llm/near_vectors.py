@@ -26,6 +26,8 @@ BUILD_BEAM, BEAM, AT_ONCE, STEP = 64, 64, 512, 4
 SHARD, SHARDS = 50_000, 8
 #: Queries of a batch that an audit compares with the whole shard, and the recall that it asks for.
 AUDITED, RECALL = 64, 0.99
+#: A wider beam than this costs more than comparing the whole shard, which is done instead.
+WIDEST = 256
 SLACK = 1e-4  # single precision in the search, double in the verification
 
 
@@ -183,7 +185,7 @@ def links_of(g: Graph, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[n
         rows, nodes = [], []
         left, width = np.arange(len(q)), beam
         while len(left):
-            if 2 * width >= n:  # as wide as the shard: all of it
+            if width > WIDEST or 2 * width >= n:  # as wide as the shard: all of it
                 for a in range(0, len(left), AT_ONCE):
                     r, c = np.nonzero(q[left[a : a + AT_ONCE]] @ g.x.T >= low)
                     rows.append(left[a : a + AT_ONCE][r])
@@ -196,7 +198,7 @@ def links_of(g: Graph, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[n
             nodes.append(ids[r, c])
             left, width = left[full], 2 * width
         row, node = np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(nodes) if nodes else np.zeros(0, int)
-        if 2 * beam >= n:
+        if beam > WIDEST or 2 * beam >= n:
             return row, node, beam
         found = np.isin(row, audit).sum()
         if found >= RECALL * wanted:
@@ -272,7 +274,7 @@ def near_vectors(rows: DataFrame, *, least: float = 0.9, shard_size: int = SHARD
     do vectors of different lengths and rows with a null id. Equal vectors are one node that counts
     as often as it stands. Rows that share an id are one vector with the links of all. Recall is
     measured in every batch against the whole shard (AUDITED, RECALL); a beam as wide as half the
-    shard is replaced by comparing all of it, so the audit always ends.
+    shard, or wider than WIDEST, is replaced by comparing all of it, so the audit always ends.
     """
     spark = rows.sparkSession
     v = F.col(vector_col)
