@@ -294,7 +294,7 @@ def named(model: Model, texts: list[str], penalty: float, with_spans: bool) -> p
         spans: list = [[] for _ in texts]
         owner = np.repeat(row, np.diff(words.first))
         change = np.flatnonzero((np.diff(words.labels, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-        for a, b in zip(change, np.append(change[1:], len(owner)), strict=True):
+        for a, b in zip(change, [*change[1:], len(owner)] if len(change) else [], strict=True):
             spans[owner[a]].append({"start": int(words.start[a]), "length": int(words.end[b - 1] - words.start[a]), "lang": model.names[words.labels[a]]})
         out["spans"] = spans
     return out
