@@ -330,3 +330,26 @@ def test_runner_pauses_and_resumes(spark, tmp_path):
     assert runner.run(*args) == "COMPLETED" and runner.results(spark, str(tmp_path / "ledger")).count() == 2
     with runner.Lock(tmp_path / "lock"), pytest.raises(runner.Locked), runner.Lock(tmp_path / "lock"):
         pass
+
+
+def test_run_identity(spark):
+    from palimpsest.fixed import RELATIONS
+    from palimpsest.operators import runs
+
+    stem = runs.run_stem("qa_key", "Qwen2.5-14B-Instruct", "strict criterion-emphasis", "test")
+    assert stem == "qa-key__qwen2-5-14b-instruct__strict-criterion-emphasis__test"
+    good = {k: {"relation_name": v[0], "coarse_type": v[1], "extra": 1} for k, v in RELATIONS.items()}
+    runs.check_relations(good)
+    with pytest.raises(runs.RunError, match="P36"):
+        runs.check_relations(good | {"P36": {"relation_name": "capital", "coarse_type": "date"}})
+    with pytest.raises(runs.RunError):
+        runs.check_slots(["occupation"])
+    with pytest.raises(runs.RunError):
+        runs.check_targets({"train": 1, "dev": 0, "test": 1})
+    f = spark.createDataFrame([(f"f{i}",) for i in range(50)], "family_id string")
+    spec = runs.Slice("r", "qa_key", "m", "standard", "test", "a", "b")
+    saved = runs.manifest(spec, f)
+    runs.check_resume(saved, spec, f.repartition(3))
+    with pytest.raises(runs.RunError, match="queue"):
+        runs.check_resume(saved, spec, f.limit(49))
+    assert runs.utc_now().endswith("Z")
