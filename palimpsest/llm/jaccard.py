@@ -12,7 +12,7 @@ tried only where a list still holds several components, behind an exact bound on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -168,8 +168,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
 
     signed = all_.mapInPandas(sized, "doc_id long, named boolean, n_shingles long, x long, y long")
     signed = cut(signed.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named"))
-    same = signed.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node"))
-    links = cut(_links(rows, cut(same.where("node IS NOT NULL").select("node").distinct()), t, width))
+    same = cut(signed.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node")))
+    links = cut(_links(rows, same.where("node IS NOT NULL").select("node").distinct(), t, width))
     # Equal sets, and rows of one document, are links too.
     held = signed.where("n_shingles > 0").join(same, ["n_shingles", "x", "y"]).select("doc_id", "node", "n_shingles")
     own = held.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -191,35 +191,46 @@ def _links(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataF
                 for node, s in zip(batch["doc_id"].iloc[a:b], shingle_sets(texts[a:b], width), strict=True):
                     for c in classes_of(len(s), t) if len(s) >= least else ():
                         k = keys_of(s, c, t)
-                        out.append((np.full(len(k), node), np.full(len(k), len(s)), np.full(len(k), c), k))
+                        out.append((np.full(len(k), node), np.full(len(k), c), k))
                 if out:
-                    yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("node", "n", "c", "key"), zip(*out, strict=True), strict=True)})
-
-    # Texts of equal sets name the same fragments, which one row of each list stands for.
-    keys = rows.mapInPandas(keyed, "node long, n int, c int, key long")
-    alone = Window.partitionBy("key")
-    lists = keys.withColumn("hub", F.min("node").over(alone)).withColumn("last", F.max("node").over(alone)).where("hub <> last").drop("last")
+                    yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("node", "c", "key"), zip(*out, strict=True), strict=True)})
+
+    # Lists with the same documents are one list, named by its members.
+    keys = rows.mapInPandas(keyed, "node long, c byte, key long")
+    own = Window.partitionBy("key")
+    named = F.xxhash64(F.bit_xor(F.xxhash64("node")).over(own), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 31))).over(own), "c")
+    lists = keys.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).withColumn("list", named)
+    lists = lists.where("low <> high").select("list", "c", "node").distinct()
     # Of equal sets only the node stays, and it has the least id.
-    lists = cut(lists.join(nodes, "node", "left_semi"))
-    several = lists.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
-    lists = cut(lists.drop("hub").join(several, "key"))
-
-    met = lists.select("node").distinct()
-    sets = cut(_sets(rows, met, t, width))
-    marks = sets.select("node", "n", F.explode("marks").alias("m")).select("node", F.col("n"), F.col("m.c").alias("c"), F.col("m.marks").alias("marks"))
+    own = Window.partitionBy("list")
+    lists = lists.join(nodes, "node", "left_semi").withColumn("hub", F.min("node").over(own)).withColumn("high", F.max("node").over(own))
+    lists = cut(lists.where("hub <> high").drop("high"))
+    marks = cut(_marks(rows, lists.select("node").distinct(), t, width))
 
+    # Each document against one hub first, then against the hubs that are not yet with it.
     star = lists.where("node <> hub").select("c", F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = cut(_verified(_bounded(star, marks, t), sets, t))
-    comp = components(first)
-    named = lists.join(comp.withColumnRenamed("component_id", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_ = cut(named.join(mixed, "key", "left_semi").where("node <> hub").join(marks.drop("n"), ["node", "c"]))
+    one = star.groupBy("b").agg(F.min_by(F.struct("c", "a"), "a").alias("s")).select("s.c", "s.a", "b")
+    links = cut(_verified(rows, _bounded(one, marks, t), t, width))
+    comp = cut(components(links))
+    more = _apart_still(star, comp).where("comp_a <> comp_b").select("c", "a", "b")
+    links = cut(links.union(_verified(rows, _bounded(more, marks, t), t, width)))
+    comp = cut(components(links))
+
+    member = lists.join(comp.withColumnRenamed("component_id", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = member.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("list")
+    open_ = cut(member.join(mixed, "list", "left_semi").where("node <> hub").join(marks, ["node", "c"]))
     x, y = open_.alias("x"), open_.alias("y")
-    apart = _apart(F.col("x.n") + F.col("y.n"), t)
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    near &= (t.den * F.least("x.n", "y.n") >= t.num * F.greatest("x.n", "y.n")) & (differing("x.marks", "y.marks") <= apart)
+    near = (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    near &= (t.den * F.least("x.n", "y.n") >= t.num * F.greatest("x.n", "y.n")) & (differing("x.marks", "y.marks") <= _apart(F.col("x.n") + F.col("y.n"), t))
     rest = x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return first.union(_verified(rest, sets, t))
+    return links.union(_verified(rows, rest, t, width))
+
+
+def _apart_still(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """pairs with the components of both ends."""
+    for end in ("a", "b"):
+        pairs = pairs.join(comp.select(F.col("node").alias(end), F.col("component_id").alias(f"comp_{end}")), end, "left").withColumn(f"comp_{end}", F.coalesce(f"comp_{end}", end))
+    return pairs
 
 
 def _apart(total, t: Threshold):
@@ -232,19 +243,55 @@ def in_parts(s: np.ndarray) -> list[np.ndarray]:
     return [x.view(np.int64) for x in np.split(s, at)]
 
 
-def _sets(rows: DataFrame, met: DataFrame, t: Threshold, width: int) -> DataFrame:
-    """The sets of the nodes that have a candidate: node, n, tokens by part of the order, marks by class."""
+#: Bits of the filter below: its size is fixed, so it may be sent to every task.
+FILTER_BITS = 1 << 25
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _of_nodes(rows: DataFrame, wanted: DataFrame, made: Callable, schema: str) -> DataFrame:
+    """made(ids, texts) -> frame with `node`, over the rows whose doc_id is in wanted (node).
+
+    Texts are not shuffled: where they are read, a filter of fixed size passes the wanted rows over
+    to `made`, and some more; these are dropped by an exact semi-join of the results.
+    """
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    wanted = cut(wanted.distinct())
+    size = 1 << 15
+    parts = wanted.groupBy(F.floor(h("node") / size).alias("k")).agg(F.bitmap_construct_agg(h("node") % size).alias("bits")).collect()  # FILTER_BITS at most
+    bits = bytearray(FILTER_BITS // 8)
+    for r in parts:
+        bits[r["k"] * size // 8 : r["k"] * size // 8 + len(r["bits"])] = r["bits"]
+    shared = rows.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
+            at = batch["h"].to_numpy()
+            batch = batch[(held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             texts = batch["text"].tolist()
             for a, b in in_chunks(texts, 1 << 20):
-                sets = shingle_sets(texts[a:b], width)
-                marks = [[{"c": c, "marks": marks_of(s, c, t)} for c in classes_of(len(s), t)] if len(s) else [] for s in sets]
-                yield pd.DataFrame({"node": batch["doc_id"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "parts": [in_parts(s) for s in sets], "marks": marks})
+                yield made(batch["doc_id"].iloc[a:b].to_numpy(), texts[a:b])
+
+    return rows.withColumn("h", h("doc_id")).mapInPandas(passed, schema).join(wanted, "node", "left_semi")
+
+
+def _marks(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataFrame:
+    """node, n, c, marks for the classes of each node."""
+
+    def made(ids: np.ndarray, texts: list[str]) -> pd.DataFrame:
+        out = [(k, len(s), c, marks_of(s, c, t)) for k, s in zip(ids, shingle_sets(texts, width), strict=True) if len(s) for c in classes_of(len(s), t)]
+        return pd.DataFrame(out, columns=["node", "n", "c", "marks"])
+
+    return _of_nodes(rows, nodes, made, "node long, n int, c byte, marks array<long>")
+
+
+def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, n, and its shingles by part of the order."""
+
+    def made(ids: np.ndarray, texts: list[str]) -> pd.DataFrame:
+        sets = shingle_sets(texts, width)
+        return pd.DataFrame({"node": ids, "n": [len(s) for s in sets], "parts": [in_parts(s) for s in sets]})
 
-    own = rows.join(met, rows["doc_id"] == met["node"], "left_semi")
-    return own.mapInPandas(made, "node long, n int, parts array<array<long>>, marks array<struct<c:int,marks:array<long>>>")
+    return _of_nodes(rows, nodes, made, "node long, n int, parts array<array<long>>")
 
 
 def _bounded(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
@@ -255,8 +302,10 @@ def _bounded(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
     return met.where((t.den * F.least("na", "nb") >= t.num * F.greatest("na", "nb")) & (differing("ma", "mb") <= _apart(F.col("na") + F.col("nb"), t))).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, t: Threshold, width: int) -> DataFrame:
     """Pairs that link: partial overlaps are counted per fragment of the order and summed per pair."""
+    pairs = cut(pairs)
+    sets = cut(_sets(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), width))
     whole = sets.select("node", "n", F.posexplode("parts").alias("part", "tokens"))
     a = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
     b = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb"))
