@@ -24,7 +24,9 @@ UNKNOWN = "und"
 BITS = 16
 PENALTY = 12.0
 #: Labelled rows of each language that training reads at most.
-SAMPLE = 1000
+SAMPLE = 500
+#: Characters of training text that are counted together.
+TRAIN_CHARS = 1 << 18
 #: A word outside its script's languages scores so much less for each.
 OUTSIDE = -30.0
 #: Characters of text whose labels are found together.
@@ -192,7 +194,7 @@ def train(texts: list[str], langs: list[str], *, smooth: float = 0.5) -> Model:
     code = {x: i for i, x in enumerate(names)}
     size, k = 1 << BITS, len(names)
     gram, word, seen = np.zeros((k, size)), np.zeros((k, size)), np.zeros((k, len(SCRIPTS) + 1))
-    for a, b in in_chunks(texts):
+    for a, b in in_chunks(texts, TRAIN_CHARS):
         w = Words(texts[a:b])
         if not len(w.starts):
             continue
@@ -223,7 +225,7 @@ def train(texts: list[str], langs: list[str], *, smooth: float = 0.5) -> Model:
 def opened(model: Model, texts: list[str], langs: list[str]) -> Model:
     """Learn from which share of the letters on the language that opens a text is the text's."""
     shares, firsts = [], []
-    for a, b in in_chunks(texts, MOST_CHARS):
+    for a, b in in_chunks(texts, 4 * TRAIN_CHARS):
         share, first = model.label(texts[a:b]).shares()
         shares.append(share)
         firsts.append(first)

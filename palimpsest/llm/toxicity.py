@@ -27,7 +27,9 @@ PREFIXES = (0, 4, 5, 6)
 SLOTS = [(w, j) for w in WIDTHS for j in range(w)]
 PAD = 1 << BITS  # the row of zeros behind every text
 #: Labelled rows of each class that training reads at most.
-SAMPLE = 1200
+SAMPLE = 1000
+#: Characters of training text that are turned into features together.
+TRAIN_CHARS = 1 << 18
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +106,9 @@ def train(texts: list[str], toxic: np.ndarray, langs: list, *, epochs: int = 4,
     rng = np.random.default_rng(seed)
     y = np.asarray(toxic, dtype=np.float64)
     parts = []
-    for a, b in in_chunks(texts):
+    for a, b in in_chunks(texts, TRAIN_CHARS):
         idx, first = features(texts[a:b])
-        parts += np.split(idx, first[1:])
+        parts += np.split(idx.astype(np.int32), first[1:])
     names = sorted({x for x in langs if x is not None})
     back = np.arange(len(texts)) % 5 == 4
     fit_on = np.flatnonzero(~back)
@@ -181,16 +183,18 @@ def best_threshold(logits: np.ndarray, y: np.ndarray, weights: np.ndarray) -> fl
 
 
 def _calibrated(model: Model, texts: list[str], y: np.ndarray, names: list) -> Model:
-    idx, first = features(texts) if texts else (np.zeros((0, 4), np.int64), np.zeros(0, np.int64))
-    aim = float(np.log(CUT / (1 - CUT)))
-    if not texts or not 0 < y.sum() < len(y):
+    """Shift the logits so that each language's best threshold, if it has enough rows of both labels, is CUT."""
+    if not 0 < y.sum() < len(y):
         return model
-    pool, _ = pooled(model.table.astype(np.float32), model.bias, idx, first)
-    logits = pool @ model.weights + model.offset
+    aim, table = float(np.log(CUT / (1 - CUT))), model.table.astype(np.float32)
+    logits, guess = np.zeros(len(y)), np.zeros(len(y), dtype=np.int64)
+    for a, b in in_chunks(texts, TRAIN_CHARS):
+        idx, first = features(texts[a:b])
+        logits[a:b] = pooled(table, model.bias, idx, first)[0] @ model.weights + model.offset
+        if names:
+            guess[a:b] = np.add.reduceat(model.language[idx[:, 0]], first, axis=0).argmax(axis=1)
     ones = np.ones(len(y))
-    overall = best_threshold(logits, y, ones)
-    guess = np.add.reduceat(model.language[idx[:, 0]], first, axis=0).argmax(axis=1) if names else np.zeros(len(y), int)
-    model.shift = np.full(max(1, len(names)), aim - overall)
+    model.shift = np.full(max(1, len(names)), aim - best_threshold(logits, y, ones))
     for k in range(len(names)):
         own = guess == k
         if min(y[own].sum(), (1 - y[own]).sum()) >= 10:
