@@ -33,12 +33,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of documents that links of similarity 0.8 or more over five-word shingles join, the one with the
     least id stays; of rows that share that id, the first by text. Documents without words stay."""
     found = jaccard.jaccard_components(docs, width=5, num=80, den=100)
-    info = found.groupBy("doc_id").agg(F.max((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).alias("_gone"))
-    met = docs.withColumn("_words", jaccard.has_words("text")).join(info.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    gone = F.max((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0))
+    info = cut(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("node")).agg(gone.alias("_gone"), F.count("*").alias("_n")).where("_gone OR _n > 1"))
+    # Rows of other ids stay where they are; only those that may go or repeat are shuffled.
+    some, rest = jaccard.split_by(docs, info, "doc_id")
+    met = some.withColumn("_words", jaccard.has_words("text")).join(info, F.col("doc_id") == F.col("node"), "left")
     first = Window.partitionBy("doc_id").orderBy(F.col("_words").desc(), F.xxhash64("text"), "text")
-    alone = F.col("doc_id").isNull() | ~F.col("_words") | (F.row_number().over(first) == 1)
-    kept = met.withColumn("_alone", alone).where("_alone AND (NOT _words OR NOT coalesce(_gone, false))")
-    return kept.select(*docs.columns)
+    kept = met.withColumn("_at", F.row_number().over(first)).where("NOT _words OR (_at = 1 AND NOT coalesce(_gone, false))")
+    return rest.select(*docs.columns).union(kept.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

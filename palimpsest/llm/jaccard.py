@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -169,7 +169,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     signed = all_.mapInPandas(sized, "doc_id long, named boolean, n_shingles long, x long, y long")
     signed = cut(signed.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named"))
     same = cut(signed.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node")))
-    links = cut(_links(rows, same.where("node IS NOT NULL").select("node").distinct(), t, width))
+    links = cut(_links(rows, cut(same.where("node IS NOT NULL").select("node").distinct()), t, width))
     # Equal sets, and rows of one document, are links too.
     held = signed.where("n_shingles > 0").join(same, ["n_shingles", "x", "y"]).select("doc_id", "node", "n_shingles")
     own = held.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -183,8 +183,12 @@ def _links(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataF
     sizes = [n for n in range(1, 64) if t.apart(2 * n + 1) > 0]
     least = sizes[0] if sizes else 64  # smaller sets link only with equal ones
 
+    # Most copies of equal sets are left out where they are read; the semi-join below drops the rest.
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(nodes))
+
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[in_filter(shared.value, batch["h"].to_numpy())]
             texts = batch["text"].tolist()
             for a, b in in_chunks(texts):
                 out = []
@@ -196,7 +200,7 @@ def _links(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataF
                     yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("node", "c", "key"), zip(*out, strict=True), strict=True)})
 
     # Lists with the same documents are one list, named by its members.
-    keys = rows.mapInPandas(keyed, "node long, c byte, key long")
+    keys = rows.withColumn("h", filter_place("doc_id")).mapInPandas(keyed, "node long, c byte, key long")
     own = Window.partitionBy("key")
     named = F.xxhash64(F.bit_xor(F.xxhash64("node")).over(own), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 31))).over(own), "c")
     lists = keys.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).withColumn("list", named)
@@ -247,31 +251,56 @@ def in_parts(s: np.ndarray) -> list[np.ndarray]:
 FILTER_BITS = 1 << 25
 
 
+def filter_place(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+
+def filter_of(wanted: DataFrame) -> bytes:
+    """A filter of fixed size over the column node: all of its ids pass, and a few others."""
+    size = 1 << 15
+    h = filter_place("node")
+    parts = wanted.groupBy(F.floor(h / size).alias("k")).agg(F.bitmap_construct_agg(h % size).alias("bits")).collect()  # FILTER_BITS at most
+    bits = bytearray(FILTER_BITS // 8)
+    for r in parts:
+        bits[r["k"] * size // 8 : r["k"] * size // 8 + len(r["bits"])] = r["bits"]
+    return bytes(bits)
+
+
+def in_filter(bits: bytes, at: np.ndarray) -> np.ndarray:
+    held = np.frombuffer(bits, dtype=np.uint8)
+    return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def split_by(rows: DataFrame, wanted: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """rows that may be in wanted (node), and rows that are surely not; null ids are in neither filter nor wanted."""
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(wanted))
+
+    @F.pandas_udf("boolean")
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for at in batches:
+            yield pd.Series(in_filter(shared.value, at.to_numpy()))
+
+    marked = rows.withColumn("_hit", F.col(id_col).isNotNull() & hit(filter_place(id_col)))
+    return marked.where("_hit").drop("_hit"), marked.where("NOT _hit").drop("_hit")
+
+
 def _of_nodes(rows: DataFrame, wanted: DataFrame, made: Callable, schema: str) -> DataFrame:
     """made(ids, texts) -> frame with `node`, over the rows whose doc_id is in wanted (node).
 
     Texts are not shuffled: where they are read, a filter of fixed size passes the wanted rows over
     to `made`, and some more; these are dropped by an exact semi-join of the results.
     """
-    h = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     wanted = cut(wanted.distinct())
-    size = 1 << 15
-    parts = wanted.groupBy(F.floor(h("node") / size).alias("k")).agg(F.bitmap_construct_agg(h("node") % size).alias("bits")).collect()  # FILTER_BITS at most
-    bits = bytearray(FILTER_BITS // 8)
-    for r in parts:
-        bits[r["k"] * size // 8 : r["k"] * size // 8 + len(r["bits"])] = r["bits"]
-    shared = rows.sparkSession.sparkContext.broadcast(bytes(bits))
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(wanted))
 
     def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
-            at = batch["h"].to_numpy()
-            batch = batch[(held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            batch = batch[in_filter(shared.value, batch["h"].to_numpy())]
             texts = batch["text"].tolist()
             for a, b in in_chunks(texts, 1 << 20):
                 yield made(batch["doc_id"].iloc[a:b].to_numpy(), texts[a:b])
 
-    return rows.withColumn("h", h("doc_id")).mapInPandas(passed, schema).join(wanted, "node", "left_semi")
+    return rows.withColumn("h", filter_place("doc_id")).mapInPandas(passed, schema).join(wanted, "node", "left_semi")
 
 
 def _marks(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataFrame:
