@@ -54,6 +54,19 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of whole texts that go to a Python worker at once.
+ROWS_A_BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to ROWS_A_BATCH rows: batches of whole texts stay small."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    now = int(conf.get(key))
+    if now <= 0 or now > ROWS_A_BATCH:
+        conf.set(key, ROWS_A_BATCH)
+    return df
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -80,7 +93,7 @@ def runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def in_chunks(texts: list, most_chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def in_chunks(texts: list, most_chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of bounded length in all, so that a batch's arrays stay small."""
     return runs([len(x) for x in texts], most_chars)
 

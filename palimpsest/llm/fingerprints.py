@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import n_partitions
+from palimpsest.llm.common import n_partitions, small_batches
 
 #: Mersenne prime 2^31 - 1: products of two residues fit in 64 bits.
 PRIME = np.uint64(2**31 - 1)
@@ -196,7 +196,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt, _ = with_next(rows, "doc_id", cells or 4 * n_partitions(spark))
     names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     kinds = (kind, T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType())

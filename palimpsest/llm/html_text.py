@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import small_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -192,7 +194,7 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     elements end with the page, stray ends are passed over. Pages are read where they are, one at
     a time, without a shuffle; repeated rows are read each.
     """
-    kept = pages.drop("text", "n_chars")
+    kept = small_batches(pages).drop("text", "n_chars")
 
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

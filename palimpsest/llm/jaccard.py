@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import WORD, cut, in_chunks
+from palimpsest.llm.common import WORD, cut, in_chunks, small_batches
 from palimpsest.llm.components import components
 from palimpsest.llm.words import Words
 
@@ -147,7 +147,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
     are one document: links of any of them count. A null id is never a component's name unless no
     other is in it. Only the two named columns are read.
     """
-    t = Threshold(num, den)
+    t, docs = Threshold(num, den), small_batches(docs)
     text = F.coalesce(text_col, F.lit("")).alias("text")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text)
     # A null in a batch would make its ids floating-point.

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import in_chunks
+from palimpsest.llm.common import in_chunks, small_batches
 from palimpsest.llm.words import Words, buckets
 
 UNKNOWN = "und"
@@ -263,7 +263,7 @@ def identify(docs: DataFrame, model: Model | None, *, penalty: float = PENALTY,
     word of a run. Ties go to the first language by name. Columns of these names are replaced.
     Whole texts are labelled where they are read, without a shuffle.
     """
-    kept = docs.drop("lang_pred", "score", "lang_spans")
+    kept = small_batches(docs).drop("lang_pred", "score", "lang_spans")
     kind = "struct<lang:string,score:double" + (f",spans:{SPANS}>" if with_spans else ">")
     if model is None:
         out = kept.withColumn("_is", F.lit(None).cast(kind))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import in_chunks, starts_of
+from palimpsest.llm.common import in_chunks, small_batches, starts_of
 
 #: White space that the look-ahead of the pattern treats apart.
 _DOUBLE = re.compile(r"\s\s")
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, *, longest: int = 1024, end_id: int = 0, id_col: str =
                         at += n
                 yield pd.DataFrame(rows, columns=schema.names)
 
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut_up, schema)
+    pieces = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut_up, schema)
     # The rows come from a scan or a written table, so partitions and ids agree when a task is retried.
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if keep_ids else []))
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import in_chunks
+from palimpsest.llm.common import in_chunks, small_batches
 from palimpsest.llm.words import Words, buckets
 
 CUT = 0.7
@@ -236,7 +236,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "tex
     Whole texts are scored where they are read, without a shuffle. Null and empty texts are scored
     as having no words. Without a model every score is 0.
     """
-    kept = docs.drop("score", "predicted")
+    kept = small_batches(docs).drop("score", "predicted")
     if model is None:
         return kept.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: see BITS
