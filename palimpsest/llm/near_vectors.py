@@ -2,8 +2,8 @@
 
 Vectors are dealt over shards by a hash of the id; each shard builds its graph, and every vector
 is a query to every shard. A beam is widened for a query that it cannot hold the links of, and for
-all queries of a batch until a sample of them, compared with every vector of the shard, has found
-its links. Cosines are verified in double precision, and components are united.
+all queries of a batch until each of a sample of them, compared with every vector of the shard, has
+found its links. Cosines are verified in double precision, and components are united.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ LINKS, LINKS_ABOVE, UP = 24, 12, 16
 BUILD_BEAM, BEAM, AT_ONCE, STEP = 64, 64, 512, 4
 #: Vectors per shard at most, on average; shards at least.
 SHARD, SHARDS = 50_000, 8
-#: Queries of a batch that an audit compares with the whole shard, and the recall that it asks for.
+#: Queries of a batch that an audit compares with the whole shard at least, and as many with links outside hot
+#: groups over the batches of a task; the recall that it asks for of every one.
 AUDITED, RECALL = 64, 0.99
 #: A wider beam than this costs more than comparing the whole shard, which is done instead.
 WIDEST = 256
@@ -175,12 +176,52 @@ class Graph:
         return best_of(sims, ids, beam)
 
 
-def links_of(g: Graph, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, node) pairs of cosine >= least as far as single precision tells, and the beam that passed the audit."""
+def audited(g: Graph, q: np.ndarray, least: float, own: np.ndarray, linked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Queries compared with the whole shard: which they are, their (query, node) pairs, whether rounding leaves a
+    pair a link in any case, and how many queries with links outside hot groups (fewer than BEAM, the query's own
+    node left out) have been compared by now, `linked` before.
+
+    Queries are drawn until AUDITED have been compared here and `linked` has come to AUDITED, or all are drawn.
+    """
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    rows, nodes, sure, done = [], [], [], 0
+    while done < len(q) and (done < AUDITED or linked < AUDITED):
+        at = order[done : done + AUDITED]
+        sims = q[at] @ g.x.T
+        r, c = np.nonzero(sims >= least)
+        n = np.bincount(r[c != own[at[r]]], minlength=len(at))
+        linked += int(((n > 0) & (n < BEAM)).sum())
+        rows.append(at[r].astype(np.int32))
+        nodes.append(c.astype(np.int32))
+        sure.append(sims[r, c] >= least + SLACK / 2)
+        done += len(at)
+    return order[:done], np.concatenate(rows), np.concatenate(nodes), np.concatenate(sure), linked
+
+
+def worst_recall(true: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray], n: int) -> float:
+    """The least share of its true pairs that any query has among the found ones; n: nodes of the shard. 1 without pairs."""
+    query, owner = np.unique(true[0], return_inverse=True)
+    if not len(query):
+        return 1.0
+    near = np.isin(found[0], query)
+    hit = np.isin(true[0].astype(np.int64) * n + true[1], found[0][near].astype(np.int64) * n + found[1][near])
+    return float((np.bincount(owner, weights=hit) / np.bincount(owner)).min())
+
+
+def links_of(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None, linked: int = 0) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(query, node) pairs of cosine >= least as far as single precision tells, the beam that passed the audit, and
+    how many queries with links outside hot groups audits have compared by now (before: `linked`).
+
+    own: of each query, the node that is the query itself (-1: none), which no audit counts. Every audited query is
+    judged by itself, so a hot group cannot hide what others miss.
+    """
     n, low = len(g.x), least - SLACK
-    audit = np.unique(np.linspace(0, len(q) - 1, AUDITED).astype(int))
-    true = [np.flatnonzero(row >= low) for row in q[audit] @ g.x.T]
-    wanted = sum(map(len, true))
+    own = np.full(len(q), -1) if own is None else own
+    drawn, row, node, sure, linked = audited(g, q, low, own, linked)
+    if len(drawn) == len(q):  # all of them have been compared
+        return row, node, beam, linked
+    asked = sure & (node != own[row])
+    true = row[asked], node[asked]
     while True:
         rows, nodes = [], []
         left, width = np.arange(len(q)), beam
@@ -198,11 +239,8 @@ def links_of(g: Graph, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[n
             nodes.append(ids[r, c])
             left, width = left[full], 2 * width
         row, node = np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(nodes) if nodes else np.zeros(0, int)
-        if beam > WIDEST or 2 * beam >= n:
-            return row, node, beam
-        found = np.isin(row, audit).sum()
-        if found >= RECALL * wanted:
-            return row, node, beam
+        if beam > WIDEST or 2 * beam >= n or worst_recall(true, (row, node), n) >= RECALL:
+            return row, node, beam, linked
         beam *= 2
 
 
@@ -250,12 +288,14 @@ class Shard:
             place = np.full(len(unit), -1, dtype=np.int32)
             place[nodes] = np.arange(len(nodes))
             levels.append((nodes, held[f"links{len(levels)}"], place))
-        self.graph, self.beam = Graph(unit, held["low"], levels), BEAM
+        self.graph, self.beam, self.linked = Graph(unit, held["low"], levels), BEAM, 0
 
     def answer(self, ids: np.ndarray, raw: np.ndarray, least: float) -> pd.DataFrame:
         """Rows (a, n, b): how many links a has here; and few links a - b that join what is linked."""
         norm = np.linalg.norm(raw, axis=1)
-        row, node, self.beam = links_of(self.graph, (raw / norm[:, None]).astype(np.float32), least, self.beam)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)  # ids are in order: see _built
+        own = np.where(self.ids[at] == ids, at, -1)
+        row, node, self.beam, self.linked = links_of(self.graph, (raw / norm[:, None]).astype(np.float32), least, self.beam, own, self.linked)
         keep = ids[row] != self.ids[node]
         row, node = row[keep], node[keep]
         real = np.concatenate([np.einsum("kd,kd->k", raw[row[a : a + 100_000]], self.raw[node[a : a + 100_000]]) for a in range(0, len(row), 100_000)]) if len(row) else np.zeros(0)
@@ -273,7 +313,8 @@ def near_vectors(rows: DataFrame, *, least: float = 0.9, shard_size: int = SHARD
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
     do vectors of different lengths and rows with a null id. Equal vectors are one node that counts
     as often as it stands. Rows that share an id are one vector with the links of all. Recall is
-    measured in every batch against the whole shard (AUDITED, RECALL); a beam as wide as half the
+    measured in every batch against the whole shard, query by query (AUDITED, RECALL); queries come in
+    the order of a hash, and all are compared until AUDITED with links outside hot groups were; a beam as wide as half the
     shard, or wider than WIDEST, is replaced by comparing all of it, so the audit always ends.
     """
     spark = rows.sparkSession
@@ -305,7 +346,7 @@ def near_vectors(rows: DataFrame, *, least: float = 0.9, shard_size: int = SHARD
                     continue  # no vector of this length in that shard
                 yield shard.answer(part["vec_id"].to_numpy(dtype=np.int64), np.stack(part["v"].to_numpy()).astype(np.float64), least)
 
-    dealt = first.union(asked).repartition(max(n_partitions(spark), n_shards * salts), "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", "kind")
+    dealt = first.union(asked).repartition(max(n_partitions(spark), n_shards * salts), "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", "kind", F.xxhash64("vec_id", F.lit(11)))
     answers = cut(dealt.mapInPandas(answered, "a long, n long, b long"))
     counts = answers.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
     met = held.where("fine").join(held.where("fine").groupBy("x", "y").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), ["x", "y"])

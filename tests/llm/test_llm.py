@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -344,6 +345,35 @@ def test_graph_recall():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids[:, :64], true, strict=True)]) > 0.9
 
 
+def test_hot_group_hides_no_missed_pairs():
+    """Pairs that the graph cannot reach, beside a group of half the vectors: the audit must widen for them."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.normal(size=24) + rng.normal(0, 0.01, (1500, 24)), np.repeat(rng.normal(size=(750, 24)), 2, axis=0) + rng.normal(0, 0.01, (1500, 24)))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rng.shuffle(x)
+    want = x @ x.T >= 0.9
+    small = want.sum(axis=1) < 1000
+    g = near_vectors.Graph.build(x)
+    g.low[small[np.maximum(g.low, 0)]] = -1
+    row, node = near_vectors.links_of(g, x, 0.9)[:2]
+    got = np.zeros_like(want)
+    got[row, node] = True
+    assert (got & want)[small].sum() == want[small].sum() and got[~small].sum() == want[~small].sum()
+
+
+def test_rare_links_are_compared_until_enough_were():
+    """A few pairs among many lone vectors, which no fixed number of draws would meet."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 24))
+    pairs = np.arange(100, 120)
+    x[pairs[1::2]] = x[pairs[::2]] + 0.001
+    rows = pd.DataFrame({"vec_id": np.arange(3000), "v": list(x), "copies": 1, "dim": 24, "shard": 0})
+    shard = near_vectors.Shard(near_vectors._built(rows)["graph"][0])
+    shard.graph.low[np.isin(shard.graph.low, pairs)] = -1
+    n = shard.answer(np.arange(3000), x, 0.9).groupby("a")["n"].sum()
+    assert n.reindex(pairs).eq(1).all()
+
+
 # 9 fingerprints
 
 
