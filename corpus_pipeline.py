@@ -11,7 +11,7 @@ from palimpsest.llm.common import cut, table
 
 #: SQL cannot express a trained classifier; the stages are tested against brute force.
 ORACLE_SQL = None
-#: A document whose main language holds a smaller share of its letters is rejected.
+#: A document in which no language holds this share of its letters is rejected.
 LEAST_SHARE = 0.3
 
 
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in which no language holds LEAST_SHARE of them, go; lang becomes what was found."""
     model = language.fit_languages(docs)
-    named = language.identify(docs, model, with_spans=False)
-    kept = named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    named = language.identify(docs, model, with_spans=False, with_largest=True)
+    kept = named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("largest_share") >= LEAST_SHARE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 

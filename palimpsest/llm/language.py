@@ -255,16 +255,18 @@ def fit_languages(docs: DataFrame, *, learn: Column | None = None, sample: int =
 SPANS = "array<struct<start:long,length:long,lang:string>>"
 
 
-def identify(docs: DataFrame, model: Model | None, *, penalty: float = PENALTY, text_col: str = "text", with_spans: bool = True) -> DataFrame:
-    """docs with lang_pred, score (share of the letters in that language, 0 to 1)[, lang_spans].
+def identify(docs: DataFrame, model: Model | None, *, penalty: float = PENALTY, text_col: str = "text", with_spans: bool = True, with_largest: bool = False) -> DataFrame:
+    """docs with lang_pred, score (share of the letters in that language, 0 to 1)[, lang_spans][, largest_share].
+
+    largest_share is that of the language with the most letters, which need not be lang_pred.
 
     A text that is null or has no letter is `und` with score 0, as is every text without a model.
     Spans give start and length in characters of the lower-cased text from the first to the last
     word of a run. Ties go to the first language by name. Columns of these names are replaced.
     Whole texts are labelled where they are read, without a shuffle.
     """
-    kept = small_batches(docs).drop("lang_pred", "score", "lang_spans")
-    kind = "struct<lang:string,score:double" + (f",spans:{SPANS}>" if with_spans else ">")
+    kept = small_batches(docs).drop("lang_pred", "score", "lang_spans", *(["largest_share"] if with_largest else []))
+    kind = "struct<lang:string,score:double,largest:double" + (f",spans:{SPANS}>" if with_spans else ">")
     if model is None:
         out = kept.withColumn("_is", F.lit(None).cast(kind))
     else:
@@ -275,12 +277,14 @@ def identify(docs: DataFrame, model: Model | None, *, penalty: float = PENALTY,
             for batch in batches:
                 texts = ["" if x is None else x for x in batch.tolist()]
                 parts = [named(own, texts[a:b], penalty, with_spans) for a, b in in_chunks(texts, MOST_CHARS)]
-                yield pd.concat(parts) if parts else pd.DataFrame({"lang": [], "score": []})
+                yield pd.concat(parts) if parts else pd.DataFrame({"lang": [], "score": [], "largest": []})
 
         out = kept.withColumn("_is", F.pandas_udf(labelled, kind)(F.coalesce(text_col, F.lit(""))))
     known = F.col(text_col).rlike(r"\p{L}") & F.col("_is.lang").isNotNull()
     out = out.withColumn("lang_pred", F.when(known, F.col("_is.lang")).otherwise(F.lit(UNKNOWN)))
     out = out.withColumn("score", F.when(known, F.col("_is.score")).otherwise(F.lit(0.0)))
+    if with_largest:
+        out = out.withColumn("largest_share", F.when(known, F.col("_is.largest")).otherwise(F.lit(0.0)))
     if with_spans:
         out = out.withColumn("lang_spans", F.when(known, F.col("_is.spans")).otherwise(F.array().cast(SPANS)))
     return out.drop("_is")
@@ -291,7 +295,7 @@ def named(model: Model, texts: list[str], penalty: float, with_spans: bool) -> p
     share, first = words.shares()
     row = np.arange(len(texts))
     main = np.where(share[row, first] >= model.opening, first, share.argmax(axis=1))
-    out = pd.DataFrame({"lang": np.array(model.names, dtype=object)[main], "score": share[row, main]})
+    out = pd.DataFrame({"lang": np.array(model.names, dtype=object)[main], "score": share[row, main], "largest": share.max(axis=1)})
     if with_spans:
         spans: list = [[] for _ in texts]
         owner = np.repeat(row, np.diff(words.first))

@@ -476,3 +476,16 @@ def test_pipeline_keeps_repeated_and_empty_rows_right(spark):
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], DOCS)
     got = sorted(((r["doc_id"], r["text"] == text) for r in p.drop_near_copies(spark, docs, DATA).collect()), key=str)
     assert got == sorted([(1, True), (3, False), (3, False), (4, False), (None, True), (5, False)], key=str)
+
+
+def test_pipeline_keeps_what_a_small_opening_names(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    model = language.fit_languages(table(spark, DATA, "documents"), sample=200)
+    model.opening = 0.05
+    monkeypatch.setattr(language, "fit_languages", lambda docs: model)
+    text = "Der die das und nicht mit schlich. " + "The house and that with from the water which they have been. " * 3
+    docs = spark.createDataFrame([(1, text, None, "s", 0), (2, "12 !?", "en", "s", 0), (3, None, "en", "s", 0)], DOCS)
+    named = language.identify(docs, model).where("doc_id = 1").first()
+    assert named["lang_pred"] == "de" and named["score"] < p.LEAST_SHARE
+    assert [(r["doc_id"], r["lang"]) for r in p.drop_unknown_language(spark, docs, DATA).collect()] == [(1, "de")]
