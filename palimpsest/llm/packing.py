@@ -9,6 +9,7 @@ length (`length` is the bucket) make rectangular batches: see batches().
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,10 +28,12 @@ _DOUBLE = re.compile(r"\s\s")
 
 
 class Ids:
-    """Token ids of texts with the 50k byte-level vocabulary; special tokens' strings are ordinary text.
+    """Token ids of texts with the 50k byte-level vocabulary.
 
     The ranks file holds the same vocabulary as byte_bpe_50k.json; tests compare both. Since a
     token never reaches over a space, the distinct words of a batch are encoded once, in one call.
+    of() takes added tokens' strings for ordinary text; whole() gives them their ids, as the
+    tokenizer of the json does.
     """
 
     def __init__(self, ranks_path: str | None = None) -> None:
@@ -45,6 +48,24 @@ class Ids:
         self.plain = make("plain", public.PATTERN.replace(r"|\s+(?!\S)", ""))
         self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)
         self.opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+        with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as held:
+            self.added = {x["content"]: x["id"] for x in json.load(held)["added_tokens"]}
+        #: The first that begins, of those the longest.
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts are parted at added tokens first, and what lies between is encoded by itself."""
+        if self.marks is None:
+            return self.of(texts)
+        parts = [self.marks.split(x) for x in texts]  # text, added token, text, ...
+        ids = iter(self.of([x for own in parts for x in own[::2]]))
+        out = []
+        for own in parts:
+            pieces = [next(ids)]
+            for mark in own[1::2]:
+                pieces += [np.array([self.added[mark]], dtype="<u4"), next(ids)]
+            out.append(np.concatenate(pieces) if len(pieces) > 1 else pieces[0])
+        return out
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -104,7 +125,7 @@ def pack(docs: DataFrame, *, longest: int = 1024, end_id: int = 0, id_col: str =
             texts = ["" if x is None else x for x in batch["text"].tolist()]
             for a, b in in_chunks(texts, 1 << 22):
                 rows = []
-                for key, ids in zip(keys[a:b], encoder.of(texts[a:b]), strict=True):
+                for key, ids in zip(keys[a:b], encoder.whole(texts[a:b]), strict=True):
                     ids = np.concatenate((ids, end))
                     at = 0
                     for n in lengths_of(len(ids), longest):

@@ -51,6 +51,20 @@ def test_ids_are_those_of_the_tokenizer(spark):
         assert mine.tolist() == theirs.ids
 
 
+def test_packed_ids_are_those_of_the_tokenizer_as_loaded(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = ["", e, e + e, f"a{e}b c", f"one  {e}  two ", f" {e}", f"{e}\n\n", f"é {e}日本 {e} x y", "<|endoftext|", f"<{e}>", "plain words here"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().sort_values(["doc_id", "start"])
+    for k, text in enumerate(texts):
+        own = got[got["doc_id"] == k]
+        want = [*t.encode(text, add_special_tokens=False).ids, 0]
+        assert np.concatenate(own["ids"].tolist()).tolist() == want and set(own["doc_tokens"]) == {len(want)}
+
+
 @given(st.integers(1, 100_000), st.sampled_from([1, 64, 1024]))
 def test_binary_lengths(total, longest):
     parts = packing.lengths_of(total, longest)
