@@ -5,9 +5,14 @@ fragments. Two sets that link differ in few shingles, so with more fragments tha
 least holds the same shingles in both: equal fragments name the candidates. The overlap of a
 candidate pair is counted fragment by fragment and summed per pair.
 
+There are more fragments than linked sets can differ in, so a set leaves out its most frequent
+ones: linked sets still meet in the rarest that they share. Fragments that no two sets share, and
+those of passages that many documents hold, thus make no lists.
+
 Only components are asked for, so a group of n near copies never becomes n * n pairs: each list
-of documents with an equal fragment first tries all of them against one (star); pairs are then
-tried only where a list still holds several components, behind an exact bound on the overlap.
+of documents with an equal fragment first tries all of them against the one that is in most lists
+(star); pairs are then tried only where a list still holds several components, behind an exact
+bound on the overlap.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ from palimpsest.llm.words import Words
 
 #: Sizes that differ by this factor stand in the next class; a class has one cut of the order.
 CLASS_RATIO = 1.5
-#: Fragments beyond the number that can differ; a set with more empty ones goes another way.
-SPARE = 2
+#: Fragments beyond the number that can differ: so many, and one for every SPARE_OF of that number.
+SPARE, SPARE_OF = 3, 4
 #: Fragments of the order in which overlaps are counted.
 PARTS = 16
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -86,9 +91,14 @@ def classes_of(n: int, t: Threshold) -> list[int]:
     return [c, c - 1] if c and t.den * (first_size(c) - 1) >= t.num * n else [c]
 
 
+def most_apart(n: int, t: Threshold) -> int:
+    """Shingles that a set of size n and any that links with it can differ in."""
+    return t.apart(n + n * t.den // t.num)
+
+
 def fragments_of(c: int, t: Threshold) -> int:
-    most = first_size(c + 1) - 1
-    return t.apart(most + most * t.den // t.num) + 1 + SPARE
+    d = most_apart(first_size(c + 1) - 1, t)
+    return d + 1 + SPARE + d // SPARE_OF
 
 
 def cut_order(s: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,20 +110,21 @@ def cut_order(s: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(ends, prepend=0), np.diff(sums, prepend=np.uint64(0))
 
 
-def keys_of(s: np.ndarray, c: int, t: Threshold) -> np.ndarray:
-    """Names of the fragments of a set in class c; of its prefix too if many are empty.
+def keys_of(s: np.ndarray, c: int, t: Threshold) -> tuple[np.ndarray, int]:
+    """Names of the fragments of a set in class c that hold anything, and how many of them it may leave out.
 
-    If two linked sets have no equal fragment with anything in it, more than SPARE are empty in
-    both; these meet by a shingle of their prefixes (prefix filter on the same order).
+    A set that links differs in most_apart() fragments at most, so the rarest that both hold, in any
+    one order, is among the rarest most_apart() + 1 of each. If neither of two linked sets holds so
+    many, they meet by a shingle of their prefixes (prefix filter on the same order).
     """
-    n = fragments_of(c, t)
-    count, sums = cut_order(s, n)
+    count, sums = cut_order(s, fragments_of(c, t))
     held = np.flatnonzero(count)
     names = _stir(sums[held] * _MIX1 + np.uint64(c * int(_MIX2) % 2**64) + held.astype(np.uint64) * _MIX3)
-    if n - len(held) > SPARE:
+    spare = len(held) - most_apart(len(s), t) - 1
+    if spare < 0:
         prefix = s[: len(s) - -(-t.num * len(s) // t.den) + 1]
         names = np.concatenate((names, _stir(prefix * _MIX3 + np.uint64((c * int(_MIX1) + 1) % 2**64))))
-    return names.view(np.int64)
+    return names.view(np.int64), max(0, spare)
 
 
 def marks_of(s: np.ndarray, c: int, t: Threshold) -> np.ndarray:
@@ -180,40 +191,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
 
 def _links(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataFrame:
     """Links (a, b) between nodes: enough of them that components are whole, and none that is not one."""
-    sizes = [n for n in range(1, 64) if t.apart(2 * n + 1) > 0]
-    least = sizes[0] if sizes else 64  # smaller sets link only with equal ones
-
-    # Most copies of equal sets are left out where they are read; the semi-join below drops the rest.
-    shared = rows.sparkSession.sparkContext.broadcast(filter_of(nodes))
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[in_filter(shared.value, batch["h"].to_numpy())]
-            texts = batch["text"].tolist()
-            for a, b in in_chunks(texts):
-                out = []
-                for node, s in zip(batch["doc_id"].iloc[a:b], shingle_sets(texts[a:b], width), strict=True):
-                    for c in classes_of(len(s), t) if len(s) >= least else ():
-                        k = keys_of(s, c, t)
-                        out.append((np.full(len(k), node), np.full(len(k), c), k))
-                if out:
-                    yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("node", "c", "key"), zip(*out, strict=True), strict=True)})
-
-    # Lists with the same documents are one list, named by its members.
-    keys = rows.withColumn("h", filter_place("doc_id")).mapInPandas(keyed, "node long, c byte, key long")
-    own = Window.partitionBy("key")
-    named = F.xxhash64(F.bit_xor(F.xxhash64("node")).over(own), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 31))).over(own), "c")
-    lists = keys.withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own)).withColumn("list", named)
-    lists = lists.where("low <> high").select("list", "c", "node").distinct()
-    # Of equal sets only the node stays, and it has the least id.
-    own = Window.partitionBy("list")
-    lists = lists.join(nodes, "node", "left_semi").withColumn("hub", F.min("node").over(own)).withColumn("high", F.max("node").over(own))
-    lists = cut(lists.where("hub <> high").drop("high"))
+    lists = _lists(rows, nodes, t, width)
     marks = cut(_marks(rows, lists.select("node").distinct(), t, width))
 
     # Each document against one hub first, then against the hubs that are not yet with it.
-    star = lists.where("node <> hub").select("c", F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    one = star.groupBy("b").agg(F.min_by(F.struct("c", "a"), "a").alias("s")).select("s.c", "s.a", "b")
+    star = lists.where("node <> hub").select("c", F.col("hub").alias("a"), "degree", F.col("node").alias("b")).distinct()
+    one = star.groupBy("b").agg(F.max_by(F.struct("c", "a"), F.struct("degree", "a")).alias("s")).select("s.c", "s.a", "b")
     links = cut(_verified(rows, _bounded(one, marks, t), t, width))
     comp = cut(components(links))
     more = _apart_still(star, comp).where("comp_a <> comp_b").select("c", "a", "b")
@@ -230,6 +213,48 @@ def _links(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataF
     return links.union(_verified(rows, rest, t, width))
 
 
+def _lists(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataFrame:
+    """Lists of nodes with an equal fragment: list, c, node, hub (the member with most in common with others), its degree.
+
+    Any two nodes that link are together in a list. Keys are counted before they meet, so no key is
+    gathered in one task; lists with the same members are one, named by its members.
+    """
+    sizes = [n for n in range(1, 64) if t.apart(2 * n + 1) > 0]
+    least = sizes[0] if sizes else 64  # smaller sets link only with equal ones
+
+    # Most copies of equal sets are left out where they are read; the semi-join below drops the rest.
+    shared = rows.sparkSession.sparkContext.broadcast(filter_of(nodes))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[in_filter(shared.value, batch["h"].to_numpy())]
+            texts = batch["text"].tolist()
+            for a, b in in_chunks(texts):
+                out = []
+                for node, s in zip(batch["doc_id"].iloc[a:b], shingle_sets(texts[a:b], width), strict=True):
+                    for c in classes_of(len(s), t) if len(s) >= least else ():
+                        k, spare = keys_of(s, c, t)
+                        out.append((np.full(len(k), node), np.full(len(k), spare << 6 | c, dtype=np.int32), k))
+                if out:
+                    yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("node", "kind", "key"), zip(*out, strict=True), strict=True)})
+
+    keys = cut(rows.withColumn("h", filter_place("doc_id", shared.value)).mapInPandas(keyed, "node long, kind int, key long"))
+    often = keys.groupBy("key").agg(F.count("*").alias("often"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "often")
+    # The most frequent go, as many as the set may leave out.
+    own = Window.partitionBy("node", "kind").orderBy(F.desc("often"), F.desc("key"))
+    rare = keys.join(often, "key").withColumn("at", F.row_number().over(own)).where(F.col("at") > F.shiftright("kind", 6))
+    # Of equal sets only the node stays, and it has the least id.
+    rare = cut(rare.join(nodes, "node", "left_semi").select("key", "often", F.col("kind").bitwiseAND(63).cast("byte").alias("c"), "node"))
+    degrees = rare.groupBy("node").agg(F.sum("often").alias("degree"))
+    rare = cut(rare.join(degrees, "node"))
+    named = F.xxhash64(F.bit_xor(F.xxhash64("node")), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 31))), F.first("c"))
+    most = F.max(F.struct("degree", (-F.col("node")).alias("minus")))
+    found = rare.groupBy("key").agg(named.alias("list"), F.min("node").alias("low"), F.max("node").alias("high"), most.alias("most")).where("low <> high")
+    found = found.select("key", "list", (-F.col("most.minus")).alias("hub"), F.col("most.degree").alias("top"))
+    met = rare.select("key", "c", "node").join(found, "key")
+    return cut(met.groupBy("list", "node").agg(F.first("c").alias("c"), F.max("hub").alias("hub"), F.max("top").alias("degree")))
+
+
 def _apart_still(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """pairs with the components of both ends."""
     for end in ("a", "b"):
@@ -247,20 +272,25 @@ def in_parts(s: np.ndarray) -> list[np.ndarray]:
     return [x.view(np.int64) for x in np.split(s, at)]
 
 
-#: Bits of the filter below: its size is fixed, so it may be sent to every task.
-FILTER_BITS = 1 << 25
+#: Bits of the filter below for each id, and bits of any filter at least and at most: bounded, so it may be sent to every task.
+BITS_AN_ID, LEAST_BITS, MOST_BITS = 12, 1 << 20, 1 << 28
 
 
-def filter_place(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+def filter_place(c: str, bits: bytes) -> Column:
+    """Where a filter (see filter_of) holds the id."""
+    return F.pmod(F.xxhash64(c), F.lit(8 * len(bits)))
 
 
 def filter_of(wanted: DataFrame) -> bytes:
-    """A filter of fixed size over the column node: all of its ids pass, and a few others."""
+    """A filter over the column node: all of its ids pass, and a few others; the more, the further their number is over MOST_BITS / BITS_AN_ID."""
+    n_bits = LEAST_BITS
+    wish = BITS_AN_ID * wanted.count()
+    while n_bits < min(wish, MOST_BITS):
+        n_bits *= 2
     size = 1 << 15
-    h = filter_place("node")
-    parts = wanted.groupBy(F.floor(h / size).alias("k")).agg(F.bitmap_construct_agg(h % size).alias("bits")).collect()  # FILTER_BITS at most
-    bits = bytearray(FILTER_BITS // 8)
+    h = F.pmod(F.xxhash64("node"), F.lit(n_bits))
+    parts = wanted.groupBy(F.floor(h / size).alias("k")).agg(F.bitmap_construct_agg(h % size).alias("bits")).collect()  # MOST_BITS at most
+    bits = bytearray(n_bits // 8)
     for r in parts:
         bits[r["k"] * size // 8 : r["k"] * size // 8 + len(r["bits"])] = r["bits"]
     return bytes(bits)
@@ -280,14 +310,14 @@ def split_by(rows: DataFrame, wanted: DataFrame, id_col: str) -> tuple[DataFrame
         for at in batches:
             yield pd.Series(in_filter(shared.value, at.to_numpy()))
 
-    marked = rows.withColumn("_hit", F.col(id_col).isNotNull() & hit(filter_place(id_col)))
+    marked = rows.withColumn("_hit", F.col(id_col).isNotNull() & hit(filter_place(id_col, shared.value)))
     return marked.where("_hit").drop("_hit"), marked.where("NOT _hit").drop("_hit")
 
 
 def _of_nodes(rows: DataFrame, wanted: DataFrame, made: Callable, schema: str) -> DataFrame:
     """made(ids, texts) -> frame with `node`, over the rows whose doc_id is in wanted (node).
 
-    Texts are not shuffled: where they are read, a filter of fixed size passes the wanted rows over
+    Texts are not shuffled: where they are read, a filter of bounded size passes the wanted rows over
     to `made`, and some more; these are dropped by an exact semi-join of the results.
     """
     wanted = cut(wanted.distinct())
@@ -300,7 +330,7 @@ def _of_nodes(rows: DataFrame, wanted: DataFrame, made: Callable, schema: str) -
             for a, b in in_chunks(texts, 1 << 20):
                 yield made(batch["doc_id"].iloc[a:b].to_numpy(), texts[a:b])
 
-    return rows.withColumn("h", filter_place("doc_id")).mapInPandas(passed, schema).join(wanted, "node", "left_semi")
+    return rows.withColumn("h", filter_place("doc_id", shared.value)).mapInPandas(passed, schema).join(wanted, "node", "left_semi")
 
 
 def _marks(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataFrame:
@@ -314,30 +344,37 @@ def _marks(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataF
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, n, and its shingles by part of the order."""
+    """node, n, x (of which text the set is, where rows share an id), and its shingles by part of the order."""
 
     def made(ids: np.ndarray, texts: list[str]) -> pd.DataFrame:
         sets = shingle_sets(texts, width)
-        return pd.DataFrame({"node": ids, "n": [len(s) for s in sets], "parts": [in_parts(s) for s in sets]})
+        x = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"node": ids, "n": [len(s) for s in sets], "x": x, "parts": [in_parts(s) for s in sets]})
 
-    return _of_nodes(rows, nodes, made, "node long, n int, parts array<array<long>>")
+    return _of_nodes(rows, nodes, made, "node long, n int, x long, parts array<array<long>>")
 
 
 def _bounded(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
     """Pairs (c, a, b) whose sizes and marks leave room for a link."""
     a = marks.select("c", F.col("node").alias("a"), F.col("n").alias("na"), F.col("marks").alias("ma"))
     b = marks.select("c", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("mb"))
-    met = pairs.join(a, ["c", "a"]).join(b, ["c", "b"])
+    met = pairs.join(b, ["c", "b"]).join(a, ["c", "a"])  # many pairs may share a: it comes last, where large partitions are split
     return met.where((t.den * F.least("na", "nb") >= t.num * F.greatest("na", "nb")) & (differing("ma", "mb") <= _apart(F.col("na") + F.col("nb"), t))).select("a", "b").distinct()
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, t: Threshold, width: int) -> DataFrame:
-    """Pairs that link: partial overlaps are counted per fragment of the order and summed per pair."""
+    """Pairs that link: partial overlaps are counted per fragment of the order and summed per pair.
+
+    Repeated rows of an id make every fragment count as often, so sums are divided by that; texts
+    that share an id are counted each by itself.
+    """
     pairs = cut(pairs)
     sets = cut(_sets(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), width))
-    whole = sets.select("node", "n", F.posexplode("parts").alias("part", "tokens"))
-    a = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("tokens").alias("ta"))
-    b = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("tokens").alias("tb"))
-    both = pairs.join(a, "a").join(b, ["b", "part"])
-    counted = both.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("ta", "tb"))).alias("common"))
+    whole = sets.select("node", "n", "x", F.posexplode("parts").alias("part", "tokens"))
+    a = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"), "part", F.col("tokens").alias("ta"))
+    b = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"), "part", F.col("tokens").alias("tb"))
+    # The hub of many pairs is a: its side comes last, where large partitions are split.
+    both = pairs.join(b, "b").join(a, ["a", "part"])
+    times = F.count("*") / PARTS
+    counted = both.groupBy("a", "b", "na", "nb", "xa", "xb").agg((F.sum(F.size(F.array_intersect("ta", "tb"))) / times).alias("common"))
     return counted.where(t.den * F.col("common") >= t.num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct()
