@@ -2,8 +2,8 @@
 
 Each document's token ids (closed by an end id) are cut into pieces of binary length: as many of
 the longest allowed length as fit, then one piece per set bit of what is left, longest first.
-A sequence is one piece, so it never crosses documents, needs no padding, and pieces of equal
-length (`length` is the bucket) make rectangular batches: see batches().
+A sequence is one piece, so it never crosses documents and needs no padding. Pieces are put into
+buckets of equal length, and a bucket is dealt out as rectangular batches.
 """
 
 from __future__ import annotations
@@ -12,17 +12,20 @@ import base64
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from palimpsest.llm.common import in_chunks, small_batches, starts_of
 
+#: Ids of a batch of pieces of one length.
+BATCH_TOKENS = 1 << 16
 #: White space that the look-ahead of the pattern treats apart.
 _DOUBLE = re.compile(r"\s\s")
 
@@ -101,8 +104,25 @@ def lengths_of(total: int, longest: int) -> list[int]:
     return [longest] * (total // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, *, longest: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, keep_ids: bool = True) -> DataFrame:
-    """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
+class Buckets:
+    """Deals pieces of equal length into batches; the number of a batch tells its partition, its bucket and its place there."""
+
+    def __init__(self, partition: int, batch_tokens: int) -> None:
+        self.partition, self.batch_tokens, self.held = partition, batch_tokens, Counter()
+
+    def batch_of(self, length: int) -> int:
+        bucket = length.bit_length() - 1
+        place = self.held[bucket] // max(1, self.batch_tokens // length)
+        self.held[bucket] += 1
+        return self.partition << 40 | bucket << 34 | place
+
+
+def pack(docs: DataFrame, *, longest: int = 1024, end_id: int = 0, batch_tokens: int = BATCH_TOKENS, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, keep_ids: bool = True) -> DataFrame:
+    """One row per piece: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset, batch_id[, ids].
+
+    Pieces with one batch_id have one length and hold batch_tokens ids together (at least one piece).
+    Buckets are filled where rows are read, so no bucket meets in one task; only the last batch of
+    each bucket of a partition may be short.
 
     Null and empty texts give one piece that holds the end id. A row that stands twice is packed
     twice. Only the two named columns are read; ids may be null or repeat. No shuffle: pieces are
@@ -113,12 +133,12 @@ def pack(docs: DataFrame, *, longest: int = 1024, end_id: int = 0, id_col: str =
     kind = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-        T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()),
+        T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("batch_id", T.LongType()),
         *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []),
     ])
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Ids(ranks_path)
+        encoder, buckets = Ids(ranks_path), Buckets(TaskContext.get().partitionId(), batch_tokens)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             keys = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
@@ -130,29 +150,10 @@ def pack(docs: DataFrame, *, longest: int = 1024, end_id: int = 0, id_col: str =
                     at = 0
                     for n in lengths_of(len(ids), longest):
                         piece = ids[at : at + n]
-                        rows.append((key, at, n, zlib.crc32(piece), len(ids), *([piece.astype("i4")] if keep_ids else [])))
+                        rows.append((key, at, n, zlib.crc32(piece), len(ids), buckets.batch_of(n), *([piece.astype("i4")] if keep_ids else [])))
                         at += n
                 yield pd.DataFrame(rows, columns=schema.names)
 
     pieces = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut_up, schema)
     # The rows come from a scan or a written table, so partitions and ids agree when a task is retried.
-    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if keep_ids else []))
-
-
-def batches(pieces: DataFrame, *, batch_tokens: int, seed: int = 0, slices: int = 64) -> DataFrame:
-    """Add batch_id: full batches hold batch_tokens ids of pieces of one length, in seeded order.
-
-    Each length bucket is dealt over `slices` by a hash, and batches are filled within a slice, so
-    no bucket lands in one task; a slice's last batch may be short. batch_id is a string
-    (length/slice/number). Null ids are allowed; equal rows stay apart.
-    """
-    mixed: Column = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32")
-    place = Window.partitionBy("length", "_slice").orderBy("_mixed", "doc_id", "start", "sequence_id")
-    per = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("length")))
-    return (
-        pieces.withColumn("_mixed", mixed)
-        .withColumn("_slice", F.pmod(F.col("_mixed"), F.lit(slices)))
-        .withColumn("_at", F.row_number().over(place) - 1)
-        .withColumn("batch_id", F.concat_ws("/", F.col("length"), F.col("_slice"), F.floor(F.col("_at") / per)))
-        .drop("_mixed", "_slice", "_at")
-    )
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "batch_id", *(["ids"] if keep_ids else []))
