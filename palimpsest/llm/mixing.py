@@ -37,20 +37,62 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+#: Words that the dynamic program may fill at most: bounds its memory and time.
+WIDEST = 1 << 22
+
+
+def fill(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
+    """Of each length at most `free`, with the largest sum up to budget: the bounded knapsack by dynamic programming.
+
+    Binary splitting of the counts keeps the steps few. For every sum the step that first made it
+    is kept; the step before it was made by earlier ones, so the way back needs no more.
+    """
+    take = np.zeros(len(lengths), dtype=np.int64)
+    reach = np.zeros(budget + 1, dtype=bool)
+    by = np.zeros(budget + 1, dtype=np.int32)
+    reach[0] = True
+    steps: list[tuple[int, int]] = []
+    for i in np.argsort(lengths, kind="stable")[::-1]:
+        size = int(lengths[i])
+        if size <= 0 or size > budget:
+            continue
+        left, part = min(int(free[i]), budget // size), 1
+        while left > 0 and not reach[budget]:
+            part = min(part, left)
+            new = np.flatnonzero(reach[: budget + 1 - part * size] & ~reach[part * size :]) + part * size
+            reach[new] = True
+            by[new] = len(steps)
+            steps.append((int(i), part))
+            left -= part
+            part *= 2
+        if reach[budget]:
+            break
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        i, part = steps[by[at]]
+        take[i] += part
+        at -= part * int(lengths[i])
+    return take
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, widest: int = WIDEST) -> np.ndarray:
     """How many of each length (at most counts) so that the sum comes closest to budget from below.
 
     The proportional share of every length is taken first; then lengths in order of their largest
-    fractional share, one each, until the rest is small; the dynamic program fills the rest. Its
-    states are the bits of an integer: bit s is set if s words can be made. Binary splitting of
-    the counts keeps the steps few, and it ends as soon as the whole rest can be made.
+    fractional share, one each, until the rest is small; the dynamic program fills the rest. If it
+    cannot fill it to the word, ever more of the shares is given back to it, in the end all: the
+    sum is then the best there is. Only a rest of over `widest` words (in units of the common
+    divisor of the lengths) is not widened; the best sum that was found counts.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
+    lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return take
     if budget >= total:
-        return counts.astype(np.int64)
+        return counts
+    unit = int(np.gcd.reduce(lengths[(lengths > 0) & (counts > 0)]))
+    lengths, budget, total = lengths // unit, budget // unit, total // unit
     share = counts * (budget / total)
     take = np.minimum(np.floor(share).astype(np.int64), counts)
     rest = budget - int((take * lengths).sum())
@@ -65,31 +107,21 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         i = int(np.argmax(np.where(take > 0, lengths, 0)))
         take[i] -= 1
         rest += int(lengths[i])
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for i in np.argsort(lengths, kind="stable")[::-1]:
-        free, size = int(counts[i] - take[i]), int(lengths[i])
-        if size <= 0 or size > rest:
-            continue
-        free, part = min(free, rest // size), 1
-        while free > 0:
-            part = min(part, free)
-            new = reach | (reach << (part * size)) & mask
-            if new != reach:
-                steps.append((int(i), part, reach))
-                reach = new
-            free -= part
-            part *= 2
-        if reach >> rest & 1:
-            break
-    at = reach.bit_length() - 1
-    for i, part, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += part
-            at -= part * int(lengths[i])
-    return take
-
-
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 0, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slices: int = 64) -> DataFrame:
+    best, short = take, rest
+    while True:
+        now = take + fill(lengths, counts - take, rest)
+        left = budget - int((now * lengths).sum())
+        if left < short:
+            best, short = now, left
+        held = budget - rest
+        if not short or not held or rest > widest:
+            return best
+        wish = min(held, 4 * max(rest, int(lengths.max())))
+        take = np.floor(take * (1 - wish / held)).astype(np.int64)
+        rest = budget - int((take * lengths).sum())
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 0, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slice_rows: int = 1 << 18) -> DataFrame:
     """Every row of docs with size, source_size, target, copies (0..ceil(most)) and taken = copies * size.
 
     Sources in order of code points, null last and a source of its own, weigh `weights`, repeating;
@@ -99,16 +131,18 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float =
     taken is fixed. Columns of docs with the names above are replaced.
 
     Sent to the driver: one row per source. A plan is made per source from one row per distinct
-    length. Documents are ranked within (source, length, slice of a hash), so a length that a
-    third of all documents have spreads over `slices` groups.
+    length. Documents are ranked within (source, length, slice of a hash); there are so many
+    slices that the most frequent length has about `slice_rows` documents in each. A null or
+    negative size counts as 0.
     """
     spark = docs.sparkSession
     names = ("size", "source_size", "target", "copies", "taken")
     kept = docs.drop(*names)
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    sized = cut(kept.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), (n_words(F.col(text_col)) if size is None else size).alias("_size"), hashed.alias("_hash"),
-    ).withColumn("_slice", F.pmod("_hash", F.lit(slices)).cast("int")))
+    words = n_words(F.col(text_col)) if size is None else F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))
+    sized = cut(kept.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words.alias("_size"), hashed.alias("_hash")))
+    largest = sized.groupBy("_source", "_size").count().agg(F.max("count")).first()[0] or 0
+    sized = sized.withColumn("_slice", F.pmod("_hash", F.lit(max(64, -(-largest // slice_rows)))).cast("int"))
     grain = cut(sized.groupBy("_source", "_size", "_slice").agg(F.count("*").alias("_n")))
     totals = sorted(((r[0], int(r[1] or 0)) for r in grain.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n"))).collect()), key=lambda x: (x[0] is None, x[0] or ""))
     goals = targets([n for _, n in totals], [weights[i % len(weights)] for i in range(len(totals))], most)
