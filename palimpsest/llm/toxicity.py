@@ -27,7 +27,7 @@ PREFIXES = (0, 4, 5, 6)
 SLOTS = [(w, j) for w in WIDTHS for j in range(w)]
 PAD = 1 << BITS  # the row of zeros behind every text
 #: Labelled rows of each class that training reads at most.
-SAMPLE = 1000
+SAMPLE = 1200
 #: Characters of training text that are turned into features together.
 TRAIN_CHARS = 1 << 18
 
@@ -49,16 +49,24 @@ def responses(table: np.ndarray, idx: np.ndarray) -> np.ndarray:
     each = table[idx[:, 0]]
     for k in range(1, idx.shape[1]):
         each += table[idx[:, k]]
-    out = np.zeros((len(idx), len(WIDTHS) * FILTERS), dtype=np.float32)
+    out = np.zeros((len(idx), len(WIDTHS) * FILTERS), dtype=table.dtype)
     for s, (w, j) in enumerate(SLOTS):
         k = WIDTHS.index(w)
         out[: len(idx) - j, k * FILTERS : (k + 1) * FILTERS] += each[j:, s * FILTERS : (s + 1) * FILTERS]
     return out
 
 
+def pads(first: np.ndarray, n: int) -> np.ndarray:
+    """The rows behind the words of each text."""
+    ends = np.append(first[1:], n)
+    return np.concatenate([ends - k for k in range(1, max(WIDTHS))])
+
+
 def pooled(table: np.ndarray, bias: np.ndarray, idx: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The TOP largest responses [texts, TOP * filters], not below 0, and their words."""
-    r = responses(table, idx) + bias
+    r = responses(table, idx)
+    r[pads(first, len(idx))] = 0  # what stands behind the pads is another text
+    r += bias
     owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(idx))))
     values, places = [], []
     for _ in range(TOP):
@@ -101,6 +109,39 @@ def _language_table(idx: list[np.ndarray], langs: list, names: list) -> np.ndarr
     return out.astype(np.float32)
 
 
+#: Weight of the squared weights in the loss, halved.
+DECAY = 1e-4
+
+
+def gradients(emb: np.ndarray, filt: np.ndarray, bias: np.ndarray, weights: np.ndarray, offset: float, idx: np.ndarray, first: np.ndarray, y: np.ndarray, weight_of: np.ndarray) -> tuple:
+    """Of the weighed mean log loss of a batch: the buckets used, and by their embeddings, filters, biases, weights, offset."""
+    columns = np.arange(len(bias))
+    used, local = np.unique(idx, return_inverse=True)
+    local = local.reshape(idx.shape)
+    pool, place = pooled((emb[used] @ filt).astype(emb.dtype), bias, local, first)
+    p = 1 / (1 + np.exp(-np.clip(pool @ weights + offset, -30, 30)))
+    err = ((p - y) * weight_of / len(y)).astype(emb.dtype)
+    g_pool = err[:, None] * weights * (pool > 0)
+    g_w = pool.T @ err + DECAY * weights
+    g_bias, g_filt, g_emb = np.zeros_like(bias), np.zeros_like(filt), np.zeros((len(used), emb.shape[1]), emb.dtype)
+    is_pad = np.zeros(len(idx), dtype=bool)
+    is_pad[pads(first, len(idx))] = True
+    for t in range(TOP):
+        g, where = g_pool[:, t * len(bias) : (t + 1) * len(bias)], place[:, t * len(bias) : (t + 1) * len(bias)]
+        g_bias += g.sum(axis=0)
+        g = np.where(is_pad[where], 0, g)
+        for s, (w, j) in enumerate(SLOTS):
+            k = WIDTHS.index(w)
+            cols = columns[k * FILTERS : (k + 1) * FILTERS]
+            rows = np.minimum(where[:, cols] + j, len(idx) - 1)
+            gs, fs = g[:, cols], slice(s * FILTERS, (s + 1) * FILTERS)
+            for f in range(idx.shape[1]):
+                b = local[rows, f]
+                g_filt[:, fs] += np.einsum("tk,tkd->dk", gs, emb[used[b]])
+                np.add.at(g_emb, b.ravel(), (gs[:, :, None] * filt[:, fs].T[None]).reshape(-1, emb.shape[1]))
+    return used, g_emb, g_filt, g_bias, g_w, float(err.sum())
+
+
 def train(texts: list[str], toxic: np.ndarray, langs: list, *, epochs: int = 4, rate: float = 0.05, batch: int = 64, seed: int = 7) -> Model:
     """Fit on four of five texts, calibrate on the rest. Texts in a fixed order give a fixed model."""
     rng = np.random.default_rng(seed)
@@ -129,7 +170,6 @@ def train(texts: list[str], toxic: np.ndarray, langs: list, *, epochs: int = 4,
     offset = -1.0
     sq = [np.full_like(x, 1e-6) for x in (filt, bias, weights)]
     sq_emb, sq_off = np.full(PAD + 1, 1e-6, np.float32), 1e-6
-    columns = np.arange(len(bias))
     # Classes weigh alike.
     weight_of = np.where(y == 1, 0.5 / max(1, (y[fit_on] == 1).sum()), 0.5 / max(1, (y[fit_on] == 0).sum())) * len(fit_on)
     for epoch in range(epochs):
@@ -139,31 +179,12 @@ def train(texts: list[str], toxic: np.ndarray, langs: list, *, epochs: int = 4,
             own = order[at : at + batch]
             idx = np.concatenate([parts[i] for i in own])
             first = np.concatenate(([0], np.cumsum([len(parts[i]) for i in own])))[:-1]
-            used, local = np.unique(idx, return_inverse=True)
-            local = local.reshape(idx.shape)
-            pool, place = pooled((emb[used] @ filt).astype(np.float32), bias, local, first)
-            p = 1 / (1 + np.exp(-np.clip(pool @ weights + offset, -30, 30)))
-            err = ((p - y[own]) * weight_of[own] / len(own)).astype(np.float32)
-            g_pool = err[:, None] * weights * (pool > 0)
-            g_w = pool.T @ err + 1e-4 * weights
-            g_bias, g_filt, g_emb = np.zeros_like(bias), np.zeros_like(filt), np.zeros((len(used), DIM), np.float32)
-            for t in range(TOP):
-                g, where = g_pool[:, t * len(bias) : (t + 1) * len(bias)], place[:, t * len(bias) : (t + 1) * len(bias)]
-                g_bias += g.sum(axis=0)
-                for s, (w, j) in enumerate(SLOTS):
-                    k = WIDTHS.index(w)
-                    cols = columns[k * FILTERS : (k + 1) * FILTERS]
-                    rows = np.minimum(where[:, cols] + j, len(idx) - 1)
-                    gs, fs = g[:, cols], slice(s * FILTERS, (s + 1) * FILTERS)
-                    for f in range(idx.shape[1]):
-                        b = local[rows, f]
-                        g_filt[:, fs] += np.einsum("tk,tkd->dk", gs, emb[used[b]])
-                        np.add.at(g_emb, b.ravel(), (gs[:, :, None] * filt[:, fs].T[None]).reshape(-1, DIM))
+            used, g_emb, g_filt, g_bias, g_w, g_off = gradients(emb, filt, bias, weights, offset, idx, first, y[own], weight_of[own])
             for x, gx, q in ((filt, g_filt, sq[0]), (bias, g_bias, sq[1]), (weights, g_w, sq[2])):
                 q += gx * gx
                 x -= step * gx / np.sqrt(q)
-            sq_off += float(err.sum()) ** 2
-            offset -= step * float(err.sum()) / sq_off**0.5
+            sq_off += g_off**2
+            offset -= step * g_off / sq_off**0.5
             sq_emb[used] += (g_emb**2).mean(axis=1)
             emb[used] -= step * g_emb / np.sqrt(sq_emb[used])[:, None]
             emb[PAD] = 0
@@ -214,16 +235,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, learn: Column | None = N
     """Train on at most `sample` labelled rows of each class, the first by a hash of the id.
 
     learn: which rows of labels may be learned from. A document with several labels is toxic if
-    any says so; null labels, ids without a document and null texts are passed over. Without both
-    classes there is nothing to learn: None.
+    any says so; of several texts the least counts; null labels, ids without a document and null texts
+    are passed over. Without both classes there is nothing to learn: None. Sent to the driver: 2 * sample texts at most.
     """
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     own = (own if learn is None else own.where(learn)).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("_y"))
     order = F.xxhash64("_id", F.lit(11)), F.col("_id")
     picked = own.where("_y = 1").orderBy(*order).limit(sample).union(own.where("_y = 0").orderBy(*order).limit(sample))
     # At most 2 * sample ids.
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull()).select("_id", "_y", F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).toPandas()
-    rows = rows.drop_duplicates("_id").sort_values("_id")
+    met = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull())
+    rows = met.groupBy("_id", "_y").agg(F.min(F.struct(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))).alias("_r")).select("_id", "_y", "_r.*").toPandas().sort_values("_id")
     rows = rows.iloc[np.argsort(pd.util.hash_array(rows["_id"].to_numpy()), kind="stable")]
     if rows["_y"].nunique() < 2:
         return None
@@ -248,5 +269,6 @@ def score_toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "tex
             texts = ["" if x is None else x for x in batch.tolist()]
             yield pd.Series(np.concatenate([own.scores(texts[a:b]) for a, b in in_chunks(texts, 1 << 20)]) if texts else np.zeros(0))
 
-    out = kept.withColumn("score", F.pandas_udf(scored, "double")(F.coalesce(text_col, F.lit(""))))
+    # So declared, it is not run once more for a filter on its result.
+    out = kept.withColumn("score", F.pandas_udf(scored, "double").asNondeterministic()(F.coalesce(text_col, F.lit(""))))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
