@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.llm.common import in_chunks, small_batches
 from palimpsest.llm.words import Words, buckets
@@ -24,7 +25,7 @@ UNKNOWN = "und"
 BITS = 16
 PENALTY = 12.0
 #: Labelled rows of each language that training reads at most.
-SAMPLE = 500
+SAMPLE = 1000
 #: Characters of training text that are counted together.
 TRAIN_CHARS = 1 << 18
 #: A word outside its script's languages scores so much less for each.
@@ -32,25 +33,45 @@ OUTSIDE = -30.0
 #: Characters of text whose labels are found together.
 MOST_CHARS = 1 << 23
 
-# Scripts by the leading byte of a letter's UTF-8 form. Fixed values.
+# Scripts and the code points of their letters. Fixed values.
 SCRIPTS = (
-    ("latin", (0x61, 0x7A), (0xC2, 0xCA)),
-    ("greek", (0xCD, 0xCF)),
-    ("cyrillic", (0xD0, 0xD4)),
-    ("hebrew", (0xD6, 0xD7)),
-    ("arabic", (0xD8, 0xDB)),
-    ("indic and thai", (0xE0, 0xE0)),
-    ("kana", (0xE3, 0xE3)),
-    ("han", (0xE4, 0xE9)),
-    ("hangul", (0xEA, 0xED)),
+    ("latin", (0x61, 0x7A), (0xAA, 0xAA), (0xB5, 0xB5), (0xBA, 0xBA), (0xC0, 0x2AF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)),
+    ("greek", (0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    ("cyrillic", (0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    ("armenian", (0x530, 0x58F)),
+    ("hebrew", (0x590, 0x5FF)),
+    ("arabic", (0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    ("devanagari", (0x900, 0x97F)),
+    ("bengali", (0x980, 0x9FF)),
+    ("other indic", (0xA00, 0xDFF)),
+    ("thai and lao", (0xE00, 0xEFF)),
+    ("tibetan and burmese", (0xF00, 0x109F)),
+    ("georgian", (0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    ("ethiopic", (0x1200, 0x139F)),
+    ("khmer", (0x1780, 0x17FF)),
+    ("kana", (0x3040, 0x30FF), (0x31F0, 0x31FF)),
+    ("han", (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)),
+    ("hangul", (0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7FF)),
 )
 _SIGN = np.zeros(256, dtype=np.uint32)
 _SIGN[97:123] = np.arange(97, 123)
 _SIGN[128:] = np.arange(128, 256)
-_SCRIPT = np.full(256, len(SCRIPTS), dtype=np.int64)  # all else: one more script
-for _k, (_, *_ranges) in enumerate(SCRIPTS):
-    for _a, _b in _ranges:
-        _SCRIPT[_a : _b + 1] = _k
+
+
+def _script_table() -> np.ndarray:
+    """[first byte, low six bits of the second] of a letter's UTF-8 form -> place in SCRIPTS; all else: one more."""
+    out = np.full((256, 64), len(SCRIPTS), dtype=np.int64)
+    for k, (_, *ranges) in enumerate(SCRIPTS):
+        for low, high in ranges:
+            # So many code points share their first two bytes.
+            step = 1 if low < 0x800 else 64 if low < 0x10000 else 4096
+            for code in range(low, high + 1, step):
+                own = chr(code).encode("utf-8", "surrogatepass")
+                out[own[0], own[1] & 63 if len(own) > 1 else slice(None)] = k
+    return out
+
+
+_SCRIPT = _script_table()
 
 
 def grams(w: Words) -> np.ndarray:
@@ -66,7 +87,7 @@ def per_word(values: np.ndarray, w: Words) -> np.ndarray:
 
 
 def scripts(w: Words) -> np.ndarray:
-    return _SCRIPT[w.data[w.starts]]
+    return _SCRIPT[w.data[w.starts], w.data[w.starts + 1] & 63]
 
 
 @dataclass
@@ -171,8 +192,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 def constant(scores: np.ndarray, first: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """The best single label of each text, and whether no path with changes can beat it.
 
-    A stretch in another label gains at most the largest sum of differences over any run of rows,
-    and costs a penalty at least; if no label gains more than that, staying is best.
+    A run in another label gains at most the largest sum of differences over any run of rows. A
+    path with k such runs has k changes, or k - 1 if it never takes the best label; so if no run
+    gains more than half a penalty, k gains never exceed k - 1 penalties for k > 1, and one label
+    throughout gains nothing.
     """
     one = np.add.reduceat(scores, first, axis=0).argmax(axis=1)
     owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(scores))))
@@ -185,7 +208,7 @@ def constant(scores: np.ndarray, first: np.ndarray, penalty: float) -> tuple[np.
         # Each text stands lower than all before it, so the running least starts anew.
         drop = owner * (2 * np.abs(total).max() + 1)
         least = np.minimum.accumulate(before - drop)
-        sure &= np.maximum.reduceat(total - drop - least, first) <= penalty
+        sure &= np.maximum.reduceat(total - drop - least, first) <= penalty / 2
     return one, sure
 
 
@@ -238,17 +261,24 @@ def opened(model: Model, texts: list[str], langs: list[str]) -> Model:
 
 
 def fit_languages(docs: DataFrame, *, learn: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Train on at most `sample` rows of each language, chosen by a hash of the id. None if there is no labelled row."""
+    """Train on at most `sample` rows of each language, the first by a hash of id and text among a share
+    of all rows that is drawn by it; repeated rows count once. None if there is no labelled row.
+
+    Sent to the driver: a row per language, and `sample` texts of each at most.
+    """
     own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     own = own if learn is None else own.where(learn)
     sizes = {r[0]: r[1] for r in own.groupBy(lang_col).count().collect()}  # one row per language
     if not sizes:
         return None
-    # A share of each language a little above the sample; the rest is cut off below.
-    hashed = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # A share of each language a little above the sample; the rest is cut off by rank.
+    place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(23))
+    hashed = F.pmod(place, F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.2 * sample / n))]), F.col(lang_col))
-    rows = own.where(hashed < share).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).toPandas()
-    rows = rows.sort_values(["_lang", "_id", "_text"]).groupby("_lang").head(2 * sample)
+    drawn = own.where(hashed < share).select(F.col(lang_col).alias("_lang"), place.alias("_place"), F.col(text_col).alias("_text"))
+    drawn = drawn.groupBy("_lang", "_place").agg(F.first("_text").alias("_text"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_place"))
+    rows = drawn.withColumn("_at", rank).where(F.col("_at") <= sample).select("_text", "_lang", "_place").toPandas().sort_values(["_lang", "_place"])
     return train(rows["_text"].tolist(), rows["_lang"].tolist())
 
 
@@ -279,7 +309,8 @@ def identify(docs: DataFrame, model: Model | None, *, penalty: float = PENALTY,
                 parts = [named(own, texts[a:b], penalty, with_spans) for a, b in in_chunks(texts, MOST_CHARS)]
                 yield pd.concat(parts) if parts else pd.DataFrame({"lang": [], "score": [], "largest": []})
 
-        out = kept.withColumn("_is", F.pandas_udf(labelled, kind)(F.coalesce(text_col, F.lit(""))))
+        # So declared, it is not run once more for every filter on its result.
+        out = kept.withColumn("_is", F.pandas_udf(labelled, kind).asNondeterministic()(F.coalesce(text_col, F.lit(""))))
     known = F.col(text_col).rlike(r"\p{L}") & F.col("_is.lang").isNotNull()
     out = out.withColumn("lang_pred", F.when(known, F.col("_is.lang")).otherwise(F.lit(UNKNOWN)))
     out = out.withColumn("score", F.when(known, F.col("_is.score")).otherwise(F.lit(0.0)))
