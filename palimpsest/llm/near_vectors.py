@@ -1,15 +1,20 @@
 """Embedding near-duplicates: a hierarchical navigable small-world graph per shard.
 
-Vectors are dealt over shards by a hash of the id; each shard builds its graph, and every vector
-is a query to every shard. A beam is widened for a query that it cannot hold the links of, and for
-all queries of a batch until each of a sample of them, compared with every vector of the shard, has
-found its links. Cosines are verified in double precision, and components are united.
+Vectors are dealt over shards by a hash of the id. A shard's graph grows by insertion; a vector that
+lies within a small angle of one that is in it joins that leader instead of becoming a node, so a
+hot group is a few nodes. Every leader is a query to its own shard and to all later ones (links are
+mutual). A beam is widened for a query that it cannot hold the links of, and for all queries of two
+shards until a recall audit passes, up to the whole graph, every node of which can be reached.
+
+Whether vectors link is verified in double precision: between leaders by their cosine, between
+their members by the triangle inequality of angles where it decides, else one by one. Components
+are united over leaders and members.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,15 +26,16 @@ from palimpsest.llm.components import components
 
 #: Links per node on the lowest level and above; nodes of a level that the next one keeps: one of UP.
 LINKS, LINKS_ABOVE, UP = 24, 12, 16
-BUILD_BEAM, BEAM, AT_ONCE, STEP = 64, 64, 512, 4
-#: Vectors per shard at most, on average; shards at least.
-SHARD, SHARDS = 50_000, 8
-#: Queries of a batch that an audit compares with the whole shard at least, and as many with links outside hot
-#: groups over the batches of a task; the recall that it asks for of every one.
-AUDITED, RECALL = 64, 0.99
-#: A wider beam than this costs more than comparing the whole shard, which is done instead.
-WIDEST = 256
+BUILD_BEAM, BEAM, AT_ONCE, STEPS = 64, 64, 512, 16
+#: Vectors per shard at most, on average, and numbers in them; shards at least.
+SHARD, SHARD_NUMBERS, SHARDS = 50_000, 1 << 22, 8
+#: Queries that an audit draws from all, and as many from those that have links; the recall that it asks for of every one.
+AUDITED, RECALL = 256, 0.99
 SLACK = 1e-4  # single precision in the search, double in the verification
+#: Angle that rounding may take from a sum of angles.
+ROUNDING = 1e-7
+#: A vector joins a leader within this part of the angle of a link.
+JOINED = 0.25
 
 
 def select(sims: np.ndarray, ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
@@ -55,44 +61,81 @@ def best_of(sims: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, n
 
 
 class Graph:
-    """x: unit vectors in single precision; low: links of the lowest level; levels: (nodes, links) above, lowest first."""
+    """x: unit vectors of the nodes in single precision; low: links of the lowest level; levels: links above, lowest first.
 
-    def __init__(self, x: np.ndarray, low: np.ndarray | None = None, levels: list | None = None) -> None:
-        self.x, self.low, self.levels = x, low, levels or []
+    The two columns of low behind the LINKS make every node reachable from the first: see _reach().
+    """
+
+    def __init__(self, x: np.ndarray, low: np.ndarray | None = None) -> None:
+        self.x, self.size = x, len(x)
+        self.low = np.full((len(x), LINKS + 2), -1, dtype=np.int32) if low is None else low
+        self.levels: list[np.ndarray] = []
+        if low is not None:
+            self._levels()
 
     @classmethod
-    def build(cls, x: np.ndarray, seed: int = 0) -> Graph:
-        """Nodes of the upper levels come first; those levels are linked by comparing all of their few nodes."""
+    def build(cls, x: np.ndarray, angle: float = 0.0, seed: int = 0) -> tuple[Graph, np.ndarray, np.ndarray]:
+        """The graph over leaders, which rows of x they are, and of each row the place of its leader.
+
+        A row joins a leader that a search finds within `angle`, or an earlier one of its batch.
+        """
         n = len(x)
         order = np.random.default_rng(seed).permutation(n)
-        g = cls(x, np.full((n, LINKS), -1, dtype=np.int32))
-        size = n // UP
+        near = np.cos(angle) if angle > 0 else 2.0
+        g = cls(np.zeros_like(x))
+        g.size = 0
+        rows, leader = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        done, linked_at = 0, 0
+        while done < n:
+            new = order[done : done + min(AT_ONCE, max(done, 64))]
+            done += len(new)
+            s2, i2 = g.search(x[new], BUILD_BEAM) if g.size else (np.full((len(new), 1), -2, np.float32), np.full((len(new), 1), -1, np.int32))
+            joins = s2[:, 0] >= near
+            leader[new[joins]] = i2[joins, 0]
+            new, s2, i2 = new[~joins], s2[~joins], i2[~joins]
+            if not len(new):
+                continue
+            sims = x[new] @ x[new].T
+            first = np.arange(len(new))  # the leader of each within the batch
+            for i in range(len(new)):
+                if first[i] == i:
+                    own = np.flatnonzero(sims[i, i + 1 :] >= near) + i + 1
+                    first[own] = np.minimum(first[own], i)
+            lead = np.flatnonzero(first == np.arange(len(new)))
+            place = np.zeros(len(new), dtype=np.int64)
+            place[lead] = g.size + np.arange(len(lead))
+            leader[new] = place[first]
+            ids = place[lead].astype(np.int32)
+            rows[ids], g.x[ids] = new[lead], x[new[lead]]
+            sims = sims[np.ix_(lead, lead)]
+            sims[np.arange(len(lead)), np.arange(len(lead))] = -2
+            s, i = best_of(sims, np.broadcast_to(ids, sims.shape), BUILD_BEAM // 2)
+            i = np.where(s > -2, i, -1)
+            s, i = best_of(np.concatenate((s, s2[lead]), axis=1), np.concatenate((i, i2[lead]), axis=1), BUILD_BEAM)
+            g.low[ids, : LINKS // 2] = select(s, i, g.x, LINKS // 2)
+            g.size += len(lead)
+            g._back(ids)
+            if g.size >= 2 * linked_at:
+                g._levels()
+                linked_at = g.size
+        g.x, g.low = g.x[: g.size], g.low[: g.size]
+        g._levels()
+        g._reach()
+        return g, rows[: g.size], leader
+
+    def _levels(self) -> None:
+        """The first nodes make the upper levels, which are linked by comparing all of their few."""
+        self.levels, size = [], self.size // UP
         while size >= 1:
-            nodes = order[:size].astype(np.int32)
+            nodes = np.arange(size, dtype=np.int32)
             links = np.full((size, LINKS_ABOVE), -1, dtype=np.int32)
             for a in range(0, size, AT_ONCE):
-                sims = x[nodes[a : a + AT_ONCE]] @ x[nodes].T
+                sims = self.x[a : min(a + AT_ONCE, size)] @ self.x[:size].T
                 sims[np.arange(len(sims)), a + np.arange(len(sims))] = -2
                 s, i = best_of(sims, np.broadcast_to(nodes, sims.shape), 4 * LINKS_ABOVE)
-                links[a : a + AT_ONCE] = select(s, np.where(s > -2, i, -1), x, LINKS_ABOVE)
-            place = np.full(n, -1, dtype=np.int32)
-            place[nodes] = np.arange(size)
-            g.levels.append((nodes, links, place))
+                links[a : a + AT_ONCE] = select(s, np.where(s > -2, i, -1), self.x, LINKS_ABOVE)
+            self.levels.append(links)
             size //= UP
-        done = 0
-        while done < n:
-            new = order[done : done + min(AT_ONCE, max(done, 64))].astype(np.int32)
-            sims = x[new] @ x[new].T
-            sims[np.arange(len(new)), np.arange(len(new))] = -2
-            s, i = best_of(sims, np.broadcast_to(new, sims.shape), BUILD_BEAM // 2)
-            i = np.where(s > -2, i, -1)
-            if done:
-                s2, i2 = g.search(x[new], BUILD_BEAM, inserted=order[:done])
-                s, i = best_of(np.concatenate((s, s2), axis=1), np.concatenate((i, i2), axis=1), BUILD_BEAM)
-            g.low[new, : LINKS // 2] = select(s, i, x, LINKS // 2)
-            g._back(new)
-            done += len(new)
-        return g
 
     def _back(self, new: np.ndarray) -> None:
         """Links from the chosen neighbours back to the new nodes; full lists are selected anew."""
@@ -103,7 +146,7 @@ class Graph:
         targets, begin, count = np.unique(to[order], return_index=True, return_counts=True)
         width = LINKS + int(count.max(initial=0))
         held = np.full((len(targets), width), -1, dtype=np.int32)
-        held[:, :LINKS] = self.low[targets]
+        held[:, :LINKS] = self.low[targets, :LINKS]
         row = np.repeat(np.arange(len(targets)), count)
         held[row, LINKS + np.arange(len(row)) - np.repeat(begin, count)] = source[order]
         for a in range(0, len(targets), AT_ONCE):
@@ -112,27 +155,39 @@ class Graph:
             t = targets[a : a + AT_ONCE]
             sims = np.where(ids >= 0, np.einsum("qd,qkd->qk", self.x[t], self.x[np.maximum(ids, 0)]), -2)
             s, i = best_of(sims, ids, 2 * LINKS)
-            self.low[t] = select(s, i, self.x, LINKS)
-
-    def search(self, q: np.ndarray, beam: int, inserted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            self.low[t, :LINKS] = select(s, i, self.x, LINKS)
+
+    def _reach(self) -> None:
+        """Nodes that cannot be reached from the first are linked from the nearest that can: as its first, before those it has."""
+        got = np.zeros(self.size, dtype=bool)
+        edge = np.zeros(1, dtype=np.int64)
+        while len(edge):
+            got[edge] = True
+            near = np.unique(self.low[edge])
+            edge = near[near >= 0]
+            edge = edge[~got[edge]]
+        held, lost = np.flatnonzero(got), np.flatnonzero(~got)
+        for a in range(0, len(lost), AT_ONCE):
+            own = lost[a : a + AT_ONCE]
+            for u, p in zip(own, held[(self.x[own] @ self.x[held].T).argmax(axis=1)], strict=True):
+                self.low[u, LINKS + 1] = self.low[p, LINKS]
+                self.low[p, LINKS] = u
+
+    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search for all queries together: cosines and nodes [queries, beam], best first, -1 where there are fewer."""
         sims, ids = np.full((len(q), beam), -2, dtype=np.float32), np.full((len(q), beam), -1, dtype=np.int32)
         for a in range(0, len(q), AT_ONCE):
-            sims[a : a + AT_ONCE], ids[a : a + AT_ONCE] = self._search(q[a : a + AT_ONCE], beam, inserted)
+            sims[a : a + AT_ONCE], ids[a : a + AT_ONCE] = self._search(q[a : a + AT_ONCE], beam)
         return sims, ids
 
-    def _entry(self, q: np.ndarray, inserted: np.ndarray | None) -> np.ndarray:
-        """Walk down the upper levels; without them start at the first node."""
-        top = self.levels[-1][0][0] if self.levels else (0 if inserted is None else inserted[0])
-        at = np.full(len(q), top, dtype=np.int32)
-        known = None if inserted is None else set(inserted[: 1 + len(self.levels[0][0])].tolist()) if self.levels else None
-        if known is not None and len(known) < len(self.levels[0][0]):
-            return np.full(len(q), inserted[0], dtype=np.int32)  # upper nodes are still to come
-        best = np.einsum("qd,qd->q", q, self.x[at])
-        for _, links, place in reversed(self.levels):
+    def _entry(self, q: np.ndarray) -> np.ndarray:
+        """Walk down the upper levels from the first node."""
+        at = np.zeros(len(q), dtype=np.int32)
+        best = q @ self.x[0]
+        for links in reversed(self.levels):
             moving = np.arange(len(q))
             while len(moving):
-                near = links[place[at[moving]]]
+                near = links[at[moving]]
                 s = np.where(near >= 0, np.einsum("qd,qkd->qk", q[moving], self.x[np.maximum(near, 0)]), -2)
                 k = s.argmax(axis=1)
                 top_s = s[np.arange(len(moving)), k]
@@ -141,21 +196,25 @@ class Graph:
                 at[moving], best[moving] = near[np.arange(len(moving)), k], top_s
         return at
 
-    def _search(self, q: np.ndarray, beam: int, inserted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        n = len(q)
-        at = self._entry(q, inserted)
-        seen = np.zeros((n, len(self.x)), dtype=bool)
-        seen[np.arange(n), at] = True
+    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """From the node that the upper levels lead to and from the first one; a wide beam takes larger steps."""
+        n, step = len(q), max(4, beam // STEPS)
+        at = self._entry(q)
+        seen = np.zeros((n, self.size), dtype=bool)
         ids, sims, done = np.full((n, beam), -1, np.int32), np.full((n, beam), -2, np.float32), np.zeros((n, beam), bool)
         ids[:, 0], sims[:, 0] = at, np.einsum("qd,qd->q", q, self.x[at])
+        if beam > 1:
+            other = at != 0
+            ids[other, 1], sims[other, 1] = 0, q[other] @ self.x[0]
+        seen[np.arange(n), at] = seen[:, 0] = True
         live = np.arange(n)
         while len(live):
             open_ = np.where(done[live] | (ids[live] < 0), -3, sims[live])
-            live = live[open_.max(axis=1) > -3]
+            some = open_.max(axis=1) > -3
+            live, open_ = live[some], open_[some]
             if not len(live):
                 break
-            open_ = np.where(done[live] | (ids[live] < 0), -3, sims[live])
-            pick = np.argpartition(-open_, min(STEP, beam - 1), axis=1)[:, :STEP] if beam > STEP else np.argsort(-open_, axis=1)
+            pick = np.argpartition(-open_, step, axis=1)[:, :step] if beam > step else np.argsort(-open_, axis=1)
             real = np.take_along_axis(open_, pick, axis=1) > -3
             done[live[:, None], pick] |= real
             near = self.low[np.maximum(ids[live[:, None], pick], 0)]
@@ -176,88 +235,57 @@ class Graph:
         return best_of(sims, ids, beam)
 
 
-def audited(g: Graph, q: np.ndarray, least: float, own: np.ndarray, linked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Queries compared with the whole shard: which they are, their (query, node) pairs, whether rounding leaves a
-    pair a link in any case, and how many queries with links outside hot groups (fewer than BEAM, the query's own
-    node left out) have been compared by now, `linked` before.
+def found_by(g: Graph, q: np.ndarray, least: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs of cosine >= least[query]; a beam that holds nothing else is doubled, up to all nodes."""
+    rows, nodes = [np.zeros(0, int)], [np.zeros(0, int)]
+    left, width = np.arange(len(q)), min(beam, g.size)
+    while len(left):
+        sims, ids = g.search(q[left], width)
+        full = (sims[:, -1] >= least[left]) & (width < g.size)
+        r, c = np.nonzero((sims >= least[left, None]) & (ids >= 0) & ~full[:, None])
+        rows.append(left[r])
+        nodes.append(ids[r, c])
+        left, width = left[full], min(2 * width, g.size)
+    return np.concatenate(rows), np.concatenate(nodes)
 
-    Queries are drawn until AUDITED have been compared here and `linked` has come to AUDITED, or all are drawn.
-    """
-    order = np.random.default_rng(len(q)).permutation(len(q))
-    rows, nodes, sure, done = [], [], [], 0
-    while done < len(q) and (done < AUDITED or linked < AUDITED):
-        at = order[done : done + AUDITED]
-        sims = q[at] @ g.x.T
-        r, c = np.nonzero(sims >= least)
-        n = np.bincount(r[c != own[at[r]]], minlength=len(at))
-        linked += int(((n > 0) & (n < BEAM)).sum())
-        rows.append(at[r].astype(np.int32))
-        nodes.append(c.astype(np.int32))
-        sure.append(sims[r, c] >= least + SLACK / 2)
-        done += len(at)
-    return order[:done], np.concatenate(rows), np.concatenate(nodes), np.concatenate(sure), linked
-
-
-def worst_recall(true: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray], n: int) -> float:
-    """The least share of its true pairs that any query has among the found ones; n: nodes of the shard. 1 without pairs."""
+
+def worst_recall(true: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray], n: int) -> tuple[float, int, int]:
+    """The least share of its true pairs that any query has among the found ones (1 without pairs); true pairs; how many
+    of them were found. n: nodes of the graph."""
     query, owner = np.unique(true[0], return_inverse=True)
     if not len(query):
-        return 1.0
+        return 1.0, 0, 0
     near = np.isin(found[0], query)
     hit = np.isin(true[0].astype(np.int64) * n + true[1], found[0][near].astype(np.int64) * n + found[1][near])
-    return float((np.bincount(owner, weights=hit) / np.bincount(owner)).min())
+    return float((np.bincount(owner, weights=hit) / np.bincount(owner)).min()), len(hit), int(hit.sum())
 
 
-def links_of(g: Graph, q: np.ndarray, least: float, beam: int = BEAM, own: np.ndarray | None = None, linked: int = 0) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(query, node) pairs of cosine >= least as far as single precision tells, the beam that passed the audit, and
-    how many queries with links outside hot groups audits have compared by now (before: `linked`).
+def links_of(g: Graph, q: np.ndarray, least: np.ndarray, own: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(query, node) pairs of cosine >= least as far as single precision tells; how many pairs the last audit asked for and found.
 
-    own: of each query, the node that is the query itself (-1: none), which no audit counts. Every audited query is
-    judged by itself, so a hot group cannot hide what others miss.
+    own: of each query, the node that is the query itself (-1: none), which no audit counts. An audit compares
+    queries with all nodes: AUDITED drawn from all, and AUDITED from those for which links were found. Every
+    one is judged by itself, so a hot group cannot hide what others miss. The beam is doubled until it passes
+    or is as wide as the graph, every node of which can be reached.
     """
-    n, low = len(g.x), least - SLACK
-    own = np.full(len(q), -1) if own is None else own
-    drawn, row, node, sure, linked = audited(g, q, low, own, linked)
-    if len(drawn) == len(q):  # all of them have been compared
-        return row, node, beam, linked
-    asked = sure & (node != own[row])
-    true = row[asked], node[asked]
-    while True:
-        rows, nodes = [], []
-        left, width = np.arange(len(q)), beam
-        while len(left):
-            if width > WIDEST or 2 * width >= n:  # as wide as the shard: all of it
-                for a in range(0, len(left), AT_ONCE):
-                    r, c = np.nonzero(q[left[a : a + AT_ONCE]] @ g.x.T >= low)
-                    rows.append(left[a : a + AT_ONCE][r])
-                    nodes.append(c)
-                break
-            sims, ids = g.search(q[left], width)
-            full = sims[:, -1] >= low  # the beam holds nothing but links: there may be more
-            r, c = np.nonzero((sims >= low) & (ids >= 0) & ~full[:, None])
-            rows.append(left[r])
-            nodes.append(ids[r, c])
-            left, width = left[full], 2 * width
-        row, node = np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(nodes) if nodes else np.zeros(0, int)
-        if beam > WIDEST or 2 * beam >= n or worst_recall(true, (row, node), n) >= RECALL:
-            return row, node, beam, linked
-        beam *= 2
-
-
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between ids as few links that join the same ids: each to the least that it reaches."""
-    names, code = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = code[: len(a)], code[len(a) :]
-    label = np.arange(len(names))
+    low, order = least - SLACK, np.random.default_rng(len(q)).permutation(len(q))
     while True:
-        old = label.copy()
-        np.minimum.at(label, x, label[y])
-        np.minimum.at(label, y, label[x])
-        label = label[label]
-        if (label == old).all():
-            break
-    own = label != np.arange(len(names))
-    return names[own], names[label[own]]
+        row, node = found_by(g, q, low, beam)
+        other = node != own[row]
+        some = np.zeros(len(q), dtype=bool)
+        some[row[other]] = True
+        drawn = np.unique(np.concatenate((order[:AUDITED], order[some[order]][:AUDITED])))
+        true = [np.zeros((2, 0), int)]
+        for a in range(0, len(drawn), AT_ONCE):
+            at = drawn[a : a + AT_ONCE]
+            r, c = np.nonzero(q[at] @ g.x.T >= least[at, None] + SLACK / 2)
+            true.append(np.stack((at[r], c)))
+        asked = np.concatenate(true, axis=1)
+        asked = asked[:, asked[1] != own[asked[0]]]
+        recall, wanted, hits = worst_recall((asked[0], asked[1]), (row, node), g.size)
+        if recall >= RECALL or beam >= g.size:
+            return row, node, wanted, hits
+        beam = min(2 * beam, g.size)
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -266,93 +294,140 @@ def _pack(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def _built(group: pd.DataFrame) -> pd.DataFrame:
+def _built(group: pd.DataFrame, joined: float) -> pd.DataFrame:
     group = group.sort_values("vec_id")
-    raw = np.stack(group["v"].to_numpy()).astype(np.float64)
-    unit = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
-    g = Graph.build(unit)
-    levels = {f"nodes{i}": x for i, (x, _, _) in enumerate(g.levels)} | {f"links{i}": x for i, (_, x, _) in enumerate(g.levels)}
-    blob = _pack(raw=raw, low=g.low, ids=group["vec_id"].to_numpy(), copies=group["copies"].to_numpy(), **levels)
+    raw = np.stack(group["v"].to_numpy())
+    v = raw.astype(np.float64)
+    unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    g, rows, leader = Graph.build(unit, joined)
+    blob = _pack(raw=raw, low=g.low, rows=rows, leader=leader, ids=group["vec_id"].to_numpy(), copies=group["copies"].to_numpy())
     return pd.DataFrame({"dim": [group["dim"].iloc[0]], "shard": [group["shard"].iloc[0]], "graph": [blob]})
 
 
+@dataclass
 class Shard:
-    def __init__(self, blob: bytes) -> None:
+    """unit: in double precision; rows: of each node of the graph, its row; leader: of each row, its node; members: rows by
+    node, those of node k from first[k] on; angle: of each node, the largest to a member; weight: copies of its members."""
+
+    ids: np.ndarray
+    copies: np.ndarray
+    unit: np.ndarray
+    rows: np.ndarray
+    leader: np.ndarray
+    graph: Graph
+
+    @classmethod
+    def of(cls, blob: bytes) -> Shard:
         held = np.load(io.BytesIO(blob))
-        self.raw, self.ids, self.copies = held["raw"], held["ids"], held["copies"]
-        self.norm = np.linalg.norm(self.raw, axis=1)
-        unit = (self.raw / self.norm[:, None]).astype(np.float32)
-        levels = []
-        while f"nodes{len(levels)}" in held:
-            nodes = held[f"nodes{len(levels)}"]
-            place = np.full(len(unit), -1, dtype=np.int32)
-            place[nodes] = np.arange(len(nodes))
-            levels.append((nodes, held[f"links{len(levels)}"], place))
-        self.graph, self.beam, self.linked = Graph(unit, held["low"], levels), BEAM, 0
-
-    def answer(self, ids: np.ndarray, raw: np.ndarray, least: float) -> pd.DataFrame:
-        """Rows (a, n, b): how many links a has here; and few links a - b that join what is linked."""
-        norm = np.linalg.norm(raw, axis=1)
-        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)  # ids are in order: see _built
-        own = np.where(self.ids[at] == ids, at, -1)
-        row, node, self.beam, self.linked = links_of(self.graph, (raw / norm[:, None]).astype(np.float32), least, self.beam, own, self.linked)
-        keep = ids[row] != self.ids[node]
-        row, node = row[keep], node[keep]
-        real = np.concatenate([np.einsum("kd,kd->k", raw[row[a : a + 100_000]], self.raw[node[a : a + 100_000]]) for a in range(0, len(row), 100_000)]) if len(row) else np.zeros(0)
-        keep = real / (norm[row] * self.norm[node]) >= least
-        row, node = row[keep], node[keep]
-        n = np.bincount(row, weights=self.copies[node], minlength=len(ids)).astype(np.int64)
-        a, b = spanning(ids[row], self.ids[node])
-        some = n > 0
-        return pd.DataFrame({"a": np.concatenate((ids[some], a)), "n": np.concatenate((n[some], np.zeros(len(a), np.int64))), "b": np.concatenate((ids[some], b))})
-
-
-def near_vectors(rows: DataFrame, *, least: float = 0.9, shard_size: int = SHARD, shards: int = SHARDS, salts: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per row: vec_id, n_links (other vectors linked directly), component_id, kept.
+        v = held["raw"].astype(np.float64)
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        return cls(held["ids"], held["copies"], unit, held["rows"], held["leader"], Graph(unit[held["rows"]].astype(np.float32), held["low"]))
+
+    def __post_init__(self) -> None:
+        n = len(self.rows)
+        self.members = np.argsort(self.leader, kind="stable")
+        self.first = np.searchsorted(self.leader[self.members], np.arange(n + 1))
+        cosine = np.einsum("kd,kd->k", self.unit, self.unit[self.rows[self.leader]])
+        own = np.where(self.rows[self.leader] == np.arange(len(self.leader)), 0.0, np.arccos(np.clip(cosine, -1, 1)) + ROUNDING)
+        self.angle = np.zeros(n)
+        np.maximum.at(self.angle, self.leader, own)
+        self.weight = np.bincount(self.leader, weights=self.copies, minlength=n)
+
+    def of_node(self, k: int) -> np.ndarray:
+        return self.members[self.first[k] : self.first[k + 1]]
+
+
+def compared(a: Shard, b: Shard, least: float) -> tuple[pd.DataFrame, int, int]:
+    """Rows (a, n, b): how many links a vector has in the other shard (or its own); and few links a - b that join what is linked.
+
+    a and b are the same shard, or two of which each link is looked for from a.
+    """
+    same, most = a is b, float(np.arccos(min(1.0, least)))
+    reach = np.cos(np.minimum(np.pi, most + a.angle + b.angle.max(initial=0)))
+    own = np.arange(len(a.rows)) if same else np.full(len(a.rows), -1)
+    row, node, wanted, hits = links_of(b.graph, a.graph.x, reach, own)
+    if same:  # found from either end
+        row, node = np.minimum(row, node), np.maximum(row, node)
+        both = np.unique(row[row != node] * np.int64(len(b.rows)) + node[row != node])
+        row, node = both // len(b.rows), both % len(b.rows)
+    cosine = np.concatenate([np.zeros(0), *(np.einsum("kd,kd->k", a.unit[a.rows[row[i : i + 100_000]]], b.unit[b.rows[node[i : i + 100_000]]]) for i in range(0, len(row), 100_000))])
+    angle, spread = np.arccos(np.clip(cosine, -1, 1)), a.angle[row] + b.angle[node]
+    single = spread == 0
+    sure = np.where(single, cosine >= least, angle + spread <= most - ROUNDING)
+    open_ = ~sure & ~single & (angle - spread <= most + ROUNDING)
+    to_a, to_b = np.zeros(len(a.rows)), np.zeros(len(b.rows))
+    np.add.at(to_a, row[sure], b.weight[node[sure]])
+    np.add.at(to_b, node[sure], a.weight[row[sure]])
+    n_a, n_b = to_a[a.leader], to_b[b.leader]
+    links = [np.stack((a.ids[a.rows[row[sure]]], b.ids[b.rows[node[sure]]]))]
+    for i, j in zip(row[open_], node[open_], strict=True):
+        x, y, joined = a.of_node(i), b.of_node(j), False
+        for k in range(0, len(x), AT_ONCE):
+            part = x[k : k + AT_ONCE]
+            near = a.unit[part] @ b.unit[y].T >= least
+            n_a[part] += near @ b.copies[y]
+            n_b[y] += a.copies[part] @ near
+            if not joined and near.any():
+                joined = True
+                r, c = np.unravel_index(near.argmax(), near.shape)
+                links.append(np.array([[a.ids[part[r]]], [b.ids[y[c]]]]))
+    if same:
+        n_a += n_b
+        n_b = np.zeros(0)
+        inner = a.leader
+        n_a += np.where(a.angle[inner] > 0, a.weight[inner] - a.copies, 0)
+        held = np.flatnonzero(a.rows[a.leader] != np.arange(len(a.leader)))
+        links.append(np.stack((a.ids[held], a.ids[a.rows[a.leader[held]]])))
+    u, v = np.concatenate(links, axis=1)
+    ids, n = np.concatenate((a.ids, b.ids if len(n_b) else b.ids[:0])), np.concatenate((n_a, n_b))
+    some = n > 0
+    return pd.DataFrame({"a": np.concatenate((ids[some], u)), "n": np.concatenate((n[some].astype(np.int64), np.zeros(len(u), np.int64))), "b": np.concatenate((ids[some], v))}), wanted, hits
+
+
+def near_vectors(rows: DataFrame, *, least: float = 0.9, shard_size: int = SHARD, shards: int = SHARDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row per row: vec_id, n_links (other vectors linked directly), component_id, kept, audit_recall.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
     do vectors of different lengths and rows with a null id. Equal vectors are one node that counts
-    as often as it stands. Rows that share an id are one vector with the links of all. Recall is
-    measured in every batch against the whole shard, query by query (AUDITED, RECALL); queries come in
-    the order of a hash, and all are compared until AUDITED with links outside hot groups were; a beam as wide as half the
-    shard, or wider than WIDEST, is replaced by comparing all of it, so the audit always ends.
+    as often as it stands. Rows that share an id are one vector with the links of all. audit_recall
+    is the share of the audits' links that the last beams found, the same in all rows (null: there were none).
     """
+    if not 0 < least <= 1:
+        raise ValueError("least must be over 0 and at most 1")
     spark = rows.sparkSession
     v = F.col(vector_col)
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     held = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     held = held.withColumn("x", F.xxhash64("v")).withColumn("y", F.hash("v"))
     nodes = cut(held.where("fine").groupBy("x", "y").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("v").alias("v")).select("vec_id", "copies", "v", F.size("v").alias("dim")))
-    n_shards = max(shards, -(-nodes.count() // shard_size))
+    n, numbers = nodes.agg(F.count("*"), F.sum("dim")).first()
+    n_shards = max(shards, -(-n // shard_size), -(-(numbers or 0) // SHARD_NUMBERS))
+    n_parts = n_partitions(spark)
     own = nodes.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int"))
-    graphs = cut(own.groupBy("dim", "shard").applyInPandas(_built, "dim int, shard int, graph binary"))
-
-    empty = [F.lit(None).cast(k).alias(c) for c, k in (("vec_id", "long"), ("copies", "long"), ("v", dict(nodes.dtypes)["v"]))]
-    first = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), *empty, "graph")
-    salt = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(salts)).cast("int")
-    asked = nodes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), salt.alias("salt"), F.lit(1).alias("kind"), "vec_id", "copies", "v", F.lit(None).cast("binary").alias("graph"))
-
-    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, shard = None, None
-        for batch in batches:
-            for k, part in batch.groupby(["dim", "shard", "salt"], sort=False):
-                if k != key:
-                    key, shard = k, None
-                blobs = part.loc[part["kind"] == 0, "graph"]
-                if len(blobs):
-                    shard = Shard(blobs.iloc[0])
-                part = part[part["kind"] == 1]
-                if shard is None or not len(part):
-                    continue  # no vector of this length in that shard
-                yield shard.answer(part["vec_id"].to_numpy(dtype=np.int64), np.stack(part["v"].to_numpy()).astype(np.float64), least)
-
-    dealt = first.union(asked).repartition(max(n_partitions(spark), n_shards * salts), "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", "kind", F.xxhash64("vec_id", F.lit(11)))
-    answers = cut(dealt.mapInPandas(answered, "a long, n long, b long"))
-    counts = answers.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
-    met = held.where("fine").join(held.where("fine").groupBy("x", "y").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), ["x", "y"])
-    copies = met.where("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
+    angle = JOINED * float(np.arccos(least))
+    graphs = cut(own.repartition(max(n_parts, 4 * n_shards), "dim", "shard").groupBy("dim", "shard").applyInPandas(lambda group: _built(group, angle), "dim int, shard int, graph binary"))
+
+    # Each shard against itself and every later one.
+    asking = graphs.select("dim", F.col("shard").alias("s"), F.explode(F.sequence("shard", F.lit(n_shards - 1))).alias("t"), "graph")
+    asked = graphs.select("dim", F.explode(F.sequence(F.lit(0), "shard")).alias("s"), F.col("shard").alias("t"), "graph")
+    parts = max(n_parts, n_shards * (n_shards + 1))
+
+    def met(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):  # no vector of this length in one of them
+            return pd.DataFrame({"a": [], "n": [], "b": []})
+        a = Shard.of(one["graph"].iloc[0])
+        out, wanted, hits = compared(a, a if one["s"].iloc[0] == one["t"].iloc[0] else Shard.of(two["graph"].iloc[0]), least)
+        return pd.concat((out, pd.DataFrame({"a": [None], "n": [wanted], "b": [hits]}))).astype("Int64")
+
+    deal = lambda df: df.repartition(parts, "dim", "s", "t").groupBy("dim", "s", "t")
+    answers = cut(deal(asking).cogroup(deal(asked)).applyInPandas(met, "a long, n long, b long"))
+    audit = answers.where("a IS NULL").agg(F.sum("n"), F.sum("b")).first()
+    counts = answers.where("a IS NOT NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
+    met_ = held.where("fine").join(held.where("fine").groupBy("x", "y").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), ["x", "y"])
+    copies = met_.where("vec_id <> node").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
     comp = components(answers.where("a <> b").select("a", "b").union(copies))
-    linked = met.select("vec_id", "node", "copies").join(counts.withColumnRenamed("vec_id", "node"), "node", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    linked = met_.select("vec_id", "node", "copies").join(counts.withColumnRenamed("vec_id", "node"), "node", "left").join(comp.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     good = linked.select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     alone = held.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    recall = F.lit(audit[1] / audit[0] if audit[0] else None).cast("double")
+    return good.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("audit_recall", recall)
