@@ -9,12 +9,13 @@ fixed geometric grid from either end and the least hashes of all spans of SPAN c
 from __future__ import annotations
 
 import hashlib
+import os.path
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,7 +63,8 @@ class Prefixes:
         out = 0
         for base, at in zip(self.bases, self.at, strict=True):
             diff = (int(at[start + n]) - int(at[start])) % int(PRIME)
-            out = out << 31 | diff * pow(base, -start, int(PRIME)) % int(PRIME)
+            back = pow(base, -start, int(PRIME)) if start else 1
+            out = out << 31 | diff * back % int(PRIME)
         return out
 
     def spans(self, width: int) -> np.ndarray:
@@ -78,6 +80,8 @@ class Prefixes:
 def longest_common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     """Characters that agree from place i of a and place j of b on, by binary search."""
     low, high = 0, min(a.n - i, b.n - j)
+    if a.span(i, high) == b.span(j, high):
+        return high
     while low < high:
         n = (low + high + 1) // 2
         if a.span(i, n) == b.span(j, n):
@@ -88,8 +92,8 @@ def longest_common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
 
 
 def grid(n: int) -> list[int]:
-    """Fixed lengths 8, 10, 12, ... that are below n, in a geometric row."""
-    out, at = [], 8
+    """Fixed lengths 1, 2, 3, ... that are below n, in a geometric row from 4 on."""
+    out, at = [], 1
     while at < n:
         out.append(at)
         at = max(at + 1, int(at * GRID))
@@ -104,12 +108,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str) -> str:
-    return fingerprint_of(points(text))
+    return fingerprint_of(Prefixes(points(text)))
 
 
-def fingerprint_of(codes: np.ndarray) -> str:
+def fingerprint_of(p: Prefixes) -> str:
     """`length:whole:prefixes:suffixes:spans` in hexadecimal; equal texts have equal ones."""
-    p = Prefixes(codes)
     ends = np.array(grid(p.n), dtype=np.int64)
     least = np.zeros(0, np.uint64)
     if len(all_ := mixed(p.spans(SPAN))):
@@ -153,6 +156,16 @@ def likeness(a: str, b: str) -> float:
     return max(ends, spans) * (1 - 1e-9)
 
 
+def range_key(docs: DataFrame, order_col: str) -> Column:
+    """A number in the order of the column, by which ranges are cut: of text, seven bytes behind what all values begin with."""
+    key = F.col(order_col)
+    if not isinstance(docs.schema[order_col].dataType, T.StringType):
+        return key
+    ends = docs.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    both = len(os.path.commonprefix([(ends["a"] or "").encode("utf-8", "surrogatepass"), (ends["b"] or "").encode("utf-8", "surrogatepass")]))
+    return F.conv(F.rpad(F.substring(F.hex(key.cast("binary")), 2 * both + 1, 14), 14, "0"), 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, order_col: str, cells: int) -> tuple[DataFrame, int]:
     """Rows dealt so that each order range (`_cell`) stands in one partition, sorted by (_cell,
     _tail, order, text), with a copy of the following cell's first rows at its end (`_tail` = 1).
@@ -161,18 +174,20 @@ def with_next(docs: DataFrame, order_col: str, cells: int) -> tuple[DataFrame, i
     shuffled once.
     """
     key = F.col(order_col)
-    bounds = docs.select(F.percentile_approx(key, [i / cells for i in range(1, cells)], 10 * cells).alias("q")).first()["q"] or []
+    place = range_key(docs, order_col)
+    bounds = docs.select(F.percentile_approx(place, [i / cells for i in range(1, cells)], 10 * cells).alias("q")).first()["q"] or []
     bounds = sorted(set(bounds))
     # How many bounds are not above the key; null keys come first.
     held = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    cell = F.coalesce(F.when(key.isNull(), F.lit(-1)).otherwise(F.size(F.filter(held, lambda b: b <= key))), F.lit(-1))
+    cell = F.coalesce(F.when(key.isNull(), F.lit(-1)).otherwise(F.size(F.filter(held, lambda b: b <= place))), F.lit(-1))
     firsts = sorted((r["_cell"], r["_first"]) for r in docs.groupBy(cell.alias("_cell")).agg(F.min(key).alias("_first")).collect())
     # The first rows of a cell follow the last of the cell before it; those of the first cell, the last of all.
     heads = {firsts[i][0]: (firsts[i - 1][0], firsts[i][1]) for i in range(len(firsts))}
     tail = F.lit(None).cast("int")
     if heads:
         before = F.create_map(*[F.lit(x) for c, (b, _) in heads.items() for x in (c, b)])
-        first = F.create_map(*[F.lit(x) for c, (_, f) in heads.items() for x in (c, f if f is not None else 0)])
+        kind = docs.schema[order_col].dataType
+        first = F.create_map(*[x for c, (_, f) in heads.items() for x in (F.lit(c), F.lit(f).cast(kind))])
         tail = F.when(key.isNull() | (key == first[F.col("_own")]), before[F.col("_own")])
     dealt = docs.withColumn("_own", cell)
     copies = F.array_compact(F.array(F.struct(F.col("_own").alias("c"), F.lit(0).alias("t")), F.when(tail.isNotNull(), F.struct(tail.alias("c"), F.lit(1).alias("t")))))
@@ -188,18 +203,19 @@ def edited(text: str, follower: str) -> str:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, against the next document by ascending id (after the last: the first).
+    near_edited, near_next, against the next document by ascending id (after the last: the first);
+    same_edited, same_next: characters that it has in common with them from the first on.
 
     Null texts are empty; null ids come first; rows that share an id are ordered by text. A lone
-    document follows itself. Empty texts are like each other (1) and like nothing else (0). Whole
+    document follows itself. Ids are numbers or text; rows that share one are read by one task. Empty texts are like each other (1) and like nothing else (0). Whole
     texts are hashed; other columns are not read.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     dealt, _ = with_next(rows, "doc_id", cells or 4 * n_partitions(spark))
-    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    kinds = (kind, T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType())
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next")
+    kinds = (kind, T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.LongType())
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None  # the row that waits for its follower, with its fingerprint
@@ -209,13 +225,16 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             for key, text, cell, tail in zip(ids, batch["text"], batch["_cell"], batch["_tail"], strict=True):
                 if last is None and tail:
                     continue  # more copies of a first row than one
-                mark = fingerprint(text)
+                hashes = Prefixes(points(text))
+                mark = fingerprint_of(hashes)
                 if last is not None and last[3] == cell:
                     new = edited(last[1], text)
-                    other = fingerprint(new)
+                    changed = Prefixes(points(new))
+                    other = fingerprint_of(changed)
                     sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((last[0], len(last[1]), sha, last[2], other, likeness(last[2], other), likeness(last[2], mark)))
-                last = None if tail else (key, text, mark, cell)
-            yield pd.DataFrame(out, columns=names).astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
+                    same = longest_common_extension(last[4], 0, changed, 0), longest_common_extension(last[4], 0, hashes, 0)
+                    out.append((last[0], len(last[1]), sha, last[2], other, likeness(last[2], other), likeness(last[2], mark), *same))
+                last = None if tail else (key, text, mark, cell, hashes)
+            yield pd.DataFrame(out, columns=names).astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64", "same_edited": "int64", "same_next": "int64"})
 
     return dealt.mapInPandas(hashed, T.StructType([T.StructField(*x) for x in zip(names, kinds, strict=True)]))
