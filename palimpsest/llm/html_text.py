@@ -1,14 +1,19 @@
 """Main text of web pages by tree scoring.
 
-Blocks of text pass points for length and commas to the elements above them, less the further up;
-an element's points are discounted by its link density. The best container is kept, with the
-siblings that score well or read like its text; menus, page headers and footers, sidebars,
-notices, adverts, forms, scripts and reader comments are taken out before.
+A page becomes a tree of its block elements. Paragraphs pass points for length and commas to the
+elements above them, less the further up; an element's points are discounted by its link density.
+The best container is kept (the whole article, if it is in one), with the siblings that score well
+or are paragraphs and headings themselves. Menus, page headers and footers, sidebars, notices,
+adverts, forms, scripts and reader comments are taken out by element, by link density, by a
+comment section's heading, and by class where nothing in the name speaks for text.
+
+Reading a page takes time in proportion to its length, however broken it is.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -18,172 +23,297 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import small_batches
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|<[a-zA-Z/!][^<>]*\Z",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
-_PARTS = re.compile(r"[a-z]+|[0-9]+")
+#: A tag without attribute values: the frequent case. Possessive, so a failure costs no more than what it has passed.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>\"'=]*+)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_STOP = re.compile(r"[>=]")
+_ATTR = re.compile(r"([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)")
 
 # Element names. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-PARAGRAPHS = frozenset("p pre li dd dt td th blockquote h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
-DROPPED = frozenset("head nav header footer aside form button select noscript template svg math menu dialog object video audio canvas fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p pre li dd dt td th blockquote figcaption caption summary address".split())
+DROPPED = frozenset("head nav footer aside form button select noscript template svg menu dialog object video audio canvas fieldset search".split())
 #: Elements that no class or id takes out.
-SPARED = frozenset("html body main article".split())
-#: An element of the key ends an open one of these.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-# Parts of a class, an id or a role that mark what is not the article. Fixed values.
-ALWAYS_OUT = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr comment comments disqus "
-    "respond replies share sharing social newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs pagination pager tagcloud "
-    "navigation contentinfo complementary search searchbox notice notices notification alert paywall skyscraper feedback".split()
+SPARED = frozenset("html body main".split())
+#: Elements that hold an article's own header.
+OF_TEXT = frozenset("article main section".split())
+#: Elements that have one end, that of another of their kind, and what they end beside it: places in the row that each open element keeps.
+ITEMS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+NO_ITEMS = (-1,) * 6
+#: Elements in which open items of the outside are not looked for.
+BOUNDS = frozenset("ul ol dl table div select menu section article main aside td th".split())
+# Parts of a class, an id or a role. A name marks what is not the article if it has one of OUT and no part
+# beside these and PLAIN ones; with one of VETO it marks a page's layout. Fixed values.
+OUT = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr "
+    "comment comments commentlist disqus respond reply replies opinion opinions reaction reactions talkback guestbook kommentar kommentare commentaire commentaires comentario comentarios "
+    "share sharing social newsletter subscribe subscription signup login popup popover modal overlay breadcrumb breadcrumbs pagination pager tagcloud navigation contentinfo complementary "
+    "searchbox searchform notice notices notification notifications alert alerts paywall skyscraper feedback nav navbar menu menus masthead footer foot sidebar sidebars related recommended "
+    "recommendations toolbar aside".split()
+)
+HEAD = frozenset("header".split())
+PLAIN = frozenset(
+    "site page top bottom left right main primary secondary tertiary box bar list lists block wrap wrapper container section area widget widgets button buttons link links icon icons inner outer "
+    "item items post posts article articles content entry story sticky fixed mobile desktop global user users reader readers visitor email message panel module thread form body text title head "
+    "header region group row column col unit slot zone placement google gpt dfp leaderboard inline small large medium show hide open closed active js wp id the of and on in to for info tools meta".split()
+)
+VETO = frozenset("has with without no layout".split())
+TEXTS = frozenset("article entry post story content text body title".split())
+COMMENTS_HEADING = re.compile(
+    r"(?:\d+ )?(?:(?:reader|readers|user|visitor|latest|all|recent|post) )?(?:comments?|opinions|kommentare?|commentaires?|comentarios?)(?: ?\(\d+\)| ?: ?\d*)?"
+    r"|(?:leave|post|add|write) an? (?:reply|comment)|join the (?:discussion|conversation)|what do you think\?",
+    re.I,
 )
-OUT_UNLESS_MAIN = frozenset("nav navbar menu header masthead footer foot sidebar related recommended recommendations widget widgets toolbar tools aside meta discussion".split())
-MAIN = frozenset("article content main body entry story post text page wrapper container layout has with".split())
 
-#: Blocks of fewer characters give no points.
-LEAST_CHARS = 25
+#: Blocks of fewer characters give no points. Levels above a paragraph that get points.
+LEAST_CHARS, LEVELS = 25, 6
+#: Lists of links: the share of linked characters from which on they are one, and links at least.
+MENU_DENSITY, MENU_LINKS = 0.75, 3
 
 
 class Node:
-    __slots__ = ("links", "out", "parent", "points", "size", "tag")
+    """A block element; inline ones belong to the block around them."""
+
+    __slots__ = ("blocks", "kept", "links", "n_links", "out", "parent", "points", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, out: bool) -> None:
         self.tag, self.parent, self.out = tag, parent, out
-        self.points, self.size, self.links = 0.0, 0, 0
+        self.points, self.size, self.links, self.n_links, self.blocks, self.kept = 0.0, 0, 0, 0, 0, False
+
 
+def named_out(name: str) -> bool:
+    """Whether a class, id or role marks what is not the article."""
+    parts = {x.lower() for x in _PARTS.findall(name)}
+    if not parts & OUT:
+        return bool(parts & HEAD) and not parts & (TEXTS | VETO) and parts <= HEAD | PLAIN
+    return not parts & VETO and all(x in OUT or x in PLAIN or x.isdigit() or len(x) < 3 for x in parts)
 
-def unwanted(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
+
+def unwanted(tag: str, attrs: str, within_text: bool) -> bool:
+    if tag in DROPPED or tag == "header" and not within_text:
         return True
     if not attrs or tag in SPARED:
         return False
     held = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    if held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?:\s|$)", _ATTR.sub(" ", attrs)):
+    if held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "").lower() or "hidden" in attrs and _HIDDEN.search(_ATTR.sub(" ", attrs)):
         return True
-    parts = set(_PARTS.findall(" ".join((held.get("class", ""), held.get("id", ""), held.get("role", ""))).lower()))
-    return bool(parts & ALWAYS_OUT) or bool(parts & OUT_UNLESS_MAIN) and not parts & MAIN
+    return any(named_out(name) for key in ("class", "id", "role") for name in held.get(key, "").split())
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes): kind `text`, `start` or `end`. Comments, declarations and raw elements are left out.
+
+    Every step goes forward, and what is searched for in vain is not searched for again.
+    """
+    at, n = 0, len(html)
+    missing: set[str] = set()  # quotes that stand nowhere behind
+
+    def end_of_tag(at: int) -> int:
+        """Place of the > that ends the tag, quoted values left out; -1: none."""
+        while (m := _STOP.search(html, at)) is not None:
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            while at < n and html[at].isspace():
+                at += 1
+            quote = html[at : at + 1]
+            if quote in ("'", '"') and quote not in missing:
+                close = html.find(quote, at + 1)
+                if close < 0:
+                    missing.add(quote)  # no value: the tag ends at the next >
+                else:
+                    at = close + 1
+        return -1
+
+    while at < n:
+        less = html.find("<", at)
+        if less < 0:
+            yield "text", html[at:], ""
+            return
+        if less > at:
+            yield "text", html[at:less], ""
+        at = less
+        sign = html[at + 1 : at + 2]
+        if (m := _PLAIN.match(html, at)) is not None:
+            end, name, attrs, at = m[1], m[2].lower(), m[3], m.end()
+        elif sign.isascii() and sign.isalpha() or sign == "/" and html[at + 2 : at + 3].isascii() and html[at + 2 : at + 3].isalpha():
+            end = "/" if sign == "/" else ""
+            m = _NAME.match(html, at + 1 + len(end))
+            close = end_of_tag(m.end())
+            if close < 0:
+                return  # a tag that never ends: nothing more
+            name, attrs, at = m[0].lower(), html[m.end() : close], close + 1
+        elif sign in ("!", "?") or sign == "/":
+            mark = "-->" if html.startswith("<!--", at) else "]]>" if html.startswith("<![CDATA[", at) else ">"
+            close = html.find(mark, at + 2)
+            if close < 0:
+                return
+            at = close + len(mark)
+            continue
+        else:
+            yield "text", "<", ""
+            at += 1
+            continue
+        if end:
+            yield "end", name, ""
+            continue
+        yield "start", name, attrs
+        if name in RAW:
+            m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
+            if m is None:
+                return
+            at = m.start()
 
 
-def blocks_of(html: str) -> list[tuple[Node, str, int]]:
-    """Blocks of text in page order: element, text, characters within links. What is taken out is left out."""
+def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """Block elements, parents first; blocks of text in page order: element, text, characters within links.
+
+    What is taken out has no text here.
+    """
     root = Node("html", None, False)
-    stack, out = [root], []
+    nodes, out = [root], []
+    # Open elements: name, block, whether it is out, open items around it.
+    stack: list[tuple[str, Node, bool, tuple[int, ...]]] = [("html", root, False, NO_ITEMS)]
+    open_: Counter[str] = Counter()
     held: list[tuple[str, bool]] = []
-    anchors = 0
 
     def flush() -> None:
         if held:
             text = " ".join("".join(x for x, _ in held).split())
             if text:
-                node = next(n for n in reversed(stack) if n.tag in BLOCKS)
-                out.append((node, text, sum(len(" ".join(x.split())) for x, linked in held if linked)))
+                out.append((stack[-1][1], text, sum(len(" ".join(x.split())) for x, linked in held if linked)))
             held.clear()
 
     def close(down_to: int) -> None:
-        nonlocal anchors
         while len(stack) > down_to:
-            node = stack[-1]
-            if node.tag in BLOCKS:
+            if stack[-1][0] in BLOCKS:
                 flush()
-            anchors -= node.tag == "a"
-            stack.pop()
-
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at and not stack[-1].out:
-            held.append((unescape(html[at : m.start()]), anchors > 0))
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-            else:
-                if tag == "p":
-                    flush()
-            continue
-        if tag == "br":
-            if not stack[-1].out:
+            open_[stack.pop()[0]] -= 1
+
+    for kind, name, attrs in tokens(html):
+        if kind == "text":
+            if not stack[-1][2]:
+                held.append((unescape(name), open_["a"] > 0))
+        elif kind == "end":
+            if open_[name]:
+                at = len(stack) - 1
+                while stack[at][0] != name:
+                    at -= 1
+                close(at)
+            elif name == "p" or name == "br":
+                flush() if name == "p" else held.append((" ", False))
+        elif name == "br":
+            if not stack[-1][2]:
                 held.append((" ", False))
-            continue
-        if tag in BLOCKS:
-            # A block ends an open paragraph, a list item the one before it.
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
-            flush()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in CLOSES.get(tag, ()):
-                close(i)
-            elif stack[i].tag in ("ul", "ol", "dl", "table", "div", "select"):
-                break
-        if tag in VOID:
-            continue
-        attrs = m["attrs"] or ""
-        if attrs.endswith("/") and tag not in BLOCKS and tag != "a":
-            continue
-        node = Node(tag, stack[-1], stack[-1].out or unwanted(tag, attrs))
-        stack.append(node)
-        anchors += tag == "a"
-    if at < len(html) and not stack[-1].out:
-        held.append((unescape(html[at:]), anchors > 0))
+        else:
+            block = name in BLOCKS
+            items = stack[-1][3]
+            if block and items[0] >= 0:  # a block ends an open paragraph
+                close(items[0])
+                items = stack[-1][3]
+            if name in ITEMS and name != "p" and items[ITEMS[name]] >= 0:
+                close(items[ITEMS[name]])
+                items = stack[-1][3]
+            if block:
+                flush()
+            if name in VOID or attrs.endswith("/") and not block and name != "a":
+                continue
+            node, was_out = stack[-1][1], stack[-1][2]
+            if name == "a":
+                node.n_links += not was_out
+            gone = was_out or unwanted(name, attrs, open_["article"] + open_["main"] + open_["section"] > 0)
+            if block:
+                node.blocks += 1
+                node = Node(name, node, gone)
+                nodes.append(node)
+            if name in BOUNDS:
+                items = NO_ITEMS
+            elif block and name != "p":
+                items = (-1, *items[1:])
+            if name in ITEMS:
+                k = ITEMS[name]
+                items = (*items[:k], len(stack), *items[k + 1 :])
+            stack.append((name, node, gone, items))
+            open_[name] += 1
     flush()
-    return out
+    return nodes, out
 
 
-def above(node: Node | None) -> Iterator[Node]:
+def top_of(node: Node, tag: str) -> Node | None:
+    """The highest element of that name that the node is in."""
+    found = None
     while node is not None:
-        yield node
+        found = node if node.tag == tag else found
         node = node.parent
+    return found
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by newlines; empty if there is none."""
-    blocks = blocks_of(html or "")
+    nodes, blocks = blocks_of(html or "")
     if not blocks:
         return ""
-    nodes: dict[int, Node] = {}
     for node, text, linked in blocks:
-        for n in above(node):
-            nodes[id(n)] = n
-            n.size += len(text)
-            n.links += linked
+        node.size += len(text)
+        node.links += linked
         if len(text) < LEAST_CHARS:
             continue
         points = (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-        for level, n in enumerate(above(node.parent if node.tag in PARAGRAPHS and node.parent else node)):
+        # A block without blocks in it is a paragraph, whatever its name.
+        n = node.parent if node.parent is not None and (node.tag in PARAGRAPHS or not node.blocks) else node
+        for level in range(LEVELS):
+            if n is None:
+                break
             n.points += points if level == 0 else points / (2 if level == 1 else 3 * level)
+            n = n.parent
+    for node in reversed(nodes):  # children first
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.links += node.links
+            node.parent.n_links += node.n_links
     score = lambda n: n.points * (1 - n.links / max(1, n.size))
-    best = max(nodes.values(), key=score)  # the first of equals
+    best = max(nodes, key=score)  # the first of equals
     if not score(best):
         # Nothing but short blocks: what the page marks as its article, or all that is left.
-        best = next((n for tag in ("article", "main", "body") for n in nodes.values() if n.tag == tag), best)
-    # An article is whole.
-    best = next((n for n in above(best) if n.tag in ("article", "main")), best)
-    keep = {id(best)}
-    for n in nodes.values():
-        if n is best or n.parent is not best.parent or best.parent is None:
+        best = next((n for tag in ("article", "main", "body") for n in nodes if n.tag == tag and n.size), nodes[0])
+    whole = top_of(best, "article") or top_of(best, "main")  # an article is whole
+    best = whole or best
+    best.kept = True
+    for n in nodes if whole is None and best.parent is not None else ():
+        if n.parent is best.parent and n is not best and not n.out and n.size:
+            density = n.links / n.size
+            if score(n) >= max(10, 0.2 * score(best)) or n.tag in PARAGRAPHS and n.tag != "li" and density < 0.25:
+                n.kept = True
+    gone: set[int] = set()
+    for n in nodes:  # parents first
+        if n.parent is not None:
+            if id(n.parent) in gone or n is not best and n.n_links >= MENU_LINKS and n.tag not in ("p", "li") and n.links >= MENU_DENSITY * n.size:
+                gone.add(id(n))
+            n.kept |= n.parent.kept
+    out, comments = [], None
+    for node, text, _ in blocks:
+        if not node.kept or id(node) in gone:
+            continue
+        if comments is not None and below(node, comments):
             continue
-        density = n.links / max(1, n.size)
-        reads = n.tag in PARAGRAPHS and (n.size > 80 and density < 0.25 or n.tag in ("h1", "h2") and not n.links)
-        if score(n) >= max(10, 0.2 * score(best)) or reads:
-            keep.add(id(n))
-    return "\n".join(text for node, text, _ in blocks if any(id(n) in keep for n in above(node)))
+        comments = node.parent if out and node.tag in HEADINGS and COMMENTS_HEADING.fullmatch(text) else None
+        if comments is None:
+            out.append(text)
+    return "\n".join(out)
+
+
+def below(node: Node, top: Node) -> bool:
+    while node is not None and node is not top:
+        node = node.parent
+    return node is top
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
@@ -191,8 +321,8 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     names are replaced.
 
     Null and empty html have an empty text. Broken markup is read as far as it goes: open
-    elements end with the page, stray ends are passed over. Pages are read where they are, one at
-    a time, without a shuffle; repeated rows are read each.
+    elements end with the page, stray ends are passed over, a tag without an end ends the page.
+    Pages are read where they are, one at a time, without a shuffle; repeated rows are read each.
     """
     kept = small_batches(pages).drop("text", "n_chars")
 
@@ -200,5 +330,6 @@ def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
         for batch in batches:
             yield pd.Series([main_text(x) for x in batch], dtype=object)
 
-    out = kept.withColumn("text", F.pandas_udf(texts, "string")(F.coalesce(html_col, F.lit(""))))
+    # So declared, it is not run once more for every use of its result.
+    out = kept.withColumn("text", F.pandas_udf(texts, "string").asNondeterministic()(F.coalesce(html_col, F.lit(""))))
     return out.withColumn("n_chars", F.length("text").cast("long"))
