@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,24 +11,33 @@ from pyspark.sql.window import Window
 from palimpsest.fixed import FORBIDDEN, SHARED_SLOT, SLOT_PRIORITY
 from palimpsest.functions import text as X
 from palimpsest.operators.rendering import sentence
+from palimpsest.operators.resample import ordinals
 
 POOL = ["relation_id", "coarse_type", "split"]
 CHECKS = (
-    "different_answer_id", "different_answer_norm", "different_from_gold_aliases", "forbidden_char_absent", "forbidden_and_absent",
+    "different_subject_id", "different_answer_id", "different_answer_norm", "different_from_gold_aliases", "forbidden_char_absent", "forbidden_and_absent",
     "token_count_in_range", "char_length_in_range", "char_length_ratio_in_range",
 )
 
 
-def answers(items: DataFrame) -> DataFrame:
-    """Distinct answers per pool: least qa_id and number of rows, with lengths. Both sides of the donor
-    join are these, so rows that share an answer are paired once (same subject implies same answer)."""
-    extra = ["answer_aliases_norm"] if "answer_aliases_norm" in items.columns else []
-    out = items.groupBy(*POOL, "answer_id", "answer_norm", "answer_text", *extra).agg(F.min("qa_id").alias("qa_id"), F.count("*").alias("n_rows"))
-    if not extra:
-        out = out.withColumn("answer_aliases_norm", F.array("answer_norm"))
+#: Donors that are kept of a bucket of equal lengths, and of all buckets around an anchor's: nearly all anchors find theirs among them.
+NEAREST = 16
+
+
+def aliased(items: DataFrame) -> DataFrame:
+    """items with answer_aliases_norm (the answer itself where there is none), subject_id and lengths of the answer."""
+    out = items if "answer_aliases_norm" in items.columns else items.withColumn("answer_aliases_norm", F.array("answer_norm"))
+    if "subject_id" not in items.columns:
+        out = out.withColumn("subject_id", F.lit(None).cast("string"))  # then no two rows have the same
     return out.withColumn("tokens", X.token_count(F.col("answer_norm"))).withColumn("chars", X.char_length(F.col("answer_norm")))
 
 
+def answers(items: DataFrame) -> DataFrame:
+    """Distinct answers per pool: least qa_id, its subject, and number of rows, with lengths."""
+    held = ["answer_id", "answer_norm", "answer_text", "answer_aliases_norm", "tokens", "chars"]
+    return aliased(items).groupBy(*POOL, *held).agg(F.min("qa_id").alias("qa_id"), F.min_by("subject_id", "qa_id").alias("subject_id"), F.count("*").alias("n_rows"))
+
+
 def donor_only() -> dict[str, Column]:
     """Checks that look at the donor alone: they hold below the join."""
     date = F.col("coarse_type") == "date"
@@ -37,22 +48,24 @@ def donor_only() -> dict[str, Column]:
     }
 
 
-def pairs(items: DataFrame, admissible_only: bool = False) -> DataFrame:
-    """Anchor and donor answers of each pool with the named checks."""
+def pairs(items: DataFrame) -> DataFrame:
+    """All pairs of anchor and donor answers of each pool with the named checks (for looking into, not for choosing)."""
     held = answers(items)
     donors = held.withColumns(donor_only())
-    if admissible_only:
-        donors = donors.where(" AND ".join(donor_only()))
     d = donors.select(*POOL, *[F.col(c).alias(f"d_{c}") for c in donors.columns if c not in POOL])
     p = held.join(d, POOL)
     return p.withColumns({
-        "different_answer_id": F.coalesce(F.col("answer_id") != F.col("d_answer_id"), F.lit(True)), "different_answer_norm": F.col("answer_norm") != F.col("d_answer_norm"),
+        "different_subject_id": F.coalesce(F.col("subject_id") != F.col("d_subject_id"), F.lit(True)), "different_answer_id": F.coalesce(F.col("answer_id") != F.col("d_answer_id"), F.lit(True)), "different_answer_norm": F.col("answer_norm") != F.col("d_answer_norm"),
         "different_from_gold_aliases": ~F.array_contains("answer_aliases_norm", F.col("d_answer_norm")),
         **{c: F.col(f"d_{c}") for c in donor_only()},
-        "char_length_ratio_in_range": (F.col("d_chars") / F.col("chars")).between(0.67, 1.5),
+        "char_length_ratio_in_range": ratio_fits(F.col("d_chars"), F.col("chars")),
     })
 
 
+def ratio_fits(donor: Column, own: Column) -> Column:
+    return F.coalesce((donor / own).between(0.67, 1.5), F.lit(False))
+
+
 def admissible() -> Column:
     out = F.lit(True)
     for c in CHECKS:
@@ -60,25 +73,93 @@ def admissible() -> Column:
     return out
 
 
+def _identifier(prefix: str = "") -> Column:
+    return F.coalesce(F.nullif(F.col(f"{prefix}answer_id"), F.lit("")), F.col(f"{prefix}qa_id"))
+
+
+def donors_of(items: DataFrame) -> DataFrame:
+    """Rows that can be a donor at all; of equal answers the first two with different subjects, so one of them suits any anchor."""
+    fine = aliased(items).withColumns(donor_only()).where(" AND ".join(donor_only()))
+    per = fine.groupBy(*POOL, "answer_id", "answer_norm", "answer_text", "tokens", "chars", "subject_id").agg(F.min("qa_id").alias("qa_id"))
+    own = Window.partitionBy(*POOL, "answer_id", "answer_norm", "answer_text").orderBy("qa_id")
+    return per.withColumn("_at", F.row_number().over(own)).where("_at <= 2").drop("_at")
+
+
+def nearest(items: DataFrame, donors: DataFrame) -> DataFrame:
+    """For each pool and (tokens, chars) of an anchor the NEAREST donors in the order of choice, and whether these are all.
+
+    Donors are bounded in length, so a pool has a bounded number of buckets (tokens, chars), and of
+    each only the first NEAREST can be among the nearest of any anchor: what is joined here does
+    not grow with the rows.
+    """
+    bucket = Window.partitionBy(*POOL, "tokens", "chars")
+    place = bucket.orderBy("answer_norm", _identifier(), "qa_id")
+    first = donors.withColumn("_at", F.row_number().over(place)).withColumn("_n", F.count("*").over(bucket)).where(F.col("_at") <= NEAREST)
+    d = first.select(*POOL, "_at", "_n", *[F.col(c).alias(f"d_{c}") for c in ("answer_id", "answer_norm", "answer_text", "subject_id", "qa_id", "tokens", "chars")])
+    lengths = aliased(items).select(*POOL, "tokens", "chars").distinct()
+    met = lengths.join(d, POOL).where(ratio_fits(F.col("d_chars"), F.col("chars")))
+    key = [F.abs(F.col("tokens") - F.col("d_tokens")).alias("t"), F.abs(F.col("chars") - F.col("d_chars")).alias("c"), F.col("d_answer_norm").alias("norm"), _identifier("d_").alias("ident"), F.col("d_qa_id").alias("qa_id")]
+    whole = Window.partitionBy(*POOL, "tokens", "chars")
+    met = met.withColumn("_rank", F.row_number().over(whole.orderBy(F.struct(*key)))).withColumn("_all", F.sum(F.when(F.col("_at") == 1, F.col("_n"))).over(whole)).where(F.col("_rank") <= NEAREST)
+    row = F.struct("_rank", "d_answer_id", "d_answer_norm", "d_answer_text", "d_subject_id", "d_qa_id")
+    return met.groupBy(*POOL, "tokens", "chars").agg(F.sort_array(F.collect_list(row)).alias("near"), (F.first("_all") <= NEAREST).alias("complete"))
+
+
+def _suits(d: Callable[[str], Column]) -> Column:
+    """The checks that look at both rows and not at lengths."""
+    other = lambda c: F.coalesce(F.col(c) != d(c), F.lit(True))
+    return other("subject_id") & other("answer_id") & (F.col("answer_norm") != d("answer_norm")) & ~F.array_contains("answer_aliases_norm", d("answer_norm"))
+
+
 def chosen_donors(items: DataFrame) -> DataFrame:
-    """Per anchor row the admissible donor nearest in tokens, then characters, then by text and id."""
-    near = F.struct(F.abs(F.col("tokens") - F.col("d_tokens")), F.abs(F.col("chars") - F.col("d_chars")), F.col("d_answer_norm"), F.coalesce(F.nullif(F.col("d_answer_id"), F.lit("")), F.col("d_qa_id")), F.col("d_qa_id"))
-    keys = [*POOL, "answer_norm", "answer_text"]
-    best = pairs(items, True).where(admissible()).groupBy(*keys, "answer_id").agg(F.min_by(F.struct("d_qa_id", "d_answer_text", "d_answer_id"), near).alias("donor"))
-    back = best.withColumnRenamed("answer_id", "_id")
-    met = items.join(back, keys).where(F.col("answer_id").eqNullSafe(F.col("_id")))
-    return met.select("qa_id", *POOL, "answer_text", F.col("donor.d_qa_id").alias("donor_qa_id"), F.col("donor.d_answer_text").alias("donor_answer_text"))
+    """Per anchor row the admissible donor nearest in tokens, then characters, then by text and id.
+
+    An anchor meets the list of the nearest donors for its lengths and takes the first that suits.
+    The few that find none there, though there are more, search their whole pool.
+    """
+    donors = donors_of(items)
+    met = aliased(items).join(nearest(items, donors), [*POOL, "tokens", "chars"])
+    met = met.withColumn("donor", F.get(F.filter("near", lambda x: _suits(lambda c: x[f"d_{c}"])), F.lit(0)))
+    out = ["qa_id", *POOL, "answer_text"]
+    found = met.where("donor IS NOT NULL").select(*out, F.col("donor.d_qa_id").alias("donor_qa_id"), F.col("donor.d_answer_text").alias("donor_answer_text"))
+    rest = met.where("donor IS NULL AND NOT complete").drop("near", "complete", "donor")
+    d = donors.select(*POOL, *[F.col(c).alias(f"d_{c}") for c in donors.columns if c not in POOL])
+    wide = rest.join(d, POOL).where(ratio_fits(F.col("d_chars"), F.col("chars")) & _suits(lambda c: F.col(f"d_{c}")))
+    order = F.struct(F.abs(F.col("tokens") - F.col("d_tokens")), F.abs(F.col("chars") - F.col("d_chars")), "d_answer_norm", _identifier("d_"), "d_qa_id")
+    best = wide.groupBy(*out).agg(F.min_by(F.struct("d_qa_id", "d_answer_text"), order).alias("d"))
+    return found.union(best.select(*out, F.col("d.d_qa_id").alias("donor_qa_id"), F.col("d.d_answer_text").alias("donor_answer_text")))
+
+
+def invalid_anchors(items: DataFrame) -> DataFrame:
+    """One row per anchor without a donor: qa_id, pool, donor_pool_size, and by check how many rows of its pool fail it.
+
+    Failures are counted, not listed: per pool for what the donor alone decides, per value for what
+    compares values, and per length for the ratio, so no pair is made.
+    """
+    rows = aliased(items)
+    lone = rows.join(chosen_donors(items).select("qa_id"), "qa_id", "left_anti")
+    failed = lambda c: F.count_if(~c)
+    pools = rows.groupBy(*POOL).agg(F.count("*").alias("donor_pool_size"), *[failed(c).alias(name) for name, c in donor_only().items()])
+    out = lone.join(pools, POOL)
+    for column, name in (("subject_id", "different_subject_id"), ("answer_id", "different_answer_id"), ("answer_norm", "different_answer_norm")):
+        held = rows.where(F.col(column).isNotNull()).groupBy(*POOL, column).agg(F.count("*").alias(name))
+        out = out.join(held, [*POOL, column], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    norms = rows.groupBy(*POOL, F.col("answer_norm").alias("_alias")).agg(F.count("*").alias("_n"))
+    named = lone.select("qa_id", *POOL, F.explode(F.array_distinct("answer_aliases_norm")).alias("_alias")).join(norms, [*POOL, "_alias"])
+    out = out.join(named.groupBy("qa_id").agg(F.sum("_n").alias("different_from_gold_aliases")), "qa_id", "left").withColumn("different_from_gold_aliases", F.coalesce("different_from_gold_aliases", F.lit(0)))
+    lengths = rows.groupBy(*POOL, "chars").agg(F.count("*").alias("_n"))
+    others = lengths.withColumnsRenamed({"chars": "d_chars"})
+    off = lone.select(*POOL, "chars").distinct().join(others, POOL).where(~ratio_fits(F.col("d_chars"), F.col("chars"))).groupBy(*POOL, "chars").agg(F.sum("_n").alias("char_length_ratio_in_range"))
+    out = out.join(off, [*POOL, "chars"], "left").withColumn("char_length_ratio_in_range", F.coalesce("char_length_ratio_in_range", F.lit(0)))
+    family = F.concat(F.lit("qakey_"), F.replace("qa_id", F.lit(":"), F.lit("_"))).alias("family_id")
+    return out.select(family, "qa_id", *POOL, F.lit("no_admissible_donor").alias("skip_reason"), "donor_pool_size", *CHECKS)
 
 
 def failure_counts(items: DataFrame) -> DataFrame:
-    """Over all pairs of the anchors without a donor, how often each check fails; pairs of answers
-    count as often as their donor rows stand, anchors as often as theirs."""
-    p = pairs(items).withColumn("ok", admissible())
-    lone = Window.partitionBy(*POOL, "answer_id", "answer_norm", "answer_text")
-    p = p.withColumn("_any", F.max("ok").over(lone)).where("NOT _any")
-    each = F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("passed")) for c in CHECKS])
-    long = p.select((F.col("n_rows") * F.col("d_n_rows")).alias("w"), F.explode(each).alias("x")).where("NOT x.passed")
-    return long.groupBy(F.col("x.check_name").alias("check_name")).agg(F.sum("w").cast("long").alias("n"))
+    """Over all invalid anchors and the rows of their pools, how often each check fails."""
+    each = F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("n")) for c in CHECKS])
+    long = invalid_anchors(items).select(F.explode(each).alias("x")).select("x.*").where("n > 0")
+    return long.groupBy("check_name").agg(F.sum("n").cast("long").alias("n"))
 
 
 def admissible_value(norm: Column) -> Column:
@@ -116,18 +197,25 @@ def rubric_outcomes(facts: DataFrame) -> DataFrame:
     return out.withColumn("skip_reason", reason)
 
 
+def invalid_entities(facts: DataFrame) -> DataFrame:
+    """A07 for rubrics: one row per entity without a family: ids, skip_reason, source_row_count, and its rows and
+    admissible values by slot as `slot:n`, in order of the slots."""
+    lone = rubric_outcomes(facts).where("skip_reason IS NOT NULL").select("entity_id", "entity_name", "skip_reason")
+    fine = F.count_distinct(F.when(admissible_value(F.col("value_norm")), F.col("value_norm")))
+    per = facts.groupBy("entity_id", "slot").agg(F.count("*").alias("n"), fine.alias("fine"))
+    listed = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", c))), lambda x: F.concat_ws(":", x["slot"], x[c])), ",")
+    counts = per.groupBy("entity_id").agg(F.sum("n").alias("source_row_count"), listed("n").alias("slot_row_counts"), listed("fine").alias("admissible_slot_counts"))
+    return lone.join(counts, "entity_id").select(F.concat(F.lit("biorubric_"), "entity_id").alias("family_id"), "entity_id", "entity_name", "skip_reason", "source_row_count", "slot_row_counts", "admissible_slot_counts")
+
+
 def freeze(df: DataFrame, targets: dict[str, int], id_col: str = "family_id") -> DataFrame:
     """Rows with their place in the split by id, and whether the split's target takes them.
 
-    A place counts the rows before it in finer cells of the hash-free id prefix, so no split is
-    sorted in one task.
+    Places are ordinals: they are counted within ranges of the id, so no split is sorted in one task.
     """
-    cell = F.substring(F.col(id_col), 1, 9)
-    sizes = df.groupBy("split", cell.alias("_cell")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("split").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    placed = df.withColumn("_cell", cell).withColumn("_at", F.row_number().over(Window.partitionBy("split", "_cell").orderBy(id_col))).join(before, ["split", "_cell"])
     goal = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("split")]
-    return placed.withColumn("place", F.col("_before") + F.col("_at")).withColumn("selected", F.coalesce(F.col("place") <= goal, F.lit(False))).drop("_cell", "_at", "_before")
+    placed = ordinals(df, ["split"], id_col).withColumn("place", F.col("ordinal") + 1).drop("ordinal")
+    return placed.withColumn("selected", F.coalesce(F.col("place") <= goal, F.lit(False)))
 
 
 def freeze_stats(frozen: DataFrame) -> DataFrame:

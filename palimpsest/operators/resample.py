@@ -3,57 +3,139 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.operators.metrics import from_sums, sums
 
 NAMES = ("base_acc", "gcf", "gap", "sensitivity_at_base_correct", "invariance_at_base_correct", "underreaction_at_base_correct", "overreaction_at_base_correct", "tie_rate", "order_disagreement")
+#: Ranges of the id within which rows are numbered, at most: so many bounds go into the plan.
+RANGES = 512
+#: Pairs of draws that one row of a plan stands for before it is unfolded.
+BLOCK = 2048
+#: Families that are sent to every task: some 100 bytes each, so 50 MB at most. More are joined by shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def ordinals(families: DataFrame, by: list[str], order: str = "family_id") -> DataFrame:
-    """ordinal 0.. in order of the id within each slice. Without slices the rows are dealt by ranges of the id,
-    numbered within a range, and shifted by the sizes of those before (one number per range to the driver)."""
-    if by:
-        return families.withColumn("ordinal", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
-    dealt = families.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
-    least = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    shift, at = {}, 0
-    for k in sorted(least):
-        shift[k], at = at, at + least[k]
-    if not shift:
-        return families.withColumn("ordinal", F.lit(0))
-    before = F.create_map(*[F.lit(x) for kv in shift.items() for x in kv])
-    return dealt.withColumn("ordinal", F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1 + before[F.col("_range")]).drop("_range")
+    """ordinal 0.. in order of the id within each slice.
+
+    Rows are numbered within ranges of the id, and shifted by the sizes of the ranges before. The
+    bounds are taken once and are part of the plan from then on, so every run of it agrees. Sent to
+    the driver: RANGES bounds at most. Ids that are equal are numbered in no certain order.
+    """
+    parts = min(RANGES, int(families.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = families.select(order).repartitionByRange(parts, order)
+    least = dealt.groupBy(F.spark_partition_id().alias("_part")).agg(F.min(order).alias("_least"))
+    bounds = sorted(r["_least"] for r in least.collect() if r["_least"] is not None)
+    kind = families.schema[order].dataType
+    held = F.array(*[F.lit(b).cast(kind) for b in bounds]) if bounds else F.array().cast(f"array<{kind.simpleString()}>")
+    cell = F.coalesce(F.size(F.filter(held, lambda b: b <= F.col(order))), F.lit(-1))
+    placed = families.withColumn("_cell", cell)
+    sizes = placed.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(order)) - 1
+    return placed.withColumn("_place", place).join(shift, [*by, "_cell"]).withColumn("ordinal", F.col("_before") + F.col("_place")).drop("_cell", "_place", "_before")
+
+
+def hash_draw(rep: Column | str, pair: Column | str) -> Column:
+    """Two numbers of 60 bits: those of draws 2 * pair and 2 * pair + 1 of a replicate, from md5(rep:pair)."""
+    digits = F.md5(F.concat_ws(":", rep, pair).cast("binary"))
+    return F.transform(F.array(F.substring(digits, 1, 15), F.substring(digits, 17, 15)), lambda x: F.conv(x, 16, 10).cast("long"))
 
 
 def hash_draws(families: DataFrame, by: list[str], reps: int) -> DataFrame:
-    """How often each family is drawn in each replicate: (slice, rep, ordinal, times); draw `pos` of a
-    replicate is the family md5(rep:pos) modulo n."""
+    """The draws of every replicate: (slice, rep, ordinal, times = 1), as many as the slice has families.
+
+    Blocks of draws are dealt over the cluster first and unfolded there.
+    """
     n = families.groupBy(*by).agg(F.count("*").alias("n"))
-    draws = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    hit = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "pos").cast("binary")), 1, 15), 16, 10).cast("long") % F.col("n")
-    return draws.groupBy(*by, "rep", hit.alias("ordinal")).agg(F.count("*").alias("times"))
+    pairs = F.floor((F.col("n") + 1) / 2)
+    blocks = n.where("n > 0").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((pairs - 1) / BLOCK))))
+    blocks = blocks.repartition(*by, "rep", "block")
+    first = F.col("block") * BLOCK
+    pair = blocks.withColumn("pair", F.explode(F.sequence(first, F.least(first + (BLOCK - 1), pairs - 1))))
+    drawn = pair.select(*by, "n", "rep", "pair", F.posexplode(hash_draw("rep", "pair")).alias("side", "bits")).where(F.col("pair") * 2 + F.col("side") < F.col("n"))
+    return drawn.select(*by, "rep", (F.col("bits") % F.col("n")).alias("ordinal"), F.lit(1).alias("times"))
+
+
+def _source(key: np.ndarray, pos: int) -> np.random.MT19937:
+    out = np.random.MT19937()
+    out.state = {"bit_generator": "MT19937", "state": {"key": key, "pos": pos}}
+    return out
+
+
+def _draws(source: np.random.MT19937, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the standard library's randrange(n) makes of so many words of its generator: draws, and from which word each.
+
+    A word counts by as many of its highest bits as n has, if they are below n.
+    """
+    x = source.random_raw(words) >> np.uint64(32 - n.bit_length())
+    at = np.flatnonzero(x < n)
+    return x[at].astype(np.int64), at
+
+
+def replicate_states(n: int, reps: int, seed: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The generator's state before each replicate of n draws: the stream is skimmed once, in order, as its definition asks."""
+    if n.bit_length() > 32:
+        raise ValueError("the standard library's draws are for up to 2^32 rows: use hash_draws")
+    *key, pos = random.Random(seed).getstate()[1]
+    source, left, words = _source(np.array(key, dtype=np.uint32), pos), n, min(1 << 18, max(1024, 4 * n))
+    yield np.array(key, dtype=np.uint32), pos
+    made = 1
+    while made < reps:
+        before = source.state["state"]
+        at, done = _draws(source, n, words)[1], 0
+        while left <= len(at) - done and made < reps:
+            done, left = done + left, n
+            there = _source(before["key"], before["pos"])
+            there.random_raw(int(at[done - 1]) + 1)
+            now = there.state["state"]
+            yield now["key"], now["pos"]
+            made += 1
+        left -= len(at) - done
 
 
 def exact_draws(families: DataFrame, reps: int, seed: int) -> DataFrame:
-    """The draws of the standard library's generator, made by the driver: they depend on seed, n and reps only."""
-    n, rng, rows = families.count(), random.Random(seed), {}
-    for rep in range(reps):
-        for _ in range(n):
-            key = (rep, rng.randrange(n))
-            rows[key] = rows.get(key, 0) + 1
-    return families.sparkSession.createDataFrame([(a, b, c) for (a, b), c in rows.items()], "rep int, ordinal long, times long")
+    """The draws of the standard library's generator: (rep, ordinal, times). They depend on seed, n and reps only.
+
+    The driver finds where each replicate begins (one state of 2.5 KB each) at some hundred million
+    draws a second; the draws themselves are made in tasks.
+    """
+    spark, n = families.sparkSession, families.count()
+    schema = "rep int, ordinal long, times long"
+    if not n:
+        return spark.createDataFrame([], schema)
+    states = spark.createDataFrame([(rep, key.tobytes(), pos) for rep, (key, pos) in enumerate(replicate_states(n, reps, seed))], "rep int, key binary, pos int")
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rep, key, pos in zip(batch["rep"], batch["key"], batch["pos"], strict=True):
+                source, left = _source(np.frombuffer(key, dtype=np.uint32), pos), n
+                while left:
+                    values = _draws(source, n, min(1 << 20, 2 * left + 64))[0][:left]
+                    left -= len(values)
+                    ordinal, times = np.unique(values, return_counts=True)
+                    yield pd.DataFrame({"rep": np.full(len(ordinal), rep, dtype=np.int32), "ordinal": ordinal, "times": times})
+
+    return states.repartition("rep").mapInPandas(drawn, schema)
 
 
 def bootstrap(families: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
     """Long (slice, metric, point_estimate, ci_lower, ci_upper); bounds by index, nulls left out.
 
-    Each replicate is a weighed sum over distinct families, never a copy of the rows.
+    Each replicate is a weighed sum over distinct families, never a copy of the rows. Up to
+    BROADCAST_ROWS families are sent to the draws, which then sum where they are made.
     """
     numbered = ordinals(families, by)
+    if families.count() <= BROADCAST_ROWS:
+        numbered = F.broadcast(numbered)
     reps = from_sums(sums(draws.join(numbered, [*by, "ordinal"]), [*by, "rep"], F.col("times")))
     long = lambda df, value: df.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(value)) for m in NAMES])).alias("x")).select(*by, "x.*")
     values = long(reps, "value").groupBy(*by, "metric").agg(F.sort_array(F.collect_list("value")).alias("v"))
@@ -70,7 +152,7 @@ def hash_sample(df: DataFrame, k: int, seed: int, id_col: str) -> DataFrame:
 
 
 def exact_sample(df: DataFrame, k: int, seed: int, id_col: str) -> DataFrame:
-    """O03 as the standard library draws it: ordinals by the driver, rows by a semi-join."""
+    """O03 as the standard library draws it: k ordinals by the driver, rows by a semi-join."""
     numbered = ordinals(df, [], id_col)
     n = df.count()
     if n <= k:

@@ -97,10 +97,10 @@ def split_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("split").agg(F.count("*").alias("n"), F.min("qa_id").alias("first_id"))
 
 
-_PAIRS = f"""{_QA}, a AS (SELECT relation_id, coarse_type, split, answer_id, answer_norm, answer_text, min(qa_id) AS qa_id, count(*) AS n_rows, {tokens_sql('answer_norm')} AS tokens, length(answer_norm) AS chars
+_PAIRS = f"""{_QA}, a AS (SELECT relation_id, coarse_type, split, answer_id, answer_norm, answer_text, min(qa_id) AS qa_id, arg_min(subject_id, qa_id) AS subject_id, count(*) AS n_rows, {tokens_sql('answer_norm')} AS tokens, length(answer_norm) AS chars
   FROM split_items GROUP BY ALL
 ), pairs AS (SELECT a.*, d.qa_id AS d_qa_id, d.answer_id AS d_answer_id, d.answer_norm AS d_answer_norm, d.answer_text AS d_answer_text, d.n_rows AS d_n_rows, d.tokens AS d_tokens, d.chars AS d_chars,
-    a.answer_id <> d.answer_id AS different_answer_id, a.answer_norm <> d.answer_norm AS different_answer_norm, a.answer_norm <> d.answer_norm AS different_from_gold_aliases,
+    a.subject_id <> d.subject_id AS different_subject_id, a.answer_id <> d.answer_id AS different_answer_id, a.answer_norm <> d.answer_norm AS different_answer_norm, a.answer_norm <> d.answer_norm AS different_from_gold_aliases,
     NOT regexp_matches(d.answer_norm, '[,;/|()]') AS forbidden_char_absent, NOT contains(d.answer_norm, ' and ') AS forbidden_and_absent, d.tokens BETWEEN 1 AND 6 AS token_count_in_range,
     d.chars BETWEEN 2 AND 40 AS char_length_in_range, d.chars / a.chars BETWEEN 0.67::DOUBLE AND 1.5::DOUBLE AS char_length_ratio_in_range
   FROM a JOIN a d USING (relation_id, coarse_type, split)
@@ -114,8 +114,21 @@ def donor_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(*_KEYS, *pairing.CHECKS, pairing.admissible().alias("is_admissible"))
 
 
-@query(f"""{_PAIRS}, lone AS (SELECT relation_id, split, answer_norm FROM judged GROUP BY ALL HAVING NOT bool_or(is_admissible)), bad AS (SELECT * FROM judged JOIN lone USING (relation_id, split, answer_norm))
-  SELECT * FROM ({' UNION ALL '.join(f"SELECT '{c}' AS check_name, CAST(sum(n_rows * d_n_rows) AS BIGINT) AS n FROM bad WHERE NOT {c}" for c in pairing.CHECKS)}) WHERE n IS NOT NULL""")
+#: Rows of a pool that fail a check against an anchor row without a donor, pair by pair.
+_INVALID = f"""{_PAIRS}, lone AS (SELECT relation_id, split, answer_norm FROM judged GROUP BY ALL HAVING NOT bool_or(is_admissible)
+), invalid AS (SELECT s.qa_id, s.relation_id, s.coarse_type, s.split, sum(d_n_rows) AS donor_pool_size, {', '.join(f"coalesce(sum(d_n_rows) FILTER (NOT {c}), 0) AS {c}" for c in pairing.CHECKS if c != 'different_subject_id')},
+    (SELECT count(*) FROM split_items o WHERE o.relation_id = s.relation_id AND o.split = s.split AND o.subject_id = s.subject_id) AS different_subject_id
+  FROM split_items s JOIN lone USING (relation_id, split, answer_norm) JOIN judged j ON j.relation_id = s.relation_id AND j.split = s.split AND j.answer_norm = s.answer_norm AND j.answer_id = s.answer_id AND j.answer_text = s.answer_text
+  GROUP BY s.qa_id, s.relation_id, s.coarse_type, s.split, s.subject_id)"""
+
+
+@query(f"""{_INVALID} SELECT 'qakey_' || replace(qa_id, ':', '_') AS family_id, qa_id, relation_id, coarse_type, split, 'no_admissible_donor' AS skip_reason, CAST(donor_pool_size AS BIGINT) AS donor_pool_size,
+  {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in pairing.CHECKS)} FROM invalid""")
+def invalid_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.invalid_anchors(with_split(_items(spark, sf_dir), "qa_id"))
+
+
+@query(f"""{_INVALID} SELECT * FROM ({' UNION ALL '.join(f"SELECT '{c}' AS check_name, CAST(sum({c}) AS BIGINT) AS n FROM invalid" for c in pairing.CHECKS)}) WHERE n > 0""")
 def donor_failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.failure_counts(with_split(_items(spark, sf_dir), "qa_id"))
 
@@ -227,6 +240,14 @@ def rubric_skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.skip_counts(_outcomes(spark, sf_dir))
 
 
+@query(f"""{_RUBRICS}, per AS (SELECT entity_id, slot, count(*) AS n FROM facts GROUP BY ALL), able AS (SELECT entity_id, slot, count(DISTINCT value_norm) AS fine FROM fine GROUP BY ALL
+), counts AS (SELECT entity_id, CAST(sum(n) AS BIGINT) AS source_row_count, string_agg(slot || ':' || n, ',' ORDER BY slot) AS slot_row_counts, string_agg(slot || ':' || coalesce(fine, 0), ',' ORDER BY slot) AS admissible_slot_counts
+    FROM per LEFT JOIN able USING (entity_id, slot) GROUP BY entity_id)
+  SELECT 'biorubric_' || entity_id AS family_id, entity_id, entity_name, skip_reason, source_row_count, slot_row_counts, admissible_slot_counts FROM outcomes JOIN counts USING (entity_id) WHERE skip_reason IS NOT NULL""")
+def invalid_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.invalid_entities(_facts(spark, sf_dir))
+
+
 @query(f"{_RUBRICS} SELECT entity_id, c1_text, c2_text, t1 = t2 AS same_tokens, c1_text = s0 || ' ' || entity_name || verb || f1_text || '.' AS two_sentences FROM outcomes WHERE skip_reason IS NULL")
 def candidate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text is exactly the two sentences."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.fixed import METRICS, SYSTEM_PROMPTS
+from palimpsest.fixed import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED, METRICS, SYSTEM_PROMPTS
 from palimpsest.operators import judging, metrics, resample
 from palimpsest.plans.registry import query
 from palimpsest.sources.tables import orders_of, read, scores
@@ -147,7 +147,7 @@ def position_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.position_preference(p, judging.chosen(p))
 
 
-REPS = 200
+REPS = BOOTSTRAP_REPLICATES
 
 
 def _boot_sql(reps: int, by: str, families: str) -> str:
@@ -158,8 +158,8 @@ def _boot_sql(reps: int, by: str, families: str) -> str:
     points = " UNION ALL ".join(f"SELECT {lead}'{m}' AS metric, {m} AS point_estimate FROM pointmetrics" for m in resample.NAMES)
     return f""", numbered AS (SELECT *, row_number() OVER ({part}ORDER BY family_id) - 1 AS ordinal, count(*) OVER ({part.strip()}) AS total FROM {families}
 ), slices AS (SELECT DISTINCT {lead}total FROM numbered
-), draws AS (SELECT {lead}rep, ('0x' || substr(md5(rep || ':' || pos), 1, 15))::BIGINT % total AS ordinal
-  FROM slices, range({reps}) r(rep), range((SELECT max(total) FROM slices)) q(pos) WHERE pos < total
+), pairs AS (SELECT rep, pair, md5(rep || ':' || pair) AS digits FROM range({reps}) r(rep), range((SELECT (max(total) + 1) // 2 FROM slices)) q(pair)
+), draws AS (SELECT {lead}rep, ('0x' || substr(digits, 1 + 16 * side, 15))::BIGINT % total AS ordinal FROM slices, pairs, range(2) s(side) WHERE 2 * pair + side < total
 ), drawn AS (SELECT * FROM draws JOIN numbered {on}
 ), repmetrics AS ({_metrics_sql('drawn', lead + 'rep')}
 ), pointmetrics AS ({_metrics_sql(families, by)}
@@ -178,7 +178,7 @@ def bootstrap_ci_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = families_of(spark, sf_dir)
-    return resample.bootstrap(f, resample.exact_draws(f, 200, 2026), [])
+    return resample.bootstrap(f, resample.exact_draws(f, REPS, BOOTSTRAP_SEED), [])
 
 
 _BY = ["task_family"]
@@ -192,13 +192,13 @@ def _sliced(spark: SparkSession, sf_dir: str, prompt: str = "standard") -> DataF
 
 def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     strict = _sliced(spark, sf_dir, "strict")
-    ci = resample.bootstrap(strict, resample.hash_draws(strict, _BY, 100), _BY)
+    ci = resample.bootstrap(strict, resample.hash_draws(strict, _BY, REPS), _BY)
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
     ci = ci.groupBy(*_BY).agg(pick("gap", "ci_lower").alias("gap_ci_lower"), pick("gap", "ci_upper").alias("gap_ci_upper"), pick("sensitivity_at_base_correct", "ci_lower").alias("sens_ci_lower"), pick("sensitivity_at_base_correct", "ci_upper").alias("sens_ci_upper"))
     return metrics.strict_delta(metrics.summary(_sliced(spark, sf_dir), _BY), metrics.summary(strict, _BY), ci, _BY, METRICS, F.col("task_family") == "P")
 
 
-_DELTA = f"""{BOTH}{_SLICED}{_SLICED2}{_boot_sql(100, 'task_family', 'fs2')}, m1 AS ({_metrics_sql('fs', 'task_family')}), m2 AS ({_metrics_sql('fs2', 'task_family')}
+_DELTA = f"""{BOTH}{_SLICED}{_SLICED2}{_boot_sql(REPS, 'task_family', 'fs2')}, m1 AS ({_metrics_sql('fs', 'task_family')}), m2 AS ({_metrics_sql('fs2', 'task_family')}
 ), ci AS (SELECT task_family, max(ci_lower) FILTER (metric = 'gap') AS gap_ci_lower, max(ci_upper) FILTER (metric = 'gap') AS gap_ci_upper,
   max(ci_lower) FILTER (metric = 'sensitivity_at_base_correct') AS sens_ci_lower, max(ci_upper) FILTER (metric = 'sensitivity_at_base_correct') AS sens_ci_upper FROM bounds GROUP BY task_family
 ), delta AS (SELECT task_family, {', '.join(f'm1.{m} AS {m}_standard, m2.{m} AS {m}_strict, m2.{m} - m1.{m} AS {m}_delta' for m in METRICS)},
@@ -218,12 +218,12 @@ def strict_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.decision(_delta(spark, sf_dir))
 
 
-@query(f"""{CTE}{_SLICED}{_boot_sql(100, 'task_family', 'fs')} SELECT task_family, CASE WHEN task_family = 'P' THEN 'rubric / standard' ELSE 'keyed / standard' END AS slice_label,
+@query(f"""{CTE}{_SLICED}{_boot_sql(REPS, 'task_family', 'fs')} SELECT task_family, CASE WHEN task_family = 'P' THEN 'rubric / standard' ELSE 'keyed / standard' END AS slice_label,
   metric, point_estimate, ci_lower, ci_upper FROM bounds""")
 def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _sliced(spark, sf_dir)
     label = F.concat(F.when(F.col("task_family") == "P", "rubric").otherwise("keyed"), F.lit(" / standard"))
-    return resample.bootstrap(f, resample.hash_draws(f, _BY, 100), _BY).withColumn("slice_label", label)
+    return resample.bootstrap(f, resample.hash_draws(f, _BY, REPS), _BY).withColumn("slice_label", label)
 
 
 _AUDIT = """, failed AS (SELECT family_id FROM f WHERE gcf_success = 0

@@ -182,6 +182,87 @@ def test_bootstrap_exact(spark):
         assert got[m][1:] == (pytest.approx(v[max(0, int(0.025 * len(v)) - 1)]), pytest.approx(v[min(len(v) - 1, int(0.975 * len(v)))]))
 
 
+def test_bootstrap_draws_are_the_standard_librarys(spark):
+    """Replicates of many sizes, from states found by skimming the stream."""
+    for n in (1, 2, 541, 1024, 70_001):
+        f = spark.range(n)
+        got = {(r["rep"], r["ordinal"]): r["n"] for r in resample.exact_draws(f, 3, 11).groupBy("rep", "ordinal").agg(F.sum("times").alias("n")).collect()}
+        rng, want = random.Random(11), {}
+        for rep in range(3):
+            for _ in range(n):
+                key = (rep, rng.randrange(n))
+                want[key] = want.get(key, 0) + 1
+        assert got == want
+    assert resample.exact_draws(spark.range(0), 3, 11).count() == 0
+
+
+def test_ordinals_of_many_rows(spark, tmp_path):
+    """Every ordinal once and in order of the id, with slices and without, however often the plan runs."""
+    ids = spark.range(400_000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("family_id"), (F.col("id") % 3).alias("part"))
+    ids.repartition(7).write.parquet(str(tmp_path / "ids"))
+    ids = spark.read.parquet(str(tmp_path / "ids"))
+    for by in ([], ["part"]):
+        for _ in range(2):
+            got = resample.ordinals(ids, by).toPandas().sort_values([*by, "family_id"])
+            place = got.groupby(by)["ordinal"] if by else [(0, got["ordinal"])]
+            assert all(x.tolist() == list(range(len(x))) for _, x in place)
+
+
+def test_hash_draws_are_as_many_as_rows(spark):
+    f = spark.createDataFrame([(i, "a" if i < 5 else "b") for i in range(5005)], "family_id long, s string")
+    got = {(r["s"], r["rep"]): (r["n"], r["low"], r["high"]) for r in resample.hash_draws(f, ["s"], 4).groupBy("s", "rep").agg(F.sum("times").alias("n"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(s, r): n for s, n in (("a", 5), ("b", 5000)) for r in range(4)}
+    assert all(0 <= v[1] and v[2] < v[0] for v in got.values())
+
+
+def brute_donors(rows):
+    """Every anchor against every row of its pool, check by check; the choice, or the failures."""
+    chosen, failed = {}, {}
+    for a in rows:
+        pool = [d for d in rows if d["pool"] == a["pool"]]
+        date, best, counts = a["type"] == "date", [], {}
+        for d in pool:
+            n, k = len(d["norm"].split()), len(d["norm"])
+            ok = {
+                "different_subject_id": d["subject"] != a["subject"], "different_answer_id": None in (d["id"], a["id"]) or d["id"] != a["id"], "different_answer_norm": d["norm"] != a["norm"],
+                "different_from_gold_aliases": d["norm"] not in a["aliases"], "forbidden_char_absent": not set(d["norm"]) & set(",;/|()"), "forbidden_and_absent": " and " not in d["norm"],
+                "token_count_in_range": 1 <= n <= (4 if date else 6), "char_length_in_range": (4 <= k <= 20) if date else (2 <= k <= 40), "char_length_ratio_in_range": 0.67 <= k / len(a["norm"]) <= 1.5,
+            }
+            for c, fine in ok.items():
+                counts[c] = counts.get(c, 0) + (not fine)
+            if all(ok.values()):
+                best.append((abs(n - len(a["norm"].split())), abs(k - len(a["norm"])), d["norm"], d["id"] or d["qa"], d["qa"]))
+        if best:
+            chosen[a["qa"]] = min(best)[-1]
+        else:
+            failed[a["qa"]] = (len(pool), counts)
+    return chosen, failed
+
+
+def test_donors_against_all_pairs(spark):
+    """Frequent answers, aliases, missing ids, several rows of a subject, pools of few lengths: choice and failures row by row."""
+    rng = random.Random(4)
+    words = ["ab", "abc", "new york", "old town hall", "x, y", "bread and wine", "zzzz", "qrst", "a much longer answer than all of the others here"]
+    words += [f"{a}{b}" for a in "klm" for b in ("aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh", "ii")]
+    rows = []
+    for i in range(260):
+        norm = "kaa" if rng.random() < 0.4 else rng.choice(words)
+        aliases = [norm, *rng.sample(words, rng.choice([0, 0, 2, 24]))]
+        rows.append({"qa": f"q:{i:04d}", "subject": f"S{rng.randrange(120)}", "pool": (rng.choice(["P1", "P2"]), "date" if rng.random() < 0.3 else "place", rng.choice(["train", "dev"])),
+                     "id": None if rng.random() < 0.2 else f"A{words.index(norm)}", "norm": norm, "aliases": aliases})
+    for r in rows:
+        r["type"] = r["pool"][1]
+    df = spark.createDataFrame([(r["qa"], r["subject"], *r["pool"], r["id"], r["norm"], r["norm"].title(), r["aliases"]) for r in rows],
+        "qa_id string, subject_id string, relation_id string, coarse_type string, split string, answer_id string, answer_norm string, answer_text string, answer_aliases_norm array<string>")
+    chosen, failed = brute_donors(rows)
+    got = {r["qa_id"]: r["donor_qa_id"] for r in pairing.chosen_donors(df).collect()}
+    assert got == chosen and failed
+    lone = {r["qa_id"]: (r["donor_pool_size"], {c: r[c] for c in pairing.CHECKS}) for r in pairing.invalid_anchors(df).collect()}
+    assert lone == failed
+    totals = {r["check_name"]: r["n"] for r in pairing.failure_counts(df).collect()}
+    assert totals == {c: n for c in pairing.CHECKS if (n := sum(f[1][c] for f in failed.values()))}
+
+
 def test_samples(spark):
     df = spark.createDataFrame([(f"f{i:03d}",) for i in range(120)], "family_id string")
     want = sorted(random.Random(5).sample(sorted(f"f{i:03d}" for i in range(120)), 25))
