@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,19 +56,33 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of whole texts that go to a Python worker at once.
-ROWS_A_BATCH = 1000
+#: Rows and bytes of whole texts that go to a Python worker at once.
+ROWS_A_BATCH, BYTES_A_BATCH = 1000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches held to ROWS_A_BATCH rows: batches of whole texts stay small."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    now = int(conf.get(key))
-    if now <= 0 or now > ROWS_A_BATCH:
-        conf.set(key, ROWS_A_BATCH)
+    """df, with the session's Arrow batches held to ROWS_A_BATCH rows and BYTES_A_BATCH bytes: batches of whole texts stay small.
+
+    Spark reads the setting when a plan runs, which is after this returns, so it stays; batches of
+    other queries of the session become smaller too, which changes no result.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_A_BATCH)):
+        now = int(conf.get(key).rstrip("bB"))
+        if now <= 0 or now > most:
+            conf.set(key, most)
     return df
 
 
+def made_in_a_task(rows: DataFrame, make: Callable[[pd.DataFrame], object]) -> object:
+    """What `make` makes of a table of bounded size, in one task; only the pickled result comes to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"made": [pickle.dumps(make(pd.concat(list(batches), ignore_index=True)))]})
+
+    return pickle.loads(rows.repartition(1).mapInPandas(run, "made binary").first()["made"])
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

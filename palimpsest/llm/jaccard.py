@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -216,30 +217,42 @@ def _links(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataF
 def _lists(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataFrame:
     """Lists of nodes with an equal fragment: list, c, node, hub (the member with most in common with others), its degree.
 
-    Any two nodes that link are together in a list. Keys are counted before they meet, so no key is
-    gathered in one task; lists with the same members are one, named by its members.
+    Any two nodes that link are together in a list. Keys are counted first, where they are made, and made
+    once more with their nodes: then only those that occur twice are dealt out. No key is gathered in one
+    task; lists with the same members are one, named by its members.
     """
     sizes = [n for n in range(1, 64) if t.apart(2 * n + 1) > 0]
     least = sizes[0] if sizes else 64  # smaller sets link only with equal ones
 
     # Most copies of equal sets are left out where they are read; the semi-join below drops the rest.
-    shared = rows.sparkSession.sparkContext.broadcast(filter_of(nodes))
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[in_filter(shared.value, batch["h"].to_numpy())]
-            texts = batch["text"].tolist()
-            for a, b in in_chunks(texts):
-                out = []
-                for node, s in zip(batch["doc_id"].iloc[a:b], shingle_sets(texts[a:b], width), strict=True):
-                    for c in classes_of(len(s), t) if len(s) >= least else ():
-                        k, spare = keys_of(s, c, t)
-                        out.append((np.full(len(k), node), np.full(len(k), spare << 6 | c, dtype=np.int32), k))
-                if out:
-                    yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(("node", "kind", "key"), zip(*out, strict=True), strict=True)})
-
-    keys = cut(rows.withColumn("h", filter_place("doc_id", shared.value)).mapInPandas(keyed, "node long, kind int, key long"))
-    often = keys.groupBy("key").agg(F.count("*").alias("often"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "often")
+    spark = rows.sparkSession
+    of_nodes = spark.sparkContext.broadcast(filter_of(nodes))
+    rows = rows.withColumn("h", filter_place("doc_id", of_nodes.value))
+
+    def keyed(shared: Broadcast | None) -> Callable:
+        """Keys alone, or those that pass a filter of the shared ones, with their node and kind."""
+
+        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch = batch[in_filter(of_nodes.value, batch["h"].to_numpy())]
+                texts = batch["text"].tolist()
+                for a, b in in_chunks(texts):
+                    out = []
+                    for node, s in zip(batch["doc_id"].iloc[a:b], shingle_sets(texts[a:b], width), strict=True):
+                        for c in classes_of(len(s), t) if len(s) >= least else ():
+                            k, spare = keys_of(s, c, t)
+                            if shared is not None:
+                                k = k[in_filter(shared.value, k & (8 * len(shared.value) - 1))]
+                            out.append((k, np.full(len(k), node), np.full(len(k), spare << 6 | c, dtype=np.int32)))
+                    if out:
+                        key, node, kind = (np.concatenate(x) for x in zip(*out, strict=True))
+                        yield pd.DataFrame({"key": key} if shared is None else {"node": node, "kind": kind, "key": key})
+
+        return made
+
+    often = cut(rows.mapInPandas(keyed(None), "key long").groupBy("key").agg(F.count("*").alias("often")).where("often > 1"))
+    shared = spark.sparkContext.broadcast(filter_of(often, "key", hashed=False))
+    keys = rows.mapInPandas(keyed(shared), "node long, kind int, key long")
     # The most frequent go, as many as the set may leave out.
     own = Window.partitionBy("node", "kind").orderBy(F.desc("often"), F.desc("key"))
     rare = keys.join(often, "key").withColumn("at", F.row_number().over(own)).where(F.col("at") > F.shiftright("kind", 6))
@@ -281,15 +294,18 @@ def filter_place(c: str, bits: bytes) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(8 * len(bits)))
 
 
-def filter_of(wanted: DataFrame) -> bytes:
-    """A filter over the column node: all of its ids pass, and a few others; the more, the further their number is over MOST_BITS / BITS_AN_ID."""
+def filter_of(wanted: DataFrame, column: str = "node", hashed: bool = True) -> bytes:
+    """A filter over a column of longs: all of them pass, and a few others; the more, the further their number is over MOST_BITS / BITS_AN_ID.
+
+    hashed: a hash of the value tells its place; else its own lowest bits do.
+    """
     n_bits = LEAST_BITS
     wish = BITS_AN_ID * wanted.count()
     while n_bits < min(wish, MOST_BITS):
         n_bits *= 2
     size = 1 << 15
-    h = F.pmod(F.xxhash64("node"), F.lit(n_bits))
-    parts = wanted.groupBy(F.floor(h / size).alias("k")).agg(F.bitmap_construct_agg(h % size).alias("bits")).collect()  # MOST_BITS at most
+    h = F.pmod(F.xxhash64(column) if hashed else F.col(column), F.lit(n_bits))
+    parts = wanted.groupBy(F.floor(h / size).alias("k")).agg(F.bitmap_construct_agg(h % size).alias("bits")).toLocalIterator()  # MOST_BITS at most
     bits = bytearray(n_bits // 8)
     for r in parts:
         bits[r["k"] * size // 8 : r["k"] * size // 8 + len(r["bits"])] = r["bits"]
