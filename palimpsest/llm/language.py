@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import in_chunks, small_batches
+from palimpsest.llm.common import in_chunks, made_in_a_task, small_batches
 from palimpsest.llm.words import Words, buckets
 
 UNKNOWN = "und"
@@ -264,22 +264,27 @@ def fit_languages(docs: DataFrame, *, learn: Column | None = None, sample: int =
     """Train on at most `sample` rows of each language, the first by a hash of id and text among a share
     of all rows that is drawn by it; repeated rows count once. None if there is no labelled row.
 
-    Sent to the driver: a row per language, and `sample` texts of each at most.
+    One task trains on `sample` texts of each language at most. Sent to the driver: a row per language, and the model.
     """
     own = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     own = own if learn is None else own.where(learn)
-    sizes = {r[0]: r[1] for r in own.groupBy(lang_col).count().collect()}  # one row per language
+    place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(23))
+    sizes = {r[0]: max(1, r[1]) for r in own.groupBy(lang_col).agg(F.approx_count_distinct(place)).collect()}  # one row per language
     if not sizes:
         return None
     # A share of each language a little above the sample; the rest is cut off by rank.
-    place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(23))
     hashed = F.pmod(place, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.2 * sample / n))]), F.col(lang_col))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.3 * sample / n))]), F.col(lang_col))
     drawn = own.where(hashed < share).select(F.col(lang_col).alias("_lang"), place.alias("_place"), F.col(text_col).alias("_text"))
     drawn = drawn.groupBy("_lang", "_place").agg(F.first("_text").alias("_text"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_place"))
-    rows = drawn.withColumn("_at", rank).where(F.col("_at") <= sample).select("_text", "_lang", "_place").toPandas().sort_values(["_lang", "_place"])
-    return train(rows["_text"].tolist(), rows["_lang"].tolist())
+    rows = drawn.withColumn("_at", rank).where(F.col("_at") <= sample).select("_text", "_lang", "_place")
+
+    def trained(held: pd.DataFrame) -> Model:
+        held = held.sort_values(["_lang", "_place"])
+        return train(held["_text"].tolist(), held["_lang"].tolist())
+
+    return made_in_a_task(rows, trained)
 
 
 SPANS = "array<struct<start:long,length:long,lang:string>>"

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import in_chunks, small_batches
+from palimpsest.llm.common import cut, in_chunks, made_in_a_task, small_batches
 from palimpsest.llm.words import Words, buckets
 
 CUT = 0.7
@@ -236,7 +236,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, learn: Column | None = N
 
     learn: which rows of labels may be learned from. A document with several labels is toxic if
     any says so; of several texts the least counts; null labels, ids without a document and null texts
-    are passed over. Without both classes there is nothing to learn: None. Sent to the driver: 2 * sample texts at most.
+    are passed over. Without both classes there is nothing to learn: None. One task trains on 2 * sample texts
+    at most; the model goes to the driver.
     """
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     own = (own if learn is None else own.where(learn)).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("_y"))
@@ -244,11 +245,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, learn: Column | None = N
     picked = own.where("_y = 1").orderBy(*order).limit(sample).union(own.where("_y = 0").orderBy(*order).limit(sample))
     # At most 2 * sample ids.
     met = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).where(F.col(text_col).isNotNull())
-    rows = met.groupBy("_id", "_y").agg(F.min(F.struct(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))).alias("_r")).select("_id", "_y", "_r.*").toPandas().sort_values("_id")
-    rows = rows.iloc[np.argsort(pd.util.hash_array(rows["_id"].to_numpy()), kind="stable")]
-    if rows["_y"].nunique() < 2:
+    rows = cut(met.groupBy("_id", "_y").agg(F.min(F.struct(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))).alias("_r")).select("_id", "_y", "_r.*"))
+    if rows.select("_y").distinct().count() < 2:
         return None
-    return train(rows["_text"].tolist(), rows["_y"].to_numpy(), [x if isinstance(x, str) else None for x in rows["_lang"]])
+
+    def trained(held: pd.DataFrame) -> Model:
+        held = held.sort_values("_id")
+        held = held.iloc[np.argsort(pd.util.hash_array(held["_id"].to_numpy()), kind="stable")]
+        return train(held["_text"].tolist(), held["_y"].to_numpy(), [x if isinstance(x, str) else None for x in held["_lang"]])
+
+    return made_in_a_task(rows, trained)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
