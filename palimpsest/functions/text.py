@@ -18,16 +18,15 @@ def normalize(text: Column) -> Column:
 
 
 def normalize_exact(df: DataFrame, column: str, into: str) -> DataFrame:
-    """X01 for any text. Only rows beyond ASCII pass through Python for NFKC; the others stay in the JVM."""
-    plain = F.col(column).isNull() | F.col(column).rlike(r"^\p{ASCII}*$")
+    """X01 for any text, in one pass over the rows. Only texts beyond ASCII go to Python for NFKC; others pass as nulls."""
+    text = F.col(column)
+    plain = F.octet_length(text) == F.length(text)
 
     @F.pandas_udf("string")
     def composed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
-    ascii_ = df.where(plain).withColumn(into, normalize(F.col(column)))
-    other = df.where(~plain).withColumn(into, normalize(composed(F.col(column))))
-    return ascii_.unionByName(other)
+    return df.withColumn(into, normalize(F.coalesce(composed(F.when(~plain, text)), text)))
 
 
 def token_count(norm: Column) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime
-import hashlib
+import os
+import random
 import re
+import socket
+import subprocess
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
@@ -19,7 +22,7 @@ class RunError(ValueError):
 
 @dataclass(frozen=True)
 class Slice:
-    """What must agree for a ledger to be continued."""
+    """What must agree for a ledger to be continued (code_version is only told)."""
 
     run_id: str
     task_family: str
@@ -28,7 +31,11 @@ class Slice:
     split: str
     dataset_sha256: str
     config_fingerprint: str
-    code_version: str = "unknown"
+    milestone: str = ""
+    dataset_path: str = ""
+    prompt_version: str = ""
+    scoring_version: str = ""
+    code_version: str = ""
 
 
 def slug(text: str) -> str:
@@ -66,15 +73,39 @@ def check_targets(targets: dict[str, int]) -> None:
         raise RunError(f"targets must be positive for {', '.join(SPLITS)}: {targets}")
 
 
-def queue_digest(families: DataFrame, id_col: str = "family_id") -> dict:
-    """Number and ordered digest of the ids: per-range digests of ids in order, then one over them.
+def code_version(folder: str = ".") -> str:
+    """The commit that runs, or a marker where there is none."""
+    try:
+        done = subprocess.run(["git", "rev-parse", "HEAD"], cwd=folder, check=True, capture_output=True, text=True, timeout=30)
+    except (OSError, subprocess.SubprocessError):
+        return "not_a_git_repo"
+    return done.stdout.strip()
 
-    Sent to the driver: a digest per prefix of the ids' hashes (4096 at most), never the ids.
+
+def attempt_id() -> str:
+    """Time, host, process and a random end."""
+    now = datetime.datetime.now(datetime.UTC).strftime("%Y%m%dT%H%M%SZ")
+    return f"{now}__{socket.gethostname()}__pid{os.getpid()}__{random.getrandbits(24):06x}"
+
+
+def dataset_path(task_family: str, split: str, root: str = "data/processed") -> str:
+    """X21."""
+    folders = {"qa_key": "qakey", "biorubric": "biorubric"}
+    if task_family not in folders:
+        raise RunError(f"unknown task {task_family!r}")
+    return f"{root}/{folders[task_family]}/{split}_families.jsonl"
+
+
+def queue_digest(families: DataFrame, order_col: str = "ordinal", id_col: str = "family_id") -> dict:
+    """Number of queued ids, and a digest of which id stands at which place: another order is another digest.
+
+    Every row hashes its place with its id, and sums and exclusive ors of the hashes do not depend on
+    where rows are; two numbers of 64 bits go to the driver. Without order_col ids have no places.
     """
-    cell = F.substring(F.sha2(F.col(id_col), 256), 1, 3)
-    parts = families.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(id_col)), "\n"), 256).alias("d")).collect()
-    parts = sorted((r["cell"], r["n"], r["d"]) for r in parts)
-    return {"n": sum(n for _, n, _ in parts), "digest": hashlib.sha256("".join(d for _, _, d in parts).encode()).hexdigest()}
+    row = [F.col(order_col) if order_col in families.columns else F.lit(None).cast("long"), F.col(id_col)]
+    one, two = F.xxhash64(*row), F.xxhash64(*row, F.lit(1))
+    r = families.agg(F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"), F.sum(F.pmod(one, F.lit(1 << 31))).alias("s")).first()
+    return {"n": r["n"], "digest": f"{(r['x'] or 0) & (1 << 64) - 1:016x}{(r['y'] or 0) & (1 << 64) - 1:016x}{r['s'] or 0:x}"}
 
 
 def manifest(spec: Slice, families: DataFrame) -> dict:
@@ -82,7 +113,23 @@ def manifest(spec: Slice, families: DataFrame) -> dict:
 
 
 def check_resume(saved: dict, spec: Slice, families: DataFrame) -> None:
-    """Identity, number of families and their ids must agree with the ledger's manifest."""
+    """Identity, number of families and their ids in the order of the queue must agree with the ledger's manifest."""
     now = manifest(spec, families)
-    if differs := sorted(k for k in now if saved.get(k) != now[k]):
+    if differs := sorted(k for k in now if k != "code_version" and saved.get(k) != now[k]):
         raise RunError(f"the ledger belongs to another run: {', '.join(differs)} differ")
+
+
+def status(run: dict, counts: dict, ledger: str) -> dict:
+    """A snapshot of one run: its identity, its state and how many families are where."""
+    keys = ("run_id", "state", "phase", "task_family", "split", "model_id", "prompt_id", "dataset_sha256")
+    return {k: run.get(k) for k in keys} | {"total_families": run.get("queue", {}).get("n")} | counts | {"ledger": ledger}
+
+
+def matrix_status(runs: list[dict]) -> dict:
+    """All slices of a matrix: how many are in each state, and families completed of all."""
+    states: dict[str, int] = {}
+    for r in runs:
+        key = r.get("state") or "MISSING"
+        states[key] = states.get(key, 0) + 1
+    total, done = (sum(r.get(k) or 0 for r in runs) for k in ("total_families", "complete"))
+    return {"n_slices": len(runs), "states": dict(sorted(states.items())), "total_families": total, "completed_families": done}

@@ -1,4 +1,4 @@
-"""Models over prompts: the plug-in point and a recorded stand-in."""
+"""Models over prompts: the plug-in point and a recorded stand-in."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.judging import family_results, variant_results
+
 #: A scorer takes prefixes and gives the log probabilities of the labels A and B.
 Scorer = Callable[[list[str]], list[tuple[float, float]]]
 
@@ -39,3 +41,25 @@ def mirrored(scored: DataFrame) -> DataFrame:
     pick = lambda order, c: F.max(F.when(order, F.col(c)))
     return scored.groupBy("family_id", "variant_id", "gold_winner_cid").agg(
         pick(ab, "score_a").alias("scores_ab_c1"), pick(ab, "score_b").alias("scores_ab_c2"), pick(~ab, "score_b").alias("scores_ba_c1"), pick(~ab, "score_a").alias("scores_ba_c2"))
+
+
+def score_by_model(prompts: DataFrame, loaders: dict[str, Callable[[], Scorer]], batch: int = 64) -> DataFrame:
+    """Prompts with model_id, those of each model scored by its own; a worker holds one model at a time.
+
+    A prompt whose model has no loader is an error.
+    """
+    known = F.col("model_id").isin(*loaders)
+    checked = prompts.withColumn("model_id", F.when(known, F.col("model_id")).otherwise(F.raise_error(F.concat(F.lit("no loader for model "), F.coalesce("model_id", F.lit("null"))))))
+    out = None
+    for model, load in sorted(loaders.items()):
+        part = score(checked.where(F.col("model_id") == model), load, batch)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no model to score with")
+    return out
+
+
+def evaluate(prompts: DataFrame, load: Callable[[], Scorer], batch: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Prompts of both orders (family_id, variant_id, gold_winner_cid, order_id, prefix) to variant and family results."""
+    variants = variant_results(mirrored(score(prompts, load, batch)))
+    return variants, family_results(variants)

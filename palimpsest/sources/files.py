@@ -82,9 +82,12 @@ def read_groups(spark: SparkSession, roots: dict[str, str], name: str, columns:
     return out
 
 
-def read_family_files(spark: SparkSession, root: str, schema: T.StructType, pattern: str = "*families*.jsonl") -> DataFrame:
-    """Families of all files below root whose name fits."""
-    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(root).withColumn("file_name", F.col("_metadata.file_name"))
+def read_family_files(spark: SparkSession, root: str, schema: T.StructType, pattern: str = "*families*.jsonl", task: str | None = None) -> DataFrame:
+    """Families of all files below root whose name fits, with file_name; with a task, a family that breaks its contract is an error."""
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(root)
+    if task is not None:
+        validated(df, validate.family(task))
+    return df.withColumn("file_name", F.col("_metadata.file_name"))
 
 
 def load_config(path: str | Path) -> dict:

@@ -1,0 +1,104 @@
+"""Pause and progress of a running judge (T04, T05, M07): driver-side state, told after each batch."""
+
+from __future__ import annotations
+
+import signal
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from pathlib import Path
+
+from palimpsest.operators.runs import utc_now
+from palimpsest.sources.sinks import write_json
+
+
+class Control:
+    """Asks a run to pause: on a file that appears, on a signal, or after so many families of this attempt.
+
+    A second signal asks to give up at once. The run looks between batches, so a batch is whole or
+    has not been.
+    """
+
+    def __init__(self, stop_file: str | Path | None = None, stop_after: int | None = None) -> None:
+        self.stop_file, self.stop_after = Path(stop_file) if stop_file else None, stop_after
+        self.done, self.requested, self.aborted = 0, False, False
+
+    def install(self) -> None:
+        for name in ("SIGINT", "SIGTERM"):
+            signal.signal(getattr(signal, name), lambda *_: self.signalled())
+
+    def signalled(self) -> None:
+        self.aborted, self.requested = self.requested, True
+
+    def __call__(self) -> bool:
+        """Whether to pause before the next batch."""
+        if self.aborted:
+            raise KeyboardInterrupt("asked to stop twice")
+        if self.stop_file is not None and self.stop_file.exists():
+            self.requested = True
+        if self.stop_after is not None and self.done >= self.stop_after:
+            self.requested = True
+        return self.requested
+
+    def paused(self) -> None:
+        """The run has paused: the file has done its work."""
+        if self.stop_file is not None:
+            self.stop_file.unlink(missing_ok=True)
+        self.requested = False
+
+
+@dataclass
+class Heartbeat:
+    """Smoothed rates, time to go and a stall flag, written as a small JSON file after each change.
+
+    Rates go 0.8 old, 0.2 new. A run is stalled if nothing came for over 120 s and over five times
+    the time that a prompt is expected to take.
+    """
+
+    path: str
+    identity: dict = field(default_factory=dict)
+    clock: Callable[[], float] = time.time
+    state: str = "RUNNING"
+    completed: int = 0
+    pending: int = 0
+    prompts_per_s: float = 0.0
+    families_per_hour: float = 0.0
+    stop_requested: bool = False
+    last_family_id: str | None = None
+
+    def __post_init__(self) -> None:
+        self.last_step = self.clock()
+        self.last_commit: float | None = None
+
+    @staticmethod
+    def smoothed(old: float, new: float) -> float:
+        return new if old == 0.0 else 0.8 * old + 0.2 * new
+
+    def committed(self, families: int, prompts: int, last_family_id: str | None = None) -> None:
+        """A batch stands in the ledger."""
+        now = self.clock()
+        self.prompts_per_s = self.smoothed(self.prompts_per_s, prompts / max(now - self.last_step, 1e-6)) if prompts else self.prompts_per_s
+        if self.last_commit is not None and now > self.last_commit and families:
+            self.families_per_hour = self.smoothed(self.families_per_hour, 3600.0 * families / (now - self.last_commit))
+        self.last_step = self.last_commit = now
+        self.completed += families
+        self.pending = max(0, self.pending - families)
+        self.last_family_id = last_family_id or self.last_family_id
+        self.write()
+
+    def set_state(self, state: str) -> None:
+        self.state = state
+        self.write()
+
+    def snapshot(self) -> dict:
+        still = max(0.0, self.clock() - self.last_step)
+        expected = 1.0 / self.prompts_per_s if self.prompts_per_s > 0 else None
+        eta = int(self.pending / (self.families_per_hour / 3600.0)) if self.families_per_hour > 0 and self.pending > 0 else None
+        return self.identity | {
+            "state": self.state, "completed_families": self.completed, "pending_families": self.pending, "last_completed_family_id": self.last_family_id,
+            "families_per_hour_ewma": self.families_per_hour, "prompt_instances_per_sec_ewma": self.prompts_per_s, "eta_seconds": eta, "stall_seconds": still,
+            "stalled": expected is not None and still > max(120.0, 5.0 * expected), "stop_requested": self.stop_requested, "updated_at": utc_now(),
+        }
+
+    def write(self) -> None:
+        write_json(self.snapshot(), self.path)

@@ -1,8 +1,9 @@
-"""The resumable judge run: a stream over family files into an append-only ledger."""
+"""The resumable judge run: a stream over family files into an append-only ledger."""
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -10,44 +11,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.streaming.control import Control
+
 
 class Locked(RuntimeError):
     """Another writer holds the run."""
 
 
 class Lock:
-    """One writer per run; force takes over."""
+    """One writer per run. The file names its holder; force takes over, and who was taken over from leaves the file alone."""
 
-    def __init__(self, path: str | Path, force: bool = False) -> None:
-        self.path, self.force = Path(path), force
+    def __init__(self, path: str | Path, force: bool = False, holder: str | None = None) -> None:
+        self.path, self.force, self.holder = Path(path), force, holder or f"{os.getpid()}-{uuid.uuid4().hex}"
 
     def __enter__(self) -> Lock:
         self.path.parent.mkdir(parents=True, exist_ok=True)
         flags = os.O_CREAT | os.O_WRONLY | (os.O_TRUNC if self.force else os.O_EXCL)
         try:
-            os.close(os.open(self.path, flags))
+            handle = os.open(self.path, flags)
         except FileExistsError:
-            raise Locked(str(self.path)) from None
+            raise Locked(f"{self.path} is held by {self.path.read_text()}") from None
+        with os.fdopen(handle, "w") as out:
+            out.write(self.holder)
         return self
 
+    def held(self) -> bool:
+        try:
+            return self.path.read_text() == self.holder
+        except FileNotFoundError:
+            return False
+
     def __exit__(self, *_: object) -> None:
-        self.path.unlink(missing_ok=True)
+        if self.held():
+            self.path.unlink()
 
 
-def run(spark: SparkSession, families: str, schema: T.StructType, judge: Callable[[DataFrame], DataFrame], ledger: str, *, files_per_batch: int = 1, stop: Callable[[], bool] = lambda: False) -> str:
+def run(spark: SparkSession, families: str, schema: T.StructType, judge: Callable[[DataFrame], DataFrame], ledger: str, *, files_per_batch: int = 1, stop: Callable[[], bool] | Control = lambda: False, progress: Callable[[int, int], None] | None = None) -> str:
     """Judge all family files that the ledger has not seen; COMPLETED, or PAUSED after a stop request.
 
     A batch commits one nested row per family (prompts and variants inside) into its own folder and
     overwrites it when it is replayed, so the three grains stand or fall together and a crash
-    between batches loses or repeats nothing. The stream's checkpoint is the queue.
+    between batches loses or repeats nothing. The stream's checkpoint is the queue. progress (M07) is
+    told the number of each batch and of its families.
     """
-    paused = []
+    paused, aborted = [], []
+    counted = progress is not None or isinstance(stop, Control)
 
     def commit(batch: DataFrame, number: int) -> None:
-        if stop():
+        try:
+            asked = stop()
+        except KeyboardInterrupt:
+            aborted.append(number)
+            raise
+        if asked:
             paused.append(number)
             raise InterruptedError("stop requested")
-        judge(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{ledger}/rows/batch_no={number:09d}")
+        path = f"{ledger}/rows/batch_no={number:09d}"
+        judge(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(path)
+        if counted:
+            n = spark.read.parquet(path).count()
+            if isinstance(stop, Control):
+                stop.done += n
+            if progress is not None:
+                progress(number, n)
 
     query = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(families)
@@ -56,8 +82,12 @@ def run(spark: SparkSession, families: str, schema: T.StructType, judge: Callabl
     try:
         query.awaitTermination()
     except Exception:
+        if aborted:
+            raise KeyboardInterrupt("the run was given up") from None
         if not paused:
             raise
+        if isinstance(stop, Control):
+            stop.paused()
         return "PAUSED"
     return "COMPLETED"
 
@@ -67,3 +97,15 @@ def results(spark: SparkSession, ledger: str) -> DataFrame:
     rows = spark.read.parquet(f"{ledger}/rows")
     rest = [c for c in rows.columns if c not in ("family_id", "batch", "batch_no")]
     return rows.groupBy("family_id").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("family_id", "_r.*")
+
+
+def scan(spark: SparkSession, ledger: str, grain: str = "family") -> DataFrame:
+    """Rows of one grain in order, for export: families by id, `variants` and `prompts` (arrays of the nested row) by
+    id, variant and order of display."""
+    held = results(spark, ledger)
+    if grain == "family":
+        return held.drop("variants", "prompts").orderBy("family_id")
+    if grain not in ("variant", "prompt"):
+        raise ValueError("the grain is family, variant or prompt")
+    out = held.select("family_id", F.explode(f"{grain}s").alias("_x")).select("family_id", "_x.*")
+    return out.orderBy("family_id", "variant_id", *(["order_id"] if grain == "prompt" else []))

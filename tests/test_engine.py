@@ -369,25 +369,185 @@ def test_retry():
         def read(self):
             return b'{"ok": 1}'
 
-    def opener(url):
+    def opener(url, timeout):
+        assert timeout == 60
         code = codes.pop(0)
+        if code == "late":
+            raise TimeoutError
         if code != 200:
             raise urllib.error.HTTPError(url, code, "", {"Retry-After": "20"}, None)
         return Answer()
 
     assert paged.get_json("u", opener=opener, sleep=waits.append) == {"ok": 1}
     assert waits == [20, 2]
+    codes[:] = ["late", 200]
+    assert paged.get_json("u", opener=opener, sleep=waits.append) == {"ok": 1} and waits[-1] == 1
+    codes[:] = ["late"] * 2
+    with pytest.raises(TimeoutError):
+        paged.get_json("u", tries=2, opener=opener, sleep=waits.append)
     codes[:] = [404]
     with pytest.raises(urllib.error.HTTPError):
         paged.get_json("u", opener=opener, sleep=waits.append)
 
 
 def test_paged_source(spark, tmp_path):
-    for k in range(3):
-        (tmp_path / f"p{k * 2}.json").write_text(json.dumps({"query": {"search": [{"id": 2 * k + i} for i in range(2 if k < 2 else 0)]}}))
+    """Recorded pages: it goes on where an answer says, and stops at a short page, an empty one, or the last allowed."""
+
+    def page(name, titles, follow=None):
+        held = {"query": {"search": [{"title": t} for t in titles]}} | ({"continue": {"sroffset": follow}} if follow is not None else {})
+        (tmp_path / f"{name}.json").write_text(json.dumps(held))
+
+    page("a-0", ["Q3", "Q1"], 7)
+    page("a-7", ["Q2", "Talk:x"], 9)
+    page("a-9", ["Q3"])
+    page("a-11", ["Q99"])
+    page("b-0", ["Q5", "Q6"])
+    page("b-2", [])
+    page("c-0", ["Q7", "Q8"], 2)
+    page("c-2", ["Q9", "Q10"], 4)
+    page("c-4", ["Q11", "Q12"], 6)
     spark.dataSource.register(paged.PagedSource)
-    df = spark.read.format("paged").option("url", f"file://{tmp_path}/p{{offset}}.json").option("pages", 3).option("page_size", 2).option("rows", "query.search").load()
-    assert sorted(json.loads(r["row"])["id"] for r in df.collect()) == [0, 1, 2, 3]
+    read = spark.read.format("paged").option("url", f"file://{tmp_path}/{{query}}-{{offset}}.json").option("page_size", 2).option("rows", "query.search").option("next", "continue.sroffset")
+    ids = lambda queries, pages: [r[0] for r in paged.entity_ids(read.option("queries", json.dumps(queries)).option("pages", pages).load()).collect()]
+    assert ids(["a"], 5) == ["Q1", "Q2", "Q3"] and ids(["b"], 5) == ["Q5", "Q6"] and ids(["c"], 2) == ["Q10", "Q7", "Q8", "Q9"]
+    assert ids(["a", "b"], 5) == ["Q1", "Q2", "Q3", "Q5", "Q6"]
+    assert paged.PagedReader({"page_size": "500"}).size == 50 and len(paged.PagedReader({"ids": ",".join(f"Q{i % 60}" for i in range(200))}).partitions()) == 2
+    with pytest.raises(ValueError, match="positive"):
+        paged.PagedReader({"pages": "0"})
+
+
+def test_entities_and_bindings(spark, tmp_path):
+    held = {"entities": {"Q1": {"id": "Q1", "labels": {}}, "Q2": {"id": "Q2", "missing": ""}, "Q9": {"id": "Q9"}}}
+    reader = paged.PagedReader({"url": "u/{ids}", "ids": "Q3,Q1,Q2,Q1", "rows": "entities"})
+    reader.ask = lambda url: held if url == "u/Q1%7CQ2%7CQ3" else None
+    assert [k for k, _ in reader.read(reader.partitions()[0])] == ["Q1"]
+    v = lambda **b: json.dumps({k: {"value": x} for k, x in b.items()})
+    e = "http://www.wikidata.org/entity/"
+    rows = [v(subject=f"{e}Q1", subjectLabel=" Ada ", object=f"{e}Q7", objectLabel="London"), v(subject=f"{e}Q1", subjectLabel="Ada", object=f"{e}Q7", objectLabel="London"), v(subject=f"{e}Q2", object=f"{e}Q7", objectLabel="London"), v(subject=f"{e}Q3", subjectLabel="C", object="_:blank", objectLabel="x")]
+    pages = spark.createDataFrame([("q", r) for r in rows], "query string, row string")
+    got = [tuple(r) for r in paged.relation_rows(pages, "P19").select("subject_id", "subject_text", "object_id", "object_text", "source_ref").collect()]
+    assert got == [("Q1", "Ada", "Q7", "London", "wikidata:Q1:P19:Q7")]
+    assert paged.relation_rows(pages, "P19", labelled=False).count() == 2
+    dates = spark.createDataFrame([("q", v(subject=f"{e}Q1", subjectLabel="Ada", time="+1815-12-10T00:00:00Z", precision="11")), ("q", v(subject=f"{e}Q2", subjectLabel="B", time="bad"))], "query string, row string")
+    assert [(r["object_id"], r["object_text"]) for r in paged.relation_rows(dates, "P569", dates=True).collect()] == [(None, "1815-12-10")]
+    assert paged.search_query("P19", "Q5") == "haswbstatement:P31=Q5 haswbstatement:P19"
+    assert "wd:Q1 wd:Q2" in paged.slot_query("P166", ["Q2", "Q1", "Q2"]) and "{limit}" in paged.relation_query("P569", "Q5", True) and "{offset}" in paged.entity_query("Q5")
+
+
+def test_control_and_heartbeat(spark, tmp_path):
+    from palimpsest.streaming.control import Control, Heartbeat
+
+    stop = Control(tmp_path / "STOP", stop_after=5)
+    assert not stop()
+    (tmp_path / "STOP").write_text("")
+    assert stop()
+    stop.paused()
+    assert not stop() and not (tmp_path / "STOP").exists()
+    stop.done = 5
+    assert stop()
+    stop = Control()
+    stop.signalled()
+    assert stop()
+    stop.signalled()
+    with pytest.raises(KeyboardInterrupt):
+        stop()
+    now = [100.0]
+    h = Heartbeat(str(tmp_path / "beat.json"), {"run_id": "r"}, clock=lambda: now[0], pending=30)
+    assert h.snapshot()["eta_seconds"] is None and not h.snapshot()["stalled"]
+    now[0] = 110.0
+    h.committed(10, 80, "f9")
+    now[0] = 120.0
+    h.committed(10, 40, "f19")
+    s = json.loads((tmp_path / "beat.json").read_text())
+    assert (s["run_id"], s["completed_families"], s["pending_families"], s["last_completed_family_id"]) == ("r", 20, 10, "f19")
+    assert s["prompt_instances_per_sec_ewma"] == pytest.approx(0.8 * 8 + 0.2 * 4) and s["families_per_hour_ewma"] == pytest.approx(3600) and s["eta_seconds"] == 10
+    now[0] = 239.0
+    assert not h.snapshot()["stalled"]
+    now[0] = 241.0
+    assert h.snapshot()["stalled"]
+
+
+def test_runner_with_control(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from palimpsest.streaming.control import Control
+
+    schema = T.StructType([T.StructField("family_id", T.StringType())])
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.jsonl").write_text("\n".join(json.dumps({"family_id": f"f{i}{k}"}) for k in range(2)))
+    told, rows = [], F.array(*[F.struct(F.lit(v).alias("variant_id"), F.lit(o).alias("order_id")) for v, o in (("para_1", "BA"), ("base", "BA"), ("base", "AB"))])
+    judge = lambda df: df.withColumn("ok", F.lit(1)).withColumn("variants", rows).withColumn("prompts", rows)
+    args = (spark, str(tmp_path / "in"), schema, judge, str(tmp_path / "ledger"))
+    stop = Control(tmp_path / "STOP", stop_after=4)
+    assert runner.run(*args, stop=stop, progress=lambda k, n: told.append((k, n))) == "PAUSED" and told == [(0, 2), (1, 2)]
+    assert runner.run(*args, stop=Control(tmp_path / "STOP")) == "COMPLETED"
+    ledger_ = str(tmp_path / "ledger")
+    assert [tuple(r) for r in runner.scan(spark, ledger_).collect()] == [(f"f{i}{k}", 1) for i in range(3) for k in range(2)]
+    assert [tuple(r) for r in runner.scan(spark, ledger_, "prompt").limit(3).collect()] == [("f00", "base", "AB"), ("f00", "base", "BA"), ("f00", "para_1", "BA")]
+    assert runner.scan(spark, ledger_, "variant").count() == 18
+    (tmp_path / "in" / "9.jsonl").write_text(json.dumps({"family_id": "f9"}))
+    twice = Control()
+    twice.signalled()
+    twice.signalled()
+    with pytest.raises(KeyboardInterrupt):
+        runner.run(*args, stop=twice)
+    first = runner.Lock(tmp_path / "lock").__enter__()
+    with pytest.raises(runner.Locked, match=first.holder):
+        runner.Lock(tmp_path / "lock").__enter__()
+    second = runner.Lock(tmp_path / "lock", force=True).__enter__()
+    first.__exit__()
+    assert second.held() and not first.held()
+    second.__exit__()
+    assert not (tmp_path / "lock").exists()
+
+
+def test_freeze_of_ids_with_one_beginning(spark, tmp_path):
+    df = spark.range(5000).select(F.concat(F.lit("biorubric_"), F.sha1(F.col("id").cast("string").cast("binary"))).alias("family_id"), F.when(F.col("id") % 3 == 0, "dev").otherwise("train").alias("split"))
+    frozen = pairing.freeze(df, {"train": 1000, "dev": 100})
+    got = [r[0] for r in frozen.where("selected AND split = 'dev'").orderBy("place").select("family_id").collect()]
+    assert got == sorted(r[0] for r in df.where("split = 'dev'").select("family_id").collect())[:100]
+    sinks.write_frozen(frozen, str(tmp_path / "x"), {"train": 1000, "dev": 100}, invalid=spark.createDataFrame([("a", "no")], "family_id string, skip_reason string"), qc={"task_family": "biorubric"})
+    assert spark.read.json(str(tmp_path / "x/combined")).count() == spark.read.json(str(tmp_path / "x/split_manifest")).count() == 1100
+    assert spark.read.json(str(tmp_path / "x/invalid")).count() == 1
+    qc = json.loads((tmp_path / "x/qc.json").read_text())
+    assert qc["task_family"] == "biorubric" and qc["splits"]["dev"]["selected"] == 100
+
+
+def test_notes_and_bundles(spark, tmp_path):
+    d = spark.createDataFrame([("a", 0.1, 0.06, -0.04, 0.9, 0.95, True), ("b", None, 0.0, None, None, 1.0, False)], "task_family string, gap_standard double, gap_strict double, gap_delta double, sensitivity_at_base_correct_standard double, sensitivity_at_base_correct_strict double, gate_passed boolean")
+    decision = spark.createDataFrame([("supported", 1, 1, 1)], "status string, supported_slice_count long, helped_slice_count long, residual_slice_count long")
+    note = sinks.decision_note(d, decision)
+    assert "- Status: `supported`" in note and "- a: gap 0.100000 -> 0.060000 (delta -0.040000); sensitivity 0.900000 -> 0.950000; gate passed: True" in note and "- b: gap n/a" in note
+    stability = spark.createDataFrame([("s1", "all_families", 0.5, 4), ("s1", "order_stable", 0.25, 2), ("s2", "order_stable", 0.0, 1)], "slice_label string, subset string, gap double, n_families long")
+    rates = spark.createDataFrame([(f"s{i}", "base", i / 10, 0.0, 0.1) for i in range(9)], "slice_label string, variant_id string, order_disagreement_rate double, pred_tie_rate double, variant_error_rate double")
+    preference = spark.createDataFrame([("s1", 0.125, 0.0, -0.5), ("s2", -0.25, 0.0, 0.0)], "slice_label string, position_bias_second_minus_first double, tie_rate double, underlying_bias_c2_minus_c1 double")
+    note = sinks.diagnostics_note(stability, rates, preference)
+    assert "- s1: all families gap 0.500; order-stable gap 0.250 over n=2\n" in note and "- s2: all" not in note
+    assert note.count("order disagreement 0.") == 6 and note.index("s8 / base") < note.index("s3 / base") and "s2 / base" not in note
+    assert note.index("second minus first +0.125") < note.index("second minus first -0.250")
+    f = families(spark, [(1, 1, 1), (1, 0, 1)])
+    boot = resample.bootstrap(f, resample.exact_draws(f, 20, 1), [])
+    sinks.write_bundle(str(tmp_path / "b"), summary=metrics.summary(f), bootstrap=boot, families=f, variants=f, identity={"seed": 1})
+    held = json.loads((tmp_path / "b/bootstrap_ci.json").read_text())
+    assert held["seed"] == 1 and held["metrics"]["gap"]["point_estimate"] == 0.5 and json.loads((tmp_path / "b/summary_metrics.json").read_text())["n_families"] == 2
+    assert sinks.sidecar_paths("d/qa.parquet") == {"qc_report_path": "d/qa_qc.json", "split_manifest_path": "d/qa_splits.jsonl"} and sinks.sidecar_paths("x")["qc_report_path"] == "x_qc.json"
+    asked = {"stage": "full", "page_size": 50, "max_pages": 2}
+    assert sinks.write_source_artifacts(f, str(tmp_path / "src"), asked)["row_count"] == 2
+    assert files.reusable(json.loads((tmp_path / "src/summary.json").read_text()), asked)
+
+
+def test_models_by_name(spark):
+    rows = [(1, v, "c1" if v != "counterfactual" else "c2", o, f"{v} {o}", m) for v in ("base", "para_1", "para_2", "counterfactual") for o in ("AB", "BA") for m in ("m1", "m2")]
+    prompts = spark.createDataFrame(rows, "family_id long, variant_id string, gold_winner_cid string, order_id string, prefix string, model_id string")
+    right = lambda: lambda texts: [(-0.1, -1.0) if (t.endswith("AB")) != t.startswith("counter") else (-1.0, -0.1) for t in texts]
+    wrong = lambda: lambda texts: [(-1.0, -0.1)] * len(texts)
+    got = {(r["model_id"], r["prefix"]): r["score_a"] for r in scoring.score_by_model(prompts, {"m1": right, "m2": wrong}).collect()}
+    assert got["m1", "base AB"] == -0.1 and got["m2", "base AB"] == -1.0 and len(got) == 16
+    with pytest.raises(Exception, match="no loader"):
+        scoring.score_by_model(prompts, {"m1": right}).collect()
+    variants, held = scoring.evaluate(prompts.where("model_id = 'm1'"), right)
+    assert variants.count() == 4 and held.first()["gcf_success"] == 1
 
 
 def test_runner_pauses_and_resumes(spark, tmp_path):
@@ -427,10 +587,20 @@ def test_run_identity(spark):
         runs.check_slots(["occupation"])
     with pytest.raises(runs.RunError):
         runs.check_targets({"train": 1, "dev": 0, "test": 1})
-    f = spark.createDataFrame([(f"f{i}",) for i in range(50)], "family_id string")
+    f = spark.createDataFrame([(i, f"f{i}") for i in range(50)], "ordinal long, family_id string")
     spec = runs.Slice("r", "qa_key", "m", "standard", "test", "a", "b")
     saved = runs.manifest(spec, f)
     runs.check_resume(saved, spec, f.repartition(3))
     with pytest.raises(runs.RunError, match="queue"):
         runs.check_resume(saved, spec, f.limit(49))
+    with pytest.raises(runs.RunError, match="queue"):  # the same ids in another order
+        runs.check_resume(saved, spec, f.withColumn("ordinal", 49 - F.col("ordinal")))
+    with pytest.raises(runs.RunError, match="prompt_version"):
+        runs.check_resume(saved, runs.Slice("r", "qa_key", "m", "standard", "test", "a", "b", prompt_version="2"), f)
+    runs.check_resume(saved, runs.Slice("r", "qa_key", "m", "standard", "test", "a", "b", code_version="other"), f)
+    assert runs.queue_digest(f.where("false"))["n"] == 0
+    assert runs.dataset_path("qa_key", "dev").endswith("qakey/dev_families.jsonl") and len(runs.attempt_id().split("__")) == 4
+    assert runs.code_version("/") == "not_a_git_repo"
+    one = runs.status(saved | {"state": "PAUSED"}, {"complete": 3}, "l")
+    assert one["total_families"] == 50 and runs.matrix_status([one, {"state": None}]) == {"n_slices": 2, "states": {"MISSING": 1, "PAUSED": 1}, "total_families": 50, "completed_families": 3}
     assert runs.utc_now().endswith("Z")
