@@ -6,6 +6,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -40,22 +41,44 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Tables that the open passing() blocks have made, innermost last.
+_made: list[list[str]] = []
+
+
+def cut(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    Lost executors then cost no recomputation, and a table that is used twice is made once.
+    Lost executors then cost no recomputation, and a table that is used twice is made once. It is
+    deleted at the end of the passing() block around it; a lasting one, at that of the block further out.
     """
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_made) > lasting:
+        _made[-1 - lasting].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that cut() has left for this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() makes within serve until the block ends; what leaves it must be cut() as lasting."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that cut() has left for this application."""
+    _delete(spark, scratch_dir(spark))
+
+
 #: Rows and bytes of whole texts that go to a Python worker at once.
 ROWS_A_BATCH, BYTES_A_BATCH = 1000, 4 << 20
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import WORD, cut, in_chunks, small_batches
+from palimpsest.llm.common import WORD, cut, in_chunks, passing, small_batches
 from palimpsest.llm.components import components
 from palimpsest.llm.words import Words
 
@@ -152,14 +152,18 @@ def has_words(text_col: str):
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+    """A written table, one row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text with A-Z lower-cased. Null and empty texts
     have no shingle and are linked with nothing. Equal sets are one node. Rows that share an id
     are one document: links of any of them count. A null id is never a component's name unless no
     other is in it. Only the two named columns are read.
     """
-    t, docs = Threshold(num, den), small_batches(docs)
+    with passing(docs.sparkSession):
+        return cut(_components_of(small_batches(docs), Threshold(num, den), width, id_col, text_col), lasting=True)
+
+
+def _components_of(docs: DataFrame, t: Threshold, width: int, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(text_col, F.lit("")).alias("text")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text)
     # A null in a batch would make its ids floating-point.
@@ -180,29 +184,31 @@ def jaccard_components(docs: DataFrame, *, width: int = 3, num: int = 90, den: i
 
     signed = all_.mapInPandas(sized, "doc_id long, named boolean, n_shingles long, x long, y long")
     signed = cut(signed.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named"))
-    same = cut(signed.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node")))
-    links = cut(_links(rows, cut(same.where("node IS NOT NULL").select("node").distinct()), t, width))
-    # Equal sets, and rows of one document, are links too.
-    held = signed.where("n_shingles > 0").join(same, ["n_shingles", "x", "y"]).select("doc_id", "node", "n_shingles")
-    own = held.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links.select("a", "b").union(own))
-    out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _links(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataFrame:
-    """Links (a, b) between nodes: enough of them that components are whole, and none that is not one."""
+    same = signed.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("node"))
+    held = cut(signed.join(same, ["n_shingles", "x", "y"], "left").select("doc_id", "n_shingles", "node"))
+    # Rows of one document with different sets are linked.
+    several = held.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    own = cut(held.join(several.select("doc_id", "a"), "doc_id").where("node <> a").select("a", F.col("node").alias("b")))
+    found = _linked(rows, cut(held.where("doc_id = node").select("node").distinct()), own, t, width)
+    out = held.join(found, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "node", "doc_id").alias("component_id"))
+
+
+def _linked(rows: DataFrame, nodes: DataFrame, own: DataFrame, t: Threshold, width: int) -> DataFrame:
+    """Components (node, component_id) of the nodes by their links and by own (a, b); nodes without a link are left out."""
     lists = _lists(rows, nodes, t, width)
-    marks = cut(_marks(rows, lists.select("node").distinct(), t, width))
+    sets = cut(_sets(rows, lists.select("node").distinct(), t, width))
+    marks = sets.select("node", "n", F.explode("marks").alias("m")).select("node", "n", "m.c", "m.marks")
 
     # Each document against one hub first, then against the hubs that are not yet with it.
-    star = lists.where("node <> hub").select("c", F.col("hub").alias("a"), "degree", F.col("node").alias("b")).distinct()
+    star = lists.where("node <> hub").select("c", F.col("hub").alias("a"), "degree", F.col("node").alias("b"))
     one = star.groupBy("b").agg(F.max_by(F.struct("c", "a"), F.struct("degree", "a")).alias("s")).select("s.c", "s.a", "b")
-    links = cut(_verified(rows, _bounded(one, marks, t), t, width))
-    comp = cut(components(links))
-    more = _apart_still(star, comp).where("comp_a <> comp_b").select("c", "a", "b")
-    links = cut(links.union(_verified(rows, _bounded(more, marks, t), t, width)))
-    comp = cut(components(links))
+    links = _verified(_bounded(one, marks, t), sets, t).union(own)
+    comp = components(links)
+    more = _verified(_bounded(_apart_still(star, comp).where("comp_a <> comp_b").select("c", "a", "b"), marks, t), sets, t)
+    if not more.isEmpty():
+        links = links.union(more)
+        comp = components(links)
 
     member = lists.join(comp.withColumnRenamed("component_id", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = member.groupBy("list").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("list")
@@ -210,8 +216,8 @@ def _links(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataF
     x, y = open_.alias("x"), open_.alias("y")
     near = (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
     near &= (t.den * F.least("x.n", "y.n") >= t.num * F.greatest("x.n", "y.n")) & (differing("x.marks", "y.marks") <= _apart(F.col("x.n") + F.col("y.n"), t))
-    rest = x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return links.union(_verified(rows, rest, t, width))
+    rest = _verified(x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), sets, t)
+    return comp if rest.isEmpty() else components(links.union(rest))
 
 
 def _lists(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataFrame:
@@ -330,44 +336,28 @@ def split_by(rows: DataFrame, wanted: DataFrame, id_col: str) -> tuple[DataFrame
     return marked.where("_hit").drop("_hit"), marked.where("NOT _hit").drop("_hit")
 
 
-def _of_nodes(rows: DataFrame, wanted: DataFrame, made: Callable, schema: str) -> DataFrame:
-    """made(ids, texts) -> frame with `node`, over the rows whose doc_id is in wanted (node).
+def _sets(rows: DataFrame, wanted: DataFrame, t: Threshold, width: int) -> DataFrame:
+    """Of the wanted nodes: node, n, x (of which text the set is, where rows share an id), its shingles by part of the
+    order, and its marks in each of its classes.
 
-    Texts are not shuffled: where they are read, a filter of bounded size passes the wanted rows over
-    to `made`, and some more; these are dropped by an exact semi-join of the results.
+    Texts are not shuffled: where they are read, a filter of bounded size passes the wanted rows, and
+    some more; these are dropped by an exact semi-join of the results.
     """
-    wanted = cut(wanted.distinct())
+    wanted = cut(wanted)
     shared = rows.sparkSession.sparkContext.broadcast(filter_of(wanted))
 
-    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[in_filter(shared.value, batch["h"].to_numpy())]
             texts = batch["text"].tolist()
-            for a, b in in_chunks(texts, 1 << 20):
-                yield made(batch["doc_id"].iloc[a:b].to_numpy(), texts[a:b])
-
-    return rows.withColumn("h", filter_place("doc_id", shared.value)).mapInPandas(passed, schema).join(wanted, "node", "left_semi")
-
-
-def _marks(rows: DataFrame, nodes: DataFrame, t: Threshold, width: int) -> DataFrame:
-    """node, n, c, marks for the classes of each node."""
-
-    def made(ids: np.ndarray, texts: list[str]) -> pd.DataFrame:
-        out = [(k, len(s), c, marks_of(s, c, t)) for k, s in zip(ids, shingle_sets(texts, width), strict=True) if len(s) for c in classes_of(len(s), t)]
-        return pd.DataFrame(out, columns=["node", "n", "c", "marks"])
-
-    return _of_nodes(rows, nodes, made, "node long, n int, c byte, marks array<long>")
-
-
-def _sets(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, n, x (of which text the set is, where rows share an id), and its shingles by part of the order."""
-
-    def made(ids: np.ndarray, texts: list[str]) -> pd.DataFrame:
-        sets = shingle_sets(texts, width)
-        x = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"node": ids, "n": [len(s) for s in sets], "x": x, "parts": [in_parts(s) for s in sets]})
+            for a, b in in_chunks(texts):
+                sets = shingle_sets(texts[a:b], width)
+                x = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+                marks = [[{"c": c, "marks": marks_of(s, c, t)} for c in classes_of(len(s), t)] if len(s) else [] for s in sets]
+                yield pd.DataFrame({"node": batch["doc_id"].iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "x": x, "parts": [in_parts(s) for s in sets], "marks": marks})
 
-    return _of_nodes(rows, nodes, made, "node long, n int, x long, parts array<array<long>>")
+    schema = "node long, n int, x long, parts array<array<long>>, marks array<struct<c:byte,marks:array<long>>>"
+    return rows.withColumn("h", filter_place("doc_id", shared.value)).mapInPandas(made, schema).join(wanted, "node", "left_semi")
 
 
 def _bounded(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
@@ -378,14 +368,12 @@ def _bounded(pairs: DataFrame, marks: DataFrame, t: Threshold) -> DataFrame:
     return met.where((t.den * F.least("na", "nb") >= t.num * F.greatest("na", "nb")) & (differing("ma", "mb") <= _apart(F.col("na") + F.col("nb"), t))).select("a", "b").distinct()
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, t: Threshold, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     """Pairs that link: partial overlaps are counted per fragment of the order and summed per pair.
 
     Repeated rows of an id make every fragment count as often, so sums are divided by that; texts
     that share an id are counted each by itself.
     """
-    pairs = cut(pairs)
-    sets = cut(_sets(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), width))
     whole = sets.select("node", "n", "x", F.posexplode("parts").alias("part", "tokens"))
     a = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"), "part", F.col("tokens").alias("ta"))
     b = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"), "part", F.col("tokens").alias("tb"))
@@ -393,4 +381,4 @@ def _verified(rows: DataFrame, pairs: DataFrame, t: Threshold, width: int) -> Da
     both = pairs.join(b, "b").join(a, ["a", "part"])
     times = F.count("*") / PARTS
     counted = both.groupBy("a", "b", "na", "nb", "xa", "xb").agg((F.sum(F.size(F.array_intersect("ta", "tb"))) / times).alias("common"))
-    return counted.where(t.den * F.col("common") >= t.num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct()
+    return cut(counted.where(t.den * F.col("common") >= t.num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))

@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, n_partitions
+from palimpsest.llm.common import cut, n_partitions, passing
 from palimpsest.llm.components import components
 
 #: Links per node on the lowest level and above; nodes of a level that the next one keeps: one of UP.
 LINKS, LINKS_ABOVE, UP = 24, 12, 16
-BUILD_BEAM, BEAM, AT_ONCE, STEPS = 64, 64, 512, 16
+BUILD_BEAM, BEAM, AT_ONCE, STEPS = 64, 32, 512, 8
 #: Vectors per shard at most, on average, and numbers in them; shards at least.
-SHARD, SHARD_NUMBERS, SHARDS = 50_000, 1 << 22, 8
+SHARD, SHARD_NUMBERS, SHARDS = 50_000, 1 << 22, 4
 #: Queries that an audit draws from all, and as many from those that have links; the recall that it asks for of every one.
 AUDITED, RECALL = 256, 0.99
 SLACK = 1e-4  # single precision in the search, double in the verification
@@ -385,7 +385,7 @@ def compared(a: Shard, b: Shard, least: float) -> tuple[pd.DataFrame, int, int]:
 
 
 def near_vectors(rows: DataFrame, *, least: float = 0.9, shard_size: int = SHARD, shards: int = SHARDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per row: vec_id, n_links (other vectors linked directly), component_id, kept, audit_recall.
+    """A written table, one row per row: vec_id, n_links (other vectors linked directly), component_id, kept, audit_recall.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
     do vectors of different lengths and rows with a null id. Equal vectors are one node that counts
@@ -394,6 +394,11 @@ def near_vectors(rows: DataFrame, *, least: float = 0.9, shard_size: int = SHARD
     """
     if not 0 < least <= 1:
         raise ValueError("least must be over 0 and at most 1")
+    with passing(rows.sparkSession):
+        return cut(_linked(rows, least, shard_size, shards, id_col, vector_col), lasting=True)
+
+
+def _linked(rows: DataFrame, least: float, shard_size: int, shards: int, id_col: str, vector_col: str) -> DataFrame:
     spark = rows.sparkSession
     v = F.col(vector_col)
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -410,7 +415,7 @@ def near_vectors(rows: DataFrame, *, least: float = 0.9, shard_size: int = SHARD
     # Each shard against itself and every later one.
     asking = graphs.select("dim", F.col("shard").alias("s"), F.explode(F.sequence("shard", F.lit(n_shards - 1))).alias("t"), "graph")
     asked = graphs.select("dim", F.explode(F.sequence(F.lit(0), "shard")).alias("s"), F.col("shard").alias("t"), "graph")
-    parts = max(n_parts, n_shards * (n_shards + 1))
+    parts = max(n_parts, 2 * n_shards * (n_shards + 1))
 
     def met(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):  # no vector of this length in one of them
