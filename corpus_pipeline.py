@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,12 +18,32 @@ ORACLE_SQL = None
 LEAST_SHARE = 0.3
 
 
+#: Columns that stages read or write; any others pass through untouched, whatever they are called.
+USED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def set_apart(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the columns that it does not know in one struct meanwhile, so none clashes with its own."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in USED]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        held = docs.select(*[c for c in docs.columns if c in USED], F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others"))
+        return stage(spark, held, sf_dir).select(*[F.col(c) if c in USED else F.col(f"_others.`{c}`").alias(c) for c in docs.columns])
+
+    return run
+
+
+@set_apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model).where("predicted = 0").drop("score", "predicted")
 
 
+@set_apart
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in which no language holds LEAST_SHARE of them, go; lang becomes what was found."""
     model = language.fit_languages(docs)
@@ -29,6 +52,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@set_apart
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity 0.8 or more over five-word shingles join, the one with the
     least id stays; of rows that share that id, the first by text. Documents without words stay."""
@@ -43,6 +67,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rest.select(*docs.columns).union(kept.select(*docs.columns))
 
 
+@set_apart
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it."""
     return mixing.mixed(docs)
