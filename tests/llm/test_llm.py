@@ -37,6 +37,42 @@ def test_query_agrees_with_sql(name, spark, duck):
     same(queries.QUERIES[name](spark, DATA), duck, queries.ORACLES[name])
 
 
+COLUMNS = {
+    "op1_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset batch_id",
+    "op2_jaccard_join": "doc_id n_shingles component_id",
+    "op3_chat_preferences": "conv_id n_prompt_turns prompt chosen rejected chosen_loss rejected_loss",
+    "op4_url_filter": "page_id host path rule verdict",
+    "op5_mixing": "doc_id size source_size target taken",
+    "op6_toxicity": "doc_id held_out score predicted",
+    "op7_language": "doc_id held_out lang_pred score",
+    "op8_near_vectors": "vec_id n_links component_id kept audit_recall",
+    "op9_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next same_edited same_next",
+    "op10_html_text": "page_id url text n_chars",
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_returns_its_whole_table(name, spark):
+    """Every query over the smallest tables: its columns, and a row for each of its table (pieces: for each id)."""
+    got = queries.QUERIES[name](spark, DATA).toPandas()
+    assert list(got.columns) == COLUMNS[name].split()
+    source, key = {"op3_chat_preferences": ("conversations", "conv_id"), "op4_url_filter": ("pages", "page_id"), "op10_html_text": ("pages", "page_id"), "op8_near_vectors": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
+    ids = table(spark, DATA, source).select(key).toPandas()[key]
+    assert set(got[key]) == set(ids) and (name == "op1_packing" or len(got) == ids.nunique())
+    if name == "op1_packing":
+        first = got[got["start"] == 0]
+        assert got.groupby("doc_id")["length"].sum().sort_index().tolist() == first.sort_values("doc_id")["doc_tokens"].tolist()
+        assert ((got["length"] & (got["length"] - 1)) == 0).all() and got["length"].max() <= 1024
+    if name == "op5_mixing":
+        assert (got["taken"] <= 3 * got["size"]).all()
+    if name == "op8_near_vectors":
+        x = np.stack(table(spark, DATA, "embeddings").orderBy("vec_id").toPandas()["embedding"].to_numpy()).astype(float)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert got.sort_values("vec_id")["n_links"].tolist() == ((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()
+    if "held_out" in got:
+        assert 0.1 < got["held_out"].mean() < 0.6 and got["score"].between(0, 1).all()
+
+
 # 1 packing
 
 
@@ -687,6 +723,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[5].agg(F.sum("length")).first()[0] == sum(r["n"] for r in seen[5].where("start = 0").select(F.col("doc_tokens").alias("n")).collect())
 
 
+def test_pipeline_passes_columns_that_clash(spark):
+    import corpus_pipeline as p
+
+    names = ["score", "predicted", "lang_pred", "_words", "_at", "_gone", "_size", "_copies", "largest_share", "a.b", "ids"]
+    docs = table(spark, DATA, "documents").limit(60)
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(f"held {i}"))
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        rows = out.select(*[F.col(f"`{c}`") for c in names]).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(f"held {i}" for i in range(len(names)))]
+    assert p.STAGES[-1][1](spark, docs, DATA).where("length > 0").count() > 60
+
+
 def test_pipeline_keeps_repeated_and_empty_rows_right(spark):
     import corpus_pipeline as p
 
