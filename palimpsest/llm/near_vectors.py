@@ -176,8 +176,9 @@ class Graph:
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search for all queries together: cosines and nodes [queries, beam], best first, -1 where there are fewer."""
         sims, ids = np.full((len(q), beam), -2, dtype=np.float32), np.full((len(q), beam), -1, dtype=np.int32)
-        for a in range(0, len(q), AT_ONCE):
-            sims[a : a + AT_ONCE], ids[a : a + AT_ONCE] = self._search(q[a : a + AT_ONCE], beam)
+        per = at_once(beam)
+        for a in range(0, len(q), per):
+            sims[a : a + per], ids[a : a + per] = self._search(q[a : a + per], beam)
         return sims, ids
 
     def _entry(self, q: np.ndarray) -> np.ndarray:
@@ -235,17 +236,26 @@ class Graph:
         return best_of(sims, ids, beam)
 
 
+def at_once(beam: int) -> int:
+    """Queries that are searched together, so that memory is bounded whatever the beam."""
+    return max(8, AT_ONCE * BUILD_BEAM // max(beam, BUILD_BEAM))
+
+
 def found_by(g: Graph, q: np.ndarray, least: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) pairs of cosine >= least[query]; a beam that holds nothing else is doubled, up to all nodes."""
     rows, nodes = [np.zeros(0, int)], [np.zeros(0, int)]
     left, width = np.arange(len(q)), min(beam, g.size)
     while len(left):
-        sims, ids = g.search(q[left], width)
-        full = (sims[:, -1] >= least[left]) & (width < g.size)
-        r, c = np.nonzero((sims >= least[left, None]) & (ids >= 0) & ~full[:, None])
-        rows.append(left[r])
-        nodes.append(ids[r, c])
-        left, width = left[full], min(2 * width, g.size)
+        wider, per = [left[:0]], at_once(width)
+        for a in range(0, len(left), per):
+            own = left[a : a + per]
+            sims, ids = g.search(q[own], width)
+            full = (sims[:, -1] >= least[own]) & (width < g.size)
+            r, c = np.nonzero((sims >= least[own, None]) & (ids >= 0) & ~full[:, None])
+            rows.append(own[r])
+            nodes.append(ids[r, c])
+            wider.append(own[full])
+        left, width = np.concatenate(wider), min(2 * width, g.size)
     return np.concatenate(rows), np.concatenate(nodes)
 
 
