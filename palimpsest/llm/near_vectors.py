@@ -14,6 +14,7 @@ are united over leaders and members.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +30,8 @@ LINKS, LINKS_ABOVE, UP = 24, 12, 16
 BUILD_BEAM, BEAM, AT_ONCE, STEPS = 64, 32, 512, 8
 #: Vectors per shard at most, on average, and numbers in them; shards at least.
 SHARD, SHARD_NUMBERS, SHARDS = 50_000, 1 << 22, 4
-#: Queries that an audit draws from all, and as many from those that have links; the recall that it asks for of every one.
-AUDITED, RECALL = 256, 0.99
+#: Queries that an audit draws; how many of them it compares, and as many of those that have links; the recall that it asks for of every one.
+DRAWN, AUDITED, RECALL = 2048, 256, 0.99
 SLACK = 1e-4  # single precision in the search, double in the verification
 #: Angle that rounding may take from a sum of angles.
 ROUNDING = 1e-7
@@ -241,10 +242,9 @@ def at_once(beam: int) -> int:
     return max(8, AT_ONCE * BUILD_BEAM // max(beam, BUILD_BEAM))
 
 
-def found_by(g: Graph, q: np.ndarray, least: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of cosine >= least[query]; a beam that holds nothing else is doubled, up to all nodes."""
-    rows, nodes = [np.zeros(0, int)], [np.zeros(0, int)]
-    left, width = np.arange(len(q)), min(beam, g.size)
+def found_by(g: Graph, q: np.ndarray, least: np.ndarray, beam: int, which: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs of cosine >= least[query], some queries at a time; a beam that holds nothing else is doubled, up to all nodes."""
+    left, width = np.arange(len(q)) if which is None else which, min(beam, g.size)
     while len(left):
         wider, per = [left[:0]], at_once(width)
         for a in range(0, len(left), per):
@@ -252,11 +252,9 @@ def found_by(g: Graph, q: np.ndarray, least: np.ndarray, beam: int) -> tuple[np.
             sims, ids = g.search(q[own], width)
             full = (sims[:, -1] >= least[own]) & (width < g.size)
             r, c = np.nonzero((sims >= least[own, None]) & (ids >= 0) & ~full[:, None])
-            rows.append(own[r])
-            nodes.append(ids[r, c])
+            yield own[r], ids[r, c]
             wider.append(own[full])
         left, width = np.concatenate(wider), min(2 * width, g.size)
-    return np.concatenate(rows), np.concatenate(nodes)
 
 
 def worst_recall(true: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray], n: int) -> tuple[float, int, int]:
@@ -270,32 +268,56 @@ def worst_recall(true: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, n
     return float((np.bincount(owner, weights=hit) / np.bincount(owner)).min()), len(hit), int(hit.sum())
 
 
-def links_of(g: Graph, q: np.ndarray, least: np.ndarray, own: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(query, node) pairs of cosine >= least as far as single precision tells; how many pairs the last audit asked for and found.
+def audited(g: Graph, q: np.ndarray, least: np.ndarray, own: np.ndarray, beam: int = BEAM) -> tuple[int, int, int]:
+    """The beam that passes the audit; how many pairs the audit asked for, and how many that beam found.
 
-    own: of each query, the node that is the query itself (-1: none), which no audit counts. An audit compares
-    queries with all nodes: AUDITED drawn from all, and AUDITED from those for which links were found. Every
-    one is judged by itself, so a hot group cannot hide what others miss. The beam is doubled until it passes
-    or is as wide as the graph, every node of which can be reached.
+    own: of each query, the node that is the query itself (-1: none), which no audit counts. Of DRAWN queries the
+    first AUDITED, and the first AUDITED with links, are compared with all nodes. Every one is judged by itself,
+    so a hot group cannot hide what others miss. The beam is doubled until it passes or is as wide as the
+    graph, every node of which can be reached.
     """
-    low, order = least - SLACK, np.random.default_rng(len(q)).permutation(len(q))
+    drawn = np.random.default_rng(len(q)).permutation(len(q))[:DRAWN]
+    low = least - SLACK
+
+    def found(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = list(found_by(g, q, low, beam, which))
+        return np.concatenate([r for r, _ in pairs]), np.concatenate([c for _, c in pairs])
+
+    if not len(drawn):
+        return beam, 0, 0
+    row, node = found(drawn)
+    some = np.zeros(len(q), dtype=bool)
+    some[row[node != own[row]]] = True
+    chosen = np.unique(np.concatenate((drawn[:AUDITED], drawn[some[drawn]][:AUDITED])))
+    true = [np.zeros((2, 0), int)]
+    for a in range(0, len(chosen), AT_ONCE):
+        at = chosen[a : a + AT_ONCE]
+        r, c = np.nonzero(q[at] @ g.x.T >= least[at, None] + SLACK / 2)
+        true.append(np.stack((at[r], c)))
+    asked = np.concatenate(true, axis=1)
+    asked = asked[:, asked[1] != own[asked[0]]]
     while True:
-        row, node = found_by(g, q, low, beam)
-        other = node != own[row]
-        some = np.zeros(len(q), dtype=bool)
-        some[row[other]] = True
-        drawn = np.unique(np.concatenate((order[:AUDITED], order[some[order]][:AUDITED])))
-        true = [np.zeros((2, 0), int)]
-        for a in range(0, len(drawn), AT_ONCE):
-            at = drawn[a : a + AT_ONCE]
-            r, c = np.nonzero(q[at] @ g.x.T >= least[at, None] + SLACK / 2)
-            true.append(np.stack((at[r], c)))
-        asked = np.concatenate(true, axis=1)
-        asked = asked[:, asked[1] != own[asked[0]]]
         recall, wanted, hits = worst_recall((asked[0], asked[1]), (row, node), g.size)
         if recall >= RECALL or beam >= g.size:
-            return row, node, wanted, hits
+            return beam, wanted, hits
         beam = min(2 * beam, g.size)
+        row, node = found(chosen)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ids as few links that join the same ids: each to the least that it reaches."""
+    names, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = code[: len(a)], code[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        old = label.copy()
+        np.minimum.at(label, x, label[y])
+        np.minimum.at(label, y, label[x])
+        label = label[label]
+        if (label == old).all():
+            break
+    own = label != np.arange(len(names))
+    return names[own], names[label[own]]
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -355,41 +377,40 @@ def compared(a: Shard, b: Shard, least: float) -> tuple[pd.DataFrame, int, int]:
     same, most = a is b, float(np.arccos(min(1.0, least)))
     reach = np.cos(np.minimum(np.pi, most + a.angle + b.angle.max(initial=0)))
     own = np.arange(len(a.rows)) if same else np.full(len(a.rows), -1)
-    row, node, wanted, hits = links_of(b.graph, a.graph.x, reach, own)
-    if same:  # found from either end
-        row, node = np.minimum(row, node), np.maximum(row, node)
-        both = np.unique(row[row != node] * np.int64(len(b.rows)) + node[row != node])
-        row, node = both // len(b.rows), both % len(b.rows)
-    cosine = np.concatenate([np.zeros(0), *(np.einsum("kd,kd->k", a.unit[a.rows[row[i : i + 100_000]]], b.unit[b.rows[node[i : i + 100_000]]]) for i in range(0, len(row), 100_000))])
-    angle, spread = np.arccos(np.clip(cosine, -1, 1)), a.angle[row] + b.angle[node]
-    single = spread == 0
-    sure = np.where(single, cosine >= least, angle + spread <= most - ROUNDING)
-    open_ = ~sure & ~single & (angle - spread <= most + ROUNDING)
+    beam, wanted, hits = audited(b.graph, a.graph.x, reach, own)
+    n_a, n_b = np.zeros(len(a.ids)), np.zeros(len(b.ids))
     to_a, to_b = np.zeros(len(a.rows)), np.zeros(len(b.rows))
-    np.add.at(to_a, row[sure], b.weight[node[sure]])
-    np.add.at(to_b, node[sure], a.weight[row[sure]])
-    n_a, n_b = to_a[a.leader], to_b[b.leader]
-    links = [np.stack((a.ids[a.rows[row[sure]]], b.ids[b.rows[node[sure]]]))]
-    for i, j in zip(row[open_], node[open_], strict=True):
-        x, y, joined = a.of_node(i), b.of_node(j), False
-        for k in range(0, len(x), AT_ONCE):
-            part = x[k : k + AT_ONCE]
-            near = a.unit[part] @ b.unit[y].T >= least
-            n_a[part] += near @ b.copies[y]
-            n_b[y] += a.copies[part] @ near
-            if not joined and near.any():
-                joined = True
-                r, c = np.unravel_index(near.argmax(), near.shape)
-                links.append(np.array([[a.ids[part[r]]], [b.ids[y[c]]]]))
-    if same:
-        n_a += n_b
+    held = np.flatnonzero(a.rows[a.leader] != np.arange(len(a.leader))) if same else np.zeros(0, int)
+    links = [np.stack((a.ids[held], a.ids[a.rows[a.leader[held]]]))]
+    for row, node in found_by(b.graph, a.graph.x, reach - SLACK, beam):
+        row, node = row[node != own[row]], node[node != own[row]]
+        cosine = np.einsum("kd,kd->k", a.unit[a.rows[row]], b.unit[b.rows[node]])
+        angle, spread = np.arccos(np.clip(cosine, -1, 1)), a.angle[row] + b.angle[node]
+        single = spread == 0
+        sure = np.where(single, cosine >= least, angle + spread <= most - ROUNDING)
+        np.add.at(to_a, row[sure], b.weight[node[sure]])
+        np.add.at(to_b, node[sure], a.weight[row[sure]])
+        links.append(np.stack(spanning(a.ids[a.rows[row[sure]]], b.ids[b.rows[node[sure]]])))
+        open_ = ~sure & ~single & (angle - spread <= most + ROUNDING)
+        for i, j in zip(row[open_], node[open_], strict=True):
+            x, y, joined = a.of_node(i), b.of_node(j), False
+            for k in range(0, len(x), AT_ONCE):
+                part = x[k : k + AT_ONCE]
+                near = a.unit[part] @ b.unit[y].T >= least
+                n_a[part] += near @ b.copies[y]
+                n_b[y] += a.copies[part] @ near
+                if not joined and near.any():
+                    joined = True
+                    r, c = np.unravel_index(near.argmax(), near.shape)
+                    links.append(np.array([[a.ids[part[r]]], [b.ids[y[c]]]]))
+    n_a += to_a[a.leader]
+    if same:  # each end is a query: what it finds is its own
+        n_a += np.where(a.angle[a.leader] > 0, a.weight[a.leader] - a.copies, 0)
         n_b = np.zeros(0)
-        inner = a.leader
-        n_a += np.where(a.angle[inner] > 0, a.weight[inner] - a.copies, 0)
-        held = np.flatnonzero(a.rows[a.leader] != np.arange(len(a.leader)))
-        links.append(np.stack((a.ids[held], a.ids[a.rows[a.leader[held]]])))
-    u, v = np.concatenate(links, axis=1)
-    ids, n = np.concatenate((a.ids, b.ids if len(n_b) else b.ids[:0])), np.concatenate((n_a, n_b))
+    else:
+        n_b += to_b[b.leader]
+    u, v = spanning(*np.concatenate(links, axis=1))
+    ids, n = np.concatenate((a.ids, b.ids[: len(n_b)])), np.concatenate((n_a, n_b))
     some = n > 0
     return pd.DataFrame({"a": np.concatenate((ids[some], u)), "n": np.concatenate((n[some].astype(np.int64), np.zeros(len(u), np.int64))), "b": np.concatenate((ids[some], v))}), wanted, hits
 
