@@ -544,9 +544,11 @@ def test_audit_widens_where_the_graph_leads_astray():
     g.low[small[np.maximum(g.low, 0)]] = -1
     g.low[:, near_vectors.LINKS :] = -1
     g._reach()
-    row, node, wanted, hits = near_vectors.links_of(g, g.x, np.full(g.size, 0.9), np.arange(g.size))
+    least = np.full(g.size, 0.9)
+    beam, wanted, hits = near_vectors.audited(g, g.x, least, np.arange(g.size))
     got = np.zeros_like(want)
-    got[row, node] = True
+    for row, node in near_vectors.found_by(g, g.x, least - near_vectors.SLACK, beam):
+        got[row, node] = True
     assert wanted and hits >= 0.99 * wanted
     assert (got & want)[small].sum() >= 0.95 * want[small].sum() and (got & want)[~small].sum() >= 0.95 * want[~small].sum()
     assert all(len(a) == g.size and (np.sort(a) == np.arange(g.size)).all() for a in g.search(g.x[:5], g.size)[1])
@@ -570,6 +572,22 @@ def test_leaders_and_bounds_count_every_link():
     assert (n <= want).all() and n.sum() >= 0.99 * want.sum()
 
 
+def test_spanning_links_join_the_same_ids():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 300, 400), rng.integers(0, 300, 400)
+    few = near_vectors.spanning(a, b)
+    assert len(few[0]) < 300
+
+    def roots(x, y):
+        label = np.arange(300)
+        for _ in range(300):
+            np.minimum.at(label, x, label[y])
+            np.minimum.at(label, y, label[x])
+        return label.tolist()
+
+    assert roots(a, b) == roots(*few) and len(near_vectors.spanning(a[:0], b[:0])[0]) == 0
+
+
 # 9 fingerprints
 
 
