@@ -60,9 +60,9 @@ def run(spark: SparkSession, families: str, schema: T.StructType, judge: Callabl
     def commit(batch: DataFrame, number: int) -> None:
         try:
             asked = stop()
-        except KeyboardInterrupt:
+        except KeyboardInterrupt:  # it must not end the thread that answers Spark
             aborted.append(number)
-            raise
+            raise InterruptedError("given up") from None
         if asked:
             paused.append(number)
             raise InterruptedError("stop requested")
