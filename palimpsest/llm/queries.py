@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, fingerprints, html_text, jaccard, language, mixing, near_vectors, packing, toxicity, url_filter
+from palimpsest.llm import chat, fingerprints, hard_negatives, html_text, importance, jaccard, language, licenses, mixing, near_vectors, packing, toxicity, url_filter
 from palimpsest.llm.common import table
 
 RULES = (
@@ -68,6 +68,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = importance.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), widest=1, n_buckets=10_000, percent=10, least_words=20, seed=2024)
+    return weighed.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), anchor=F.col("_id") % 100 == 0)
+
+
 #: Null and no `://`: empty host and path. All hosts and paths as the contract of the operator defines them.
 _JUDGED = r"""
 WITH parts AS (
@@ -121,5 +135,98 @@ SELECT conv_id, n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(chosen,
 FROM prompt LEFT JOIN prompts USING (conv_id) LEFT JOIN completions USING (conv_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_jaccard_join, op3_chat_preferences, op4_url_filter, op5_mixing, op6_toxicity, op7_language, op8_near_vectors, op9_fingerprints, op10_html_text)}
-ORACLES = {"op3_chat_preferences": _PREFERENCES, "op4_url_filter": _JUDGED}
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_ALNUM}')"
+
+#: The checksum's table of 256 entries follows from its polynomial.
+_RESAMPLED = f"""
+WITH lookup AS (
+  SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)
+), docs AS (
+  SELECT doc_id, {_WORDS} AS words FROM documents
+), own AS (
+  SELECT doc_id, unnest(words) AS word FROM docs
+), seen AS (
+  SELECT word, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM (SELECT 0 AS side, word FROM own UNION ALL SELECT 1, unnest({_WORDS}) FROM benchmark) GROUP BY word
+), bytes AS (
+  SELECT word, s, t, hex(encode(word)) AS h FROM seen
+), hashed AS (
+  SELECT word, s, t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM bytes, lookup
+), sums AS (
+  SELECT bucket, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM hashed GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM sums
+), weights AS (
+  SELECT doc_id, sum(gain)::BIGINT AS weight FROM own JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (doc_id)
+), placed AS (
+  SELECT *, n_features >= 20 AS fit, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= n * 10 // 100 THEN place END AS rank FROM placed
+"""
+
+
+def _scanned() -> str:
+    """Blocks and containment as the operator's docstring defines them, by plain counting."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {quoted(label)}, {licenses.step_of(len(licenses.words_of(t)))}, {quoted(t)})" for i, (label, t) in enumerate(licenses.TEMPLATES))
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, place, {quoted(label)} AS label FROM near WHERE " + " AND ".join(f"w{k} = {quoted(w)}" for k, w in enumerate(p.split())) for p, label in licenses.PHRASES
+    )
+    return f"""
+WITH templates(template, label, step, text) AS (VALUES {rows}
+), tokens AS (
+  SELECT template, label, step, token, count(*) OVER (PARTITION BY template) AS size FROM (SELECT DISTINCT template, label, step, unnest({_WORDS}) AS token FROM templates)
+), docs AS (
+  SELECT doc_id, {_WORDS} AS words FROM documents
+), stands AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM docs
+), near AS (
+  SELECT doc_id, place, word AS w0, lead(word, 1) OVER later AS w1, lead(word, 2) OVER later AS w2 FROM stands WINDOW later AS (PARTITION BY doc_id ORDER BY place)
+), base AS (
+  {phrases}
+), told AS (
+  SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM base GROUP BY doc_id
+), held AS (
+  SELECT doc_id, place, word FROM stands WHERE word IN (SELECT token FROM tokens)
+), blocks AS (
+  SELECT DISTINCT doc_id, step, place // step - back AS block, word FROM held, (SELECT DISTINCT step FROM tokens), (VALUES (0), (1)) b(back) WHERE place // step >= back
+), shared AS (
+  SELECT doc_id, block, template, any_value(label) AS label, count(*) AS n_shared, any_value(size) AS size FROM blocks b JOIN tokens t ON t.step = b.step AND t.token = b.word
+  GROUP BY doc_id, block, template HAVING 100 * count(*) >= {licenses.LEAST} * any_value(size)
+), best AS (
+  SELECT doc_id, max(n_shared / size) AS containment FROM shared GROUP BY doc_id
+), named AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (own) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label, true AS own FROM base UNION ALL SELECT doc_id, label, false FROM shared) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0)::DOUBLE END AS score
+FROM docs LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+_HARD = """
+WITH held AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score FROM held a JOIN held r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER best::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 10
+"""
+
+_OPERATORS = (
+    op1_packing, op2_jaccard_join, op3_chat_preferences, op4_url_filter, op5_mixing, op6_toxicity, op7_language, op8_near_vectors, op9_fingerprints, op10_html_text,
+    op11_importance, op12_licenses, op13_hard_negatives,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLES = {"op3_chat_preferences": _PREFERENCES, "op4_url_filter": _JUDGED, "op11_importance": _RESAMPLED, "op12_licenses": _scanned(), "op13_hard_negatives": _HARD}

@@ -7,6 +7,9 @@ lower-cased and only the white space 0x20, 0x09-0x0D parts words.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -54,3 +57,20 @@ class Words:
 
 def buckets(hashes: np.ndarray, salt: int, bits: int) -> np.ndarray:
     return ((hashes + np.uint64(salt)) * np.uint64(0xD1342543DE82EF95) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+_TERM, _GAP = re.compile(rb"[0-9a-z\x80-\xff]+"), re.compile(rb"[^0-9a-z\x80-\xff]")
+
+
+def terms(text: str | None, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased, as UTF-8, list by list.
+
+    A list holds the words of about `most` bytes, so a very long text never becomes one list.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+    start = 0
+    while start < len(raw):
+        gap = _GAP.search(raw, start + most)
+        end = gap.start() if gap else len(raw)
+        yield _TERM.findall(raw, start, end)
+        start = end
