@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.shared import Shared
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Null fields stay, and what is beyond ASCII is escaped."""
     df.write.mode("overwrite").option("ignoreNullFields", False).option("writeNonAsciiCharacterAsCodePoint", True).json(path)
 
 
-def write_json(value: object, path: str | Path) -> None:
-    """A small report, written beside its place and moved there."""
-    write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=True) + "\n", path)
+def write_json(value: object, path: str, spark: SparkSession | None = None) -> None:
+    """A small report, written beside its place and moved there, on the file system that the path names."""
+    write_text(json.dumps(value, indent=2, sort_keys=True, ensure_ascii=True) + "\n", path, spark)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -35,14 +34,9 @@ def markdown(df: DataFrame, rows: int = 1000) -> str:
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *(line("" if c is None else c for c in r) for r in held)]) + "\n"
 
 
-def write_text(text: str, path: str | Path) -> None:
-    """A small text, written beside its place and moved there."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, held = tempfile.mkstemp(dir=path.parent)
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
-        out.write(text)
-    os.replace(held, path)
+def write_text(text: str, path: str, spark: SparkSession | None = None) -> None:
+    """A small text, written beside its place and moved there; readers see the former text or this one."""
+    Shared(spark or SparkSession.active()).write(str(path), text)
 
 
 def write_frozen(frozen: DataFrame, path: str, targets: dict[str, int], invalid: DataFrame | None = None, qc: dict | None = None) -> dict:
@@ -62,8 +56,8 @@ def write_frozen(frozen: DataFrame, path: str, targets: dict[str, int], invalid:
     frozen.where("NOT selected").drop("selected").withColumn("reason", F.lit("split_quota_exceeded")).write.mode("overwrite").parquet(f"{path}/discarded")
     if invalid is not None:
         write_jsonl(invalid, f"{path}/invalid")
-    write_json(stats, f"{path}/manifest.json")
-    write_json((qc or {}) | {"splits": stats, "targets": targets, "selection_policy": "sorted_by_family_id_with_per_split_targets"}, f"{path}/qc.json")
+    write_json(stats, f"{path}/manifest.json", frozen.sparkSession)
+    write_json((qc or {}) | {"splits": stats, "targets": targets, "selection_policy": "sorted_by_family_id_with_per_split_targets"}, f"{path}/qc.json", frozen.sparkSession)
     return stats
 
 
@@ -78,7 +72,7 @@ def write_source_artifacts(rows: DataFrame, path: str, asked: dict) -> dict:
     """Fetched rows, with a summary of what was asked for and how many came; files.reusable() reads it."""
     write_jsonl(rows, f"{path}/rows")
     summary = asked | {"row_count": rows.count()}
-    write_json(summary, f"{path}/summary.json")
+    write_json(summary, f"{path}/summary.json", rows.sparkSession)
     return summary
 
 
@@ -91,9 +85,9 @@ def write_bundle(path: str, *, summary: DataFrame, bootstrap: DataFrame, familie
     held = summary.limit(2).collect()
     if len(held) != 1:
         raise ValueError("a slice has one summary")
-    write_json(held[0].asDict(), f"{path}/summary_metrics.json")
+    write_json(held[0].asDict(), f"{path}/summary_metrics.json", summary.sparkSession)
     bounds = {r["metric"]: {"point_estimate": r["point_estimate"], "ci_lower": r["ci_lower"], "ci_upper": r["ci_upper"]} for r in bootstrap.collect()}  # one row per metric
-    write_json({"metrics": bounds} | (identity or {}), f"{path}/bootstrap_ci.json")
+    write_json({"metrics": bounds} | (identity or {}), f"{path}/bootstrap_ci.json", summary.sparkSession)
 
 
 def _number(x: float | None, form: str) -> str:

@@ -1,14 +1,19 @@
-"""Pause and progress of a running judge (T04, T05, M07): driver-side state, told after each batch."""
+"""Pause and live progress of a running judge."""
 
 from __future__ import annotations
 
+import datetime
 import signal
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
+
+from pyspark.sql import SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 
 from palimpsest.operators.runs import utc_now
+from palimpsest.sources.shared import Shared
 from palimpsest.sources.sinks import write_json
 
 
@@ -16,11 +21,11 @@ class Control:
     """Asks a run to pause: on a file that appears, on a signal, or after so many families of this attempt.
 
     A second signal asks to give up at once. The run looks between batches, so a batch is whole or
-    has not been.
+    has not been. The file may stand on any file system that Spark reads.
     """
 
-    def __init__(self, stop_file: str | Path | None = None, stop_after: int | None = None) -> None:
-        self.stop_file, self.stop_after = Path(stop_file) if stop_file else None, stop_after
+    def __init__(self, stop_file: str | None = None, stop_after: int | None = None) -> None:
+        self.stop_file, self.stop_after = str(stop_file) if stop_file else None, stop_after
         self.done, self.requested, self.aborted = 0, False, False
 
     def install(self) -> None:
@@ -34,7 +39,7 @@ class Control:
         """Whether to pause before the next batch."""
         if self.aborted:
             raise KeyboardInterrupt("asked to stop twice")
-        if self.stop_file is not None and self.stop_file.exists():
+        if self.stop_file is not None and Shared(SparkSession.active()).exists(self.stop_file):
             self.requested = True
         if self.stop_after is not None and self.done >= self.stop_after:
             self.requested = True
@@ -43,62 +48,139 @@ class Control:
     def paused(self) -> None:
         """The run has paused: the file has done its work."""
         if self.stop_file is not None:
-            self.stop_file.unlink(missing_ok=True)
+            Shared(SparkSession.active()).delete(self.stop_file)
         self.requested = False
 
 
 @dataclass
 class Heartbeat:
-    """Smoothed rates, time to go and a stall flag, written as a small JSON file after each change.
+    """Smoothed rates, time to go and a stall flag, written as a small JSON file.
 
-    Rates go 0.8 old, 0.2 new. A run is stalled if nothing came for over 120 s and over five times
-    the time that a prompt is expected to take.
+    Rates go 0.8 old, 0.2 new. A run is stalled if nothing came for over least_stall seconds and over
+    five times the time that a prompt is expected to take. Between start() and stop() a timer writes
+    the file every `interval` seconds, so it tells of a stall while the stall lasts.
     """
 
     path: str
     identity: dict = field(default_factory=dict)
     clock: Callable[[], float] = time.time
-    state: str = "RUNNING"
+    state: str = "CREATED"
+    phase: str = "PREPARE"
     completed: int = 0
     pending: int = 0
+    inflight: int = 0
+    failed_permanent: int = 0
+    prompts: int = 0
     prompts_per_s: float = 0.0
     families_per_hour: float = 0.0
     stop_requested: bool = False
     last_family_id: str | None = None
+    least_stall: float = 120.0
+    interval: float = 15.0
+    spark: SparkSession | None = None
 
     def __post_init__(self) -> None:
         self.last_step = self.clock()
         self.last_commit: float | None = None
+        self._lock = threading.RLock()
+        self._ended = threading.Event()
+        self._thread: threading.Thread | None = None
 
     @staticmethod
     def smoothed(old: float, new: float) -> float:
         return new if old == 0.0 else 0.8 * old + 0.2 * new
 
+    def start(self) -> None:
+        """Write now, and from now on every interval."""
+        self._ended.clear()
+        self._thread = threading.Thread(target=self._tick, name="heartbeat", daemon=True)
+        self.write()
+        self._thread.start()
+
+    def stop(self) -> None:
+        """The timer ends; what stands then is written."""
+        self._ended.set()
+        if self._thread is not None:
+            self._thread.join(timeout=max(1.0, self.interval + 1.0))
+            self._thread = None
+        self.write()
+
+    def _tick(self) -> None:
+        while not self._ended.wait(self.interval):
+            try:
+                self.write()
+            except Exception:  # progress that cannot be told now must not end the run
+                continue
+
     def committed(self, families: int, prompts: int, last_family_id: str | None = None) -> None:
         """A batch stands in the ledger."""
-        now = self.clock()
-        self.prompts_per_s = self.smoothed(self.prompts_per_s, prompts / max(now - self.last_step, 1e-6)) if prompts else self.prompts_per_s
-        if self.last_commit is not None and now > self.last_commit and families:
-            self.families_per_hour = self.smoothed(self.families_per_hour, 3600.0 * families / (now - self.last_commit))
-        self.last_step = self.last_commit = now
-        self.completed += families
-        self.pending = max(0, self.pending - families)
-        self.last_family_id = last_family_id or self.last_family_id
+        with self._lock:
+            now = self.clock()
+            self.prompts_per_s = self.smoothed(self.prompts_per_s, prompts / max(now - self.last_step, 1e-6)) if prompts else self.prompts_per_s
+            if self.last_commit is not None and now > self.last_commit and families:
+                self.families_per_hour = self.smoothed(self.families_per_hour, 3600.0 * families / (now - self.last_commit))
+            self.last_step = self.last_commit = now
+            self.completed += families
+            self.prompts += prompts
+            self.pending = max(0, self.pending - families)
+            self.inflight = max(0, self.inflight - families)
+            self.last_family_id = last_family_id or self.last_family_id
         self.write()
 
-    def set_state(self, state: str) -> None:
-        self.state = state
+    def set_state(self, state: str, phase: str | None = None) -> None:
+        with self._lock:
+            self.state, self.phase = state, phase or self.phase
         self.write()
 
     def snapshot(self) -> dict:
-        still = max(0.0, self.clock() - self.last_step)
-        expected = 1.0 / self.prompts_per_s if self.prompts_per_s > 0 else None
-        eta = int(self.pending / (self.families_per_hour / 3600.0)) if self.families_per_hour > 0 and self.pending > 0 else None
-        return self.identity | {
-            "state": self.state, "completed_families": self.completed, "pending_families": self.pending, "last_completed_family_id": self.last_family_id,
-            "families_per_hour_ewma": self.families_per_hour, "prompt_instances_per_sec_ewma": self.prompts_per_s, "eta_seconds": eta, "stall_seconds": still,
-            "stalled": expected is not None and still > max(120.0, 5.0 * expected), "stop_requested": self.stop_requested, "updated_at": utc_now(),
-        }
+        with self._lock:
+            still = max(0.0, self.clock() - self.last_step)
+            expected = 1.0 / self.prompts_per_s if self.prompts_per_s > 0 else None
+            eta = int(self.pending / (self.families_per_hour / 3600.0)) if self.families_per_hour > 0 and self.pending > 0 else None
+            return self.identity | {
+                "state": self.state, "phase": self.phase, "total_families": self.completed + self.pending, "completed_families": self.completed, "pending_families": self.pending,
+                "inflight_families": self.inflight, "failed_permanent_families": self.failed_permanent, "scored_prompts": self.prompts, "last_completed_family_id": self.last_family_id,
+                "families_per_hour_ewma": self.families_per_hour, "prompt_instances_per_sec_ewma": self.prompts_per_s, "eta_seconds": eta, "stall_seconds": still,
+                "stalled": expected is not None and still > max(self.least_stall, 5.0 * expected), "stop_requested": self.stop_requested,
+                "last_step_advance_at": _iso(self.last_step), "last_family_commit_at": _iso(self.last_commit), "updated_at": utc_now(),
+            }
 
     def write(self) -> None:
-        write_json(self.snapshot(), self.path)
+        held = self.snapshot()
+        with self._lock:
+            write_json(held, self.path, self.spark)
+
+
+def _iso(moment: float | None) -> str | None:
+    return None if moment is None else datetime.datetime.fromtimestamp(moment, datetime.UTC).replace(microsecond=0).isoformat().replace("+00:00", "Z")
+
+
+class Progress(StreamingQueryListener):
+    """Families and prompts of each batch of one query, told to a heartbeat when Spark reports the batch done.
+
+    What a batch holds is left by the run in `counts` (number: families, prompts, greatest id) before
+    the batch ends. finished is set once Spark has told of the query's end, and so of all before it.
+    """
+
+    def __init__(self, name: str, heartbeat: Heartbeat | None = None, told: Callable[[int, int], None] | None = None) -> None:
+        self.name, self.heartbeat, self.told = name, heartbeat, told
+        self.counts: dict[int, tuple[int, int, str | None]] = {}
+        self.finished = threading.Event()
+        self.run_id: str | None = None
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.run_id = str(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        if event.progress.name != self.name:
+            return
+        families, prompts, last = self.counts.pop(event.progress.batchId, (0, 0, None))
+        if self.heartbeat is not None and families:
+            self.heartbeat.committed(families, prompts, last)
+        if self.told is not None and families:
+            self.told(event.progress.batchId, families)
+
+    def onQueryTerminated(self, event) -> None:
+        if self.run_id == str(event.runId):
+            self.finished.set()

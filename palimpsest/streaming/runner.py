@@ -1,102 +1,136 @@
-"""The resumable judge run: a stream over family files into an append-only ledger."""
+"""The resumable judge run: a stream over family files into an append-only ledger."""
 
 from __future__ import annotations
 
-import os
+import json
+import time
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.streaming.control import Control
+from palimpsest.operators.runs import utc_now
+from palimpsest.sources.shared import Lease, Locked, Lost, Shared
+from palimpsest.streaming.control import Control, Heartbeat, Progress
 
+__all__ = ["Lease", "Locked", "Lost", "batches", "matrix", "record", "results", "run", "scan", "states"]
 
-class Locked(RuntimeError):
-    """Another writer holds the run."""
+#: Prompts of a family without a column of them: four variants in both orders. Fixed value.
+PROMPTS_A_FAMILY = 8
+COMMIT = "batch long, term long, path string, families long, prompts long, last_family_id string, at string"
+EVENT = "run_id string, attempt_id string, at double, state string, phase string, note string"
 
 
-class Lock:
-    """One writer per run. The file names its holder; force takes over, and who was taken over from leaves the file alone."""
-
-    def __init__(self, path: str | Path, force: bool = False, holder: str | None = None) -> None:
-        self.path, self.force, self.holder = Path(path), force, holder or f"{os.getpid()}-{uuid.uuid4().hex}"
-
-    def __enter__(self) -> Lock:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        flags = os.O_CREAT | os.O_WRONLY | (os.O_TRUNC if self.force else os.O_EXCL)
-        try:
-            handle = os.open(self.path, flags)
-        except FileExistsError:
-            raise Locked(f"{self.path} is held by {self.path.read_text()}") from None
-        with os.fdopen(handle, "w") as out:
-            out.write(self.holder)
-        return self
-
-    def held(self) -> bool:
-        try:
-            return self.path.read_text() == self.holder
-        except FileNotFoundError:
-            return False
-
-    def __exit__(self, *_: object) -> None:
-        if self.held():
-            self.path.unlink()
-
-
-def run(spark: SparkSession, families: str, schema: T.StructType, judge: Callable[[DataFrame], DataFrame], ledger: str, *, files_per_batch: int = 1, stop: Callable[[], bool] | Control = lambda: False, progress: Callable[[int, int], None] | None = None) -> str:
+def run(
+    spark: SparkSession, families: str, schema: T.StructType, judge: Callable[[DataFrame], DataFrame], ledger: str, *,
+    files_per_batch: int = 1, stop: Callable[[], bool] | Control = lambda: False, progress: Callable[[int, int], None] | None = None, heartbeat: Heartbeat | None = None, lease: Lease | None = None,
+) -> str:
     """Judge all family files that the ledger has not seen; COMPLETED, or PAUSED after a stop request.
 
-    A batch commits one nested row per family (prompts and variants inside) into its own folder and
-    overwrites it when it is replayed, so the three grains stand or fall together and a crash
-    between batches loses or repeats nothing. The stream's checkpoint is the queue. progress (M07) is
-    told the number of each batch and of its families.
+    A batch writes one nested row per family (prompts and variants inside) into a folder of its own
+    and then creates its commit, a small file that names the folder; only what a commit names
+    counts. Creation is exclusive, so the three grains of a batch stand or fall together, a batch
+    that is replayed after a crash is left as it is, and of two writers one commits it. A lease is
+    asked before each commit; the run ends with Lost where it was taken over. The stream's
+    checkpoint is the queue.
+
+    heartbeat: started and stopped here, told by a listener of each batch that Spark reports done, and
+    written by its own timer meanwhile. progress is told the number of each batch and of its families.
     """
-    paused, aborted = [], []
-    counted = progress is not None or isinstance(stop, Control)
+    files = Shared(spark)
+    name = f"judge-{uuid.uuid4().hex}"
+    term = lease.term if lease is not None else 0
+    listener = Progress(name, heartbeat, progress)
+    paused, ended = [], []
 
     def commit(batch: DataFrame, number: int) -> None:
         try:
             asked = stop()
-        except KeyboardInterrupt:  # it must not end the thread that answers Spark
-            aborted.append(number)
-            raise InterruptedError("given up") from None
+        except KeyboardInterrupt as error:  # it must not end the thread that answers Spark
+            ended.append(KeyboardInterrupt("the run was given up"))
+            raise InterruptedError("given up") from error
         if asked:
             paused.append(number)
             raise InterruptedError("stop requested")
-        path = f"{ledger}/rows/batch_no={number:09d}"
-        judge(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(path)
-        if counted:
-            n = spark.read.parquet(path).count()
-            if isinstance(stop, Control):
-                stop.done += n
-            if progress is not None:
-                progress(number, n)
-
-    query = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(families)
-        .writeStream.foreachBatch(commit).option("checkpointLocation", f"{ledger}/queue").trigger(availableNow=True).start()
-    )
-    try:
-        query.awaitTermination()
-    except Exception:
-        if aborted:
-            raise KeyboardInterrupt("the run was given up") from None
-        if not paused:
+        at = f"{ledger}/commits/{number:09d}.json"
+        if files.exists(at):
+            return
+        part = f"batch_no={number:09d}/part={term:09d}-{uuid.uuid4().hex}"
+        seen = Observation()
+        judged = judge(batch).withColumn("batch", F.lit(number))
+        prompts = F.sum(F.size("prompts")) if "prompts" in judged.columns else F.count("*") * PROMPTS_A_FAMILY
+        judged.observe(seen, F.count("*").alias("families"), F.coalesce(prompts, F.lit(0)).cast("long").alias("prompts"), F.max("family_id").alias("last")).write.parquet(f"{ledger}/rows/{part}")
+        held = seen.get
+        try:
+            if lease is not None:
+                lease.check()
+        except Lost as error:
+            ended.append(error)
             raise
+        entry = {"batch": number, "term": term, "path": part, "families": held["families"], "prompts": held["prompts"], "last_family_id": held["last"], "at": utc_now()}
+        if not files.create(at, json.dumps(entry)):
+            ended.append(Lost(f"batch {number} was committed by another writer"))
+            raise ended[-1]
+        listener.counts[number] = (held["families"], held["prompts"], held["last"])
         if isinstance(stop, Control):
-            stop.paused()
-        return "PAUSED"
-    return "COMPLETED"
+            stop.done += held["families"]
+
+    spark.streams.addListener(listener)
+    if heartbeat is not None:
+        heartbeat.spark = heartbeat.spark or spark
+        heartbeat.state, heartbeat.phase = "RUNNING", "INFERENCE"
+        heartbeat.start()
+    state = "FAILED"
+    try:
+        query = (
+            spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(families)
+            .writeStream.queryName(name).foreachBatch(commit).option("checkpointLocation", f"{ledger}/queue").trigger(availableNow=True).start()
+        )
+        try:
+            query.awaitTermination()
+            state = "COMPLETED"
+        except Exception:
+            if ended:
+                raise ended[0] from None
+            if not paused:
+                raise
+            if isinstance(stop, Control):
+                stop.paused()
+            state = "PAUSED"
+        return state
+    finally:
+        listener.finished.wait(timeout=30)
+        spark.streams.removeListener(listener)
+        if heartbeat is not None:
+            heartbeat.stop_requested = bool(paused)
+            heartbeat.state, heartbeat.inflight = state, 0
+            heartbeat.stop()
+
+
+def batches(spark: SparkSession, ledger: str) -> DataFrame:
+    """The commits of a ledger, a row per batch."""
+    if not Shared(spark).names(f"{ledger}/commits"):
+        return spark.createDataFrame([], COMMIT)
+    return spark.read.schema(COMMIT).json(f"{ledger}/commits")
+
+
+def rows(spark: SparkSession, ledger: str) -> DataFrame:
+    """All committed rows. Folders that no commit names are leftovers of a crash and are passed over.
+
+    Commits are as many as batches and are joined by their folder's name.
+    """
+    held = spark.read.option("basePath", f"{ledger}/rows").parquet(f"{ledger}/rows/*/*")
+    named = batches(spark, ledger).select(F.regexp_extract("path", "part=(.*)$", 1).alias("part"))
+    return held.join(named, "part", "left_semi").drop("part")
 
 
 def results(spark: SparkSession, ledger: str) -> DataFrame:
     """The latest row of each family."""
-    rows = spark.read.parquet(f"{ledger}/rows")
-    rest = [c for c in rows.columns if c not in ("family_id", "batch", "batch_no")]
-    return rows.groupBy("family_id").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("family_id", "_r.*")
+    held = rows(spark, ledger)
+    rest = [c for c in held.columns if c not in ("family_id", "batch", "batch_no")]
+    return held.groupBy("family_id").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("family_id", "_r.*")
 
 
 def scan(spark: SparkSession, ledger: str, grain: str = "family") -> DataFrame:
@@ -109,3 +143,34 @@ def scan(spark: SparkSession, ledger: str, grain: str = "family") -> DataFrame:
         raise ValueError("the grain is family, variant or prompt")
     out = held.select("family_id", F.explode(f"{grain}s").alias("_x")).select("family_id", "_x.*")
     return out.orderBy("family_id", "variant_id", *(["order_id"] if grain == "prompt" else []))
+
+
+def record(spark: SparkSession, ledger: str, run_id: str, attempt_id: str, state: str, phase: str, note: str = "") -> None:
+    """A change of a run's state, as one small file of its own: events are only ever added."""
+    at = time.time()
+    entry = {"run_id": run_id, "attempt_id": attempt_id, "at": at, "state": state, "phase": phase, "note": note}
+    Shared(spark).create(f"{ledger}/events/{at:018.6f}-{uuid.uuid4().hex[:8]}.json", json.dumps(entry))
+
+
+def states(spark: SparkSession, ledgers: str) -> DataFrame:
+    """Where each run stands, by its last event; ledgers may hold wildcards. n_attempts counts the attempts begun."""
+    held = spark.read.schema(EVENT).json(f"{ledgers}/events")
+    last = lambda c: F.max_by(c, "at").alias(c)
+    return held.groupBy("run_id").agg(last("attempt_id"), last("state"), last("phase"), F.count_distinct("attempt_id").alias("n_attempts"), F.max("at").alias("updated_at"))
+
+
+def matrix(spark: SparkSession, ledgers: list[str]) -> DataFrame:
+    """A row per slice: identity, state, families in all, completed and pending; a slice not begun is MISSING.
+
+    A ledger's manifest (run.json) names its run; counts are sums over its commits.
+    """
+    files, out = Shared(spark), []
+    for at in ledgers:  # a slice is a run; there are few
+        meta = json.loads(files.read(f"{at}/run.json") or "{}")
+        begun = bool(files.names(f"{at}/events"))
+        state = states(spark, at).first() if begun else None
+        done = batches(spark, at).agg(F.coalesce(F.sum("families"), F.lit(0))).first()[0]
+        total = (meta.get("queue") or {}).get("n")
+        told = (meta.get("run_id"), meta.get("task_family"), meta.get("model_id"), meta.get("prompt_id"), meta.get("split"))
+        out.append((at, *told, state["state"] if state else "MISSING", state["phase"] if state else None, state["n_attempts"] if state else 0, total, done, None if total is None else total - done))
+    return spark.createDataFrame(out, "ledger string, run_id string, task_family string, model_id string, prompt_id string, split string, state string, phase string, n_attempts long, total_families long, completed_families long, pending_families long")

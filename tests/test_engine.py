@@ -492,14 +492,6 @@ def test_runner_with_control(spark, tmp_path):
     twice.signalled()
     with pytest.raises(KeyboardInterrupt):
         runner.run(*args, stop=twice)
-    first = runner.Lock(tmp_path / "lock").__enter__()
-    with pytest.raises(runner.Locked, match=first.holder):
-        runner.Lock(tmp_path / "lock").__enter__()
-    second = runner.Lock(tmp_path / "lock", force=True).__enter__()
-    first.__exit__()
-    assert second.held() and not first.held()
-    second.__exit__()
-    assert not (tmp_path / "lock").exists()
 
 
 def test_freeze_of_ids_with_one_beginning(spark, tmp_path):
@@ -569,8 +561,6 @@ def test_runner_pauses_and_resumes(spark, tmp_path):
     assert runner.run(*args) == "COMPLETED"
     assert sorted((r["family_id"], r["y"]) for r in runner.results(spark, str(tmp_path / "ledger")).collect()) == [("f0", 0), ("f1", 2)]
     assert runner.run(*args) == "COMPLETED" and runner.results(spark, str(tmp_path / "ledger")).count() == 2
-    with runner.Lock(tmp_path / "lock"), pytest.raises(runner.Locked), runner.Lock(tmp_path / "lock"):
-        pass
 
 
 def test_run_identity(spark):
