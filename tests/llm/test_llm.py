@@ -48,6 +48,9 @@ COLUMNS = {
     "op8_near_vectors": "vec_id n_links component_id kept audit_recall",
     "op9_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next same_edited same_next",
     "op10_html_text": "page_id url text n_chars",
+    "op11_importance": "doc_id n_features weight score rank",
+    "op12_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 
@@ -57,6 +60,9 @@ def test_query_returns_its_whole_table(name, spark):
     got = queries.QUERIES[name](spark, DATA).toPandas()
     assert list(got.columns) == COLUMNS[name].split()
     source, key = {"op3_chat_preferences": ("conversations", "conv_id"), "op4_url_filter": ("pages", "page_id"), "op10_html_text": ("pages", "page_id"), "op8_near_vectors": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
+    if name == "op13_hard_negatives":  # a row for each negative of an anchor
+        assert (got["anchor_id"] % 100 == 0).all() and got.groupby(["anchor_id", "positive_id"])["rank"].max().max() <= 10
+        return
     ids = table(spark, DATA, source).select(key).toPandas()[key]
     assert set(got[key]) == set(ids) and (name == "op1_packing" or len(got) == ids.nunique())
     if name == "op1_packing":
@@ -69,6 +75,8 @@ def test_query_returns_its_whole_table(name, spark):
         x = np.stack(table(spark, DATA, "embeddings").orderBy("vec_id").toPandas()["embedding"].to_numpy()).astype(float)
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
         assert got.sort_values("vec_id")["n_links"].tolist() == ((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()
+    if name == "op12_licenses":
+        assert got["score"].between(0, 1).all() and (got["n_base"] > 0).sum() > 0
     if "held_out" in got:
         assert 0.1 < got["held_out"].mean() < 0.6 and got["score"].between(0, 1).all()
 
