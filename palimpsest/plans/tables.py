@@ -10,7 +10,9 @@ from palimpsest.functions import text as X
 from palimpsest.operators import canonical, ledger, rendering, validate
 from palimpsest.plans.building import _FACTS, _QA, _facts, _items, bucket_sql, norm_sql, split_sql, tokens_sql
 from palimpsest.plans.registry import query
+from palimpsest.sources.shared import workspace
 from palimpsest.sources.tables import read, with_split
+from palimpsest.streaming import states
 
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
@@ -76,7 +78,10 @@ def eligible_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return _moves_of(read(spark, sf_dir, "events"))
+
+
+def _moves_of(e: DataFrame) -> DataFrame:
     state = F.when(F.col("event_type") == "signup", "PENDING").when(F.col("event_type") == "view", "INFLIGHT").when(F.col("event_type") == "purchase", "COMPLETE").when(F.col("event_type") == "error", "FAILED")
     return e.select("event_id", "ts", F.col("user_id").alias("family_id"), state.alias("state"))
 
@@ -110,12 +115,43 @@ def stale_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.recovery(_moves(spark, sf_dir))
 
 
-@query(f"""{_EVENTS}, numbered AS (SELECT *, CAST(sum(CAST(state = 'PENDING' AS INTEGER)) OVER (PARTITION BY family_id ORDER BY ts, event_id) AS BIGINT) AS attempt FROM moves)
-  SELECT family_id, attempt, count(*) AS n_events, CASE arg_max(state, (ts, event_id)) WHEN 'COMPLETE' THEN 'COMPLETED' WHEN 'FAILED' THEN 'FAILED' WHEN 'PENDING' THEN 'PAUSED' ELSE 'RUNNING' END AS status FROM numbered GROUP BY ALL""")
+_NUMBERED = """numbered AS (SELECT *, CAST(sum(CAST(state = 'PENDING' AS INTEGER)) OVER (PARTITION BY family_id ORDER BY ts, event_id) AS BIGINT) AS attempt FROM moves)
+  SELECT family_id, attempt, count(*) AS n_events, CASE arg_max(state, (ts, event_id)) WHEN 'COMPLETE' THEN 'COMPLETED' WHEN 'FAILED' THEN 'FAILED' WHEN 'PENDING' THEN 'PAUSED' ELSE 'RUNNING' END AS status FROM numbered GROUP BY ALL"""
+
+
+@query(f"{_EVENTS}, {_NUMBERED}")
 def attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.attempts(_moves(spark, sf_dir))
 
 
+#: Stands for no family.
+CLOCK = -1
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> str:
+    """The events taken in as a stream, with the clock moved on at the end by what comes after all of them; the table's folder."""
+    events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    table = workspace(spark, "states")
+    # A transition of a family that is none, long after all others: it only moves the watermark, so that all timers fire.
+    end = events.agg((F.max("event_id") + 1).alias("event_id"), (F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts")).where("ts IS NOT NULL")
+    events.unionByName(end.withColumn("user_id", F.lit(CLOCK).cast("long")).withColumn("event_type", F.lit("purchase"))).write.parquet(f"{table}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{table}/in")
+    states.follow(spark, _moves_of(stream), table, delay="60 days", stale_after_s=86400.0)
+    return table
+
+
+@query(f"{_EVENTS} SELECT family_id, CASE WHEN state = 'INFLIGHT' THEN 'PENDING' ELSE state END AS state, retries, CAST(state = 'INFLIGHT' AS INTEGER) AS stale_recovered FROM last")
+def followed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T01, T02 as keyed state of a stream."""
+    return states.family_states(spark, _followed(spark, sf_dir)).where(F.col("family_id") != CLOCK)
+
+
+@query(f"{_EVENTS}, {_NUMBERED}")
+def followed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T03 as keyed state of a stream."""
+    return states.attempt_history(spark, _followed(spark, sf_dir)).where(F.col("family_id") != CLOCK)
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id AS family_id, row_number() OVER w AS i, greatest(epoch_us(ts) - lag(epoch_us(ts)) OVER w, 1)::DOUBLE / 1e6 AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 ), fold AS (SELECT family_id, i, 1.0::DOUBLE / gap AS r, gap FROM e WHERE i = 2
   UNION ALL SELECT e.family_id, e.i, 0.8::DOUBLE * f.r + 0.2::DOUBLE * (1.0::DOUBLE / e.gap), e.gap FROM fold f JOIN e ON e.family_id = f.family_id AND e.i = f.i + 1)

@@ -7,6 +7,7 @@ stands where the tables stand, and every driver of a cluster sees it.
 from __future__ import annotations
 
 import json
+import tempfile
 import threading
 import time
 import uuid
@@ -199,3 +200,18 @@ class Lease:
             self._thread.join(timeout=5)
         if self.held():
             self.files.create(self._file(self.term, "released"), self.holder)
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of this session: below the shared folder that spark.checkpoint.dir names; only on one
+    machine, where that is unset, below a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = held.get() if held.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="palimpsest-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/palimpsest-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
