@@ -149,7 +149,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     each step together, the longest first, so those that have ended drop off the end.
     """
     n, k = scores.shape
-    out = np.zeros(n, dtype=np.int8)
+    out = np.zeros(n, dtype=np.int32)
     lengths = np.diff(first)
     order = np.flatnonzero(lengths > 0)
     if not len(order):
@@ -164,7 +164,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     # alive[t]: how many texts have a row t.
     alive = np.searchsorted(-left, -np.arange(left[0]), side="left")
     stay = np.zeros((n, k), dtype=bool)
-    best = np.zeros(n, dtype=np.int8)
+    best = np.zeros(n, dtype=np.int32)
     v = np.zeros((len(order), k), dtype=np.float64)
     for t in range(left[0]):
         m = alive[t]
