@@ -121,6 +121,11 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, widest: int = WIDE
         rest = budget - int((take * lengths).sum())
 
 
+def _size(size: Column | None, text_col: str) -> Column:
+    """Words of the text, or the size given: null and negative ones are 0."""
+    return n_words(F.col(text_col)) if size is None else F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))
+
+
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 0, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slice_rows: int = 1 << 18) -> DataFrame:
     """Every row of docs with size, source_size, target, copies (0..ceil(most)) and taken = copies * size.
 
@@ -139,8 +144,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: float =
     names = ("size", "source_size", "target", "copies", "taken")
     kept = docs.drop(*names)
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    words = n_words(F.col(text_col)) if size is None else F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))
-    sized = cut(kept.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), words.alias("_size"), hashed.alias("_hash")))
+    sized = cut(kept.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), _size(size, text_col).alias("_size"), hashed.alias("_hash")))
     largest = sized.groupBy("_source", "_size").count().agg(F.max("count")).first()[0] or 0
     sized = sized.withColumn("_slice", F.pmod("_hash", F.lit(max(64, -(-largest // slice_rows)))).cast("int"))
     grain = cut(sized.groupBy("_source", "_size", "_slice").agg(F.count("*").alias("_n")))
@@ -178,9 +182,9 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source"
     held = docs.columns
     plan = mix(docs, id_col=id_col, source_col=source_col, **options).where("copies > 0")
     plan = plan.groupBy(id_col, source_col, "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    size = options.get("size")
-    text = F.col(options.get("text_col", "text"))
-    rows = docs.withColumn("_size", n_words(text) if size is None else size)
+    text_col = options.get("text_col", "text")
+    text = F.col(text_col)
+    rows = docs.withColumn("_size", _size(options.get("size"), text_col))
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(id_col, source_col, "_size").orderBy(F.xxhash64(text))))
     met = meet(rows, plan.withColumnRenamed("size", "_size"), [id_col, source_col, "_size"])
     met = met.withColumn("_times", F.get("_copies", F.col("_at") - 1)).where("_times > 0")

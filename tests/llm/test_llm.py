@@ -347,6 +347,11 @@ def test_mix(spark, docs, none):
     assert sorted(zip(got["doc_id"], got["taken"], strict=True)) == sorted(zip(again["doc_id"], again["taken"], strict=True))
     sizes = mixing.mix(spark.createDataFrame([(1, None, -3), (2, None, None), (3, None, 5)], "doc_id long, source string, k int"), size=F.col("k")).collect()
     assert sorted((r["doc_id"], r["size"], r["taken"]) for r in sizes) == [(1, 0, 0), (2, 0, 0), (3, 5, 5)]
+    # Sources whose documents have no size of their own are taken whole, several times, by both.
+    odd = spark.createDataFrame([(1, None, "a"), (6, -3, "a"), (3, 1, "a"), (4, 99, "b")], "doc_id long, k int, source string")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(odd.withColumn("text", F.lit("")), size=F.col("k")).collect()}
+    got_ids = [r["doc_id"] for r in mixing.mixed(odd.withColumn("text", F.lit("")), size=F.col("k")).collect()]
+    assert copies[1] == copies[6] == 3 and sorted(got_ids) == sorted(k for k, n in copies.items() for _ in range(n))
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS) and mixing.mix(none).count() == 0
     out = mixing.mixed(d)
@@ -456,6 +461,12 @@ def test_viterbi():
             assert cost(got[first[i] : first[i + 1]], x) == pytest.approx(brute_viterbi(x, 3.0)[1], abs=1e-3)
 
 
+def test_viterbi_of_many_labels():
+    s = np.zeros((6, 300), dtype=np.float32)
+    s[:3, 150] = s[3:, 299] = 20
+    assert language.viterbi(s, np.array([0, 6]), 3.0).tolist() == [150] * 3 + [299] * 3
+
+
 def test_viterbi_takes_two_spans_where_one_label_is_second_in_both():
     """No run gains a penalty over the best single label, and yet two other labels together beat it."""
     s = np.array([[13.5, -2.5, 5.5], [-2.5, 13.5, 5.51]])
