@@ -61,10 +61,10 @@ def entity_id(url: Column, error: bool = False) -> Column:
 
 
 def variable_date(time: Column, precision: Column) -> Column:
-    """X11: `+YYYY-MM-DD...` cut to day (11), month (10) or year (9); else null."""
-    bare = F.regexp_replace(time, r"^\+", "")
-    cut = F.when(precision == 11, F.substring(bare, 1, 10)).when(precision == 10, F.substring(bare, 1, 7)).when(precision == 9, F.substring(bare, 1, 4))
-    return F.when(F.length(time) >= 11, cut)
+    """X11: `+YYYY-MM-DD...` cut to day (11 or finer), month (10) or year (9), with the minus of an early year; else null."""
+    bare, sign = F.regexp_replace(time, r"^[+-]+", ""), F.when(F.startswith(time, F.lit("-")), "-").otherwise("")
+    cut = F.when(precision >= 11, F.substring(bare, 1, 10)).when(precision == 10, F.substring(bare, 1, 7)).when(precision == 9, F.substring(bare, 1, 4))
+    return F.when(F.length(time) >= 11, F.concat(sign, cut))
 
 
 def ratio_or_inf(n: Column, d: Column) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from palimpsest.functions.text import variable_date
+from palimpsest.sources.facts import HUMAN, statements_query
 
 #: Rows of a search page, and ids of a lookup, at most. Fixed values.
 MOST_A_PAGE = MOST_IDS = 50
@@ -35,25 +36,20 @@ def search_query(relation_id: str, subject_class: str) -> str:
     return f"haswbstatement:P31={subject_class} haswbstatement:{relation_id}"
 
 
-def entity_query(subject_class: str) -> str:
-    """Ids of the entities of a class, by page."""
-    return f"SELECT ?entity WHERE {{ ?entity wdt:P31 wd:{subject_class} . }} ORDER BY ?entity LIMIT {{limit}} OFFSET {{offset}}"
+def entity_query(subject_class: str, relation_id: str | None = None, also_relation_id: str | None = None) -> str:
+    """Ids of the entities of a class that hold a relation, and another one too, by page."""
+    held = "".join(f" ?entity wdt:{r} ?{name} ." for name, r in (("also", also_relation_id), ("value", relation_id)) if r)
+    return f"SELECT DISTINCT ?entity WHERE {{ ?entity wdt:P31 wd:{subject_class} .{held} }} ORDER BY ?entity LIMIT {{limit}} OFFSET {{offset}}"
 
 
 def relation_query(relation_id: str, subject_class: str, dates: bool = False) -> str:
-    """Subjects of a class with the values of a relation and both labels, or its dates with their precision, by page."""
-    subject = f"?subject wdt:P31 wd:{subject_class} ; rdfs:label ?subjectLabel . FILTER(LANG(?subjectLabel) = 'en')"
-    if dates:
-        value, held = f"?subject p:{relation_id}/psv:{relation_id} ?node . ?node wikibase:timeValue ?time ; wikibase:timePrecision ?precision .", "?time ?precision"
-    else:
-        value, held = f"?subject wdt:{relation_id} ?object . ?object rdfs:label ?objectLabel . FILTER(LANG(?objectLabel) = 'en')", "?object ?objectLabel"
-    return f"SELECT ?subject ?subjectLabel {held} WHERE {{ {subject} {value} }} ORDER BY ?subject {held.split()[0]} LIMIT {{limit}} OFFSET {{offset}}"
-
-
-def slot_query(relation_id: str, entity_ids: list[str]) -> str:
-    """The values of a relation for listed entities."""
-    listed = " ".join(f"wd:{x}" for x in sorted(set(entity_ids)))
-    return f"SELECT ?subject ?object ?objectLabel WHERE {{ VALUES ?subject {{ {listed} }} ?subject wdt:{relation_id} ?object . ?object rdfs:label ?objectLabel . FILTER(LANG(?objectLabel) = 'en') }} ORDER BY ?subject ?object"
+    """Subjects of a class with the best-ranked values of a relation and both labels, or its dates with their precision, by page."""
+    return statements_query(relation_id, class_id=subject_class, dates=dates, best_rank=True)
+
+
+def slot_query(relation_id: str, entity_ids: list[str], subject_class: str = HUMAN) -> str:
+    """The best-ranked values of a relation for listed entities of a class, with both labels, by page."""
+    return statements_query(relation_id, class_id=subject_class, subject_ids=entity_ids, best_rank=True)
 
 
 def get_json(url: str, *, tries: int = 6, timeout: float = 60.0, opener: Callable = urllib.request.urlopen, sleep: Callable = time.sleep) -> dict:
