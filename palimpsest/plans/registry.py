@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return keep
 
 
-from palimpsest.plans import building, evaluation, tables  # noqa: E402, F401
+from palimpsest.plans import building, evaluation, sourcing, tables  # noqa: E402, F401
