@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import payloads
+from palimpsest.operators import canonical, payloads, quality
+from palimpsest.plans.building import _FACTS, _QA, bucket_sql, split_sql
 from palimpsest.plans.registry import query
-from palimpsest.sources.tables import read
+from palimpsest.sources.tables import ADAPTED, qa_facts, raw_facts, read, relations
 
 PROPERTIES = {"award": "P166", "field": "P101"}
 
@@ -73,3 +74,43 @@ def payload_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the payloads was passed over, by reason."""
     return payloads.problems(_payloads(spark, sf_dir))
+
+
+def _counted(counter: str, keys: str, found: str) -> str:
+    """Zeros for the keys of a fixed list."""
+    return f"SELECT '{counter}' AS counter, k AS key, coalesce(n, 0) AS n FROM (SELECT unnest([{keys}]) AS k) LEFT JOIN ({found}) USING (k)"
+
+
+_SPLIT_NAMES = "'train', 'dev', 'test'"
+_RELATION_NAMES = ", ".join(f"'{r[0]}'" for r in ADAPTED)
+_TYPE_NAMES = ", ".join(f"'{r[2]}'" for r in ADAPTED)
+_SLOT_NAMES = "'occupation', 'notable_work', 'award', 'field'"
+
+
+@query(f"""{_QA}, told AS (SELECT *, skip_reason IS NULL OR skip_reason IN ('multi_gold_object', 'duplicate_row') AS live, {split_sql(bucket_sql('subject_id'))} AS split FROM reasons)
+SELECT 'input_row_count' AS counter, '' AS key, count(*) AS n FROM told
+UNION ALL SELECT 'rows_after_whitelist_and_normalization', '', count(*) FILTER (live) FROM told
+UNION ALL SELECT 'group_count', '', count(DISTINCT (subject_id, relation_id)) FILTER (live) FROM told
+UNION ALL SELECT 'output_row_count', '', count(*) FILTER (skip_reason IS NULL) FROM told
+UNION ALL SELECT 'duplicate_raw_row_count', '', count(*) FILTER (skip_reason = 'duplicate_row') FROM told
+UNION ALL {_counted('skip_reasons', ", ".join(f"'{s}'" for s in quality.QA_SKIPS), "SELECT skip_reason AS k, count(*) AS n FROM told GROUP BY 1")}
+UNION ALL {_counted('relation_input_counts', _RELATION_NAMES, "SELECT relation_id AS k, count(*) FILTER (coalesce(skip_reason, '') <> 'relation_not_whitelisted') AS n FROM told GROUP BY 1")}
+UNION ALL {_counted('relation_output_counts', _RELATION_NAMES, "SELECT relation_id AS k, count(*) FILTER (skip_reason IS NULL) AS n FROM told GROUP BY 1")}
+UNION ALL {_counted('coarse_type_output_counts', _TYPE_NAMES, "SELECT coarse_type AS k, count(*) FILTER (skip_reason IS NULL) AS n FROM told GROUP BY 1")}
+UNION ALL {_counted('split_counts', _SPLIT_NAMES, "SELECT split AS k, count(DISTINCT subject_id) FILTER (skip_reason IS NULL) AS n FROM told GROUP BY 1")}""")
+def canonical_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every counter of the build from one scan of its source, zeros told."""
+    reasons = canonical.qa_reasons(qa_facts(spark, sf_dir), relations(spark))
+    return quality.qa_report(reasons, [r[0] for r in ADAPTED], [r[2] for r in ADAPTED])
+
+
+@query(f"""{_FACTS}, told AS (SELECT *, {split_sql(bucket_sql('entity_id'))} AS split FROM freasons)
+SELECT 'input_row_count' AS counter, '' AS key, count(*) AS n FROM told
+UNION ALL SELECT 'output_row_count', '', count(*) FILTER (skip_reason IS NULL) FROM told
+UNION ALL SELECT 'duplicate_raw_row_count', '', count(*) FILTER (skip_reason = 'duplicate_row') FROM told
+UNION ALL {_counted('skip_reasons', ", ".join(f"'{s}'" for s in quality.FACT_SKIPS), "SELECT skip_reason AS k, count(*) AS n FROM told GROUP BY 1")}
+UNION ALL {_counted('slot_row_counts', _SLOT_NAMES, "SELECT slot AS k, count(*) FILTER (skip_reason IS NULL) AS n FROM told GROUP BY 1")}
+UNION ALL {_counted('slot_entity_counts', _SLOT_NAMES, "SELECT slot AS k, count(DISTINCT entity_id) FILTER (skip_reason IS NULL) AS n FROM told GROUP BY 1")}
+UNION ALL {_counted('split_counts', _SPLIT_NAMES, "SELECT split AS k, count(DISTINCT entity_id) FILTER (skip_reason IS NULL) AS n FROM told GROUP BY 1")}""")
+def fact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.fact_report(canonical.fact_reasons(raw_facts(spark, sf_dir)))
