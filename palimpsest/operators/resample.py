@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palimpsest.operators import twister
 from palimpsest.operators.metrics import from_sums, sums
 
 NAMES = ("base_acc", "gcf", "gap", "sensitivity_at_base_correct", "invariance_at_base_correct", "underreaction_at_base_correct", "overreaction_at_base_correct", "tie_rate", "order_disagreement")
@@ -65,66 +67,63 @@ def hash_draws(families: DataFrame, by: list[str], reps: int) -> DataFrame:
     return drawn.select(*by, "rep", (F.col("bits") % F.col("n")).alias("ordinal"), F.lit(1).alias("times"))
 
 
-def _source(key: np.ndarray, pos: int) -> np.random.MT19937:
-    out = np.random.MT19937()
-    out.state = {"bit_generator": "MT19937", "state": {"key": key, "pos": pos}}
-    return out
+#: Words of the generator's stream that one task reads, at least and at most, and at a time.
+WORDS_A_BLOCK, WORDS_AT_ONCE = (1 << 18, 1 << 25), 1 << 20
 
 
-def _draws(source: np.random.MT19937, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """What the standard library's randrange(n) makes of so many words of its generator: draws, and from which word each.
-
-    A word counts by as many of its highest bits as n has, if they are below n.
-    """
-    x = source.random_raw(words) >> np.uint64(32 - n.bit_length())
-    at = np.flatnonzero(x < n)
-    return x[at].astype(np.int64), at
-
-
-def replicate_states(n: int, reps: int, seed: int) -> Iterator[tuple[np.ndarray, int]]:
-    """The generator's state before each replicate of n draws: the stream is skimmed once, in order, as its definition asks."""
-    if n.bit_length() > 32:
-        raise ValueError("the standard library's draws are for up to 2^32 rows: use hash_draws")
-    *key, pos = random.Random(seed).getstate()[1]
-    source, left, words = _source(np.array(key, dtype=np.uint32), pos), n, min(1 << 18, max(1024, 4 * n))
-    yield np.array(key, dtype=np.uint32), pos
-    made = 1
-    while made < reps:
-        before = source.state["state"]
-        at, done = _draws(source, n, words)[1], 0
-        while left <= len(at) - done and made < reps:
-            done, left = done + left, n
-            there = _source(before["key"], before["pos"])
-            there.random_raw(int(at[done - 1]) + 1)
-            now = there.state["state"]
-            yield now["key"], now["pos"]
-            made += 1
-        left -= len(at) - done
-
-
-def exact_draws(families: DataFrame, reps: int, seed: int) -> DataFrame:
+def exact_draws(families: DataFrame, reps: int, seed: int, words: int | None = None) -> DataFrame:
     """The draws of the standard library's generator: (rep, ordinal, times). They depend on seed, n and reps only.
 
-    The driver finds where each replicate begins (one state of 2.5 KB each) at some hundred million
-    draws a second; the draws themselves are made in tasks.
+    The stream is parted into blocks of `words` (by default so that all cores have some), which tasks enter by a jump. They first count how
+    many draws their block holds; a running sum tells which draws of which replicate stand where, and
+    tasks then make those. The driver holds a number per block. A replicate and ordinal may stand
+    in several rows, one per block or part of it.
     """
     spark, n = families.sparkSession, families.count()
     schema = "rep int, ordinal long, times long"
-    if not n:
+    if not n or reps <= 0:
         return spark.createDataFrame([], schema)
-    states = spark.createDataFrame([(rep, key.tobytes(), pos) for rep, (key, pos) in enumerate(replicate_states(n, reps, seed))], "rep int, key binary, pos int")
+    if n.bit_length() > 32:
+        raise ValueError("the standard library's draws are for up to 2^32 rows: use hash_draws")
+    wanted, key, share = n * reps, twister.seeded(seed), n / (1 << n.bit_length())
+    if words is None:
+        words = min(WORDS_A_BLOCK[1], max(WORDS_A_BLOCK[0], math.ceil(wanted / share / (4 * spark.sparkContext.defaultParallelism))))
+
+    def parts(block: int) -> Iterator[np.ndarray]:
+        there = twister.source(twister.jumped(key, block * words))
+        for done in range(0, words, WORDS_AT_ONCE):
+            yield twister.accepted(there, n, min(WORDS_AT_ONCE, words - done))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"block": batch["block"], "draws": [sum(map(len, parts(int(b)))) for b in batch["block"]]})
+
+    def blocks(first: int, last: int) -> DataFrame:
+        # One block a task: a block is some tenths of a second of work.
+        return spark.range(first, last, numPartitions=last - first).toDF("block")
+
+    # The share of words that count is known; the last blocks may be needed or not, and more where luck was against it.
+    ends: list[int] = []
+    while not ends or ends[-1] < wanted:
+        more = max(1, math.ceil((wanted - (ends[-1] if ends else 0)) / share / words))
+        for r in sorted(blocks(len(ends), len(ends) + more).mapInPandas(counted, "block long, draws long").collect()):
+            ends.append((ends[-1] if ends else 0) + r["draws"])
+    starts = [0, *ends[:-1]]
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rep, key, pos in zip(batch["rep"], batch["key"], batch["pos"], strict=True):
-                source, left = _source(np.frombuffer(key, dtype=np.uint32), pos), n
-                while left:
-                    values = _draws(source, n, min(1 << 20, 2 * left + 64))[0][:left]
-                    left -= len(values)
-                    ordinal, times = np.unique(values, return_counts=True)
-                    yield pd.DataFrame({"rep": np.full(len(ordinal), rep, dtype=np.int32), "ordinal": ordinal, "times": times})
-
-    return states.repartition("rep").mapInPandas(drawn, schema)
+            for block in batch["block"].tolist():
+                at = starts[block]
+                for values in parts(block):
+                    values = values[: max(0, wanted - at)]
+                    if not len(values):
+                        break
+                    # Draws of a replicate follow each other.
+                    codes, times = np.unique((at + np.arange(len(values))) // n * n + values, return_counts=True)
+                    yield pd.DataFrame({"rep": (codes // n).astype(np.int32), "ordinal": codes % n, "times": times})
+                    at += len(values)
+
+    return blocks(0, len(ends)).mapInPandas(drawn, schema)
 
 
 def bootstrap(families: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:

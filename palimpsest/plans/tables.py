@@ -12,7 +12,8 @@ from palimpsest.plans.building import _FACTS, _QA, _facts, _items, bucket_sql, n
 from palimpsest.plans.registry import query
 from palimpsest.sources.shared import workspace
 from palimpsest.sources.tables import read, with_split
-from palimpsest.streaming import states
+from palimpsest.streaming import runner, states
+from palimpsest.streaming.store import Store
 
 
 @query(f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents")
@@ -124,6 +125,21 @@ def attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.attempts(_moves(spark, sf_dir))
 
 
+@query(f"{_EVENTS} SELECT family_id, state FROM last")
+def compacted_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of a ledger, each with the last transitions of a third of the time; two are compacted, one is its tail."""
+    moves, at = _moves(spark, sf_dir), workspace(spark, "ledger")
+    first, last = (r or 0 for r in moves.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first())
+    third = F.least(F.lit(2), F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - first) * 3 / F.lit(max(1, last - first))))
+    held = Store(spark, at, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for k in range(3):
+        own = moves.where(third == k).groupBy("family_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"))
+        runner.append(spark, at, k, lambda own=own: own)
+        if k == 1:
+            held.compact()
+    return held.latest().select("family_id", "state")
+
+
 #: Stands for no family.
 CLOCK = -1
 

@@ -15,7 +15,7 @@ from palimpsest.operators.runs import utc_now
 from palimpsest.sources.shared import Lease, Locked, Lost, Shared
 from palimpsest.streaming.control import Control, Heartbeat, Progress
 
-__all__ = ["Lease", "Locked", "Lost", "batches", "matrix", "record", "results", "run", "scan", "states"]
+__all__ = ["Lease", "Locked", "Lost", "append", "batches", "matrix", "record", "results", "run", "scan", "states"]
 
 #: Prompts of a family without a column of them: four variants in both orders. Fixed value.
 PROMPTS_A_FAMILY = 8
@@ -39,9 +39,7 @@ def run(
     heartbeat: started and stopped here, told by a listener of each batch that Spark reports done, and
     written by its own timer meanwhile. progress is told the number of each batch and of its families.
     """
-    files = Shared(spark)
     name = f"judge-{uuid.uuid4().hex}"
-    term = lease.term if lease is not None else 0
     listener = Progress(name, heartbeat, progress)
     paused, ended = [], []
 
@@ -54,26 +52,14 @@ def run(
         if asked:
             paused.append(number)
             raise InterruptedError("stop requested")
-        at = f"{ledger}/commits/{number:09d}.json"
-        if files.exists(at):
-            return
-        part = f"batch_no={number:09d}/part={term:09d}-{uuid.uuid4().hex}"
-        seen = Observation()
-        judged = judge(batch).withColumn("batch", F.lit(number))
-        prompts = F.sum(F.size("prompts")) if "prompts" in judged.columns else F.count("*") * PROMPTS_A_FAMILY
-        judged.observe(seen, F.count("*").alias("families"), F.coalesce(prompts, F.lit(0)).cast("long").alias("prompts"), F.max("family_id").alias("last")).write.parquet(f"{ledger}/rows/{part}")
-        held = seen.get
         try:
-            if lease is not None:
-                lease.check()
+            held = append(spark, ledger, number, lambda: judge(batch), lease)
         except Lost as error:
             ended.append(error)
             raise
-        entry = {"batch": number, "term": term, "path": part, "families": held["families"], "prompts": held["prompts"], "last_family_id": held["last"], "at": utc_now()}
-        if not files.create(at, json.dumps(entry)):
-            ended.append(Lost(f"batch {number} was committed by another writer"))
-            raise ended[-1]
-        listener.counts[number] = (held["families"], held["prompts"], held["last"])
+        if held is None:
+            return
+        listener.counts[number] = (held["families"], held["prompts"], held["last_family_id"])
         if isinstance(stop, Control):
             stop.done += held["families"]
 
@@ -109,6 +95,25 @@ def run(
             heartbeat.stop()
 
 
+def append(spark: SparkSession, ledger: str, number: int, judged: Callable[[], DataFrame], lease: Lease | None = None) -> dict | None:
+    """Commit one batch of rows with family_id; its entry, or None where the batch stands already and nothing is judged."""
+    files, at = Shared(spark), f"{ledger}/commits/{number:09d}.json"
+    if files.exists(at):
+        return None
+    term = lease.term if lease is not None else 0
+    part = f"batch_no={number:09d}/part={term:09d}-{uuid.uuid4().hex}"
+    seen, rows = Observation(), judged().withColumn("batch", F.lit(number))
+    prompts = F.sum(F.size("prompts")) if "prompts" in rows.columns else F.count("*") * PROMPTS_A_FAMILY
+    rows.observe(seen, F.count("*").alias("families"), F.coalesce(prompts, F.lit(0)).cast("long").alias("prompts"), F.max("family_id").alias("last")).write.parquet(f"{ledger}/rows/{part}")
+    held = seen.get
+    if lease is not None:
+        lease.check()
+    entry = {"batch": number, "term": term, "path": part, "families": held["families"], "prompts": held["prompts"], "last_family_id": None if held["last"] is None else str(held["last"]), "at": utc_now()}
+    if not files.create(at, json.dumps(entry)):
+        raise Lost(f"batch {number} was committed by another writer")
+    return entry
+
+
 def batches(spark: SparkSession, ledger: str) -> DataFrame:
     """The commits of a ledger, a row per batch."""
     if not Shared(spark).names(f"{ledger}/commits"):
@@ -116,12 +121,12 @@ def batches(spark: SparkSession, ledger: str) -> DataFrame:
     return spark.read.schema(COMMIT).json(f"{ledger}/commits")
 
 
-def rows(spark: SparkSession, ledger: str) -> DataFrame:
-    """All committed rows. Folders that no commit names are leftovers of a crash and are passed over.
+def rows(spark: SparkSession, ledger: str, after: int = -1) -> DataFrame:
+    """All committed rows of batches after a number. Folders that no commit names are leftovers of a crash and are passed over.
 
     Commits are as many as batches and are joined by their folder's name.
     """
-    held = spark.read.option("basePath", f"{ledger}/rows").parquet(f"{ledger}/rows/*/*")
+    held = spark.read.option("basePath", f"{ledger}/rows").parquet(f"{ledger}/rows/*/*").where(F.col("batch_no") > after)
     named = batches(spark, ledger).select(F.regexp_extract("path", "part=(.*)$", 1).alias("part"))
     return held.join(named, "part", "left_semi").drop("part")
 

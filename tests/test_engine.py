@@ -6,6 +6,7 @@ import random
 import unicodedata
 import urllib.error
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -196,6 +197,29 @@ def test_bootstrap_draws_are_the_standard_librarys(spark):
     assert resample.exact_draws(spark.range(0), 3, 11).count() == 0
 
 
+def test_jumps_are_steps():
+    from palimpsest.operators import twister
+
+    key = twister.seeded(5)
+    for steps in (0, 1, 623, 624, 19937, 300_001):
+        there = twister.source(key)
+        there.random_raw(steps) if steps else None
+        assert (twister.source(twister.jumped(key, steps)).random_raw(700) == there.random_raw(700)).all()
+    assert twister.power(3 * 40_001) == twister._reduced(twister.power(3 * 40_001))
+
+
+def test_draws_of_many_blocks(spark):
+    """Replicates that begin within blocks, and blocks that a replicate fills."""
+    n, reps, rng = 300_007, 4, random.Random(11)
+    want = [np.unique([rng.randrange(n) for _ in range(n)], return_counts=True) for _ in range(reps)]
+    got = resample.exact_draws(spark.range(n), reps, 11, words=1 << 17).groupBy("rep", "ordinal").agg(F.sum("times").alias("times")).toPandas().sort_values(["rep", "ordinal"])
+    for rep, (ordinal, times) in enumerate(want):
+        own = got[got["rep"] == rep]
+        assert (own["ordinal"].to_numpy() == ordinal).all() and (own["times"].to_numpy() == times).all()
+    assert resample.exact_draws(spark.range(0), 3, 1).count() == 0
+    assert resample.exact_draws(spark.range(1), 5, 1).count() == 5
+
+
 def test_ordinals_of_many_rows(spark, tmp_path):
     """Every ordinal once and in order of the id, with slices and without, however often the plan runs."""
     ids = spark.range(400_000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("family_id"), (F.col("id") % 3).alias("part"))
