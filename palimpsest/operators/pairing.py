@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +10,7 @@ from palimpsest.fixed import FORBIDDEN, SHARED_SLOT, SLOT_PRIORITY
 from palimpsest.functions import text as X
 from palimpsest.operators.rendering import sentence
 from palimpsest.operators.resample import ordinals
+from palimpsest.sources.shared import workspace
 
 POOL = ["relation_id", "coarse_type", "split"]
 CHECKS = (
@@ -20,8 +19,8 @@ CHECKS = (
 )
 
 
-#: Donors that are kept of a bucket of equal lengths, and of all buckets around an anchor's: nearly all anchors find theirs among them.
-NEAREST = 16
+#: Values that are kept of a bucket of equal lengths, and of all buckets around an anchor's, ring by ring: nearly all anchors find theirs in the first.
+RINGS = (8, 64, 512)
 
 
 def aliased(items: DataFrame) -> DataFrame:
@@ -77,57 +76,98 @@ def _identifier(prefix: str = "") -> Column:
     return F.coalesce(F.nullif(F.col(f"{prefix}answer_id"), F.lit("")), F.col(f"{prefix}qa_id"))
 
 
-def donors_of(items: DataFrame) -> DataFrame:
-    """Rows that can be a donor at all; of equal answers the first two with different subjects, so one of them suits any anchor."""
-    fine = aliased(items).withColumns(donor_only()).where(" AND ".join(donor_only()))
-    per = fine.groupBy(*POOL, "answer_id", "answer_norm", "answer_text", "tokens", "chars", "subject_id").agg(F.min("qa_id").alias("qa_id"))
-    own = Window.partitionBy(*POOL, "answer_id", "answer_norm", "answer_text").orderBy("qa_id")
-    return per.withColumn("_at", F.row_number().over(own)).where("_at <= 2").drop("_at")
+def donors_of(rows: DataFrame) -> DataFrame:
+    """Rows that can be a donor at all; of equal values the few among which every anchor finds the first that suits it.
+
+    An anchor rejects one id and one subject. So of a value's rows with one id the first two with
+    different subjects matter, of those with one subject the first two with different ids, and of what
+    is left the first five: however many ids and rows a value has, it brings five at most. A null
+    id or subject is never rejected, so its rows count as one group too.
+    """
+    value = [*POOL, "answer_norm", "tokens", "chars"]
+    fine = rows.withColumns(donor_only()).where(" AND ".join(donor_only()))
+    order = F.struct(_identifier().alias("ident"), "qa_id", "answer_text")
+    held = fine.groupBy(*value, "answer_id", "subject_id").agg(F.min(order).alias("_o"))
+    for keys, most in (([*value, "answer_id"], 2), ([*value, "subject_id"], 2), (value, 5)):
+        held = held.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))).where(F.col("_at") <= most).drop("_at")
+    return held.select(*value, "answer_id", "subject_id", "_o.qa_id", "_o.answer_text")
+
+
+def values_of(donors: DataFrame) -> DataFrame:
+    """A row per value of a pool with its donors, five at most, in the order of choice."""
+    donor = F.struct(_identifier().alias("ident"), F.col("qa_id").alias("d_qa_id"), F.col("answer_id").alias("d_answer_id"), F.col("subject_id").alias("d_subject_id"), F.col("answer_text").alias("d_answer_text"))
+    return donors.groupBy(*POOL, F.col("answer_norm").alias("d_answer_norm"), F.col("tokens").alias("d_tokens"), F.col("chars").alias("d_chars")).agg(F.sort_array(F.collect_list(donor)).alias("donors"))
 
 
-def nearest(items: DataFrame, donors: DataFrame) -> DataFrame:
-    """For each pool and (tokens, chars) of an anchor the NEAREST donors in the order of choice, and whether these are all.
+def nearest(rows: DataFrame, values: DataFrame, most: int) -> DataFrame:
+    """For each pool and (tokens, chars) of rows the `most` nearest values in the order of choice, and whether these are all.
 
     Donors are bounded in length, so a pool has a bounded number of buckets (tokens, chars), and of
-    each only the first NEAREST can be among the nearest of any anchor: what is joined here does
+    each only the first `most` can be among the nearest of any anchor: what is joined here does
     not grow with the rows.
     """
-    bucket = Window.partitionBy(*POOL, "tokens", "chars")
-    place = bucket.orderBy("answer_norm", _identifier(), "qa_id")
-    first = donors.withColumn("_at", F.row_number().over(place)).withColumn("_n", F.count("*").over(bucket)).where(F.col("_at") <= NEAREST)
-    d = first.select(*POOL, "_at", "_n", *[F.col(c).alias(f"d_{c}") for c in ("answer_id", "answer_norm", "answer_text", "subject_id", "qa_id", "tokens", "chars")])
-    lengths = aliased(items).select(*POOL, "tokens", "chars").distinct()
-    met = lengths.join(d, POOL).where(ratio_fits(F.col("d_chars"), F.col("chars")))
-    key = [F.abs(F.col("tokens") - F.col("d_tokens")).alias("t"), F.abs(F.col("chars") - F.col("d_chars")).alias("c"), F.col("d_answer_norm").alias("norm"), _identifier("d_").alias("ident"), F.col("d_qa_id").alias("qa_id")]
-    whole = Window.partitionBy(*POOL, "tokens", "chars")
-    met = met.withColumn("_rank", F.row_number().over(whole.orderBy(F.struct(*key)))).withColumn("_all", F.sum(F.when(F.col("_at") == 1, F.col("_n"))).over(whole)).where(F.col("_rank") <= NEAREST)
-    row = F.struct("_rank", "d_answer_id", "d_answer_norm", "d_answer_text", "d_subject_id", "d_qa_id")
-    return met.groupBy(*POOL, "tokens", "chars").agg(F.sort_array(F.collect_list(row)).alias("near"), (F.first("_all") <= NEAREST).alias("complete"))
-
-
-def _suits(d: Callable[[str], Column]) -> Column:
-    """The checks that look at both rows and not at lengths."""
-    other = lambda c: F.coalesce(F.col(c) != d(c), F.lit(True))
-    return other("subject_id") & other("answer_id") & (F.col("answer_norm") != d("answer_norm")) & ~F.array_contains("answer_aliases_norm", d("answer_norm"))
+    bucket = [*POOL, "d_tokens", "d_chars"]
+    sizes = values.groupBy(*bucket).agg(F.count("*").alias("_n"))
+    first = values.withColumn("_at", F.row_number().over(Window.partitionBy(*bucket).orderBy("d_answer_norm"))).where(F.col("_at") <= most)
+    lengths = rows.select(*POOL, "tokens", "chars").distinct()
+    fits = ratio_fits(F.col("d_chars"), F.col("chars"))
+    whole = [*POOL, "tokens", "chars"]
+    order = F.struct(F.abs(F.col("tokens") - F.col("d_tokens")).alias("t"), F.abs(F.col("chars") - F.col("d_chars")).alias("c"), "d_answer_norm")
+    met = lengths.join(first, POOL).where(fits).withColumn("_o", order).withColumn("_rank", F.row_number().over(Window.partitionBy(*whole).orderBy("_o"))).where(F.col("_rank") <= most)
+    near = met.groupBy(*whole).agg(F.sort_array(F.collect_list(F.struct("_rank", "d_answer_norm", "donors"))).alias("near"))
+    every = lengths.join(sizes, POOL).where(fits).groupBy(*whole).agg(F.sum("_n").alias("_all"))
+    return near.join(every, whole).select(*whole, "near", (F.col("_all") <= most).alias("complete"))
+
+
+def _first_that_suits(near: Column) -> Column:
+    """Of the nearest values in order, without the anchor's own and its aliases, the first donor of another id and subject."""
+    other = lambda c, d: F.coalesce(F.col(c) != d[f"d_{c}"], F.lit(True))
+    of = F.filter(near, lambda v: (F.col("answer_norm") != v["d_answer_norm"]) & ~F.array_contains("answer_aliases_norm", v["d_answer_norm"]))
+    return F.get(F.flatten(F.transform(of, lambda v: F.filter(v["donors"], lambda d: other("subject_id", d) & other("answer_id", d)))), F.lit(0))
+
+
+def _kept(df: DataFrame, at: str) -> DataFrame:
+    """df as a written table: made once, whoever reads it."""
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def _of_whole_pool(rest: DataFrame, donors: DataFrame) -> DataFrame:
+    """The donor of anchors that reject everything near them: each meets all values of its pool."""
+    d = donors.select(*POOL, *[F.col(c).alias(f"d_{c}") for c in donors.columns if c not in POOL])
+    other = lambda c: F.coalesce(F.col(c) != F.col(f"d_{c}"), F.lit(True))
+    suits = other("subject_id") & other("answer_id") & (F.col("answer_norm") != F.col("d_answer_norm")) & ~F.array_contains("answer_aliases_norm", F.col("d_answer_norm"))
+    wide = rest.join(d, POOL).where(ratio_fits(F.col("d_chars"), F.col("chars")) & suits)
+    order = F.struct(F.abs(F.col("tokens") - F.col("d_tokens")), F.abs(F.col("chars") - F.col("d_chars")), "d_answer_norm", _identifier("d_"), "d_qa_id")
+    return wide.groupBy("qa_id", *POOL, "answer_text").agg(F.min_by(F.struct("d_qa_id", "d_answer_text"), order).alias("donor"))
 
 
 def chosen_donors(items: DataFrame) -> DataFrame:
     """Per anchor row the admissible donor nearest in tokens, then characters, then by text and id.
 
-    An anchor meets the list of the nearest donors for its lengths and takes the first that suits.
-    The few that find none there, though there are more, search their whole pool.
+    Items are read once and written to the session's workspace. An anchor meets the list of the
+    nearest values for its lengths and takes the first donor that suits. Values, not rows, are
+    listed, so an anchor finds none only if it rejects nearly all of a list by its aliases or its
+    subject; those few go outward to ever longer lists, and what is left at the end searches its pool.
     """
-    donors = donors_of(items)
-    met = aliased(items).join(nearest(items, donors), [*POOL, "tokens", "chars"])
-    met = met.withColumn("donor", F.get(F.filter("near", lambda x: _suits(lambda c: x[f"d_{c}"])), F.lit(0)))
-    out = ["qa_id", *POOL, "answer_text"]
-    found = met.where("donor IS NOT NULL").select(*out, F.col("donor.d_qa_id").alias("donor_qa_id"), F.col("donor.d_answer_text").alias("donor_answer_text"))
-    rest = met.where("donor IS NULL AND NOT complete").drop("near", "complete", "donor")
-    d = donors.select(*POOL, *[F.col(c).alias(f"d_{c}") for c in donors.columns if c not in POOL])
-    wide = rest.join(d, POOL).where(ratio_fits(F.col("d_chars"), F.col("chars")) & _suits(lambda c: F.col(f"d_{c}")))
-    order = F.struct(F.abs(F.col("tokens") - F.col("d_tokens")), F.abs(F.col("chars") - F.col("d_chars")), "d_answer_norm", _identifier("d_"), "d_qa_id")
-    best = wide.groupBy(*out).agg(F.min_by(F.struct("d_qa_id", "d_answer_text"), order).alias("d"))
-    return found.union(best.select(*out, F.col("d.d_qa_id").alias("donor_qa_id"), F.col("d.d_answer_text").alias("donor_answer_text")))
+    spark = items.sparkSession
+    at = workspace(spark, "donors")
+    left = _kept(aliased(items).select("qa_id", *POOL, "subject_id", "answer_id", "answer_norm", "answer_text", "answer_aliases_norm", "tokens", "chars"), f"{at}/items")
+    donors = _kept(donors_of(left), f"{at}/donors")
+    values = values_of(donors)
+    out = None
+    said = ["qa_id", *POOL, "answer_text"]
+    for most in RINGS:
+        met = left.join(nearest(left, values, most), [*POOL, "tokens", "chars"]).withColumn("donor", _first_that_suits(F.col("near"))).drop("near")
+        met = _kept(met, f"{at}/ring-{most}")
+        found = met.where("donor IS NOT NULL").select(*said, "donor.d_qa_id", "donor.d_answer_text")
+        out = found if out is None else out.union(found)
+        left = met.where("donor IS NULL AND NOT complete").drop("complete", "donor")
+        if left.isEmpty():
+            break
+    else:
+        out = out.union(_of_whole_pool(left, donors).select(*said, "donor.d_qa_id", "donor.d_answer_text"))
+    return out.select(*said, F.col("d_qa_id").alias("donor_qa_id"), F.col("d_answer_text").alias("donor_answer_text"))
 
 
 def invalid_anchors(items: DataFrame) -> DataFrame:

@@ -287,6 +287,28 @@ def test_donors_against_all_pairs(spark):
     assert totals == {c: n for c in pairing.CHECKS if (n := sum(f[1][c] for f in failed.values()))}
 
 
+def test_a_value_of_many_ids_needs_no_pool(spark, monkeypatch):
+    """Most of a pool is one value under hundreds of ids, and one subject holds many values: equal to all pairs, ring by ring."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(700):
+        norm = "kaa" if i < 500 else f"k{'abcdefghij'[rng.randrange(10)]}{'klmnop'[rng.randrange(6)]}"
+        rows.append({"qa": f"q:{i:04d}", "subject": "S0" if i > 560 else f"S{i % 400}" if rng.random() < 0.9 else None, "pool": ("P1", "place", "train"), "type": "place", "id": f"A{i % 450}" if rng.random() < 0.9 else None, "norm": norm, "aliases": [norm]})
+    df = spark.createDataFrame([(r["qa"], r["subject"], *r["pool"], r["id"], r["norm"], r["norm"].title(), r["aliases"]) for r in rows],
+        "qa_id string, subject_id string, relation_id string, coarse_type string, split string, answer_id string, answer_norm string, answer_text string, answer_aliases_norm array<string>")
+    want = brute_donors(rows)[0]
+    for rings in ((8, 64, 512), (1, 2, 3)):  # few values a ring: anchors go outward to the end
+        monkeypatch.setattr(pairing, "RINGS", rings)
+        if rings[0] == 8:
+            with monkeypatch.context() as m:
+                m.setattr(pairing, "_of_whole_pool", None)
+                assert {r["qa_id"]: r["donor_qa_id"] for r in pairing.chosen_donors(df).collect()} == want
+        else:
+            assert {r["qa_id"]: r["donor_qa_id"] for r in pairing.chosen_donors(df).collect()} == want
+    held = pairing.donors_of(pairing.aliased(df)).groupBy("answer_norm").count()
+    assert held.agg(F.max("count")).first()[0] <= 5
+
+
 def test_samples(spark):
     df = spark.createDataFrame([(f"f{i:03d}",) for i in range(120)], "family_id string")
     want = sorted(random.Random(5).sample(sorted(f"f{i:03d}" for i in range(120)), 25))
