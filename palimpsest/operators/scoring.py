@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,38 @@ def score(prompts: DataFrame, load: Callable[[], Scorer], batch: int = 64) -> Da
     return prompts.withColumn("_s", scored("prefix")).select("*", "_s.score_a", "_s.score_b").drop("_s")
 
 
+#: The one model that this worker holds: its key and itself.
+_held: tuple[str, Scorer] | None = None
+
+
+def held(key: str, load: Callable[[], Scorer]) -> Scorer:
+    """The model of that key, loaded where the worker holds another one: a worker has one at a time and keeps it between jobs."""
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None  # the former one goes before the next one comes
+        _held = (key, load())
+    return _held[1]
+
+
+def score_kept(prompts: DataFrame, load: Callable[[], Scorer], model_id: str, batch: int = 64, profile: ResourceProfile | None = None) -> DataFrame:
+    """Prompts with score_a and score_b, by a model that the worker keeps; profile: the resources of the scoring stage.
+
+    A profile is for clusters: where Spark runs in one process there are no others to ask for, and it is left out.
+    """
+    if profile is not None and prompts.sparkSession.sparkContext.master.startswith("local["):
+        profile = None
+    key = f"{model_id}:{hashlib.sha256(cloudpickle.dumps(load)).hexdigest()}"  # another loader is another model, whatever its name
+    texts = prompts.select("*", F.lit(None).cast("double").alias("score_a"), F.lit(None).cast("double").alias("score_b"))
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            scorer, prefixes = held(key, load), rows["prefix"].tolist()
+            found = [x for i in range(0, len(prefixes), batch) for x in scorer(prefixes[i : i + batch])]
+            yield rows.assign(score_a=[float(a) for a, _ in found], score_b=[float(b) for _, b in found])
+
+    return texts.mapInPandas(scored, texts.schema, profile=profile)
+
+
 def replay(prompts: DataFrame, recorded: DataFrame) -> DataFrame:
     """Scores recorded by the hash of the prefix; a prefix without one is an error."""
     met = prompts.withColumn("prefix_sha256", F.sha2("prefix", 256)).join(recorded, "prefix_sha256", "left")
