@@ -5,9 +5,12 @@ elements above them, less the further up; an element's points are discounted by
 The best container is kept (the whole article, if it is in one), with the siblings that score well
 or are paragraphs and headings themselves. Menus, page headers and footers, sidebars, notices,
 adverts, forms, scripts and reader comments are taken out by element, by link density, by a
-comment section's heading, and by class where nothing in the name speaks for text.
+comment section's heading, and by class where nothing in the name speaks for text. A name that may
+belong to an article too takes nothing out that holds the page's title or most of its text, and no
+name empties a page; a heading such as `Comments` needs bylines or repeated items behind it.
 
-Reading a page takes time in proportion to its length, however broken it is.
+Reading a page takes time in proportion to its length, however broken it is: elements know the range
+of those below them, so what is in what is asked without climbing.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ BOUNDS = frozenset("ul ol dl table div select menu section article main aside td
 # beside these and PLAIN ones; with one of VETO it marks a page's layout. Fixed values.
 OUT = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr "
-    "comment comments commentlist disqus respond reply replies opinion opinions reaction reactions talkback guestbook kommentar kommentare commentaire commentaires comentario comentarios "
+    "comment comments commentlist disqus respond reply replies opinion opinions reaction reactions talkback guestbook thread threads discussion kommentar kommentare commentaire commentaires comentario comentarios "
     "share sharing social newsletter subscribe subscription signup login popup popover modal overlay breadcrumb breadcrumbs pagination pager tagcloud navigation contentinfo complementary "
     "searchbox searchform notice notices notification notifications alert alerts paywall skyscraper feedback nav navbar menu menus masthead footer foot sidebar sidebars related recommended "
     "recommendations toolbar aside".split()
@@ -62,16 +65,30 @@ OUT = frozenset(
 HEAD = frozenset("header".split())
 PLAIN = frozenset(
     "site page top bottom left right main primary secondary tertiary box bar list lists block wrap wrapper container section area widget widgets button buttons link links icon icons inner outer "
-    "item items post posts article articles content entry story sticky fixed mobile desktop global user users reader readers visitor email message panel module thread form body text title head "
+    "item items post posts article articles content entry story sticky fixed mobile desktop global user users reader readers visitor email message panel module form body text title head "
     "header region group row column col unit slot zone placement google gpt dfp leaderboard inline small large medium show hide open closed active js wp id the of and on in to for info tools meta".split()
 )
+#: Of OUT, names that articles bear as well.
+SOFT = frozenset(
+    "sponsor sponsored sponsors promo promos promotion banner reply opinion opinions reaction reactions newsletter subscription notice notices notification notifications alert alerts "
+    "feedback related recommended recommendations thread threads discussion".split()
+)
 VETO = frozenset("has with without no layout".split())
 TEXTS = frozenset("article entry post story content text body title".split())
+#: A heading that alone says that readers' comments follow, and one that may.
 COMMENTS_HEADING = re.compile(
-    r"(?:\d+ )?(?:(?:reader|readers|user|visitor|latest|all|recent|post) )?(?:comments?|opinions|kommentare?|commentaires?|comentarios?)(?: ?\(\d+\)| ?: ?\d*)?"
-    r"|(?:leave|post|add|write) an? (?:reply|comment)|join the (?:discussion|conversation)|what do you think\?",
+    r"(?:\d+|one|no) (?:(?:reader|readers|user|visitor|latest|all|recent|post) )?(?:comments?|opinions|responses?|replies|reactions|thoughts?|kommentare?|commentaires?|comentarios?)(?: (?:to|on|so far)\b.*)?"
+    r"|(?:(?:reader|readers|user|visitor|latest|all|recent|post) )?(?:comments?|opinions|responses?|replies|reactions|kommentare?|commentaires?|comentarios?) ?(?:\(\d+\)|: ?\d+)"
+    r"|(?:readers?|user|visitor|latest|recent) (?:comments?|opinions|responses|reactions)|(?:leave|post|add|write) an? (?:reply|comment)|join the (?:discussion|conversation)|what do you think\?",
     re.I,
 )
+MAYBE_COMMENTS = re.compile(r"(?:(?:all|post) )?(?:comments?|opinions|responses|replies|reactions|discussion|kommentare?|commentaires?|comentarios?) ?:?", re.I)
+#: What stands beside a comment: who wrote, when, and a way to answer.
+BYLINE = re.compile(r".{0,60}\b(?:says|said|wrote|writes|schrieb|a écrit|dijo|escribió)\b ?:?|.*\b(?:ago|reply|antworten|répondre|responder)\b ?[·.|]?|.{0,60}\d{1,2}[:.h]\d{2}.{0,20}|.{0,40}\b\d{4}-\d{2}-\d{2}\b.{0,20}|.{0,40}\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b.{0,20}", re.I)
+#: A heading over links that lead away from an article.
+MORE_HEADING = re.compile(r"(?:you (?:may|might)|related|recommended|popular|trending|latest|most read|read (?:more|next|also)|more\b|share|follow|tags?\b|topics|categories|filed|archives|navigation|menu|previous|next|mehr|weitere|lire aussi|à lire|más|relacionad).*", re.I)
+#: A section of comments that shows no byline has shorter blocks than this on average.
+SHORT_COMMENT = 120
 
 #: Blocks of fewer characters give no points. Levels above a paragraph that get points.
 LEAST_CHARS, LEVELS = 25, 6
@@ -80,32 +97,41 @@ MENU_DENSITY, MENU_LINKS = 0.75, 3
 
 
 class Node:
-    """A block element; inline ones belong to the block around them."""
+    """A block element; inline ones belong to the block around them. index and end: its range in the order of the page."""
+
+    __slots__ = ("blocks", "end", "first", "h1", "index", "kept", "links", "marks", "n_links", "named", "out", "own_links", "parent", "points", "size", "tag")
 
-    __slots__ = ("blocks", "kept", "links", "n_links", "out", "parent", "points", "size", "tag")
+    def __init__(self, tag: str, parent: Node | None, index: int, named: int) -> None:
+        self.tag, self.parent, self.index, self.end, self.named = tag, parent, index, index + 1, named
+        self.points, self.size, self.links, self.n_links, self.own_links, self.blocks, self.h1, self.marks = 0.0, 0, 0, 0, 0, 0, 0, 0
+        self.out = self.kept = False
+        self.first = -1  # the first block of text in it
 
-    def __init__(self, tag: str, parent: Node | None, out: bool) -> None:
-        self.tag, self.parent, self.out = tag, parent, out
-        self.points, self.size, self.links, self.n_links, self.blocks, self.kept = 0.0, 0, 0, 0, 0, False
+    def holds(self, other: Node) -> bool:
+        return self.index <= other.index < self.end
 
 
-def named_out(name: str) -> bool:
-    """Whether a class, id or role marks what is not the article."""
+def named_out(name: str, within_text: bool = False) -> int:
+    """Whether a class, id or role marks what is not the article: 0 no, 1 by a name that articles bear too, 2 yes."""
     parts = {x.lower() for x in _PARTS.findall(name)}
-    if not parts & OUT:
-        return bool(parts & HEAD) and not parts & (TEXTS | VETO) and parts <= HEAD | PLAIN
-    return not parts & VETO and all(x in OUT or x in PLAIN or x.isdigit() or len(x) < 3 for x in parts)
+    found = parts & OUT
+    if not found:
+        return 2 * (not within_text and bool(parts & HEAD) and not parts & (TEXTS | VETO) and parts <= HEAD | PLAIN)
+    if parts & VETO or not all(x in OUT or x in PLAIN or x.isdigit() or len(x) < 3 for x in parts):
+        return 0
+    return 1 if found <= SOFT else 2
 
 
-def unwanted(tag: str, attrs: str, within_text: bool) -> bool:
+def unwanted(tag: str, attrs: str, within_text: bool) -> tuple[bool, int]:
+    """Whether an element goes whatever it holds, and what its names say."""
     if tag in DROPPED or tag == "header" and not within_text:
-        return True
+        return True, 0
     if not attrs or tag in SPARED:
-        return False
+        return False, 0
     held = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     if held.get("aria-hidden") == "true" or "display:none" in held.get("style", "").replace(" ", "").lower() or "hidden" in attrs and _HIDDEN.search(_ATTR.sub(" ", attrs)):
-        return True
-    return any(named_out(name) for key in ("class", "id", "role") for name in held.get(key, "").split())
+        return True, 0
+    return False, max((named_out(name, within_text) for key in ("class", "id", "role") for name in held.get(key, "").split()), default=0)
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -176,9 +202,9 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """Block elements, parents first; blocks of text in page order: element, text, characters within links.
 
-    What is taken out has no text here.
+    What goes by its element, or as a named part within a line, has no text here.
     """
-    root = Node("html", None, False)
+    root = Node("html", None, 0, 0)
     nodes, out = [root], []
     # Open elements: name, block, whether it is out, open items around it.
     stack: list[tuple[str, Node, bool, tuple[int, ...]]] = [("html", root, False, NO_ITEMS)]
@@ -228,11 +254,12 @@ def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 continue
             node, was_out = stack[-1][1], stack[-1][2]
             if name == "a":
-                node.n_links += not was_out
-            gone = was_out or unwanted(name, attrs, open_["article"] + open_["main"] + open_["section"] > 0)
+                node.own_links += not was_out
+            gone, named = unwanted(name, attrs, open_["article"] + open_["main"] + open_["section"] > 0)
+            gone |= was_out or named > 0 and not block
             if block:
                 node.blocks += 1
-                node = Node(name, node, gone)
+                node = Node(name, node, len(nodes), named)
                 nodes.append(node)
             if name in BOUNDS:
                 items = NO_ITEMS
@@ -256,14 +283,69 @@ def top_of(node: Node, tag: str) -> Node | None:
     return found
 
 
+def without_named(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """Blocks that no name takes out, all if none were left; nodes get their ranges, sizes and what is out.
+
+    A name that articles bear too takes nothing out that holds the page's only title, or, on a page
+    that marks no article and has no title elsewhere, most of the text.
+    """
+    for node, text, _ in blocks:
+        node.size += len(text)
+    for n in nodes:
+        n.h1, n.marks = int(n.tag == "h1" and n.size > 0), 0
+    for n in reversed(nodes):  # children first
+        n.marks += (n.tag in ("h1", "article", "main")) and n.size > 0 and not n.named
+        if (p := n.parent) is not None:
+            p.size, p.h1, p.marks, p.end = p.size + n.size, p.h1 + n.h1, p.marks + n.marks, max(p.end, n.end)
+    root, marked = nodes[0], set()  # marked: what stands within an article
+    for n in nodes:  # parents first
+        p = n.parent
+        if p is not None and (p.index in marked or p.tag in ("article", "main")):
+            marked.add(n.index)
+        spared = n.named == 1 and (n.h1 and n.h1 == root.h1 or root.marks == n.marks and 2 * n.size >= root.size and n.index not in marked)
+        n.out = p is not None and p.out or n.named > 0 and not spared
+    left = [b for b in blocks if not b[0].out]
+    if not left:
+        left = blocks
+        for n in nodes:
+            n.out = False
+    for n in nodes:
+        n.size, n.n_links = 0, 0 if n.out else n.own_links
+    return left
+
+
+def of_comments(blocks: list[tuple[Node, str, int]], at: int, top: Node) -> int:
+    """Where the section that the heading at a place begins ends, if it holds readers' comments; else the heading's own place."""
+    heading, text, _ = blocks[at]
+    stop = at + 1
+    while stop < len(blocks) and top.holds(blocks[stop][0]) and not (blocks[stop][0].tag in HEADINGS and blocks[stop][0].tag <= heading.tag):
+        stop += 1
+    if COMMENTS_HEADING.fullmatch(text):
+        return stop
+    section = blocks[at + 1 : stop]
+    if not section:
+        return at
+    if any(BYLINE.fullmatch(x[:200]) for _, x, _ in section):
+        return stop
+    # Items of one kind, each with parts of its own; or short remarks that end the text.
+    items = Counter(n.parent for n, _, _ in section if n.parent is not None and n.parent is not top and n.parent.parent is top)
+    last = stop == len(blocks) or not top.holds(blocks[stop][0])
+    if len(items) > 1 and len({n.tag for n in items}) == 1 and max(items.values()) > 1:
+        return stop
+    return stop if last and sum(len(x) for _, x, _ in section) < SHORT_COMMENT * len(section) else at
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by newlines; empty if there is none."""
-    nodes, blocks = blocks_of(html or "")
-    if not blocks:
+    nodes, every = blocks_of(html or "")
+    if not every:
         return ""
-    for node, text, linked in blocks:
+    blocks = without_named(nodes, every)
+    for at, (node, text, linked) in enumerate(blocks):
         node.size += len(text)
         node.links += linked
+        if node.first < 0:
+            node.first = at
         if len(text) < LEAST_CHARS:
             continue
         points = (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) * (1 - linked / len(text))
@@ -275,10 +357,12 @@ def main_text(html: str | None) -> str:
             n.points += points if level == 0 else points / (2 if level == 1 else 3 * level)
             n = n.parent
     for node in reversed(nodes):  # children first
-        if node.parent is not None:
-            node.parent.size += node.size
-            node.parent.links += node.links
-            node.parent.n_links += node.n_links
+        if (p := node.parent) is not None:
+            p.size += node.size
+            p.links += node.links
+            p.n_links += node.n_links
+            if node.first >= 0 and (p.first < 0 or node.first < p.first):
+                p.first = node.first
     score = lambda n: n.points * (1 - n.links / max(1, n.size))
     best = max(nodes, key=score)  # the first of equals
     if not score(best):
@@ -295,25 +379,30 @@ def main_text(html: str | None) -> str:
     gone: set[int] = set()
     for n in nodes:  # parents first
         if n.parent is not None:
-            if id(n.parent) in gone or n is not best and n.n_links >= MENU_LINKS and n.tag not in ("p", "li") and n.links >= MENU_DENSITY * n.size:
-                gone.add(id(n))
+            if n.parent.index in gone or n is not best and n.n_links >= MENU_LINKS and n.tag not in ("p", "li") and n.links >= MENU_DENSITY * n.size and not introduced(blocks, n, whole):
+                gone.add(n.index)
             n.kept |= n.parent.kept
-    out, comments = [], None
-    for node, text, _ in blocks:
-        if not node.kept or id(node) in gone:
-            continue
-        if comments is not None and below(node, comments):
+    left = [b for b in blocks if b[0].kept and b[0].index not in gone]
+    out: list[str] = []
+    at = 0
+    while at < len(left):
+        node, text, _ = left[at]
+        if out and node.tag in HEADINGS and (COMMENTS_HEADING.fullmatch(text) or MAYBE_COMMENTS.fullmatch(text)) and (stop := of_comments(left, at, node.parent)) > at:
+            at = stop
             continue
-        comments = node.parent if out and node.tag in HEADINGS and COMMENTS_HEADING.fullmatch(text) else None
-        if comments is None:
-            out.append(text)
+        out.append(text)
+        at += 1
     return "\n".join(out)
 
 
-def below(node: Node, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
+def introduced(blocks: list[tuple[Node, str, int]], n: Node, whole: Node | None) -> bool:
+    """Whether links in an article are a list of its own, such as its sources: a heading or a line with a colon beside it says what they are."""
+    if whole is None or not whole.holds(n) or n.first < 1:
+        return False
+    before, text, _ = blocks[n.first - 1]
+    if before.parent is not n.parent:
+        return False
+    return (before.tag in HEADINGS or text.endswith(":")) and not MORE_HEADING.fullmatch(text)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

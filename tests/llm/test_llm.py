@@ -705,6 +705,24 @@ READS = "This is a long paragraph, with commas, and it goes on and on for quite
         ("<body><h1>T</h1><div class='x'><p>{L}</p><p>So.</p></div><ul><li><a href=1>one</a><li><a>two</a><li><a>three</a></ul></body>", "T\n{L}\nSo."),
         ("<div class='w'><div class='menu'><a>Home</a></div><div><p>{L}</p><table><tr><td>1<td>2</table></div><div class='site-footer'>Imprint</div></div>", "{L}\n1\n2"),
         ("<div><p>{L}</p><p>Ok.</p></div><div><a href='x'>{L}</a> <a>{L}</a> <a>more</a></div>", "{L}\nOk."),
+        # Names that articles bear too.
+        ("<nav><a>x</a></nav><article class='opinion'><h1>T</h1><p>{L}</p></article><footer>f</footer>", "T\n{L}"),
+        ("<nav><a>x</a></nav><div class='opinion'><p>{L}</p><p>So.</p></div>", "{L}\nSo."),
+        ("<div class='promotion'><h1>T</h1><p>{L}</p></div><div class='sidebar'><p>Side, {L}</p></div>", "T\n{L}"),
+        ("<article class='related post'><p>{L}</p></article>", "{L}"),
+        ("<article><h1>T</h1><p>{L}</p></article><article class='related post'><p>Other, {L}</p></article>", "T\n{L}"),
+        ("<div class='sidebar'><p>{L}</p></div>", "{L}"),
+        ("<article><div class='page-header'><h1>Title</h1></div><p>{L}</p></article>", "Title\n{L}"),
+        # Headings of text and of comments.
+        ("<article><h1>Code</h1><p>{L}</p><h2>Comments</h2><p>In code, {L}</p><h2>Names</h2><p>{L}</p></article>", "Code\n{L}\nComments\nIn code, {L}\nNames\n{L}"),
+        ("<article><h1>T</h1><p>{L}</p><h2>Comments</h2><div><p>Ann says:</p><p>I think, {L}</p></div><h2>After</h2><p>{L}</p></article>", "T\n{L}\nAfter\n{L}"),
+        ("<article><h1>T</h1><p>{L}</p><h2>Comments</h2><div><b>Ann</b><p>I think, {L}</p></div><div><b>Bob</b><p>No, {L}</p></div></article>", "T\n{L}"),
+        ("<article><h1>T</h1><p>{L}</p><h3>Comments</h3><p>Nice one!</p><p>Thanks, really.</p></article>", "T\n{L}"),
+        ("<div class='c'><h1>T</h1><p>{L}</p><section><h3>3 Responses</h3><p>I think, {L}</p></section></div>", "T\n{L}"),
+        ("<div class='c'><h1>T</h1><p>{L}</p><div class='thread'><p>I think, {L}</p></div></div>", "T\n{L}"),
+        # Links of an article and links away from it.
+        ("<article><h1>T</h1><p>{L}</p><h2>Sources</h2><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul></article>", "T\n{L}\nSources\none\ntwo\nthree"),
+        ("<article><h1>T</h1><p>{L}</p><h2>Related articles</h2><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul></article>", "T\n{L}\nRelated articles"),
     ],
 )
 def test_structure_decides(html, want):
@@ -719,6 +737,20 @@ def test_broken_pages_take_no_longer_than_their_length(piece):
     assert time.process_time() - began < 6
 
 
+@pytest.mark.parametrize("piece", ["<h2>Comments</h2><div>", "<article><h2>Comments</h2><p>a</p>", "<div class='opinion'>", "<ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><h3>Comments</h3>", "<h2>Comments</h2><h3>Comments</h3><p>a long line of text, with commas, and so on</p>"])
+def test_twice_the_page_takes_no_more_than_about_twice_the_time(piece):
+    def seconds(n):
+        best = 1e9
+        for _ in range(3):
+            began = time.process_time()
+            html_text.main_text("<p>A text that scores, with commas, and so on.</p>" + piece * n + "An end, with commas, that all of these are around.")
+            best = min(best, time.process_time() - began)
+        return best
+
+    once, four = seconds(5_000), seconds(20_000)
+    assert four < 4 * once * 1.8 + 0.05
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<>/ap!-\"'= divscriptx&;\n", max_size=200))
 def test_broken_markup_is_read(html):
