@@ -30,6 +30,8 @@ LINKS, LINKS_ABOVE, UP = 24, 12, 16
 BUILD_BEAM, BEAM, AT_ONCE, STEPS = 64, 32, 512, 8
 #: Vectors per shard at most, on average, and numbers in them; shards at least.
 SHARD, SHARD_NUMBERS, SHARDS = 50_000, 1 << 22, 4
+#: Pairs of shards that one round compares, about; it copies a shard twice for each distance of the round.
+PAIRS_A_ROUND = 4096
 #: Queries that an audit draws; how many of them it compares, and as many of those that have links; the recall that it asks for of every one.
 DRAWN, AUDITED, RECALL = 2048, 256, 0.99
 SLACK = 1e-4  # single precision in the search, double in the verification
@@ -415,6 +417,15 @@ def compared(a: Shard, b: Shard, least: float) -> tuple[pd.DataFrame, int, int]:
     return pd.DataFrame({"a": np.concatenate((ids[some], u)), "n": np.concatenate((n[some].astype(np.int64), np.zeros(len(u), np.int64))), "b": np.concatenate((ids[some], v))}), wanted, hits
 
 
+def pairs_of(graphs: DataFrame, n_shards: int, near: int, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides of the pairs (s, t) of shards with t - s from near to near + width - 1, and how many they are."""
+    shard, far = F.col("shard"), near + width - 1
+    later, earlier = F.sequence(shard + near, F.least(shard + far, F.lit(n_shards - 1))), F.sequence(F.greatest(shard - far, F.lit(0)), shard - near)
+    asking = graphs.where(shard + near < n_shards).select("dim", shard.alias("s"), F.explode(later).alias("t"), "graph")
+    asked = graphs.where(shard >= near).select("dim", F.explode(earlier).alias("s"), shard.alias("t"), "graph")
+    return asking, asked, sum(n_shards - d for d in range(near, min(far + 1, n_shards)))
+
+
 def near_vectors(rows: DataFrame, *, least: float = 0.9, shard_size: int = SHARD, shards: int = SHARDS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """A written table, one row per row: vec_id, n_links (other vectors linked directly), component_id, kept, audit_recall.
 
@@ -443,11 +454,6 @@ def _linked(rows: DataFrame, least: float, shard_size: int, shards: int, id_col:
     angle = JOINED * float(np.arccos(least))
     graphs = cut(own.repartition(max(n_parts, 4 * n_shards), "dim", "shard").groupBy("dim", "shard").applyInPandas(lambda group: _built(group, angle), "dim int, shard int, graph binary"))
 
-    # Each shard against itself and every later one.
-    asking = graphs.select("dim", F.col("shard").alias("s"), F.explode(F.sequence("shard", F.lit(n_shards - 1))).alias("t"), "graph")
-    asked = graphs.select("dim", F.explode(F.sequence(F.lit(0), "shard")).alias("s"), F.col("shard").alias("t"), "graph")
-    parts = max(n_parts, 2 * n_shards * (n_shards + 1))
-
     def met(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):  # no vector of this length in one of them
             return pd.DataFrame({"a": [], "n": [], "b": []})
@@ -455,8 +461,14 @@ def _linked(rows: DataFrame, least: float, shard_size: int, shards: int, id_col:
         out, wanted, hits = compared(a, a if one["s"].iloc[0] == one["t"].iloc[0] else Shard.of(two["graph"].iloc[0]), least)
         return pd.concat((out, pd.DataFrame({"a": [None], "n": [wanted], "b": [hits]}))).astype("Int64")
 
-    deal = lambda df: df.repartition(parts, "dim", "s", "t").groupBy("dim", "s", "t")
-    answers = cut(deal(asking).cogroup(deal(asked)).applyInPandas(met, "a long, n long, b long"))
+    # Each shard against itself and every later one, those of some distances at a time: a round holds few copies of a shard.
+    answers, width = None, max(1, min(n_shards, PAIRS_A_ROUND // n_shards))
+    for near in range(0, n_shards, width):
+        asking, asked, pairs = pairs_of(graphs, n_shards, near, width)
+        parts = max(n_parts, 4 * pairs)
+        deal = lambda df, parts=parts: df.repartition(parts, "dim", "s", "t").groupBy("dim", "s", "t")
+        found = cut(deal(asking).cogroup(deal(asked)).applyInPandas(met, "a long, n long, b long"))
+        answers = found if answers is None else answers.union(found)
     audit = answers.where("a IS NULL").agg(F.sum("n"), F.sum("b")).first()
     counts = answers.where("a IS NOT NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
     met_ = held.where("fine").join(held.where("fine").groupBy("x", "y").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), ["x", "y"])

@@ -516,14 +516,18 @@ def test_language_held_out(spark, docs, none):
 # 8 embedding near-dedup
 
 
-def test_near_vectors_against_brute_force(spark):
+def test_near_vectors_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16))
     x = np.concatenate([c + rng.normal(0, s, (n, 16)) for c, s, n in zip(centres, rng.uniform(0.02, 0.35, 40), rng.integers(1, 90, 40), strict=True)])
     x = np.concatenate((x, x[:3], 2 * x[5:6]))
     rows = [(i, v.tolist(), "c") for i, v in enumerate(x)]
     bad = [(9000, None, "c"), (9001, [0.0] * 16, "c"), (9002, [float("nan")] * 16, "c"), (9003, [None] * 16, "c"), (9004, [], "c"), (9005, [1.0, 2.0], "c"), (None, x[0].tolist(), "c")]
-    got = {r["vec_id"]: r for r in near_vectors.near_vectors(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, kept string"), shards=3).collect()}
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, kept string")
+    got = {r["vec_id"]: r for r in near_vectors.near_vectors(df, shards=3).collect()}
+    with monkeypatch.context() as m:  # a distance of shards at a time
+        m.setattr(near_vectors, "PAIRS_A_ROUND", 1)
+        assert {r["vec_id"]: r for r in near_vectors.near_vectors(df, shards=3).collect()} == got
     assert len(got) == len(rows) + len(bad)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= 0.9
@@ -540,6 +544,18 @@ def test_near_vectors_against_brute_force(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize(("n", "width"), [(1, 1), (5, 2), (5, 9), (6, 1)])
+def test_rounds_hold_every_pair_of_shards_once(spark, n, width):
+    graphs = spark.createDataFrame([(3, s, b"") for s in range(n)], "dim int, shard int, graph binary")
+    seen = []
+    for near in range(0, n, width):
+        sides = near_vectors.pairs_of(graphs, n, near, width)
+        one, two = (sorted((r["s"], r["t"]) for r in side.collect()) for side in sides[:2])
+        assert one == two and len(one) == sides[2]
+        seen += one
+    assert sorted(seen) == [(s, t) for s in range(n) for t in range(s, n)]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
