@@ -132,7 +132,7 @@ class FactReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.relations is None:
-            raise ValueError("name the relations to read: relation_id = or IN")
+            raise ValueError("name the relations to read, by relation_id = or IN, with spark.sql.python.filterPushdown.enabled")
         relations = [r for r in self.relations if r is not None and re.fullmatch(r"P\d+", r)]
         if self.subjects is None:
             return [Asked(r, ()) for r in relations]
