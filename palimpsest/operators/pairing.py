@@ -47,10 +47,14 @@ def donor_only() -> dict[str, Column]:
     }
 
 
-def pairs(items: DataFrame) -> DataFrame:
-    """All pairs of anchor and donor answers of each pool with the named checks (for looking into, not for choosing)."""
-    held = answers(items)
-    donors = held.withColumns(donor_only())
+def pairs(items: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Pairs of anchor and donor answers of each pool with the named checks (for looking into, not for choosing).
+
+    anchors (qa_id): only answers of these rows are anchors, so as many pairs arise as they have pools'
+    answers. Without it every answer is one, which is for pools of few distinct answers.
+    """
+    donors = answers(items).withColumns(donor_only())
+    held = answers(items if anchors is None else items.join(anchors.select("qa_id").distinct(), "qa_id", "left_semi"))
     d = donors.select(*POOL, *[F.col(c).alias(f"d_{c}") for c in donors.columns if c not in POOL])
     p = held.join(d, POOL)
     return p.withColumns({

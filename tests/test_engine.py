@@ -96,6 +96,10 @@ def test_donors(spark):
     assert [(r["qa_id"], r["donor_answer_text"]) for r in pairing.chosen_donors(items).collect()] == [("Q419:P36", "Vienna")]
     counts = {r[0]: r[1] for r in pairing.failure_counts(items).collect()}
     assert counts["char_length_ratio_in_range"] >= 1
+    # Named anchors have the pairs that they have among all.
+    named = spark.createDataFrame([("Q1:P36",)], "qa_id string")
+    shown = lambda p: sorted(map(tuple, p.where("qa_id = 'Q1:P36'").select("qa_id", "d_qa_id", *pairing.CHECKS).collect()))
+    assert shown(pairing.pairs(items, named)) == shown(pairing.pairs(items)) != [] and pairing.pairs(items, named).where("qa_id <> 'Q1:P36'").count() == 0
 
 
 def test_donor_null_ids_and_aliases(spark):
