@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUMS = ("n", "base", "gcf", "base_cf", "base_para", "variants", "ties", "disagreements")
+#: Columns of a family that the sums are made from.
+COUNTED = ("base_correct", "paraphrase_all_correct", "counterfactual_correct", "tie_count", "variant_count", "order_disagreement_count", "gcf_success")
 
 
 def sums(families: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:

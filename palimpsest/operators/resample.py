@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.operators import twister
-from palimpsest.operators.metrics import from_sums, sums
+from palimpsest.operators import digests, twister
+from palimpsest.operators.metrics import COUNTED, from_sums, sums
+from palimpsest.sources.shared import workspace
 
 NAMES = ("base_acc", "gcf", "gap", "sensitivity_at_base_correct", "invariance_at_base_correct", "underreaction_at_base_correct", "overreaction_at_base_correct", "tie_rate", "order_disagreement")
 #: Ranges of the id within which rows are numbered, at most: so many bounds go into the plan.
@@ -130,12 +131,18 @@ def bootstrap(families: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame
     """Long (slice, metric, point_estimate, ci_lower, ci_upper); bounds by index, nulls left out.
 
     Each replicate is a weighed sum over distinct families, never a copy of the rows. Up to
-    BROADCAST_ROWS families are sent to the draws, which then sum where they are made.
+    BROADCAST_ROWS families are sent to the draws, which then sum where they are made. For draws that
+    are made by hash, `hash_bootstrap` gives the same without a row per draw.
     """
     numbered = ordinals(families, by)
     if families.count() <= BROADCAST_ROWS:
         numbered = F.broadcast(numbered)
-    reps = from_sums(sums(draws.join(numbered, [*by, "ordinal"]), [*by, "rep"], F.col("times")))
+    return _intervals(families, sums(draws.join(numbered, [*by, "ordinal"]), [*by, "rep"], F.col("times")), by)
+
+
+def _intervals(families: DataFrame, resampled: DataFrame, by: list[str]) -> DataFrame:
+    """Point estimates, and bounds from the sums of every replicate."""
+    reps = from_sums(resampled)
     long = lambda df, value: df.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(value)) for m in NAMES])).alias("x")).select(*by, "x.*")
     values = long(reps, "value").groupBy(*by, "metric").agg(F.sort_array(F.collect_list("value")).alias("v"))
     k = F.size("v")
@@ -145,6 +152,90 @@ def bootstrap(families: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame
     return long(from_sums(sums(families, by)), "point_estimate").join(bounds, [*by, "metric"])
 
 
+#: Families whose kinds are one row of a plan, and such rows of a slice that one task holds: 64 MB for kinds of two bytes.
+CHUNK, HELD = 1 << 20, 32
+#: Parts into which the replicates are dealt: each gets a copy of all kinds.
+REP_BLOCKS = 100
+
+
+def _coded(families: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, str]:
+    """Families as numbers of their kind, in order of the id: (families, slices, kinds, chunks, type of the numbers).
+
+    Families of one kind agree in all columns that sums need, so there are some hundred kinds however
+    many families; kinds and slices are numbered in one task each. A chunk is the kinds of CHUNK
+    ordinals of a slice, two bytes each (four, if there are more kinds than that).
+    """
+    spark, at = families.sparkSession, workspace(families.sparkSession, "bootstrap")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    families = kept(families.select("family_id", *by, *COUNTED), "families")
+    drawable = families.dropna(subset=by) if by else families  # a null slice meets no draw
+    numbered = lambda df, of, name: df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*of)) - 1)
+    slices = kept(numbered(drawable.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0"), by or ["n"], "slice"), "slices")
+    kinds = kept(numbered(drawable.select(F.struct(*COUNTED).alias("of")).distinct(), ["of"], "kind"), "kinds")
+    wide = "<u2" if kinds.count() <= 1 << 16 else "<u4"
+    placed = ordinals(drawable.select("family_id", *by, F.struct(*COUNTED).alias("of")), by).join(F.broadcast(kinds) if wide == "<u2" else kinds, "of")
+    met = placed.join(F.broadcast(slices), by) if by else placed.crossJoin(F.broadcast(slices))
+
+    def chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        codes = np.empty(len(rows), wide)
+        codes[rows["ordinal"].to_numpy() - key[1] * CHUNK] = rows["kind"].to_numpy()
+        return pd.DataFrame({"slice": [key[0]], "chunk": [key[1]], "n": [rows["n"].iat[0]], "codes": [codes.tobytes()]})
+
+    cells = met.select("slice", F.floor(F.col("ordinal") / CHUNK).alias("chunk"), "n", "ordinal", "kind").groupBy("slice", "chunk")
+    return families, slices, kinds, kept(cells.applyInPandas(chunk, "slice long, chunk long, n long, codes binary"), "chunks"), wide
+
+
+def hash_bootstrap(families: DataFrame, by: list[str], reps: int) -> DataFrame:
+    """What bootstrap() gives for hash_draws(), with no row per draw and no shuffle of draws.
+
+    Tasks get a share of the replicates and the kinds of all families (of HELD chunks of each slice at
+    a time; beyond those, digests are made again for the next ones), make the digests in arrays and
+    count the kinds drawn. What leaves a task is a row per slice, replicate and kind.
+    """
+    families, slices, kinds, chunks, wide = _coded(families, by)
+    size = max(1, math.ceil(reps / REP_BLOCKS))
+    n_blocks = math.ceil(reps / size)
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["slice", "chunk"])
+        held = [(int(s), int(own["n"].iat[0]), int(own["chunk"].iat[0]) * CHUNK, np.frombuffer(b"".join(own["codes"]), wide)) for s, own in rows.groupby("slice")]
+        n_kinds = 1 + max(int(codes.max()) for _, _, _, codes in held)
+        most = max(n for _, n, _, _ in held)
+        out = []
+        for rep in range(key[0] * size, min(reps, (key[0] + 1) * size)):
+            times = {s: np.zeros(n_kinds, np.int64) for s, _, _, _ in held}
+            waiting: dict[int, list[np.ndarray]] = {s: [] for s in times}
+            ready = 0
+            for first, *sides in digests.drawn(rep, 0, (most + 1) // 2):
+                for s, n, low, codes in held:
+                    for side, numbers in enumerate(sides):
+                        there = (n - side + 1) // 2 - first  # pairs whose number on this side is a draw of the slice
+                        if there > 0:
+                            at = digests.remainders(numbers[:there], n) - low
+                            waiting[s].append(codes[at if len(codes) == n else at[(at >= 0) & (at < len(codes))]])
+                ready += len(sides[0])
+                if ready >= max(1 << 16, n_kinds) or 2 * (first + len(sides[0])) >= most:
+                    for s, parts in waiting.items():
+                        if parts:
+                            times[s] += np.bincount(np.concatenate(parts), minlength=n_kinds)
+                            parts.clear()
+                    ready = 0
+            for s, x in times.items():
+                drawn = np.flatnonzero(x)
+                out.append(pd.DataFrame({"slice": s, "rep": rep, "kind": drawn, "times": x[drawn]}))
+        return pd.concat(out)
+
+    work = chunks.withColumn("part", F.floor(F.col("chunk") / HELD)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    counted = work.repartition(2 * n_blocks, "block", "part").groupBy("block", "part").applyInPandas(count, "slice long, rep int, kind long, times long")
+    whole = counted.join(F.broadcast(kinds), "kind") if wide == "<u2" else counted.join(kinds, "kind")
+    resampled = sums(whole.select("slice", "rep", "times", "of.*"), ["slice", "rep"], F.col("times"))
+    return _intervals(families, resampled.join(F.broadcast(slices.drop("n")), "slice").drop("slice") if by else resampled, by)
+
+
 def hash_sample(df: DataFrame, k: int, seed: int, id_col: str) -> DataFrame:
     """K rows, the first by md5(seed:id)."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col)).cast("binary")), id_col).limit(k)

@@ -172,7 +172,7 @@ def _boot_sql(reps: int, by: str, families: str) -> str:
 @query(f"{CTE}{_boot_sql(REPS, '', 'f')} SELECT metric, point_estimate, ci_lower, ci_upper FROM bounds")
 def bootstrap_ci_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = families_of(spark, sf_dir)
-    return resample.bootstrap(f, resample.hash_draws(f, [], REPS), [])
+    return resample.hash_bootstrap(f, [], REPS)
 
 
 @query()

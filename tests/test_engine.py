@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.fixed import METRICS
 from palimpsest.functions import text as X
-from palimpsest.operators import canonical, claims, judging, ledger, metrics, pairing, rendering, resample, scoring, validate
+from palimpsest.operators import canonical, claims, digests, judging, ledger, metrics, pairing, rendering, resample, scoring, validate
 from palimpsest.sources import files, paged, sinks
 from palimpsest.streaming import runner
 
@@ -243,6 +243,37 @@ def test_hash_draws_are_as_many_as_rows(spark):
     assert all(0 <= v[1] and v[2] < v[0] for v in got.values())
 
 
+def test_digests_are_those_of_the_standard_library():
+    """Pairs of any number of digits, with the borders between them and between arrays."""
+    for rep, first, last in ((0, 0, 1), (7, 3, 12), (42, 0, 20_003), (1999, 99_990, 110_010), (12345, 10**9 - 3, 10**9 + 3)):
+        at = first
+        for start, left, right in digests.drawn(rep, first, last):
+            assert start == at
+            for k, got in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+                text = hashlib.md5(f"{rep}:{at + k}".encode()).hexdigest()
+                assert got == (int(text[:15], 16), int(text[16:31], 16))
+            at += len(left)
+        assert at == last
+    numbers = np.array([0, 1, 2**60 - 1, 2**60 - 2**30], np.uint64)
+    assert digests.remainders(numbers, 2_999_999).tolist() == [x % 2_999_999 for x in numbers.tolist()]
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 64])
+def test_bootstrap_by_kinds_has_no_row_per_draw(spark, monkeypatch, chunk):
+    """Equal to a row per draw: odd and even slices, one of a single family, a null slice, nulls, slices of several chunks and parts."""
+    monkeypatch.setattr(resample, "CHUNK", chunk)
+    monkeypatch.setattr(resample, "HELD", 2)
+    some = random.Random(3)
+    flag = lambda: some.choice([0, 1, 1, None])
+    rows = [(f"f{i:05d}", "a" if i < 501 else "b" if i < 800 else "c" if i == 800 else None, flag(), flag(), flag(), some.randint(0, 4), 4, some.randint(0, 4), flag()) for i in range(830)]
+    f = spark.createDataFrame(rows, f"family_id string, s string, {', '.join(f'{c} long' for c in metrics.COUNTED)}")
+    plain = lambda df: sorted(map(repr, (r.asDict().items() for r in df.select(sorted(df.columns)).collect())))
+    want = [plain(resample.bootstrap(f, resample.hash_draws(f, by, 30), by)) for by in ([], ["s"])]
+    monkeypatch.setattr(resample, "hash_draws", None)
+    assert [plain(resample.hash_bootstrap(f, by, 30)) for by in ([], ["s"])] == want
+    assert resample.hash_bootstrap(f.where("false"), ["s"], 5).count() == 0
+
+
 def brute_donors(rows):
     """Every anchor against every row of its pool, check by check; the choice, or the failures."""
     chosen, failed = {}, {}
