@@ -223,7 +223,7 @@ def strict_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _sliced(spark, sf_dir)
     label = F.concat(F.when(F.col("task_family") == "P", "rubric").otherwise("keyed"), F.lit(" / standard"))
-    return resample.bootstrap(f, resample.hash_draws(f, _BY, REPS), _BY).withColumn("slice_label", label)
+    return resample.hash_bootstrap(f, _BY, REPS).withColumn("slice_label", label)
 
 
 _AUDIT = """, failed AS (SELECT family_id FROM f WHERE gcf_success = 0
