@@ -192,7 +192,7 @@ def _sliced(spark: SparkSession, sf_dir: str, prompt: str = "standard") -> DataF
 
 def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     strict = _sliced(spark, sf_dir, "strict")
-    ci = resample.bootstrap(strict, resample.hash_draws(strict, _BY, REPS), _BY)
+    ci = resample.hash_bootstrap(strict, _BY, REPS)
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
     ci = ci.groupBy(*_BY).agg(pick("gap", "ci_lower").alias("gap_ci_lower"), pick("gap", "ci_upper").alias("gap_ci_upper"), pick("sensitivity_at_base_correct", "ci_lower").alias("sens_ci_lower"), pick("sensitivity_at_base_correct", "ci_upper").alias("sens_ci_upper"))
     return metrics.strict_delta(metrics.summary(_sliced(spark, sf_dir), _BY), metrics.summary(strict, _BY), ci, _BY, METRICS, F.col("task_family") == "P")
