@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.fixed import METRICS
 from palimpsest.functions import text as X
 from palimpsest.operators import canonical, claims, digests, judging, ledger, metrics, pairing, rendering, resample, scoring, validate
+from palimpsest.plans import registry, tables
 from palimpsest.sources import files, paged, sinks
 from palimpsest.streaming import runner
 
@@ -243,6 +244,20 @@ def test_hash_draws_are_as_many_as_rows(spark):
     assert all(0 <= v[1] and v[2] < v[0] for v in got.values())
 
 
+def test_key_sets_are_compared_in_tasks_of_few_rows(spark, tmp_path, monkeypatch):
+    """Nulls and repeated keys as in EXCEPT; the tasks grow with the rows."""
+    sides = {"lineitem": [1, 1, 2, 5, None, None], "orders": [2, 3, 3, 4, None]}
+    for name, keys in sides.items():
+        spark.createDataFrame([(k,) for k in keys], f"{name[0]}_orderkey long").write.parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 1)
+    query = registry.QUERIES["key_set_diff"]
+    diff = query(spark, str(tmp_path))
+    assert sorted(map(tuple, diff.collect())) == [("extra", 3), ("extra", 4), ("missing", 1), ("missing", 5)]
+    assert diff.rdd.getNumPartitions() == 11
+    spark.createDataFrame([(7,)], "o_orderkey long").write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+    assert ("missing", None) in map(tuple, query(spark, str(tmp_path)).collect())
+
+
 def test_digests_are_those_of_the_standard_library():
     """Pairs of any number of digits, with the borders between them and between arrays."""
     for rep, first, last in ((0, 0, 1), (7, 3, 12), (42, 0, 20_003), (1999, 99_990, 110_010), (12345, 10**9 - 3, 10**9 + 3)):
