@@ -7,11 +7,11 @@ timer. Families in flight for too long go back to pending when their timer fires
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
@@ -19,11 +19,13 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 ENDS = {"COMPLETE": "COMPLETED", "FAILED": "FAILED", "PENDING": "PAUSED"}
 
-#: What stands of a family: its last state, attempts begun, events of the open one, times in flight.
-FOLDED = "last_us long, state string, attempt long, n_events long, retries long, version long, timer long"
-EVENT = "us long, event_id long, state string"
+#: What stands of a family: its last state, attempts begun, events of the open one, times in flight; and the
+#: events that are not yet below the watermark. One value, so a batch reads and writes it once for a family.
+HELD = "last_us long, state string, attempt long, n_events long, retries long, version long, timer long, open_us array<long>, open_ids array<long>, open_states array<string>"
+NEW = (0, None, 0, 0, 0, 0, -1, [], [], [])
 #: A row per attempt that a batch touched; the greatest version of a family, and of an attempt, is the one that counts.
 CHANGE = "attempt long, n_events long, status string, state string, retries long, stale_recovered int, version long"
+_Change = Row("family_id", *(c.split()[0] for c in CHANGE.split(", ")))
 
 
 class FamilyStates(StatefulProcessor):
@@ -32,14 +34,16 @@ class FamilyStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.folded = handle.getValueState("folded", FOLDED)
-        self.open = handle.getListState("open", EVENT)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last_us, state, attempt, n, retries, version, timer = self.folded.get() if self.folded.exists() else (0, None, 0, 0, 0, 0, -1)
-        events = [tuple(e) for e in self.open.get()] if self.open.exists() else []
-        for part in rows:
-            events += zip(part["us"].tolist(), part["event_id"].tolist(), part["state"].tolist(), strict=True)
+        self.held = handle.getValueState("held", HELD)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last_us, state, attempt, n, retries, version, timer, *open_ = self.held.get() or NEW
+        events = list(zip(*open_, strict=True))
+        fields = None
+        for row in rows:
+            if fields is None:
+                fields = operator.itemgetter(*(row.__fields__.index(c) for c in ("us", "event_id", "state")))
+            events.append(fields(row))
         events.sort()
         settled = timerValues.getCurrentWatermarkInMs() * 1000  # nothing at or before this comes any more
         kept = None
@@ -57,31 +61,25 @@ class FamilyStates(StatefulProcessor):
         timer = last_us // 1000 + self.stale_after_ms if state == "INFLIGHT" else -1
         if timer >= 0:
             self.handle.registerTimer(timer)
-        self.folded.update((*base, version + 1, timer))
-        if first < len(events):
-            self.open.put(events[first:])
-        else:
-            self.open.clear()
-        yield self._changes(key, changes, state, retries, 0, version + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        base, version, timer = self.folded.get()[:5], *self.folded.get()[5:]
+        self.held.update((*base, version + 1, timer, *([e[i] for e in events[first:]] for i in range(3))))
+        yield from self._changes(key, changes, state, retries, 0, version + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        *base, version, timer, us, ids, states = self.held.get()
         if timer != expiredTimerInfo.getExpiryTimeInMs():
             return
         _, state, attempt, n, retries = base
-        for _, _, now in sorted(tuple(e) for e in self.open.get()) if self.open.exists() else ():
+        for _, _, now in sorted(zip(us, ids, states, strict=True)):
             attempt, n = (attempt + 1, 1) if now == "PENDING" else (attempt, n + 1)
             state, retries = now, retries + (now == "INFLIGHT")
-        self.folded.update((*base, version + 1, -1))
+        self.held.update((*base, version + 1, -1, us, ids, states))
         if state == "INFLIGHT":
-            yield self._changes(key, {attempt: (n, "RUNNING")}, "PENDING", retries, 1, version + 1)
+            yield from self._changes(key, {attempt: (n, "RUNNING")}, "PENDING", retries, 1, version + 1)
 
     @staticmethod
-    def _changes(key, changes: dict[int, tuple[int, str]], state: str, retries: int, stale: int, version: int) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(*key, a, n, status, state, retries, stale, version) for a, (n, status) in sorted(changes.items())],
-            columns=["family_id", *(c.split()[0] for c in CHANGE.split(", "))],
-        )
+    def _changes(key, changes: dict[int, tuple[int, str]], state: str, retries: int, stale: int, version: int) -> Iterator[Row]:
+        for a, (n, status) in sorted(changes.items()):
+            yield _Change(*key, a, n, status, state, retries, stale, version)
 
     def close(self) -> None:
         pass
@@ -107,7 +105,7 @@ def changes(events: DataFrame, *, delay: str = "1 hour", stale_after_s: float =
     moves = events.where("state IS NOT NULL AND family_id IS NOT NULL AND ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     kind = events.schema["family_id"].dataType.simpleString()
     keyed = moves.select("family_id", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), "state").groupBy("family_id")
-    return keyed.transformWithStateInPandas(FamilyStates(int(stale_after_s * 1000)), f"family_id {kind}, {CHANGE}", "Update", "EventTime")
+    return keyed.transformWithState(FamilyStates(int(stale_after_s * 1000)), f"family_id {kind}, {CHANGE}", "Update", "EventTime")
 
 
 def follow(spark: SparkSession, events: DataFrame, table: str, *, delay: str = "1 hour", stale_after_s: float = 3600.0) -> None:

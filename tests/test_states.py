@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from conftest import rows_of
 from palimpsest.operators import ledger
@@ -64,3 +65,39 @@ def test_settled_events_are_folded_and_timers_fire_once_only(spark, tmp_path):
     put(spark, [(9, at(1), 1, "FAILED"), (10, at(301), 3, None)], folder, 9)  # too late, and no transition
     states.follow(spark, stream(spark, folder), table, delay="5 seconds", stale_after_s=100)
     agree(spark, table, spark.createDataFrame(rows, EVENTS))
+
+
+def test_a_family_is_read_and_written_once_a_batch():
+    """One value of state a family and no table per family: calls to the store and to pandas were most of the time."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            calls.append("state")
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 1
+
+    own = states.FamilyStates(1000)
+    own.init(Handle())
+    event = Row("us", "event_id", "state")
+    got = list(own.handleInputRows((7,), iter([event(5000, 2, "INFLIGHT"), event(900, 1, "PENDING"), event(9000, 3, "COMPLETE"), event(9500, 4, "PENDING")]), Clock()))
+    assert [tuple(r) for r in got] == [(7, 0, 0, "RUNNING", "PENDING", 1, 0, 1), (7, 1, 3, "COMPLETED", "PENDING", 1, 0, 1), (7, 2, 1, "PAUSED", "PENDING", 1, 0, 1)]
+    assert calls == ["state", "get", "update"]
+    assert own.held.held == (900, "PENDING", 1, 1, 0, 1, -1, [5000, 9000, 9500], [2, 3, 4], ["INFLIGHT", "COMPLETE", "PENDING"])
