@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,18 +72,13 @@ def hash_draws(families: DataFrame, by: list[str], reps: int) -> DataFrame:
 WORDS_A_BLOCK, WORDS_AT_ONCE = (1 << 18, 1 << 25), 1 << 20
 
 
-def exact_draws(families: DataFrame, reps: int, seed: int, words: int | None = None) -> DataFrame:
-    """The draws of the standard library's generator: (rep, ordinal, times). They depend on seed, n and reps only.
+def _blocks(spark: SparkSession, first: int, last: int) -> DataFrame:
+    # One block a task: a block is some tenths of a second of work.
+    return spark.range(first, last, numPartitions=last - first).toDF("block")
 
-    The stream is parted into blocks of `words` (by default so that all cores have some), which tasks enter by a jump. They first count how
-    many draws their block holds; a running sum tells which draws of which replicate stand where, and
-    tasks then make those. The driver holds a number per block. A replicate and ordinal may stand
-    in several rows, one per block or part of it.
-    """
-    spark, n = families.sparkSession, families.count()
-    schema = "rep int, ordinal long, times long"
-    if not n or reps <= 0:
-        return spark.createDataFrame([], schema)
+
+def _exact_blocks(spark: SparkSession, n: int, reps: int, seed: int, words: int | None) -> tuple[int, Callable[[int], Iterator[tuple[int, np.ndarray]]]]:
+    """How many blocks the generator's stream has for reps times n draws, and the draws of a block: (place of the first, values) in turn."""
     if n.bit_length() > 32:
         raise ValueError("the standard library's draws are for up to 2^32 rows: use hash_draws")
     wanted, key, share = n * reps, twister.seeded(seed), n / (1 << n.bit_length())
@@ -99,32 +94,48 @@ def exact_draws(families: DataFrame, reps: int, seed: int, words: int | None = N
         for batch in batches:
             yield pd.DataFrame({"block": batch["block"], "draws": [sum(map(len, parts(int(b)))) for b in batch["block"]]})
 
-    def blocks(first: int, last: int) -> DataFrame:
-        # One block a task: a block is some tenths of a second of work.
-        return spark.range(first, last, numPartitions=last - first).toDF("block")
-
     # The share of words that count is known; the last blocks may be needed or not, and more where luck was against it.
     ends: list[int] = []
     while not ends or ends[-1] < wanted:
         more = max(1, math.ceil((wanted - (ends[-1] if ends else 0)) / share / words))
-        for r in sorted(blocks(len(ends), len(ends) + more).mapInPandas(counted, "block long, draws long").collect()):
+        for r in sorted(_blocks(spark, len(ends), len(ends) + more).mapInPandas(counted, "block long, draws long").collect()):
             ends.append((ends[-1] if ends else 0) + r["draws"])
-    starts = [0, *ends[:-1]]
 
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def drawn(block: int) -> Iterator[tuple[int, np.ndarray]]:
+        at = ends[block - 1] if block else 0
+        for values in parts(block):
+            values = values[: max(0, wanted - at)]
+            if not len(values):
+                break
+            yield at, values
+            at += len(values)
+
+    return len(ends), drawn
+
+
+def exact_draws(families: DataFrame, reps: int, seed: int, words: int | None = None) -> DataFrame:
+    """The draws of the standard library's generator: (rep, ordinal, times). They depend on seed, n and reps only.
+
+    The stream is parted into blocks of `words` (by default so that all cores have some), which tasks enter by a jump. They first count how
+    many draws their block holds; a running sum tells which draws of which replicate stand where, and
+    tasks then make those. The driver holds a number per block. A replicate and ordinal may stand
+    in several rows, one per block or part of it.
+    """
+    spark, n = families.sparkSession, families.count()
+    schema = "rep int, ordinal long, times long"
+    if not n or reps <= 0:
+        return spark.createDataFrame([], schema)
+    n_blocks, drawn = _exact_blocks(spark, n, reps, seed, words)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block in batch["block"].tolist():
-                at = starts[block]
-                for values in parts(block):
-                    values = values[: max(0, wanted - at)]
-                    if not len(values):
-                        break
+                for at, values in drawn(block):
                     # Draws of a replicate follow each other.
                     codes, times = np.unique((at + np.arange(len(values))) // n * n + values, return_counts=True)
                     yield pd.DataFrame({"rep": (codes // n).astype(np.int32), "ordinal": codes % n, "times": times})
-                    at += len(values)
 
-    return blocks(0, len(ends)).mapInPandas(drawn, schema)
+    return _blocks(spark, 0, n_blocks).mapInPandas(rows, schema)
 
 
 def bootstrap(families: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
@@ -236,6 +247,35 @@ def hash_bootstrap(families: DataFrame, by: list[str], reps: int) -> DataFrame:
     return _intervals(families, resampled.join(F.broadcast(slices.drop("n")), "slice").drop("slice") if by else resampled, by)
 
 
+def exact_bootstrap(families: DataFrame, reps: int, seed: int, words: int | None = None) -> DataFrame:
+    """What bootstrap() gives for exact_draws(), with no row per draw: blocks of the stream, dealt into at most REP_BLOCKS runs, meet the kinds of all families."""
+    families, _, kinds, chunks, wide = _coded(families, [])
+    n = families.count()
+    n_blocks, drawn = _exact_blocks(families.sparkSession, n, reps, seed, words) if n and reps > 0 else (1, lambda block: iter(()))
+    size = math.ceil(n_blocks / REP_BLOCKS)
+    n_runs = math.ceil(n_blocks / size)
+
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        low, codes = int(rows["chunk"].iat[0]) * CHUNK, np.frombuffer(b"".join(rows["codes"]), wide)
+        n_kinds, times = 1 + int(codes.max()), {}
+        for block in range(key[0] * size, min(n_blocks, (key[0] + 1) * size)):
+            for at, values in drawn(block):
+                while len(values):  # draws of a replicate follow each other
+                    rep, own = at // n, values[: n - at % n]
+                    place = own.astype(np.int64) - low
+                    met = codes[place if len(codes) == n else place[(place >= 0) & (place < len(codes))]]
+                    times[rep] = times.get(rep, 0) + np.bincount(met, minlength=n_kinds)
+                    at, values = at + len(own), values[len(own) :]
+        out = [pd.DataFrame({"rep": rep, "kind": np.flatnonzero(x), "times": x[np.flatnonzero(x)]}) for rep, x in times.items()]
+        return pd.concat(out) if out else pd.DataFrame({"rep": [], "kind": [], "times": []}, dtype="int64")
+
+    work = chunks.withColumn("part", F.floor(F.col("chunk") / HELD)).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))))
+    counted = work.repartition(2 * n_runs, "run", "part").groupBy("run", "part").applyInPandas(count, "rep int, kind long, times long")
+    whole = counted.join(F.broadcast(kinds), "kind") if wide == "<u2" else counted.join(kinds, "kind")
+    return _intervals(families, sums(whole.select("rep", "times", "of.*"), ["rep"], F.col("times")), [])
+
+
 def hash_sample(df: DataFrame, k: int, seed: int, id_col: str) -> DataFrame:
     """K rows, the first by md5(seed:id)."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col)).cast("binary")), id_col).limit(k)

@@ -178,7 +178,7 @@ def bootstrap_ci_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = families_of(spark, sf_dir)
-    return resample.bootstrap(f, resample.exact_draws(f, REPS, BOOTSTRAP_SEED), [])
+    return resample.exact_bootstrap(f, REPS, BOOTSTRAP_SEED)
 
 
 _BY = ["task_family"]

@@ -287,6 +287,11 @@ def test_bootstrap_by_kinds_has_no_row_per_draw(spark, monkeypatch, chunk):
     monkeypatch.setattr(resample, "hash_draws", None)
     assert [plain(resample.hash_bootstrap(f, by, 30)) for by in ([], ["s"])] == want
     assert resample.hash_bootstrap(f.where("false"), ["s"], 5).count() == 0
+    want = plain(resample.bootstrap(f, resample.exact_draws(f, 10, 7), []))
+    monkeypatch.setattr(resample, "exact_draws", None)
+    monkeypatch.setattr(resample, "REP_BLOCKS", 2)
+    assert plain(resample.exact_bootstrap(f, 10, 7, words=3000)) == want  # replicates cross blocks, blocks share runs
+    assert resample.exact_bootstrap(f.where("false"), 5, 7).count() == 0
 
 
 def brute_donors(rows):
